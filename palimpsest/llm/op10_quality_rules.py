@@ -80,6 +80,12 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
 
     packed = F.sort_array(F.transform(at, lambda i: F.xxhash64(*window(i)).bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("long"))))
     quick = let(let(packed, lambda a: twice(a, lambda x, y: head(x) == head(y))), checked)
+    n = F.size(words)
+    shifted = F.arrays_zip(*[F.slice(words, k + 1, n).alias(f"w{k}") for k in range(size)])
+    hashes = F.slice(F.transform(shifted, lambda x: F.xxhash64(x)), F.lit(1), F.greatest(n - size + 1, F.lit(0)))
+    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    # equal windows have equal hashes: a text whose hashes all differ repeats nothing
+    quick = F.when(repeats, quick).otherwise(F.lit(0).cast("long"))
     return F.when(F.size(words) <= size, F.lit(0).cast("long")).when(F.size(words) - size >= 1 << PLACE_BITS, exact()).otherwise(quick)
 
 

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op06_sharding, op10_quality_rules
+from .op01_bpe import op1_bpe
+from .op02_decontamination import ORACLE as ORACLE_2
+from .op02_decontamination import op2_decontamination
+from .op05_substring_dedup import ORACLE as ORACLE_5
+from .op05_substring_dedup import op5_substring_dedup
+from .op06_sharding import op6_sharding
+from .op09_simhash import op9_simhash
+from .op10_quality_rules import ORACLE as ORACLE_10
+from .op10_quality_rules import op10_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op06_sharding.op6_sharding, op10_quality_rules.op10_quality_rules]
+    found = [op1_bpe, op2_decontamination, op5_substring_dedup, op6_sharding, op9_simhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": op10_quality_rules.ORACLE}
+    return {"op2_decontamination": ORACLE_2, "op5_substring_dedup": ORACLE_5, "op10_quality_rules": ORACLE_10}

@@ -27,7 +27,7 @@ from .words import SPACES, covered, mix, windows_of, words_of
 
 WINDOW = 13
 #: Bytes of text in a block, sketch rows, cells a window in each row, cells in a range, exact keys in a range.
-BLOCK_BYTES, DEPTH, CELLS, RANGE_BITS, RANGE_KEYS = 16 << 20, 2, 4, 22, 1 << 20
+BLOCK_BYTES, DEPTH, CELLS, RANGE_BITS, RANGE_KEYS = 5 << 20, 2, 4, 22, 1 << 20
 LEAST_BLOCKS = 12
 #: A bound below the mean length of words with the space after them: it only sizes the sketch.
 WORD_BYTES = 6
@@ -35,18 +35,18 @@ FRAGMENT = "range long, block long, data binary"
 NO_KEY = np.iinfo(np.int64).max
 
 
-def encode(sorted_numbers: np.ndarray) -> bytes:
-    """Ascending different numbers as byte-sized steps; 255 means 255 further and go on."""
-    step = np.diff(sorted_numbers, prepend=-1) - 1
-    more = step // 255
-    out = np.full(int(more.sum()) + len(step), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = step - more * 255
-    return out.tobytes()
+def encode(numbers: np.ndarray) -> bytes:
+    """Ascending different numbers: their low byte each, and a bit string that counts up to their high parts."""
+    high = (numbers >> 8) + np.arange(len(numbers))
+    bits = np.zeros(int(high[-1]) + 1 if len(high) else 0, bool)
+    bits[high] = True
+    return len(numbers).to_bytes(4, "little") + (numbers & 255).astype(np.uint8).tobytes() + np.packbits(bits).tobytes()
 
 
 def decode(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    return np.cumsum(raw.astype(np.int64))[raw != 255] + np.arange(int((raw != 255).sum()))
+    n = int.from_bytes(data[:4], "little")
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=4 + n)))
+    return ((high - np.arange(n)) << 8) + np.frombuffer(data, np.uint8, n, 4)
 
 
 class Block:
@@ -55,16 +55,16 @@ class Block:
     def __init__(self, keys: np.ndarray, texts: list[bytes], size: int):
         heads, tails, docs, places = [], [], [], []
         self.n_words = np.zeros(len(texts), np.int64)
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 2 << 20):
             words = words_of(texts[a:b], SPACES)
             self.n_words[a:b] = np.diff(words.first)
             at, head = windows_of(words.hash, words.text, size)
             heads.append(head)
             tails.append(windows_of(words.hash, words.text, size, 7)[1])
-            docs.append(words.text[at] + a)
-            places.append(at - words.first[words.text[at]])
+            docs.append((words.text[at] + a).astype(np.int32))
+            places.append((at - words.first[words.text[at]]).astype(np.int32))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        head, tail, self.doc, self.place = join(heads, np.uint64), join(tails, np.uint64), join(docs, np.int64), join(places, np.int64)
+        head, tail, self.doc, self.place = join(heads, np.uint64), join(tails, np.uint64), join(docs, np.int32), join(places, np.int32)
         order = np.argsort(head, kind="stable")
         same = head[order][1:] == head[order][:-1]
         if (same & (tail[order][1:] != tail[order][:-1])).any():
@@ -74,10 +74,9 @@ class Block:
         new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
         start = np.flatnonzero(new)
         self.head, self.tail = h[start], t[start]
-        self.which = np.empty(len(order), np.int64)
+        self.which = np.empty(len(order), np.int32)
         self.which[order] = np.cumsum(new) - 1
-        self.key = keys[self.doc]
-        self.least = np.minimum.reduceat(self.key[order], start) if len(start) else np.zeros(0, np.int64)
+        self.least = np.minimum.reduceat(keys[self.doc[order]], start) if len(start) else np.zeros(0, np.int64)
         self.twice = np.diff(start, append=len(order)) > 1
 
 
@@ -205,7 +204,7 @@ def without_repeats(docs: DataFrame, key: str, text: str, fields: list[T.StructF
         for piece, at in _pieces(block.head[likely], 64 - key_bits):
             found[at] = _flags(said[piece], at.stop - at.start)
         earlier[likely] = found
-        gone = earlier[block.which] | (block.key > block.least[block.which])
+        gone = earlier[block.which] | (_keys(given.column(key))[block.doc] > block.least[block.which])
         first = np.concatenate([[0], np.cumsum(block.n_words)])
         flags = covered((first[block.doc] + block.place)[gone], size, int(first[-1]))
         hit = np.unique(block.doc[gone])

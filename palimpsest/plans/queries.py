@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lifecycle_queries, retrieval_queries, text_queries  # noqa: F401
+from . import lifecycle_queries, resolve_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
 from .fixtures import REGISTRY, Views
 
 

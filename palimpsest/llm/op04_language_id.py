@@ -239,7 +239,10 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, n: int) -> DataFrame
     """(lang, text, held): the n documents of each language with the smallest hashes, whole texts."""
     place = F.xxhash64(F.col(key), F.lit("sample"))
     ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, lang, place.alias("_h"))
-    first = ids.withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy("_h", key))).where(F.col("_n") <= n)
+    # hashes are even, so about 3 n rows of a language lie below this bound, however many it has: only those are ranked
+    counts = ids.groupBy(lang).agg(F.count("*").alias("_c"))
+    low = ids.join(F.broadcast(counts), lang).where(F.col("_h") / F.lit(float(2**63)) < F.least(F.lit(1.0), 6.0 * n / F.col("_c") - 1))  # a row for each language
+    first = low.withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy("_h", key))).where(F.col("_n") <= n)
     chosen = first.select(F.col(key).alias("_k"), (F.col("_n") % HELD_BACK == 0).alias("held")).dropDuplicates(["_k"])
     # n rows a language at most
     return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "held")

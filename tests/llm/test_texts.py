@@ -127,7 +127,7 @@ def test_phrase_suffixes_and_parse_find_all_repeats():
 def test_decontamination(spark, block_bytes):
     item = "The Quick brown-fox jumps over the lazy dog again and again, é says the 2nd dog of nine."
     bench = [(1, item), (2, "short item"), (3, ""), (4, None), (None, "not named"), (5, item.upper())]
-    docs = [(1, "x " * 50 + item + " y" * 50, 0), (2, "a SHORT, Item!", 0), (3, None, 0), (4, "", 0), (5, " ".join(item.split()[:12]), 0), (6, "w " * 500 + "short item", 0), (6, "w " * 500 + "short item", 0), (None, "short item " * 3000, 0)]
+    docs = [(1, "x " * 50 + item + " y" * 50, 0), (2, "a SHORT, Item!", 0), (3, None, 0), (4, "", 0), (5, " ".join(item.split()[:11]), 0), (6, "w " * 500 + "short item", 0), (6, "w " * 500 + "short item", 0), (None, "short item " * 3000, 0)]
     d = spark.createDataFrame(docs, "doc_id long, text string, items int")
     b = spark.createDataFrame(bench, "item_id long, text string")
     found = {r.doc_id: r for r in op2.matches(d, b, block_bytes=block_bytes).collect()}

@@ -15,7 +15,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    hung = pairs.join(least.hint("merge"), "u")
+    # as an expression the key is dealt anew for the join, and Spark can then split the pairs of a hub over tasks
+    key = least.select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m")
+    hung = pairs.join(key.hint("merge"), "u")
     if large:
         out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

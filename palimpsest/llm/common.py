@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 #: Rows in an Arrow batch: whole texts may be long, so a batch holds few of them.
 BATCH_ROWS = 512
 #: Bytes of text that a task handles at once; one longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from .common import append, chunks, table, tokenizer_path, utf8
 #: Longest pieces of each matrix; a longer piece merges along a heap, whose time grows as n log n instead of n squared.
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Rows of a matrix at once, and pieces that a task remembers.
-ROWS, REMEMBERED = 1 << 15, 1 << 19
+ROWS, REMEMBERED = 1 << 14, 1 << 18
 NO_RANK = np.int32(2**31 - 1)
 _CODECS: dict[bytes, Codec] = {}
 
@@ -172,7 +172,7 @@ class Codec:
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[int]]]:
         """For each text its token ids, and the numbers of its pieces in ``written``."""
-        for a, b in chunks(texts, 1 << 20):
+        for a, b in chunks(texts, 1 << 19):
             split = [self.split.findall(t.decode()) for t in texts[a:b]]
             if len(self.written) > REMEMBERED:
                 self._forget()

@@ -47,7 +47,7 @@ class Phrases:
         self.n = np.fromiter(map(len, texts), np.int64, len(texts))
         self.base = np.concatenate([[0], np.cumsum(self.n)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        found = [self._of(int(self.base[a]), int(self.base[b]), self.base[a:b], self.n[a:b]) for a, b in chunks(texts, 2 << 20)]
+        found = [self._of(int(self.base[a]), int(self.base[b]), self.base[a:b], self.n[a:b]) for a, b in chunks(texts)]
         self.low, self.high, self.trigger, self.passage, self.whole = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
         self.entry, self.first, self.of_entry, count = np.unique(self.whole, return_index=True, return_inverse=True, return_counts=True)
         self.twice = count > 1

@@ -219,7 +219,7 @@ class Models:
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
         langs, scores, rejected = [], [], []
-        for a, b in chunks(texts, 1 << 20):
+        for a, b in chunks(texts, 1 << 19):
             if not self.names:
                 langs += [UNKNOWN] * (b - a)
                 scores.append(np.zeros(b - a))

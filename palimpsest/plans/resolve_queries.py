@@ -183,7 +183,7 @@ def p2(v: Views):
 
 @query("p3_promote", "feedback observations", f"""WITH {_EVIDENCE}, c AS (SELECT user_id, obs_id, signal, count(*) AS n FROM ev GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER (PARTITION BY obs_id) AS events FROM c QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY n DESC, CASE signal WHEN 'accept' THEN 0 WHEN 'behavioural_accept' THEN 1 ELSE 2 END) = 1)
-SELECT user_id, obs_id, signal, CAST(events AS BIGINT) AS events, 'Observed preference ' || obs_id || ': ' || signal AS statement, 0.5 AS confidence, 1.0 AS relevance FROM b WHERE events >= 3 AND n >= 3""")
+SELECT user_id, obs_id, signal, CAST(events AS BIGINT) AS events, 'Observed preference ' || obs_id || ': ' || signal AS statement, 0.5::DOUBLE AS confidence, 1.0::DOUBLE AS relevance FROM b WHERE events >= 3 AND n >= 3""")
 def p3(v: Views):
     return P.promote(evidence(v))
 

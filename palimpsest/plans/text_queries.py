@@ -96,7 +96,7 @@ def t1(v: Views):
 @query("t2_split_chapters", "manuscripts", r"""
 WITH l AS (SELECT manuscript, i AS n, l[i] AS line FROM (SELECT manuscript, string_split(text, chr(10)) AS l FROM manuscripts) AS x, unnest(range(1, len(l) + 1)) AS u(i)),
 h AS (SELECT *, regexp_matches(line, '^#{1,3}\s+\S.*$') AS head FROM l),
-s AS (SELECT *, sum(head::INT) OVER (PARTITION BY manuscript ORDER BY n) AS seq, sum(head::INT) OVER (PARTITION BY manuscript) AS c FROM h)
+s AS (SELECT *, CAST(sum(head::INT) OVER (PARTITION BY manuscript ORDER BY n) AS BIGINT) AS seq, sum(head::INT) OVER (PARTITION BY manuscript) AS c FROM h)
 SELECT manuscript, seq, coalesce(max(CASE WHEN head THEN trim(regexp_replace(line, '^\s*#{1,3}\s+', '')) END), 'Front Matter') AS title,
        regexp_replace(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS body
 FROM s WHERE c BETWEEN 2 AND 500 GROUP BY manuscript, seq HAVING body <> ''""")
@@ -169,7 +169,7 @@ def t11(v: Views):
     return v("chapters").select("chapter_id", X.count_tokens(F.col("text")).alias("tokens"))
 
 
-@query("t12_conversation_tokens", "turns", f"SELECT conv_id, 2 + sum(4 + {tok('role')} + {tok('text')}) AS tokens FROM turns GROUP BY conv_id")
+@query("t12_conversation_tokens", "turns", f"SELECT conv_id, CAST(2 + sum(4 + {tok('role')} + {tok('text')}) AS BIGINT) AS tokens FROM turns GROUP BY conv_id")
 def t12(v: Views):
     return S.conversation_tokens(v("turns"))
 

@@ -29,6 +29,8 @@ ORDER = 4
 SAMPLE_DOCS = 400
 #: One in so many of the sample is held back for calibration.
 HELD_BACK = 5
+#: How far above the calibration texts a text's cross-entropy may lie before it is rejected.
+MARGIN = 1.5
 UNKNOWN = "und"
 _FOLDED: list[np.ndarray] = []
 
@@ -213,7 +215,7 @@ class Models:
             fits.append((-(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(h)), right].mean(), scale))
         self.scale = float(min(fits)[1])
         best = h.min(axis=1)
-        self.limit = float(np.quantile(best, 0.999) * 1.2)
+        self.limit = float(np.quantile(best, 0.999) * MARGIN)
         self.slack = 4.0
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ class Rule:
 RULES = (
     Rule("mean word length", "word_chars / n_words", 1.5, 25.0),
     Rule("symbols per word", "n_symbols / n_words", None, 0.25),
-    Rule("repeated lines", "n_dup_lines / n_lines", None, 0.3),
+    Rule("repeated lines", "n_dup_lines / n_lines", None, 0.5),
     Rule("different stop words to 100 words, in texts of 50 words and more", "CASE WHEN n_words >= 50 THEN 100 * n_stop_words / least(n_words, 200) END", 1.0, None),
 )
 
@@ -156,6 +156,6 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 25 AND n_symbols / n_words <= 0.25
-       AND coalesce(n_dup_lines / n_lines <= 0.3, true) AND (n_words < 50 OR 100 * n_stop_words / least(n_words, 200) >= 1) AS kept
+       AND coalesce(n_dup_lines / n_lines <= 0.5, true) AND (n_words < 50 OR 100 * n_stop_words / least(n_words, 200) >= 1) AS kept
 FROM b
 """

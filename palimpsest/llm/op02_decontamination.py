@@ -70,10 +70,7 @@ class Benchmark:
         place = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
         word = np.where(self.vocabulary[place] == words.hash, place + 1, 0).astype(">u4")
         # a run ends before an unknown word and before the next text
-        broken = np.concatenate([[False], word == 0, [True]])
-        starts = np.zeros(len(word), bool)
-        starts[words.first[:-1][n_words > 0]] = True
-        known = _runs(broken[1:])[:-1]
+        known = _runs(np.append(word == 0, True))[:-1]
         to_next = words.first[1:][words.text] - np.arange(len(word))
         run = np.minimum(known, to_next)
         at = np.flatnonzero(run >= self.least)

@@ -21,7 +21,7 @@ VIEWS = {
     "chapters": "SELECT source AS universe, source || '/' || lang AS work, doc_id AS chapter_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS order_index, text FROM documents",
     "manuscripts": "SELECT source || '-' || CAST(doc_id IDIV 100 AS STRING) AS manuscript, LISTAGG('# Chapter ' || CAST(doc_id AS STRING) || {nl} || {nl} || replace(text, {nl}, {nl} || {nl}), {nl} || {nl}) WITHIN GROUP (ORDER BY doc_id) AS text FROM documents GROUP BY source || '-' || CAST(doc_id IDIV 100 AS STRING)",
     "para_vecs": "SELECT vec_id AS para_id, vec_id % 5 AS universe, label AS chapter_id, embedding FROM embeddings",
-    "query_vecs": "SELECT vec_id AS query_id, vec_id % 5 AS universe, embedding FROM embeddings WHERE vec_id < 10",
+    "query_vecs": "SELECT vec_id AS query_id, vec_id % 5 AS universe, embedding FROM embeddings WHERE vec_id % 20 = 0",
     "ent_users": f"SELECT user_id AS entity_id, user_id % 5 AS universe, {_pick('user_id % 7', ENTITY_TYPES)} AS type, 'user' || CAST(user_id AS STRING) AS name, CASE WHEN user_id % 37 = 0 THEN 'deceased' WHEN user_id % 11 = 0 THEN 'candidate' ELSE 'active' END AS status, CAST(0.5 AS DOUBLE) + CAST(user_id % 50 AS DOUBLE) / 100 AS relevance, CAST(user_id % 10 AS DOUBLE) / 10 AS confidence, max(day(ts)) AS last_chapter FROM events GROUP BY user_id",
     "mentions": "SELECT event_id AS mention_id, user_id AS entity_id, user_id % 5 AS universe, CAST(day(ts) AS BIGINT) AS chapter_no, CAST(hour(ts) AS BIGINT) AS paragraph_index, props AS snippet, ts AS created_at FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0",
     "ent_parts": "SELECT p_partkey AS entity_id, 1 AS universe, p_type AS type, p_name AS name, LIST(p_brand, upper(p_name)) AS aliases, p_name || ' ' || p_type || ' ' || p_brand AS description, p_retailprice / max(p_retailprice) OVER () AS relevance, p_size AS created FROM part",
@@ -31,7 +31,7 @@ VIEWS = {
     "observations": "SELECT user_id * 4 + metric AS obs_id, user_id, metric, avg(value) AS value FROM feedback GROUP BY user_id, metric",
     "prefs": "SELECT s_suppkey AS pref_id, s_suppkey % 5 AS owner, CASE WHEN s_suppkey % 3 = 0 THEN 'universal' ELSE 'genre_bound' END AS scope, CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE s_nationkey % 5 END AS genre, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS confidence, least(CAST(1 AS DOUBLE), abs(s_acctbal) / 10000) AS relevance, CASE WHEN s_suppkey % 7 = 0 THEN 'archived' ELSE 'active' END AS lifecycle, s_suppkey AS created FROM supplier",
     "rec_paras": "SELECT vec_id AS para_id, vec_id % 5 AS universe, label AS chapter_id, text, embedding FROM embeddings JOIN documents ON vec_id = doc_id",
-    "rec_queries": "SELECT p.para_id AS query_id, p.universe, b.text AS item, p.embedding FROM rec_paras p JOIN benchmark b ON p.para_id = b.item_id WHERE p.para_id < 10",
+    "rec_queries": "SELECT para_id AS query_id, universe, text AS item, embedding FROM rec_paras WHERE para_id % 20 = 0",
     "rec_entities": "SELECT p_partkey AS entity_id, p_partkey % 5 AS universe, p_name AS name, p_retailprice / max(p_retailprice) OVER () AS relevance, CASE WHEN p_size % 10 = 0 THEN 'archived' ELSE 'active' END AS status FROM part",
     "rec_mentions": "SELECT DISTINCT l_orderkey AS para_id, l_partkey AS entity_id FROM lineitem JOIN rec_paras ON l_orderkey = para_id WHERE l_partkey % 5 = l_orderkey % 5",
     "rec_edges": "SELECT src, dst, rel_type FROM edges WHERE src % 5 = dst % 5",

@@ -138,9 +138,9 @@ def v1b(v: Views):
     return R.vector_topk(v("query_vecs"), v("para_vecs"), 10, exclude_chapter=3).select("query_id", "para_id", "rank")
 
 
-@query("v2_entity_topk", "query_vecs para_vecs", f"SELECT query_id, entity_id, rank FROM ({top('query_vecs', '(SELECT para_id AS entity_id, universe, embedding FROM para_vecs WHERE para_id % 2 = 0)', 'entity_id', 5)}) AS t")
+@query("v2_entity_topk", "query_vecs para_vecs", f"SELECT query_id, entity_id, rank FROM ({top('query_vecs', '(SELECT para_id AS entity_id, universe, embedding FROM para_vecs)', 'entity_id', 5)}) AS t")
 def v2(v: Views):
-    ents = v("para_vecs").where("para_id % 2 = 0").select(F.col("para_id").alias("entity_id"), "universe", "embedding")
+    ents = v("para_vecs").select(F.col("para_id").alias("entity_id"), "universe", "embedding")
     return R.vector_topk(v("query_vecs"), ents, 5, item="entity_id").select("query_id", "entity_id", "rank")
 
 

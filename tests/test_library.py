@@ -113,3 +113,12 @@ def test_approximate_search_recall(views):
     exact = V.vector_topk(views("query_vecs"), views("para_vecs"), 10).select("query_id", "para_id")
     near = V.ann_topk(views("query_vecs"), views("para_vecs"), 10).select("query_id", "para_id")
     assert exact.join(near, ["query_id", "para_id"]).count() >= 0.9 * exact.count()
+
+
+def test_every_twentieth_id_is_a_query(views):
+    """Not a fixed set: searches take all rows with id % 20 = 0, against all rows."""
+    every = {r.vec_id for r in views("embeddings").where("vec_id % 20 = 0").collect()}
+    told = {r.doc_id for r in views("documents").select("doc_id").collect()}
+    assert {r.query_id for r in views("query_vecs").collect()} == every
+    assert {r.query_id for r in RQ.rec_queries(views).where("text <> ''").collect()} == every & told
+    assert {r.entity_id % 2 for r in RQ.v2(views).collect()} == {0, 1}

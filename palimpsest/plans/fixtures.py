@@ -36,6 +36,7 @@ VIEWS = {
     "rec_mentions": "SELECT DISTINCT l_orderkey AS para_id, l_partkey AS entity_id FROM lineitem JOIN rec_paras ON l_orderkey = para_id WHERE l_partkey % 5 = l_orderkey % 5",
     "rec_edges": "SELECT src, dst, rel_type FROM edges WHERE src % 5 = dst % 5",
     "rec_memories": "SELECT entity_id, universe, name AS summary, embedding FROM rec_entities JOIN embeddings ON vec_id = entity_id WHERE status = 'archived'",
+    "asked": "SELECT DISTINCT l_orderkey AS chapter_id, substr(text, 1, 6) AS name FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM benchmark) AS c JOIN benchmark ON item_id = l_partkey % n",
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }
 #: Views whose text differs between Spark and the oracle.

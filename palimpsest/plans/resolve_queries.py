@@ -140,14 +140,14 @@ def r14(v: Views):
 
 @query("r15_resolve_relation_names", "ent_parts", """
 WITH n AS (SELECT DISTINCT name FROM (SELECT upper(p_name) AS name FROM part UNION ALL SELECT string_split(p_name, ' ')[1] FROM part UNION ALL SELECT 'nobody')),
-e AS (SELECT * FROM ent_parts WHERE entity_id < 40),
+e AS (SELECT * FROM ent_parts),
 x AS (SELECT norm, count(DISTINCT entity_id) AS n, min(entity_id) AS id FROM (SELECT entity_id, lower(unnest(list_append(aliases, name))) AS norm FROM e) GROUP BY norm),
 p AS (SELECT norm, count(DISTINCT entity_id) AS n, min(entity_id) AS id FROM (SELECT entity_id, unnest(list_transform(range(1, len(string_split(name, ' ')) + 1), lambda i: lower(array_to_string(string_split(name, ' ')[1:i], ' ')))) AS norm FROM e) GROUP BY norm)
 SELECT name, CASE WHEN x.n = 1 THEN x.id WHEN x.n IS NULL AND p.n = 1 THEN p.id END AS entity_id, CASE WHEN x.n = 1 THEN 'exact' WHEN x.n > 1 THEN 'ambiguous' WHEN p.n = 1 THEN 'prefix' WHEN p.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS reason
 FROM n LEFT JOIN x ON x.norm = lower(name) LEFT JOIN p ON p.norm = lower(name)""")
 def r15(v: Views):
     names = v("part").select(F.upper("p_name").alias("name")).unionByName(v("part").select(F.get(F.split("p_name", " "), 0).alias("name"))).unionByName(v("region").limit(1).select(F.lit("nobody").alias("name")))
-    return R.resolve_relation_names(names, v("ent_parts").where("entity_id < 40"))
+    return R.resolve_relation_names(names, v("ent_parts"))
 
 
 @query("r16_clone_universe", "edges ent_parts", """
@@ -211,9 +211,9 @@ def p6(v: Views):
     return P.list_preferences(v("prefs"), True, 10).select("owner", "pref_id", "place")
 
 
-@query("p7_evidence_bundle", "prefs feedback", "SELECT p.pref_id, coalesce(string_agg(event_id || ':' || signal, ' ' ORDER BY event_id), '') AS events FROM prefs p LEFT JOIN (SELECT * FROM feedback WHERE event_id % 10 = 0) f USING (pref_id) GROUP BY p.pref_id")
+@query("p7_evidence_bundle", "prefs feedback", "SELECT p.pref_id, coalesce(string_agg(event_id || ':' || signal, ' ' ORDER BY event_id), '') AS events FROM prefs p LEFT JOIN feedback f USING (pref_id) GROUP BY p.pref_id")
 def p7(v: Views):
-    out = P.evidence_bundle(v("prefs"), v("feedback").where("event_id % 10 = 0"))
+    out = P.evidence_bundle(v("prefs"), v("feedback"))
     return out.select("pref_id", F.coalesce(F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["event_id"], e["signal"])), " "), F.lit("")).alias("events"))
 
 

@@ -25,33 +25,33 @@ def g1(v: Views):
     return G.load_edges(v("ent_parts").where("entity_id % 10 <> 0"), v("edges"), RELATIONS[:12]).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-@query("g2_neighbors", "edges", f"WITH {_BOTH} SELECT * FROM both_ways WHERE seed < 20")
+@query("g2_neighbors", "edges", f"WITH {_BOTH} SELECT * FROM both_ways WHERE seed % 20 = 0")
 def g2(v: Views):
-    return G.neighbors(v("edges"), v("part").where("p_partkey < 20").select(F.col("p_partkey").alias("seed"))).select("seed", "neighbor", "rel_type")
+    return G.neighbors(v("edges"), v("part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed"))).select("seed", "neighbor", "rel_type")
 
 
-@query("g3_neighbors_batch", "edges", f"WITH {_BOTH} SELECT seed, count(*) AS n, count(DISTINCT rel_type) AS kinds, min(neighbor) AS first FROM both_ways WHERE seed % 50 = 0 GROUP BY seed")
+@query("g3_neighbors_batch", "edges", f"WITH {_BOTH} SELECT seed, count(*) AS n, count(DISTINCT rel_type) AS kinds, min(neighbor) AS first FROM both_ways WHERE seed % 20 = 0 GROUP BY seed")
 def g3(v: Views):
-    seeds = v("part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"))
+    seeds = v("part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed"))
     return G.neighbors(v("edges"), seeds).groupBy("seed").agg(F.count("*").alias("n"), F.count_distinct("rel_type").alias("kinds"), F.min("neighbor").alias("first"))
 
 
-@query("g4_cocitation", "edges", f"""WITH {_BOTH}, c AS (SELECT seed % 5 AS query_id, neighbor, count(*) AS score FROM both_ways WHERE seed < 25 GROUP BY ALL)
+@query("g4_cocitation", "edges", f"""WITH {_BOTH}, c AS (SELECT seed // 100 AS query_id, neighbor, count(*) AS score FROM both_ways WHERE seed % 20 = 0 GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor) AS rank FROM c QUALIFY rank <= 20""")
 def g4(v: Views):
-    seeds = v("part").where("p_partkey < 25").select((F.col("p_partkey") % 5).alias("query_id"), F.col("p_partkey").alias("seed"))
+    seeds = v("part").where("p_partkey % 20 = 0").select(F.expr("p_partkey div 100").alias("query_id"), F.col("p_partkey").alias("seed"))
     return G.cocitation(v("edges"), seeds).where("rank <= 20")
 
 
 _EGO = _BOTH + """, pairs AS (SELECT DISTINCT seed, neighbor, relevance FROM both_ways JOIN ent_parts ON entity_id = neighbor),
-one AS (SELECT seed AS focal, neighbor AS node FROM pairs WHERE seed < 20 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, neighbor) <= 8),
-near AS (SELECT entity_id AS focal, entity_id AS node, 0 AS hop FROM ent_parts WHERE entity_id < 20 AND entity_id IN (SELECT seed FROM both_ways) UNION ALL SELECT focal, node, 1 FROM one),
+one AS (SELECT seed AS focal, neighbor AS node FROM pairs WHERE seed % 20 = 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, neighbor) <= 8),
+near AS (SELECT entity_id AS focal, entity_id AS node, 0 AS hop FROM ent_parts WHERE entity_id % 20 = 0 AND entity_id IN (SELECT seed FROM both_ways) UNION ALL SELECT focal, node, 1 FROM one),
 reach AS (SELECT focal, seed, neighbor, relevance FROM one JOIN pairs ON seed = node ANTI JOIN near n ON n.focal = one.focal AND n.node = pairs.neighbor),
 shown AS (SELECT * FROM near UNION ALL SELECT DISTINCT focal, neighbor, 2 FROM (SELECT * FROM reach QUALIFY row_number() OVER (PARTITION BY focal, seed ORDER BY relevance DESC, neighbor) <= 2) AS x)"""
 
 
 def shown(v: Views):
-    focal = v("part").where("p_partkey < 20").select(F.col("p_partkey").alias("entity_id"))
+    focal = v("part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("entity_id"))
     linked = G.both_ways(v("edges")).select(F.col("seed").alias("entity_id")).distinct()
     return G.ego_graph(v("ent_parts"), v("edges"), focal.join(linked, "entity_id", "left_semi"))
 
@@ -98,9 +98,9 @@ def g8b(v: Views):
     return G.cooccurrence(m, "l_orderkey", 100, "run")
 
 
-@query("g9_edge_sentences", "edges ent_parts", "SELECT src, dst, a.name || ' ' || lower(replace(rel_type, '_', ' ')) || ' ' || b.name || '.' AS sentence FROM edges JOIN ent_parts a ON a.entity_id = src JOIN ent_parts b ON b.entity_id = dst WHERE src < 100")
+@query("g9_edge_sentences", "edges ent_parts", "SELECT src, dst, a.name || ' ' || lower(replace(rel_type, '_', ' ')) || ' ' || b.name || '.' AS sentence FROM edges JOIN ent_parts a ON a.entity_id = src JOIN ent_parts b ON b.entity_id = dst")
 def g9(v: Views):
-    return G.edge_sentences(v("edges").where("src < 100"), v("ent_parts")).select("src", "dst", "sentence")
+    return G.edge_sentences(v("edges"), v("ent_parts")).select("src", "dst", "sentence")
 
 
 @query("g10_delete_edges", "edges", "SELECT rel_type, count(*) AS n FROM edges WHERE NOT (src % 3 = 0 AND rel_type = 'MAPS') GROUP BY rel_type")

@@ -123,16 +123,12 @@ def t5(v: Views):
     return v("chapters").select("chapter_id", X.word_count(F.col("text")).alias("n_words"))
 
 
-@query("t6_locate_mentions", "paragraphs", """
-WITH n AS (SELECT chapter_id, b.item_id AS item_id, substr(b.text, 1, 6) AS name FROM (SELECT DISTINCT chapter_id FROM paragraphs) c JOIN benchmark b ON b.item_id % 40 = c.chapter_id % 40),
-j AS (SELECT n.chapter_id, name, paragraph_index, text, strpos(lower(text), lower(name)) AS pos FROM n JOIN paragraphs USING (chapter_id)),
+@query("t6_locate_mentions", "paragraphs asked", """
+WITH j AS (SELECT n.chapter_id, name, paragraph_index, text, strpos(lower(text), lower(name)) AS pos FROM asked n JOIN paragraphs USING (chapter_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, name ORDER BY pos = 0, paragraph_index) AS k FROM j)
 SELECT chapter_id, name, paragraph_index, pos - 1 AS "at", substr(text, greatest(pos - 1 - 80, 0) + 1, 240) AS snippet FROM r WHERE k = 1""")
 def t6(v: Views):
-    chapters = v("paragraphs").select("chapter_id").distinct()
-    names = chapters.join(v("benchmark").where("item_id < 40"), F.col("item_id") == F.col("chapter_id") % 40).select("chapter_id", F.substring("text", 1, 6).alias("name"))
-    names = names if v("benchmark").where("item_id >= 40").isEmpty() else chapters.join(v("benchmark"), F.col("item_id") % 40 == F.col("chapter_id") % 40).select("chapter_id", F.substring("text", 1, 6).alias("name")).distinct()
-    return S.locate_mentions(names, v("paragraphs").select("chapter_id", "paragraph_index", "text"), ["chapter_id"]).select("chapter_id", "name", "paragraph_index", "at", X.snippet(F.col("text"), F.col("at")).alias("snippet"))
+    return S.locate_mentions(v("asked"), v("paragraphs").select("chapter_id", "paragraph_index", "text"), ["chapter_id"]).select("chapter_id", "name", "paragraph_index", "at", X.snippet(F.col("text"), F.col("at")).alias("snippet"))
 
 
 @query("t7_snippet", "paragraphs", "SELECT chapter_id, paragraph_index, substr(text, greatest(length(text) // 2 - 80, 0) + 1, 240) AS snippet FROM paragraphs")

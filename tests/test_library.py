@@ -7,7 +7,9 @@ from palimpsest.functions import text as X
 from palimpsest.operators import lifecycle as L
 from palimpsest.operators import resolve as R
 from palimpsest.operators import retrieval as V
+from palimpsest.plans import resolve_queries as SQ
 from palimpsest.plans import retrieval_queries as RQ
+from palimpsest.plans import text_queries as TQ
 from palimpsest.plans.fixtures import Views
 from palimpsest.sources.tables import infer_title, read_manuscripts
 from palimpsest.streaming import streams as Q
@@ -122,3 +124,16 @@ def test_every_twentieth_id_is_a_query(views):
     assert {r.query_id for r in views("query_vecs").collect()} == every
     assert {r.query_id for r in RQ.rec_queries(views).where("text <> ''").collect()} == every & told
     assert {r.entity_id % 2 for r in RQ.v2(views).collect()} == {0, 1}
+
+
+def test_whole_tables_and_every_twentieth_part(views):
+    """Operators over whole tables leave no id out, and graph seeds grow with the parts."""
+    edges = views("edges")
+    assert RQ.g9(views).count() == edges.count()
+    assert SQ.r15(views).where("reason = 'unknown'").collect() == [("nobody", None, "unknown")]
+    assert SQ.p7(views).select(F.sum(F.size(F.filter(F.split("events", " "), lambda e: e != "")))).first()[0] == views("feedback").join(views("prefs"), "pref_id").count()
+    held = views("paragraphs").select("chapter_id").distinct()
+    assert TQ.t6(views).count() == views("asked").join(held, "chapter_id").count() > held.count()
+    linked = {x for r in edges.select("src", "dst").collect() for x in r if x % 20 == 0}
+    assert {r.seed for r in RQ.g2(views).collect()} == {r.seed for r in RQ.g3(views).collect()} == {r.focal for r in RQ.g5(views).collect()} == linked
+    assert {r.query_id for r in RQ.g4(views).collect()} == {x // 100 for x in linked}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nth(keys: list[str], *order: Column | str) -> Column:
@@ -84,3 +88,31 @@ def percentile_at(df: DataFrame, key: str, value: str, percent: int) -> DataFram
 def distinct_on(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_n", nth(keys, *order)).where("_n = 1").drop("_n")
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str], need: list[str], start: Callable[[tuple], tuple], step: Callable[[tuple, tuple], tuple], fields: list[T.StructField]) -> DataFrame:
+    """Every row with the state of its key's fold after it, in new columns ``fields``.
+
+    ``start`` makes a state from a key, ``step`` the next one from a state and the columns ``need`` of a row. Spark deals the rows by key
+    and sorts them; only the state is carried from batch to batch, so a key may have any number of rows.
+    """
+    key_at, need_at = ([df.columns.index(c) for c in names] for names in (keys, need))
+    names = [*df.columns, *[f.name for f in fields]]
+    schema = T.StructType([*df.schema.fields, *fields])
+    kinds = [{"boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64()}[f.dataType.simpleString()] for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, ()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = []
+            for key, row in zip(*[zip(*[batch.column(i).to_pylist() for i in at], strict=True) for at in (key_at, need_at)], strict=True):
+                if key != last:
+                    last, state = key, start(key)
+                state = step(state, row)
+                made.append(state)
+            new = [pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

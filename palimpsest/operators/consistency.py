@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
-from .aggregates import distinct_on, nth
+from .aggregates import distinct_on, fold, nth
 
 
 def check_deceased(resolved: DataFrame) -> DataFrame:
@@ -78,19 +79,22 @@ def parse_memories(raw: DataFrame) -> DataFrame:
     return told.where(F.trim(F.coalesce("_m.summary", F.lit(""))) != "").select("entity_id", F.col("_m.summary").alias("summary"), F.coalesce("_m.key_facts", F.array().cast("array<string>")).alias("key_facts"))
 
 
-def greedy_fit(items: DataFrame, keys: list[str], order: list[str], cost: str, item: str, budget: int) -> DataFrame:
-    """(keys, kept items in order, used): an item that does not fit is skipped and the next one tried.
+def fit_flags(items: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
+    """Each item with ``fits`` and the cost ``used`` up to it: an item that does not fit is skipped and the next one tried."""
+
+    def add(state: tuple, row: tuple) -> tuple:
+        fits = row[0] is not None and state[1] + row[0] <= budget
+        return fits, state[1] + row[0] if fits else state[1]
 
-    One fold over the sorted items of a key.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("_c"), F.col(item).alias("_i"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{items.schema[item].dataType.simpleString()}>").alias("kept"))
+    told = items.withColumn("_c", F.col(cost).cast("long"))
+    return fold(told, keys, order, ["_c"], lambda key: (False, 0), add, [T.StructField("fits", T.BooleanType()), T.StructField("used", T.LongType())]).drop("_c")
 
-    def add(a: Column, r: Column) -> Column:
-        fits = a["used"] + r["_c"] <= budget
-        return F.struct(F.when(fits, a["used"] + r["_c"]).otherwise(a["used"]).alias("used"), F.when(fits, F.array_append(a["kept"], r["_i"])).otherwise(a["kept"]).alias("kept"))
 
-    return items.groupBy(*keys).agg(F.aggregate(rows, start, add).alias("f")).select(*keys, F.col("f.kept").alias("kept"), F.col("f.used").alias("used"))
+def greedy_fit(items: DataFrame, keys: list[str], order: list[str], cost: str, item: str, budget: int) -> DataFrame:
+    """(keys, kept items in order, used); only what fits the budget goes into an array."""
+    kept = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct(*order, F.col(item).alias("_i")))))
+    told = fit_flags(items.select(*dict.fromkeys([*keys, *order, cost, item])), keys, order, cost, budget)
+    return told.groupBy(*keys).agg(F.transform(kept, lambda r: r["_i"]).alias("kept"), F.max("used").alias("used"))
 
 
 def entity_lines(entities: DataFrame, budget: int) -> DataFrame:

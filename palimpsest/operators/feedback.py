@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
-from .aggregates import nth
+from .aggregates import fold, nth
 
 SIGNALS = ("accept", "reject", "behavioural_accept")
 WINDOW_SECONDS, NEEDED, DECAY, ARCHIVE_AT = 600, 3, 0.1, 0.15
@@ -43,18 +44,31 @@ def promote(evidence: DataFrame, needed: int = NEEDED) -> DataFrame:
 
 def reinforce_preferences(prefs: DataFrame, events: DataFrame, rate: float = DECAY, threshold: float = ARCHIVE_AT) -> DataFrame:
     """Each preference after its events in order, by one fold; both numbers stay within 0 and 1."""
-    rows = events.groupBy("pref_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "signal"))).alias("_e"))
-    told = prefs.join(rows, "pref_id", "left").withColumn("_e", F.coalesce("_e", F.array().cast("array<struct<event_id:bigint,signal:string>>")))
-    start = F.struct(F.col("confidence").alias("c"), F.col("relevance").alias("r"))
-    hold = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-
-    def step(a: Column, e: Column) -> Column:
-        s = e["signal"]
-        c = F.when(s == "accept", a["c"] + 0.1).when(s == "behavioural_accept", a["c"] + 0.05).when(s == "reject", a["c"] * math.exp(-rate)).otherwise(a["c"])
-        r = F.when(s == "accept", F.lit(1.0)).when(s == "reject", a["r"] * math.exp(-rate)).otherwise(a["r"])
-        return F.struct(hold(c).alias("c"), hold(r).alias("r"))
-
-    told = told.withColumn("_s", F.aggregate("_e", start, step))
+    fade = math.exp(-rate)
+    columns = ["pref_id", "_c0", "_r0"]
+    firsts = prefs.select("pref_id", F.col("confidence").cast("double").alias("_c0"), F.col("relevance").cast("double").alias("_r0")).distinct()
+    rows = events.select("pref_id", "event_id", "signal").join(firsts, "pref_id")
+
+    def hold(x: float | None) -> float:
+        return 0.0 if x is None else 1.0 if x != x else min(1.0, max(0.0, x))
+
+    def step(state: tuple, row: tuple) -> tuple:
+        c, r, n = state
+        if row[0] == "accept":
+            c, r = None if c is None else c + 0.1, 1.0
+        elif row[0] == "behavioural_accept":
+            c = None if c is None else c + 0.05
+        elif row[0] == "reject":
+            c, r = None if c is None else c * fade, None if r is None else r * fade
+        return hold(c), hold(r), n + 1
+
+    fields = [T.StructField("_c", T.DoubleType()), T.StructField("_r", T.DoubleType()), T.StructField("_k", T.LongType())]
+    told = fold(rows, columns, ["event_id", "signal"], ["signal"], lambda key: (key[1], key[2], 0), step, fields)
+    last = told.groupBy(*columns).agg(F.max("_k").alias("_k"), F.max_by("_c", "_k").alias("_c"), F.max_by("_r", "_k").alias("_r"))
+    same = (prefs["pref_id"] == last["pref_id"]) & prefs["confidence"].cast("double").eqNullSafe(last["_c0"]) & prefs["relevance"].cast("double").eqNullSafe(last["_r0"])
+    told = prefs.join(last.select(*columns, "_k", "_c", "_r"), same, "left")
+    held = F.col("_k").isNotNull()
+    told = told.select(prefs["pref_id"], prefs["lifecycle"], F.struct(F.when(held, F.col("_c")).otherwise(prefs["confidence"]).alias("c"), F.when(held, F.col("_r")).otherwise(prefs["relevance"]).alias("r")).alias("_s"))
     life = F.when(F.col("_s.r") <= threshold, "archived").otherwise(F.col("lifecycle"))
     return told.select("pref_id", F.col("_s.c").alias("confidence"), F.col("_s.r").alias("relevance"), life.alias("lifecycle"))
 

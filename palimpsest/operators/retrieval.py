@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .aggregates import nth
-from .consistency import greedy_fit
+from .consistency import fit_flags
 from .graph import cocitation
 
 RRF = 60
@@ -173,10 +173,9 @@ def allocate(window: Column, reserve: int, system: Column, user: Column) -> dict
 
 
 def flag_fit(fused: DataFrame, budget: int) -> DataFrame:
-    """Fused items with their tokens, whether they fit when taken by score, and the tokens used by the query."""
+    """Fused items with their tokens, whether they fit when taken by score, and the tokens that the query has used so far."""
     told = fused.withColumn("tokens", X.count_tokens(F.col("fact")))
-    kept = greedy_fit(told, ["query_id"], ["position"], "tokens", "item", budget)
-    return told.join(kept, "query_id").withColumn("fits", F.array_contains("kept", F.col("item"))).drop("kept")
+    return fit_flags(told, ["query_id"], ["position"], "tokens", budget)
 
 
 def recall(queries: DataFrame, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:

@@ -1,9 +1,13 @@
 """Manuscript files, streams over several batches, and what must hold between operators."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.operators import consistency as C
+from palimpsest.operators import feedback as P
 from palimpsest.operators import lifecycle as L
 from palimpsest.operators import resolve as R
 from palimpsest.operators import retrieval as V
@@ -137,3 +141,26 @@ def test_whole_tables_and_every_twentieth_part(views):
     linked = {x for r in edges.select("src", "dst").collect() for x in r if x % 20 == 0}
     assert {r.seed for r in RQ.g2(views).collect()} == {r.seed for r in RQ.g3(views).collect()} == {r.focal for r in RQ.g5(views).collect()} == linked
     assert {r.query_id for r in RQ.g4(views).collect()} == {x // 100 for x in linked}
+
+
+def test_folds_keep_no_array_of_a_key(spark):
+    """One key with very many rows: the state alone goes from batch to batch, and results are those of a plain loop."""
+    n = 60_000
+    items = spark.range(n).selectExpr("id % 2 AS k", "id AS place", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 11 END AS cost")
+    got = C.fit_flags(items, ["k"], ["place"], "cost", 5000)
+    used, fits = [0, 0], 0
+    for i in range(n):
+        if i % 7 and used[i % 2] + i % 11 <= 5000:
+            used[i % 2], fits = used[i % 2] + i % 11, fits + 1
+    assert {r.k: r.used for r in got.groupBy("k").agg(F.max("used").alias("used")).collect()} == dict(enumerate(used))
+    assert got.where("fits").count() == fits
+    events = spark.range(n).selectExpr("1L AS pref_id", "id AS event_id", "element_at(array('accept', 'reject', 'reject', 'other'), CAST(id % 4 AS INT) + 1) AS signal")
+    prefs = spark.createDataFrame([(1, 0.2, 0.3, "active"), (2, 0.4, 0.1, "active")], "pref_id long, confidence double, relevance double, lifecycle string")
+    told = P.reinforce_preferences(prefs, events)
+    c, r = 0.2, 0.3
+    for i in range(n):
+        c, r = (min(1.0, c + 0.1), 1.0) if i % 4 == 0 else (c * math.exp(-0.1), r * math.exp(-0.1)) if i % 4 < 3 else (c, r)
+    assert {x.pref_id: (round(x.confidence, 9), round(x.relevance, 9), x.lifecycle) for x in told.collect()} == {1: (round(c, 9), round(r, 9), "active"), 2: (0.4, 0.1, "archived")}
+    fused = items.selectExpr("k AS query_id", "CAST(place AS STRING) AS item", "place AS position", "'a' AS fact")
+    for df in (told, got, V.flag_fit(fused, 2000)):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -56,14 +56,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) of every row, fp a signed 64-bit number; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """(kept columns, fp) of every row, fp a signed 64-bit number; null and empty texts have 0."""
 
     def compute(given: pa.Table) -> list:
         made = np.array([fingerprint(shingle_hashes(x)) for x in utf8(given.column(0))], np.uint64)
         return [pa.array(made.view(np.int64))]
 
-    return append(docs, [T.StructField("fp", T.LongType())], compute, need=[text], keep=[key])
+    return append(docs, [T.StructField("fp", T.LongType())], compute, need=[text], keep=keep)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,28 +197,40 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_search, "u long, v long")
 
 
+def classes(values: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``values``, one for each fingerprint fp, with the smallest fingerprint reachable over links (top)."""
+    found = components(links(values, radius)).withColumnsRenamed({"vertex": "fp", "component": "top"})
+    return cut(values.join(found.hint("merge"), "fp", "left").withColumn("top", F.coalesce("top", "fp")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(key, fp, component_id) of every row; the component is the smallest key reachable over links.
 
     A null key never names a component unless all its members are null. Repeated rows each get a row.
     """
-    docs = cut(fingerprints(docs, key, text))
-    least = docs.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(least, radius)).withColumnsRenamed({"vertex": "fp", "component": "top"})
-    classes = least.join(found.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("top", "fp").alias("top"))
-    classes = cut(classes)
-    names = classes.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = classes.join(names.hint("merge"), "top").select("fp", "component_id")
+    docs = cut(fingerprints(docs, [key], text))
+    told = classes(docs.groupBy("fp").agg(F.min(key).alias("least")), radius)
+    names = told.groupBy("top").agg(F.min("least").alias("component_id"))
+    named = told.join(names.hint("merge"), "top").select("fp", "component_id")
     return docs.join(named.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest key; rows without a key go."""
-    found = cut(near_duplicates(docs, key, text))
-    first = found.where(F.col(key) == F.col("component_id"))
-    left = docs.join(first.select(key).distinct().hint("merge"), key, "left_semi").select(*docs.columns)
-    # only if a key is given twice must one of its rows be chosen
-    return left.dropDuplicates([key]) if first.count() > first.select(key).distinct().count() else left
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One document of each group of near duplicates, the least by key, fingerprint and digests of the whole row.
+
+    Documents are chosen by row: two texts under one key both stay if they lead different groups. Groups without any key go.
+    """
+    cells = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # Spark hashes no maps
+    digests = {f"_row_{n}": F.xxhash64(F.lit(n), *[c.isNull() for c in cells], *cells) for n in (1, 2)}
+    rows = cut(fingerprints(docs.select(F.col(f"`{key}`").alias("_row_key"), F.col(f"`{text}`").alias("_row_text"), *[d.alias(n) for n, d in digests.items()]), ["_row_key", *digests], "_row_text"))
+    # a digest decides the fingerprint; a null key comes last
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("_row_key").isNull().alias("none"), "_row_key", "fp", *digests)).alias("r"))
+    first = cut(classes(best, radius).groupBy("top").agg(F.min("r").alias("r")).where("NOT r.none").select(*[F.col(f"r.{n}") for n in digests]))
+    same = list(digests)
+    left = docs.withColumns(digests).join(first.hint("merge"), same, "left_semi")
+    # only if a whole row is given twice must one of its copies be chosen
+    repeated = rows.join(first.hint("merge"), same, "left_semi").count() > first.count()
+    return (left.dropDuplicates(same) if repeated else left).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

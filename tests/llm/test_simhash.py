@@ -75,6 +75,16 @@ def test_nulls_empties_ties_and_clashing_columns(spark):
     assert op.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_documents_are_kept_by_row_where_a_key_is_shared(spark):
+    one, two, three = ("".join(f"{w}{i} " for i in range(60)) for w in ("north", "river", "stone"))
+    rows = [(1, one, "a"), (5, two, "a"), (5, three, "a"), (5, one, "a"), (7, three, "a"), (8, two, "a"), (5, two, "a"), (None, one, "a"), (5, two, "b"), (5, two, None)]
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.text, r.lang) for r in op.keep_first(spark.createDataFrame(order, "doc_id long, text string, lang string")).collect()]
+        assert len(got) == 3 and {(k, t) for k, t, _ in got} == {(1, one), (5, two), (5, three)}
+        assert order is rows or sorted(got, key=str) == before
+        before = sorted(got, key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

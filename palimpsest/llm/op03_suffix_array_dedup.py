@@ -8,9 +8,10 @@ phrases and the parse after them meet in tasks by the bytes after the trigger. T
 the phrases and that of the parse, with their common-prefix lengths, combine into the order of the
 corpus: neighbours of equal phrase suffix whose parse agrees for the rest are repeats.
 
-Documents are dealt into blocks once. Blocks and tasks exchange fragments of digests, combined in each block,
-and get bits back; a group of very many different surroundings is settled window by window instead, by digest,
-so that no task gets a share that grows with one passage.
+Documents are dealt into blocks once. Blocks exchange digests through the levels of ``exchange``, combined in each
+block, and get answers back; phrases with their surroundings go to the task of their passage. A group of very many
+different surroundings is settled window by window instead, by digest, so that no task gets a share that grows with
+one passage. Where a digest decides, 96 bits of two digests and the bits that number the ranges have to agree.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, table, utf8
-from .op05_substring_dedup import FRAGMENT, _fragments, _pieces
-from .words import _BYTE, _of_bytes, mix
+from .exchange import FRAGMENT, Exchange, Kind, answers, fragments, pieces
+from .words import eights, pair
 
 LENGTH = 200
 #: Bytes of the rolling hash, and places of which the least hash is a trigger.
@@ -40,6 +41,23 @@ SEEN, WHOLE, PASSAGE, CONTEXT, WINDOWS = range(5)
 NOTHING, ALL, OPEN, SAMPLE = range(4)
 
 
+#: Odd multipliers and shifts of the two digests of byte strings.
+LANES = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(29)), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)))
+
+
+def digests_of(eight: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, seed: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of byte strings of ``size`` bytes, 8 at least and ``most`` at most, taken 8 bytes at a time; the last 8 overlap."""
+    seed = np.zeros(len(start), np.uint64) + np.asarray(seed, np.uint64)
+    held = [pair(seed, size.astype(np.uint64), lane) for lane in (3, 4)]
+    last = size - 8
+    for k in range(0, most, 8):
+        word = eight[start + np.minimum(k, last)]
+        for i, (odd, shift) in enumerate(LANES):
+            held[i] = (held[i] ^ word) * odd
+            held[i] ^= held[i] >> shift
+    return pair(held[0], seed, 5), pair(held[1], seed, 6)
+
+
 class Phrases:
     """Runs of string starts that share a trigger, in a block of texts joined to one."""
 
@@ -47,24 +65,31 @@ class Phrases:
         self.n = np.fromiter(map(len, texts), np.int64, len(texts))
         self.base = np.concatenate([[0], np.cumsum(self.n)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.eight = eights(self.data)
         found = [self._of(int(self.base[a]), int(self.base[b]), self.base[a:b], self.n[a:b]) for a, b in chunks(texts)]
-        self.low, self.high, self.trigger, self.passage, self.whole = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-        self.entry, self.first, self.of_entry, count = np.unique(self.whole, return_index=True, return_inverse=True, return_counts=True)
-        self.twice = count > 1
+        self.low, self.high, self.trigger = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in range(3))
+        self.passage = digests_of(self.eight, self.trigger, np.full(len(self.low), AFTER), AFTER)[0]
+        # whole surroundings: where the trigger lies in them counts too
+        shape = ((self.trigger - self.low) * 256 + (self.trigger - self.high)).astype(np.uint64)
+        whole, other = digests_of(self.eight, self.low, self.high + LENGTH - self.low, LENGTH + PLACES, shape)
+        order = np.lexsort((other, whole))
+        new = np.ones(len(order), bool)
+        new[1:] = (whole[order][1:] != whole[order][:-1]) | (other[order][1:] != other[order][:-1])
+        self.first = order[new]
+        self.of_entry = np.empty(len(order), np.int64)
+        self.of_entry[order] = np.cumsum(new) - 1
+        self.entry, self.other = whole[self.first], other[self.first]
+        self.count = np.diff(np.flatnonzero(new), append=len(order))
         self.entry_passage = self.passage[self.first]
 
     def _of(self, start: int, end: int, base: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        data = self.data[start:end]
-        up, down = _of_bytes.get(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
-        digest = lambda a, b: (sums[b] - sums[a]) * down[a]
+        eight = self.eight[start:end]
         room = np.maximum(n - LENGTH + 1, 0)
         ends = np.cumsum(room)
         x = np.repeat(base - start - (ends - room), room) + np.arange(int(ends[-1]) if len(ends) else 0)
         if not len(x):
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-        rolled = mix((sums[ROLL:] - sums[:-ROLL]) * down[: len(data) + 1 - ROLL]) >> np.uint64(32)
+            return (np.zeros(0, np.int64),) * 3
+        rolled = pair(eight[:-8], eight[8:])[: end - start - ROLL + 1] >> np.uint64(32)  # of the 16 bytes from each place
         least = (rolled << np.uint64(32)) | np.arange(len(rolled), dtype=np.uint64)
         width = 1
         while 2 * width <= PLACES:
@@ -75,64 +100,15 @@ class Phrases:
         new = np.flatnonzero(np.diff(trigger, prepend=-1))
         low, trigger = x[new], trigger[new]
         high = x[np.append(new[1:], len(x)) - 1]
-        passage = mix(digest(trigger, trigger + AFTER), 3)
-        shape = ((trigger - low) * 256 + (trigger - high)).astype(np.uint64)
-        whole = mix(mix(digest(low, high + LENGTH), 4) + shape * np.uint64(0x9E3779B97F4A7C15), 5) ^ passage
-        return low + start, high + start, trigger + start, passage, whole
+        return low + start, high + start, trigger + start
 
     def windows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """String starts of some entries, their digest, and the passage of each."""
+        """String starts of some entries, and two digests of each."""
         run = self.first[entries]
         size = self.high[run] - self.low[run] + 1
         ends = np.cumsum(size)
         x = np.repeat(self.low[run] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        up, _ = _of_bytes.get(LENGTH)
-        digest = np.zeros(len(x), np.uint64)
-        for a in range(0, len(x), 1 << 13):
-            rows = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[x[a : a + (1 << 13)]]
-            digest[a : a + (1 << 13)] = (_BYTE[rows] * up).sum(axis=1, dtype=np.uint64)
-        return x, mix(digest, 6), np.repeat(self.entry_passage[entries], size)
-
-
-def _answers(given: pa.Table) -> dict[int, bytes]:
-    return dict(zip(given.column("range").to_pylist(), given.column("data").to_pylist(), strict=True))
-
-
-def _send(kind: int, number: int, key: np.ndarray, bits: int, *columns: np.ndarray) -> list[tuple]:
-    """Fragments of ascending 64-bit keys: the 32 bits after the task's own, and columns."""
-    rows = []
-    for piece, at in _pieces(key, 64 - bits):
-        low = (key[at] >> np.uint64(32 - bits)).astype(np.uint32)
-        rows.append((kind << 40 | piece, number, len(low).to_bytes(4, "little") + low.tobytes() + b"".join(c[at].tobytes() for c in columns)))
-    return rows
-
-
-def _column(rows: list[tuple], sizes: list[int], at: int, kind: str) -> np.ndarray:
-    """A column of all fragments, ``at`` bytes an entry into them."""
-    return np.concatenate([np.frombuffer(d, kind, n, 4 + n * at) for (_, _, d), n in zip(rows, sizes, strict=True)])
-
-
-def _split(flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    return np.split(flags, np.cumsum(sizes)[:-1])
-
-
-def _told(said: dict[int, bytes], kind: int, key: np.ndarray, bits: int) -> np.ndarray:
-    """The byte that a task has answered for each of ascending keys."""
-    out = np.zeros(len(key), np.uint8)
-    for piece, at in _pieces(key, 64 - bits):
-        out[at] = np.frombuffer(said[kind << 40 | piece], np.uint8)
-    return out
-
-
-def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group number of each row, and the rows' order by group."""
-    order = np.lexsort(columns)
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new)
-    return group, order
+        return x, *digests_of(self.eight, x, np.full(len(x), LENGTH), LENGTH)
 
 
 def common_lengths(rows: np.ndarray) -> np.ndarray:
@@ -173,154 +149,150 @@ def repeats(phrases: list[bytes], parse: list[bytes], low: np.ndarray, high: np.
     return out
 
 
+def contexts(sent: list[bytes]) -> list[bytes]:
+    """Which strings of phrases in their surroundings repeat, of all phrases of a range of passages."""
+    phrases, parse, low, high, sizes = [], [], [], [], []
+    for data in sent:
+        n = int.from_bytes(data[:4], "little")
+        a_low, a_high = np.frombuffer(data, np.uint8, n, 4), np.frombuffer(data, np.uint8, n, 4 + n)
+        at = 4 + 2 * n
+        for lo, hi in zip(a_low.tolist(), a_high.tolist(), strict=True):
+            phrases.append(data[at : at + hi])
+            parse.append(data[at + hi : at + hi + LENGTH - lo])
+            at += hi + LENGTH - lo
+        low.append(a_low)
+        high.append(a_high)
+        sizes.append(n)
+    found = repeats(phrases, parse, np.concatenate(low), np.concatenate(high))
+    return [np.packbits(x, axis=1).tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])]
+
+
 def without_repeats(docs: DataFrame, key: str, text: str, fields: list[T.StructField], result, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """``result(table, texts, removed)`` of each block, removed the flags of each text's bytes (None: no byte)."""
+    """``result(table, texts, removed)`` of each block, removed the flags of each text's bytes (None: no byte).
+
+    Rows are dealt by key and text, so rows without a key, or of one key, spread like others.
+    """
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
     bits = max(1, math.ceil(math.log2(max(2, total / (PLACES / 2) / TASK_KEYS))))
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(F.col(f"`{key}`"), F.octet_length(F.col(f"`{text}`"))), F.lit(blocks)))
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(blocks)))
+    again = lambda n: n > 1
+    lead = lambda told, first, own, total: np.where(first, told, np.minimum(told, 1))
+    kinds = {
+        SEEN: Kind(bits + 32, bits, ("count",), again),
+        WHOLE: Kind(bits + 32, bits, ("count",), lambda n: np.where(n > 1, 2, 0), lead, second=True, binary=False),
+        PASSAGE: Kind(bits + 32, bits, ("sum", "max"), lambda n, some: np.where(some > 0, np.where(n > hot, 2, 1), 0), binary=False),
+        WINDOWS: Kind(bits + 32, bits, ("count",), again, second=True),
+    }
+    ex = Exchange(kinds, blocks, {CONTEXT: contexts})
 
     def block_of(given: pa.Table) -> tuple[int, list[bytes], Phrases]:
         texts = utf8(given.column(text))
         return given.column("_block")[0].as_py(), texts, Phrases(texts)
 
+    def short(x: np.ndarray) -> np.ndarray:
+        return x >> np.uint64(32 - bits)
+
     def passages(block: Phrases, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different passages of some entries, the passage of each, entries of each."""
-        return np.unique(block.entry_passage[entries], return_inverse=True, return_counts=True)
-
-    def short(x: np.ndarray) -> np.ndarray:
-        return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return np.unique(short(block.entry_passage[entries]), return_inverse=True, return_counts=True)
 
     def sketch(given: pa.Table) -> pa.Table:
         number, _, block = block_of(given)
-        seen, count = np.unique(block.passage, return_counts=True)
-        return _fragments(_send(SEEN, number, seen, bits, (count > 1).astype(np.uint8)) + _send(WHOLE, number, block.entry, bits, short(block.entry_passage), block.twice.astype(np.uint8)))
-
-    def settle(given: pa.Table) -> pa.Table:
-        """Tasks of every round; each has fragments of one kind."""
-        rows = list(zip(*(given.column(c).to_pylist() for c in ("range", "block", "data")), strict=True))
-        if not rows or rows[0][0] < 0:
-            return given
-        rows.sort(key=lambda r: r[1])
-        kind = rows[0][0] >> 40
-        sizes = [int.from_bytes(d[:4], "little") for _, _, d in rows]
-        if kind == CONTEXT:
-            return _fragments([(p, b, x) for (p, b, _), x in zip(rows, contexts([d for *_, d in rows]), strict=True)])
-        low = _column(rows, sizes, 0, "<u4")
-        if kind == SEEN:
-            group, _ = _groups(low)
-            told = np.bincount(group, weights=1 + _column(rows, sizes, 4, "u1").astype(np.int64))[group] > 1
-        elif kind == PASSAGE:
-            group, _ = _groups(low)
-            n = np.bincount(group, weights=_column(rows, sizes, 4, "<u4"))[group]
-            some = np.bincount(group, weights=_column(rows, sizes, 8, "u1"))[group] > 0
-            told = np.where(some, np.where(n > hot, 2, 1), 0)
-        else:
-            group, order = _groups(low, _column(rows, sizes, 4, "<u4"))
-            told = (np.bincount(group, weights=1 + _column(rows, sizes, 8, "u1").astype(np.int64))[group] > 1).astype(np.uint8)
-            lead = np.zeros(len(group), bool)
-            lead[order[np.flatnonzero(np.diff(group[order], prepend=-1))]] = True
-            told += told * lead
-        return _fragments([(p, b, x.tobytes()) for (p, b, _), x in zip(rows, _split(told.astype(np.uint8), sizes), strict=True)])
-
-    def contexts(sent: list[bytes]) -> list[bytes]:
-        phrases, parse, low, high, sizes = [], [], [], [], []
-        for data in sent:
-            n = int.from_bytes(data[:4], "little")
-            a_low, a_high = np.frombuffer(data, np.uint8, n, 4), np.frombuffer(data, np.uint8, n, 4 + n)
-            at = 4 + 2 * n
-            for lo, hi in zip(a_low.tolist(), a_high.tolist(), strict=True):
-                phrases.append(data[at : at + hi])
-                parse.append(data[at + hi : at + hi + LENGTH - lo])
-                at += hi + LENGTH - lo
-            low.append(a_low)
-            high.append(a_high)
-            sizes.append(n)
-        found = repeats(phrases, parse, np.concatenate(low), np.concatenate(high))
-        return [np.packbits(x, axis=1).tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])]
-
-    def states(block: Phrases, said: dict[int, bytes]) -> np.ndarray:
+        seen, count = np.unique(short(block.passage), return_counts=True)
+        return fragments(ex.send(SEEN, number, seen, count) + ex.send(WHOLE, number, short(block.entry), block.count, second=block.other))
+
+    def states(number: int, block: Phrases, said: dict[int, bytes]) -> np.ndarray:
         """Of each entry after the first round: nothing repeats, all, perhaps some, or all and it stands for its like."""
-        seen = np.unique(block.passage)
-        again = _told(said, SEEN, seen, bits)[np.searchsorted(seen, block.entry_passage)] > 0
-        whole = _told(said, WHOLE, block.entry, bits)
-        return np.where(whole == 2, SAMPLE, np.where(whole == 1, ALL, np.where(again, OPEN, NOTHING))).astype(np.uint8)
+        passage = short(block.entry_passage)
+        seen = np.unique(short(block.passage))
+        repeated = ex.told(said, SEEN, number, seen)[np.searchsorted(seen, passage)] > 0
+        whole = ex.told(said, WHOLE, number, short(block.entry))
+        return np.where(whole == 2, SAMPLE, np.where(whole == 1, ALL, np.where(repeated, OPEN, NOTHING))).astype(np.uint8)
 
     def ask(given: pa.Table, said: pa.Table) -> pa.Table:
         if not given.num_rows:
-            return _fragments([])
+            return fragments([])
         number, _, block = block_of(given)
-        state = states(block, _answers(said))
+        state = states(number, block, answers(said))
         entries = np.flatnonzero(state >= OPEN)
         passage, which, count = passages(block, entries)
         some = np.bincount(which, weights=state[entries] == OPEN, minlength=len(passage)) > 0
-        return _fragments([(-1 - number, number, state.tobytes()), *_send(PASSAGE, number, passage, bits, count.astype(np.uint32), some.astype(np.uint8))])
+        return fragments([(-1 - number, number, state.tobytes()), *ex.send(PASSAGE, number, passage, count, some.astype(np.int64))])
 
-    def chosen(block: Phrases, state: np.ndarray, said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def chosen(number: int, block: Phrases, state: np.ndarray, said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Entries to compare with their surroundings, by passage; and those to compare window by window."""
         entries = np.flatnonzero(state >= OPEN)
         passage, which, _ = passages(block, entries)
-        told = _told(said, PASSAGE, passage, bits)[which]
+        told = ex.told(said, PASSAGE, number, passage)[which]
         usual, many = entries[told == 1], entries[told == 2]
         return usual[np.lexsort((block.entry[usual], block.entry_passage[usual]))], many
 
     def compare(given: pa.Table, said: pa.Table) -> pa.Table:
         if not given.num_rows:
-            return _fragments([])
+            return fragments([])
         number, _, block = block_of(given)
-        said = _answers(said)
+        said = answers(said)
         state = np.frombuffer(said[-1 - number], np.uint8)
-        usual, many = chosen(block, state, said)
+        usual, many = chosen(number, block, state, said)
         pick = np.zeros(len(state), np.uint8)
         pick[usual], pick[many] = 1, 2
         rows = [(-1 - number, number, state.tobytes() + pick.tobytes())]  # the last round needs both
         data = block.data.tobytes()
-        for piece, at in _pieces(block.entry_passage[usual], 64 - bits):
+        for piece, at in pieces(block.entry_passage[usual], 64 - bits):
             run = block.first[usual[at]]
             low, high = block.trigger[run] - block.high[run], block.trigger[run] - block.low[run]
             texts = b"".join(data[a : b + LENGTH] for a, b in zip(block.low[run].tolist(), block.high[run].tolist(), strict=True))
-            rows.append((CONTEXT << 40 | piece, number, len(run).to_bytes(4, "little") + low.astype(np.uint8).tobytes() + high.astype(np.uint8).tobytes() + texts))
-        _, digest, passage = block.windows(many)
-        unique, first, count = np.unique(digest, return_index=True, return_counts=True)
-        rows += _send(WINDOWS, number, unique, bits, short(passage[first]), (count > 1).astype(np.uint8))
-        return _fragments(rows)
+            rows.append((CONTEXT << 58 | piece, number, len(run).to_bytes(4, "little") + low.astype(np.uint8).tobytes() + high.astype(np.uint8).tobytes() + texts))
+        _, different, other, _, count = _windows(block, many)
+        return fragments(rows + ex.send(WINDOWS, number, short(different), count, second=other))
 
     def finish(given: pa.Table, said: pa.Table) -> pa.Table:
         if not given.num_rows:
             return pa.table({f.name: [] for f in fields})
         number, texts, block = block_of(given)
-        said = _answers(said)
-        own = np.frombuffer(said[-1 - number], np.uint8).reshape(2, -1)
-        state, pick = own
+        said = answers(said)
+        state, pick = np.frombuffer(said[-1 - number], np.uint8).reshape(2, -1)
         gone = np.zeros(len(block.data) + 1, np.int32)
         every = np.isin(state, (ALL, SAMPLE))[block.of_entry] if len(block.of_entry) else np.zeros(0, bool)
         np.add.at(gone, block.low[every], 1)
         np.add.at(gone, block.high[every] + LENGTH, -1)
         usual = np.flatnonzero(pick == 1)
         usual = usual[np.lexsort((block.entry[usual], block.entry_passage[usual]))]
-        for piece, at in _pieces(block.entry_passage[usual], 64 - bits):
+        for piece, at in pieces(block.entry_passage[usual], 64 - bits):
             run = block.first[usual[at]]
-            hit = np.unpackbits(np.frombuffer(said[CONTEXT << 40 | piece], np.uint8).reshape(len(run), -1), axis=1)
+            hit = np.unpackbits(np.frombuffer(said[CONTEXT << 58 | piece], np.uint8).reshape(len(run), -1), axis=1)
             row, a = np.nonzero(hit)
             x = block.trigger[run[row]] - a
             np.add.at(gone, x, 1)
             np.add.at(gone, x + LENGTH, -1)
-        x, digest, _ = block.windows(np.flatnonzero(pick == 2))
-        unique, which = np.unique(digest, return_inverse=True)
-        x = x[_told(said, WINDOWS, unique, bits)[which] > 0]
+        x, different, _, which, _ = _windows(block, np.flatnonzero(pick == 2))
+        x = x[ex.told(said, WINDOWS, number, short(different))[which] > 0]
         np.add.at(gone, x, 1)
         np.add.at(gone, x + LENGTH, -1)
-        flags = np.cumsum(gone[:-1]) > 0
-        removed: list = [flags[a:b] if flags[a:b].any() else None for a, b in zip(block.base, block.base[1:], strict=False)]
+        inside = np.cumsum(gone[:-1]) > 0
+        removed: list = [inside[a:b] if inside[a:b].any() else None for a, b in zip(block.base, block.base[1:], strict=False)]
         return result(given, texts, removed)
 
     by_block = dealt.groupBy("_block")
-    told = by_block.applyInArrow(sketch, FRAGMENT).groupBy("range").applyInArrow(settle, FRAGMENT)
+    told = ex.settle(by_block.applyInArrow(sketch, FRAGMENT))
     for step in (ask, compare):
-        told = by_block.cogroup(told.groupBy("block")).applyInArrow(step, FRAGMENT).groupBy("range").applyInArrow(settle, FRAGMENT)
+        told = ex.settle(by_block.cogroup(told.groupBy("block")).applyInArrow(step, FRAGMENT))
     return by_block.cogroup(told.groupBy("block")).applyInArrow(finish, T.StructType(fields))
 
 
+def _windows(block: Phrases, entries: np.ndarray) -> tuple[np.ndarray, ...]:
+    """String starts of some entries; the two digests of the different strings, the string of each start, starts of each string."""
+    x, digest, other = block.windows(entries)
+    order = np.lexsort((other, digest))
+    new = np.ones(len(order), bool)
+    new[1:] = (digest[order][1:] != digest[order][:-1]) | (other[order][1:] != other[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return x, digest[first], other[first], which, np.diff(np.flatnonzero(new), append=len(order))
+
+
 def _kept(text: bytes, removed: np.ndarray | None) -> bytes:
     return text if removed is None else np.frombuffer(text, np.uint8)[~removed].tobytes()
 

@@ -1,7 +1,12 @@
-"""Words of many texts at once, as numpy arrays: where they are, and a 64-bit hash of each."""
+"""Words of many texts at once, as numpy arrays: where they are, and 128 bits that stand for the bytes of each.
+
+Words of up to 15 bytes stand for themselves: their bytes and length fill the 128 bits, so two of them are equal
+exactly if these are. A longer word has 120 bits of its BLAKE2b digest and a mark that no short word has.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,29 +17,11 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALPHANUMERIC = np.ones(256, bool)
 NOT_ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
-_BASE = 0x9E3779B97F4A7C15
+#: Bytes of the longest word that stands for itself; the mark of a digest, where such a word has its length.
+SHORT, DIGEST = 15, np.uint64(0xFF << 56)
 _STEP = 0xD1342543DE82EF95
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64))])[:n]
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, longer as longer texts come."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 2**64), powers(base, 0), powers(base, 0)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = powers(self.base, n), powers(self.inverse, n)
-        return self.up[:n], self.down[:n]
-
-
-_of_bytes, _of_words = _Powers(_BASE), _Powers(_STEP)
+#: Masks of the lowest n bytes of a number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -45,46 +32,80 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit digest of two numbers in order: one to one in b for each a."""
+    return mix(mix(a, seed) + b, seed + 1)
+
+
+def eights(data: bytes | np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number; beyond the end come zeros."""
+    padded = np.concatenate([np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data, np.zeros(16, np.uint8)])
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+
 @dataclass
 class Words:
-    """Words of the joined texts: byte ranges, the text each is in, a hash of its bytes."""
+    """Words of the joined texts: byte ranges, the text each is in, the two halves of the number that stands for each."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
-    hash: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     first: np.ndarray  # of each text, and one more: number of its first word
     base: np.ndarray  # of each text: where its bytes begin
 
+    @property
+    def hash(self) -> np.ndarray:
+        """A 64-bit digest of each word."""
+        return pair(self.low, self.high)
+
 
 def words_of(texts: list[bytes], between: np.ndarray, fold: bool = False) -> Words:
     """Words of the texts, which never cross from one text to the next; ``fold`` lower-cases A to Z."""
     joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined.lower() if fold else joined, np.uint8)
+    joined = joined.lower() if fold else joined
+    data = np.frombuffer(joined, np.uint8)
     inside = ~between[data]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     base = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
-    up, down = _of_bytes.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * down[start])
+    size, at = end - start, eights(data)
+    low = at[start] & _LOW[np.minimum(size, 8)]
+    high = at[np.minimum(start + 8, len(data))] & _LOW[np.clip(size - 8, 0, 7)]
+    high |= size.astype(np.uint64) << np.uint64(56)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(joined[start[i] : end[i]], digest_size=16).digest()
+        low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little") | int(DIGEST)
     first = np.searchsorted(start, base)
     text = np.repeat(np.arange(len(texts)), np.diff(first))
-    return Words(data, start, end, text, hashed, first, base[:-1])
+    return Words(data, start, end, text, low, high, first, base[:-1])
+
 
+def windows_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of ``size`` consecutive words of one text start, and two 64-bit digests of each word sequence.
 
-def windows_of(hashes: np.ndarray, text: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows of ``size`` consecutive words of one text start, and a hash of each word sequence."""
-    n = len(hashes) - size + 1
+    Digests of runs of 1, 2, 4, ... words are made from those of half the length, and joined to the wanted one.
+    """
+    n = len(words.text) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = _of_words.get(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum((mix(hashes, seed) if seed else hashes) * up[:-1], out=sums[1:])
-    at = np.flatnonzero(text[:n] == text[size - 1 :])
-    return at, mix((sums[at + size] - sums[at]) * down[at], seed + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(words.text[:n] == words.text[size - 1 :])
+    out = []
+    for lane in (1, 2):
+        run = pair(words.low, words.high, 10 * lane) if lane == 1 else pair(words.high, words.low, 10 * lane)
+        whole, done, length = None, 0, 1
+        while True:
+            if size & length:
+                whole = run[:n] if whole is None else pair(whole, run[done : done + n], 100 * lane + length)
+                done += length
+            if 2 * length > size:
+                break
+            run = pair(run[:-length], run[length:], 200 * lane + length)
+            length *= 2
+        out.append(whole[at])
+    return at, *out
 
 
 def covered(starts: np.ndarray, size: np.ndarray | int, n: int) -> np.ndarray:

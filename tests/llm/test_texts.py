@@ -163,3 +163,54 @@ def test_sql_of_the_corpus_queries(spark):
         columns = [d[0] for d in want.description]
         assert sorted(columns) == sorted(df.columns)
         assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def brute_longest(words, items):
+    """Longest run of words that a text shares with any item."""
+    return max((k for it in items for i in range(len(words)) for j in range(len(it)) for k in [next((n for n in range(min(len(words) - i, len(it) - j)) if words[i + n] != it[j + n]), min(len(words) - i, len(it) - j))]), default=0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_suffix_search_against_brute_force(spark, seed, block_bytes):
+    rng = random.Random(seed)
+    some = lambda k, n=6: [rng.choice("abcdefghij"[:n]) for _ in range(k)]
+    items = [(i, some(rng.randrange(30), 3 + i % 4)) for i in range(8)] + [(None, some(20)), (7, some(14)), (9, ["z"] * 40)]
+    texts = [some(rng.randrange(60), 8) + (items[rng.randrange(len(items))][1][rng.randrange(5) :] if rng.random() < 0.6 else []) + some(5) for _ in range(25)] + [[], ["z"] * 300, ["a"]]
+    docs = spark.createDataFrame([(i, " ".join(t) if t else None) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    if block_bytes == 1:
+        bench = bench.coalesce(1)
+        items, bench = items[::4], spark.createDataFrame([(i, " ".join(t)) for i, t in items[::4]], "item_id long, text string")
+    got = {r.doc_id: r for r in op2.matches(docs, bench, block_bytes=block_bytes).collect()}
+    best = defaultdict(int)
+    for d, t in enumerate(texts):
+        hit, names = set(), set()
+        for i, it in items:
+            size = min(13, len(it))
+            wins = {tuple(it[k : k + size]) for k in range(len(it) - size + 1)} if size else set()
+            at = [k for k in range(len(t) - size + 1) if tuple(t[k : k + size]) in wins] if size else []
+            hit |= {k + n for k in at for n in range(size)}
+            names |= {str(i)} if at and i is not None else set()
+            best[i] = max(best[i], brute_longest(t, [it]))
+        r = got[d]
+        assert (r.n_words, r.n_hit, r["items"]) == (len(t), len(hit), sorted(names))
+        assert {k for s in r.spans for k in range(s.start, s.end)} == hit
+        assert r.longest == brute_longest(t, [it for _, it in items])
+        if m := r.longest_match if r.longest else None:
+            run = t[m.start : m.start + m.words]
+            assert any(str(i) == (m["item"] or "None") and it[m.item_start : m.item_start + m.words] == run for i, it in items)
+    found = {r.item_id: r for r in op2.longest_matches(docs, bench, block_bytes=block_bytes).collect()}
+    assert {k: r.words for k, r in found.items()} == {None if i is None else str(i): n for i, n in best.items() if n}
+    for k, r in found.items():
+        run = texts[r.doc][r.start : r.start + r.words]
+        assert any((None if i is None else str(i)) == k and it[r.item_start : r.item_start + r.words] == run for i, it in items)
+
+
+def test_items_without_an_id_and_long_words_count(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, "short item"), (2, b), (3, a), (4, "x " * 2000000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "short item"), (1, a)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in op2.matches(docs, bench).collect()}
+    assert got == {1: (2, 2, []), 2: (1, 0, []), 3: (1, 1, ["1"]), 4: (2000000, 0, [])}

@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        context.setCheckpointDir(scratch_folder(spark))
     return df.checkpoint()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one in spark.checkpoint.dir; a temporary one only where all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="palimpsest-")
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes, each text whole."""
     start, held = 0, 0
@@ -79,6 +87,19 @@ def append(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.Tab
     return source.mapInArrow(run, schema)
 
 
+def sample(rows: DataFrame, key: str, value: str, n: int, each: int = 1 << 20, total: int = 32 << 20) -> DataFrame:
+    """(key, value) of the n keys with the smallest hashes, to fit a model on: at most ``total`` bytes, no value above ``each``.
+
+    Every key has one row, with the least of its values, however often it is given. Rows without key or value are left out.
+    """
+    known = rows.select(F.col(f"`{key}`").alias(key), F.col(f"`{value}`").alias(value)).where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    order = [F.xxhash64("_k"), F.col("_k")]
+    sizes = known.groupBy(F.col(key).alias("_k")).agg(F.max(F.octet_length(value).cast("long")).alias("_bytes")).where(F.col("_bytes") <= each)
+    # n rows at most from here on
+    first = sizes.orderBy(*order).limit(n).withColumn("_sum", F.sum("_bytes").over(Window.orderBy(*order))).where(F.col("_sum") <= total)
+    return known.join(F.broadcast(first.select("_k")), F.col(key) == F.col("_k")).groupBy(key).agg(F.min(value).alias(value))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
     """Place of a public vocabulary file; ``folder`` or PALIMPSEST_TOKENIZERS replaces the installed ones."""
     if folder := folder or os.environ.get("PALIMPSEST_TOKENIZERS"):

@@ -27,6 +27,8 @@ from .words import mix
 ORDER = 4
 #: Labelled documents of each language that the models learn from, smallest hashes first; whole texts.
 SAMPLE_DOCS = 400
+#: Bytes of these for a language, and of one text; languages that are learned, those with most documents first.
+SAMPLE_BYTES, EACH, LANGUAGES = 8 << 20, 1 << 20, 200
 #: One in so many of the sample is held back for calibration.
 HELD_BACK = 5
 #: How far above the calibration texts a text's cross-entropy may lie before it is rejected.
@@ -238,16 +240,22 @@ class Models:
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str, n: int) -> DataFrame:
-    """(lang, text, held): the n documents of each language with the smallest hashes, whole texts."""
-    place = F.xxhash64(F.col(key), F.lit("sample"))
-    ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, lang, place.alias("_h"))
-    # hashes are even, so about 3 n rows of a language lie below this bound, however many it has: only those are ranked
-    counts = ids.groupBy(lang).agg(F.count("*").alias("_c"))
-    low = ids.join(F.broadcast(counts), lang).where(F.col("_h") / F.lit(float(2**63)) < F.least(F.lit(1.0), 6.0 * n / F.col("_c") - 1))  # a row for each language
-    first = low.withColumn("_n", F.row_number().over(Window.partitionBy(lang).orderBy("_h", key))).where(F.col("_n") <= n)
-    chosen = first.select(F.col(key).alias("_k"), (F.col("_n") % HELD_BACK == 0).alias("held")).dropDuplicates(["_k"])
-    # n rows a language at most
-    return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "held")
+    """(lang, text, held): the n documents of each language with the smallest hashes, whole texts, one row for each id.
+
+    Rows without id, text or language are left out. Of an id given more than once the least language and text count.
+    """
+    place = F.xxhash64("_k", F.lit("sample"))
+    rows = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.octet_length(F.col(f"`{text}`")).cast("long").alias("_bytes"))
+    rows = rows.where(F.col("_k").isNotNull() & F.col("lang").isNotNull() & (F.col("_bytes") <= EACH)).withColumn("_h", place)
+    # a row for each of so many languages
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_k").alias("_c")).orderBy(F.desc("_c"), "lang").limit(LANGUAGES)
+    # hashes are even, so about 3 n ids of a language lie below this bound, however many it has: only those are ranked
+    low = rows.join(F.broadcast(counts), "lang").where(F.col("_h") / F.lit(float(2**63)) < F.least(F.lit(1.0), 6.0 * n / F.col("_c") - 1))
+    low = low.groupBy("_k", "_h").agg(F.min("lang").alias("lang"), F.max("_bytes").alias("_bytes"))
+    order = Window.partitionBy("lang").orderBy("_h", "_k")
+    first = low.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).withColumn("_sum", F.sum("_bytes").over(order)).where(F.col("_sum") <= SAMPLE_BYTES)
+    chosen = first.select("_k", "lang", (F.col("_n") % HELD_BACK == 0).alias("held"))  # n rows a language at most
+    return rows.join(F.broadcast(chosen), ["_k", "lang"]).groupBy("_k", "lang", "held").agg(F.min("text").alias("text")).select("lang", "text", "held")
 
 
 def _fit(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 SHARDS = 24
-#: Rows of one group are numbered in so many separate runs, so that no task gets a whole large group.
-SALTS = 1024
+#: Rows of one group are numbered in separate runs, so that no task gets a whole large group: one for so many rows of the table, within these bounds.
+RUN_ROWS, LEAST_RUNS, MOST_RUNS = 1 << 20, 16, 4096
 #: Stretches of the running size that the driver sees first, and pieces that one stretch is split in.
 STRETCHES, PIECES = 2048, 64
 
@@ -116,10 +116,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     table gives an empty result. Slots of a shard run from 0 without gaps.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(
+    # rows are numbered where they are read, so that even equal rows spread; the checkpoint keeps what was dealt
+    rows = cut(docs.select(
         F.col(f"`{key}`").alias(key), (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"),
-        F.md5(whole.cast("binary")).alias("g"), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(SALTS)).cast("int").alias("salt"),
-    )
+        F.md5(whole.cast("binary")).alias("g"), F.monotonically_increasing_id().alias("nth"),
+    ))
+    runs = max(LEAST_RUNS, min(MOST_RUNS, rows.count() // RUN_ROWS))
+    rows = rows.withColumn("salt", F.pmod("nth", F.lit(runs)).cast("int")).drop("nth")
     cells = rows.groupBy("g", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     order = Window.partitionBy("part").orderBy("g", "salt")
     cells = cells.withColumn("part", F.substring("g", 1, 3))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, chunks, table, utf8
+from .common import append, chunks, sample, table, utf8
 from .words import NOT_ALPHANUMERIC, SPACES, mix, words_of
 
 #: Width of the hashed word features; rated documents that are learned from (smallest hashes), whole texts.
@@ -121,12 +121,14 @@ def fit(first: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.nda
 def rated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", n: int = SAMPLE_DOCS) -> DataFrame:
     """(text, grade): rated documents of the smallest hashes. Toxic is grade 0, else low quality 1, else good 2.
 
-    Rows without a rating or text are left out; of several ratings of a document the lowest counts.
+    Rows without a rating or text are left out; of several ratings of a document the lowest counts, of several texts
+    the least. A document has one row, and all together have the bytes that ``sample`` allows.
     """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
     known = labels.select(F.col(key).alias("_k"), grade.alias("grade")).where("grade IS NOT NULL AND _k IS NOT NULL").groupBy("_k").agg(F.min("grade").alias("grade"))
-    some = known.orderBy(F.xxhash64("_k"), "_k").limit(n)
-    return docs.where(F.col(text).isNotNull()).join(F.broadcast(some), F.col(key) == F.col("_k")).select(F.col(text).alias("text"), "grade")  # n rows at most
+    some = known.orderBy(F.xxhash64("_k"), "_k").limit(n)  # n rows at most
+    texts = sample(docs.join(F.broadcast(some), F.col(key) == F.col("_k"), "left_semi"), key, text, n)
+    return texts.join(F.broadcast(some), F.col(key) == F.col("_k")).select(F.col(text).alias("text"), "grade")
 
 
 def train(docs: DataFrame, labels: DataFrame, grades: int = 3, **more) -> Ordinal:

@@ -2,12 +2,13 @@
 
 Nodes are block elements and the text blocks between them; each is content or not. A node's own potential is a
 weighted sum of its features, and parent-child potentials depend on the kind of the child. Sum-product messages go
-up the trees and down again, all pages of a batch level by level, and give the marginal of every text block.
+up the trees and down again, all pages of a batch level by level, and give the marginal of every node and edge.
 
-Weights are trained on labelled pages: those that mark their article themselves (`article`, `main` or
-`itemprop=articleBody`) label their blocks. In every second of them the marks are hidden from the features, so
-that text, links and places are learned too. Hints that no labelled page may show, such as sidebars or
-reader comments, start from prior weights.
+Weights and pair potentials are fitted together, by the gradient of the likelihood of labelled pages: what the
+messages expect less what the labels show. Labelled are pages that mark their article themselves (`article`, `main`
+or `itemprop=articleBody`) and hold nothing inside it that is named as something else: what lies in the mark is content.
+In part of them the marks are hidden from the features, in part all names, so that text, links and places are
+learned too. Hints that no labelled page may show, such as sidebars or reader comments, start from prior weights.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import html
 import pickle
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, table
+from .common import append, chunks, sample, table
 
 #: Pages that the model learns from, smallest hashes first; hashed features; gradient steps.
-SAMPLE_PAGES, WIDTH, STEPS, RATE, RIDGE = 2000, 1 << 12, 120, 0.2, 1e-3
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+SAMPLE_PAGES, WIDTH, STEPS, RATE, RIDGE = 2000, 1 << 12, 60, 0.3, 1e-4
+#: Elements nested deeper hang on the last one at this depth, as in browsers; their text stays.
+DEEPEST = 512
+#: A start or end tag. Quotes count after an equals sign only; an unclosed one is an ordinary character.
+TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+)>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -37,7 +42,10 @@ SILENT = {"script", "style", "noscript", "template", "title", "head", "iframe",
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+IN_HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
+OUT_OF_DRAWINGS = set("blockquote body center dd div dl dt embed h1 h2 h3 h4 h5 h6 head hr img li menu ol p pre table ul".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+CLOSABLE = {"p": 1, "li": 2, "dt": 4, "dd": 8, "tr": 16, "td": 32, "th": 64, "option": 128}
 HOLDERS = {"ul", "ol", "dl", "table", "tbody", "thead", "div", "section", "article", "main", "aside", "nav", "footer", "header", "body", "html", "form", "blockquote", "#root"}
 BOILER = set("nav navbar navigation menu footer header masthead sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent notice alert comment comments discussion reply replies respond form search share sharing social related recommended breadcrumb breadcrumbs subscribe newsletter signup popup modal overlay login widget pagination pager copyright disclaimer toolbar skip".split())
 CONTENT = set("article main content post entry story articlebody text body prose".split())
@@ -57,12 +65,18 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The tree of a page, however its tags are broken."""
+    """The tree of a page, however its tags are broken, in time that grows with its length.
+
+    A head ends at its end tag, at text, or at the first element that it cannot hold. A tag that never closes hides what follows it.
+    """
     page = Page([-1], [0], ["#root"], [set()], [None], [0.0])
     stack, held, links = [0], [], 0
+    # what is open: how often each tag, and of the tags that others close, those above the last holder (as bits)
+    open_tags, closable = Counter(), [0]
     text_len = [0, 0]
     at, size = 0, len(source)
     silent = 0
+    endless: set[str] = set()
 
     def flush() -> None:
         if held:
@@ -82,60 +96,92 @@ def parse(source: str) -> Page:
         page.linked.append(0.0)
         return len(page.tag) - 1
 
-    def leave(to: int) -> None:
+    def leave(tags: set[str]) -> None:
+        """Close elements up to the innermost of these tags, which is open."""
         nonlocal silent
         flush()
-        while len(stack) > to:
-            silent -= page.tag[stack.pop()] in SILENT
+        while True:
+            tag = page.tag[stack.pop()]
+            closable.pop()
+            open_tags[tag] -= 1
+            silent -= tag in SILENT
+            if tag in tags:
+                return
 
     def say(piece: str) -> None:
+        if open_tags["head"] and page.tag[stack[-1]] == "head" and not piece.isspace():
+            leave({"head"})
         held.append(piece)
         n = len(piece)
         text_len[0] += n
         text_len[1] += n if links else 0
 
+    def element(tag: str, attributes: str) -> None:
+        nonlocal silent, links
+        flush()
+        closes = CLOSES.get(tag, {"p"})
+        while closable[-1] & sum(CLOSABLE[c] for c in closes):
+            leave(closes)
+        names = {w for a in ATTRIBUTE.finditer(attributes) for w in NAME.findall((a[2] or a[3] or a[4] or "").lower())} if attributes else set()
+        made = add(tag, names, None)
+        links = 0
+        if len(stack) < DEEPEST:
+            stack.append(made)
+            open_tags[tag] += 1
+            closable.append(0 if tag in HOLDERS else closable[-1] | CLOSABLE.get(tag, 0))
+            silent += tag in SILENT
+
     while at < size:
-        m = TOKEN.search(source, at)
+        start = source.find("<", at)
+        if start < 0:
+            say(source[at:])
+            break
+        if start > at:
+            say(source[at:start])
+        follows = source[start + 1 : start + 2]
+        if follows in ("!", "?"):
+            comment = source.startswith("<!--", start)
+            end = source.find("-->" if comment else ">", start + 2)
+            at = size if end < 0 else end + (3 if comment else 1)
+            continue
+        m = TAG.match(source, start)
         if not m:
-            rest = source[at:]
-            say(rest if not re.match(r"<[a-zA-Z/!]", rest) else "")
+            if not re.match(r"</?[a-zA-Z]", source[start : start + 3]):  # no tag: the sign itself, or an empty or odd end tag
+                end = source.find(">", start) if follows == "/" else -1
+                say("<" if end < 0 else "")
+                at = start + 1 if end < 0 else end + 1
+                continue
             break
-        if m.start() > at:
-            say(source[at : m.start()])
         at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
+        tag = m[1].lower()
+        if open_tags["head"] and follows != "/" and tag not in IN_HEAD and tag != "head":
+            leave({"head"})
+        if follows != "/" and tag in OUT_OF_DRAWINGS and (open_tags["svg"] or open_tags["math"]):
+            leave({"svg"} if open_tags["svg"] else {"math"})
         if tag == "br":
             say(" ")
         elif tag in INLINE:
             if tag == "a":
-                links = max(0, links + (-1 if m[1] else 1))
-        elif m[1]:
-            if any(page.tag[i] == tag for i in stack[1:]):
-                to = next(k for k in range(len(stack) - 1, 0, -1) if page.tag[stack[k]] == tag)
-                leave(to)
+                links = max(0, links + (-1 if follows == "/" else 1))
+        elif follows == "/":
+            if open_tags[tag]:
+                leave({tag})
             else:
                 flush()
         elif tag in VOID:
             if tag == "hr":
                 flush()
         elif tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else size
+            end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            if end:
+                at = end.end()
+            elif tag == "title":  # without an end it is over at the next tag
+                endless.add(tag)
+                at = start if (start := source.find("<", at)) >= 0 else size
+            else:
+                at = size
         else:
-            flush()
-            closes = CLOSES.get(tag, {"p"} if tag != "#root" else set())
-            k = len(stack) - 1
-            while k > 0 and page.tag[stack[k]] not in HOLDERS - closes and page.tag[stack[k]] not in closes:
-                k -= 1
-            while k > 0 and page.tag[stack[k]] in closes:
-                leave(k)
-                k -= 1
-            names = {w for a in ATTRIBUTE.finditer(m[3]) for w in NAME.findall((a[2] or a[3] or a[4] or "").lower())} if m[3] else set()
-            stack.append(add(tag, names, None))
-            silent += tag in SILENT
-            links = 0
+            element(tag, m[2])
     flush()
     return page
 
@@ -150,17 +196,16 @@ PRIOR = np.zeros(WIDTH)
 PRIOR[BOILER_AT], PRIOR[CONTENT_AT] = -6.0, 3.0
 
 
-def _features(page: Page, hide: bool = False) -> tuple[list[int], list[int]]:
-    """(first, feature): the features of each node; all have value 1."""
+def _features(page: Page, hide: int = 0) -> tuple[list[int], list[int]]:
+    """(first, feature): the features of each node; all have value 1. ``hide`` 1 hides the marks of articles, 2 all names of blocks."""
     first, out = [0], []
     # a hint counts for what lies below it too, but not on an element that holds the marked article
     holds, boiler = [False] * len(page.tag), [False] * len(page.tag)
     for i in range(len(page.tag) - 1, 0, -1):
         holds[page.parent[i]] |= holds[i] or page.tag[i] in MARKS
+    hidden = (set(), MARKS, MARKS | BOILER | CONTENT)[hide]
     for i, tag in enumerate(page.tag):
-        names = {tag, *page.hints[i]}
-        if hide:
-            names -= MARKS
+        names = {tag, *page.hints[i]} - hidden
         own = [BIAS, _code("tag:" + (tag if tag in names else "div"))]
         if tag not in ("body", "html", "#root"):
             boiler[i] = boiler[page.parent[i]] or bool(names & BOILER and not holds[i])
@@ -171,22 +216,23 @@ def _features(page: Page, hide: bool = False) -> tuple[list[int], list[int]]:
         if (text := page.text[i]) is not None:
             parent = page.tag[page.parent[i]]
             n = len(text)
-            own += [_code(f"in:{'div' if hide and parent in MARKS else parent}"), _code(f"length:{min(9, n.bit_length())}"), _code(f"links:{int(page.linked[i] * 4)}"), _code(f"end:{text[-1] in '.!?…»”'}"), _code(f"sign:{'©' in text}")]
+            own += [_code(f"in:{'div' if parent in hidden else parent}"), _code(f"length:{min(9, n.bit_length())}"), _code(f"links:{int(page.linked[i] * 4)}"), _code(f"end:{text[-1] in '.!?…»”'}"), _code(f"sign:{'©' in text}")]
         out += own
         first.append(len(out))
     return first, out
 
 
 def labels(page: Page) -> list[int] | None:
-    """Content or not of each node of a page that marks its article; None of other pages."""
+    """Content or not of each node of a page that marks its article, by the mark alone; None of pages without, or with other hints inside it."""
     n = len(page.tag)
     marked = [page.tag[i] in MARKS or "articlebody" in page.hints[i] for i in range(n)]
     if not any(marked):
         return None
     inside, weight, good = [False] * n, [0] * n, [0] * n
     for i in range(1, n):
-        boiler = page.tag[i] in BOILER or bool(page.hints[i] & BOILER)
-        inside[i] = (inside[page.parent[i]] or marked[i]) and not boiler
+        inside[i] = inside[page.parent[i]] or marked[i]
+        if inside[i] and not marked[i] and (page.tag[i] in BOILER or page.hints[i] & BOILER):
+            return None
         if page.text[i] is not None:
             weight[i], good[i] = len(page.text[i]), len(page.text[i]) * inside[i]
     for i in range(n - 1, 0, -1):
@@ -195,6 +241,50 @@ def labels(page: Page) -> list[int] | None:
     return [int(g >= 0.9 * w > 0) for g, w in zip(good, weight, strict=True)]
 
 
+class Forest:
+    """The trees of many pages, side by side: nodes by depth, and the features of each."""
+
+    def __init__(self, parents: list[np.ndarray], kinds: list[np.ndarray], made: list[tuple[np.ndarray, np.ndarray]]):
+        self.base = np.concatenate([[0], np.cumsum([len(p) for p in parents])]).astype(np.int64)
+        self.parent = np.concatenate([np.asarray(p, np.int64) + b for p, b in zip(parents, self.base, strict=False)])
+        self.kind = np.concatenate(kinds).astype(np.int64)
+        self.feature = np.concatenate([np.asarray(f, np.int64) for _, f in made])
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for f, _ in made]))])
+        root = np.zeros(len(self.parent), bool)
+        root[self.base[:-1]] = True
+        self.parent[root] = self.base[:-1]
+        depth = np.where(root, 0, -1)
+        level = np.flatnonzero(root)
+        self.levels, order = [], np.argsort(self.parent, kind="stable")
+        start = np.searchsorted(self.parent[order], np.arange(len(depth) + 1))
+        while len(level):
+            self.levels.append(level)
+            count = start[level + 1] - start[level]
+            child = order[np.repeat(start[level] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+            level = child[~root[child]]
+        self.child = np.flatnonzero(~root)
+
+    def marginals(self, weights: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(content) of every node, and of each node but roots the joint marginal [parent state, own state]."""
+        sums = np.concatenate([[0.0], np.cumsum(weights[self.feature])])
+        up, sent = np.zeros((len(self.parent), 2)), np.zeros((len(self.parent), 2))
+        up[:, 1] = sums[self.first[1:]] - sums[self.first[:-1]]
+        for nodes in self.levels[:0:-1]:  # from leaves to roots
+            mine, pair = up[nodes], pairs[self.kind[nodes]]
+            sent[nodes] = np.logaddexp(mine[:, :1] + pair[:, :, 0], mine[:, 1:] + pair[:, :, 1])
+            above = np.flatnonzero(np.diff(self.parent[nodes], prepend=-1))  # a level goes by parents
+            up[self.parent[nodes[above]]] += np.add.reduceat(sent[nodes], above, axis=0)
+        belief = up.copy()
+        for nodes in self.levels[1:]:  # and back: what the parent believes without this child
+            rest, pair = belief[self.parent[nodes]] - sent[nodes], pairs[self.kind[nodes]]
+            belief[nodes] += np.logaddexp(rest[:, :1] + pair[:, 0, :], rest[:, 1:] + pair[:, 1, :])
+        p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700)))
+        c = self.child
+        joint = (belief[self.parent[c]] - sent[c])[:, :, None] + pairs[self.kind[c]] + up[c][:, None, :]
+        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+        return p, joint / joint.sum(axis=(1, 2), keepdims=True)
+
+
 @dataclass
 class Model:
     """Weights of features, and log potentials [child kind, parent state, child state]."""
@@ -202,77 +292,57 @@ class Model:
     weights: np.ndarray
     pairs: np.ndarray
 
-    def marginals(self, pages: list[Page]) -> list[np.ndarray]:
+    def marginals(self, pages: list[Page], hide: int = 0) -> list[np.ndarray]:
         """P(content) of every node of each page."""
-        made = [_features(p) for p in pages]
-        sizes = [len(p.tag) for p in pages]
-        base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        feature = np.concatenate([np.array(f, np.int64) for _, f in made])
-        first = np.concatenate([[0], np.cumsum([b - a for f, _ in made for a, b in zip(f, f[1:], strict=False)])])
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[feature])])
-        own = np.zeros((base[-1], 2))
-        own[:, 1] = sums[first[1:]] - sums[first[:-1]]
-        parent = np.concatenate([np.array(p.parent, np.int64) + b for p, b in zip(pages, base, strict=False)])
-        depth = np.concatenate([np.array(p.depth, np.int64) for p in pages])
-        kind = np.concatenate([np.array([t is not None for t in p.text], np.int64) for p in pages])
-        by_depth = np.argsort(depth, kind="stable")
-        starts = np.searchsorted(depth[by_depth], np.arange(depth.max() + 2))
-        levels = [by_depth[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        up, sent = own.copy(), np.zeros_like(own)
-        for nodes in levels[:0:-1]:  # from leaves to roots
-            sent[nodes] = np.logaddexp.reduce(up[nodes][:, None, :] + self.pairs[kind[nodes]], axis=2)
-            np.add.at(up, parent[nodes], sent[nodes])
-        belief = up.copy()
-        for nodes in levels[1:]:  # and back: what the parent believes without this child
-            rest = belief[parent[nodes]] - sent[nodes]
-            belief[nodes] += np.logaddexp.reduce(rest[:, :, None] + self.pairs[kind[nodes]], axis=1)
-        p = np.exp(belief[:, 1] - np.logaddexp(belief[:, 0], belief[:, 1]))
-        return [p[a:b] for a, b in zip(base, base[1:], strict=False)]
+        if not pages:
+            return []
+        forest = Forest([np.array(p.parent) for p in pages], [np.array([t is not None for t in p.text]) for p in pages], [_features(p, hide) for p in pages])
+        p, _ = forest.marginals(self.weights, self.pairs)
+        return np.split(p, forest.base[1:-1])
+
+
+#: Potentials before any page is seen: a child is as its parent.
+PAIRS = np.broadcast_to(np.array([[1.0, -1.0], [-1.0, 1.0]]), (2, 2, 2))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """Weights near their prior that explain the labels, and parent-child counts as potentials."""
-    counts = np.full((2, 2, 2), 2.0)
-    counts[:, 0, 0] += 20
-    counts[:, 1, 1] += 20
+    """Weights and potentials near their prior under which the labels of (first, feature, label, parent, kind) are likeliest, by Adam."""
     if not rows:
-        return Model(PRIOR, _potentials(counts))
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for f, *_ in rows]))])
-    feature = np.concatenate([f for _, f, *_ in rows])
-    label = np.concatenate([y for _, _, y, *_ in rows]).astype(np.float64)
-    for _, _, y, parent, kind in rows:
-        np.add.at(counts, (kind[1:], y[parent[1:]], y[1:]), 1.0)
-    row = np.repeat(np.arange(len(label)), np.diff(first))
-    w, mean, square = PRIOR.copy(), np.zeros(WIDTH), np.zeros(WIDTH)
+        return Model(PRIOR, PAIRS.copy())
+    forest = Forest([r[3] for r in rows], [r[4] for r in rows], [(r[0], r[1]) for r in rows])
+    label = np.concatenate([r[2] for r in rows]).astype(np.int64)
+    node = np.repeat(np.arange(len(label)), np.diff(forest.first))
+    c, n = forest.child, len(rows)
+    edge = forest.kind[c] * 4 + label[forest.parent[c]] * 2 + label[c]
+    shown = np.bincount(edge, minlength=8).reshape(2, 2, 2)
+    at, prior = np.concatenate([PRIOR, PAIRS.ravel()]), np.concatenate([PRIOR, PAIRS.ravel()])
+    mean, square = np.zeros(len(at)), np.zeros(len(at))
     for t in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.bincount(row, weights=w[feature], minlength=len(label))))
-        grad = np.bincount(feature, weights=(p - label)[row] / len(label), minlength=WIDTH) + RIDGE * (w - PRIOR)
+        p, joint = forest.marginals(at[:WIDTH], at[WIDTH:].reshape(2, 2, 2))
+        by_weight = np.bincount(forest.feature, weights=(p - label)[node], minlength=WIDTH) / n
+        expected = np.stack([joint[forest.kind[c] == k].sum(axis=0) for k in (0, 1)])
+        grad = np.concatenate([by_weight, (expected - shown).ravel() / n]) + RIDGE * (at - prior)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
-        w = w - RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-    return Model(w, _potentials(counts))
-
-
-def _potentials(counts: np.ndarray) -> np.ndarray:
-    """How much likelier a child's state is under each state of its parent than on the whole, at most e**3 times."""
-    given = counts / counts.sum(axis=2, keepdims=True)
-    return np.clip(np.log(given) - np.log(counts.sum(axis=1, keepdims=True) / counts.sum(axis=(1, 2), keepdims=True)), -3, 3)
+        at = at - RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+    return Model(at[:WIDTH], at[WIDTH:].reshape(2, 2, 2))
 
 
 def train(pages: DataFrame, key: str = "page_id", source: str = "html", n: int = SAMPLE_PAGES) -> Model:
-    """The model of the n pages with the smallest hashes; pages that mark no article teach nothing."""
-    ids = pages.where(F.col(source).isNotNull()).select(F.col(key).alias("_k")).distinct().orderBy(F.xxhash64("_k"), "_k").limit(n)
+    """The model of the n pages with the smallest hashes; pages that mark no article teach nothing.
+
+    Null keys and pages teach nothing; a key that is given more than once counts once.
+    """
 
     def compute(given: pa.Table) -> list:
         out = []
         for number, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
             page = parse(text)
             y = labels(page)
-            first, feature = _features(page, hide=zlib.crc32(str(number).encode()) % 2 == 0)
+            first, feature = _features(page, hide=zlib.crc32(str(number).encode()) % 3)
             out.append(None if y is None else pickle.dumps((np.array(first), np.array(feature), np.array(y), np.array(page.parent), np.array([t is not None for t in page.text], int))))
         return [pa.array(out, pa.binary())]
 
-    chosen = pages.where(F.col(source).isNotNull()).join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("_k"))).select(key, source)  # n pages
-    rows = append(chosen, [T.StructField("made", T.BinaryType())], compute, [key, source], keep=[key]).where("made IS NOT NULL").collect()
+    rows = append(sample(pages, key, source, n), [T.StructField("made", T.BinaryType())], compute, [key, source], keep=[key]).where("made IS NOT NULL").collect()
     rows.sort(key=lambda r: (str(r[0]), bytes(r.made)))
     return fit([pickle.loads(r.made) for r in rows])
 
@@ -282,10 +352,11 @@ def extract(pages: DataFrame, model: Model, source: str = "html", keep: list[str
     sent = pages.sparkSession.sparkContext.broadcast(model)  # fixed width
 
     def compute(given: pa.Table) -> list:
-        parsed = [parse(x or "") for x in given.column(0).to_pylist()]
-        texts = []
-        for page, p in zip(parsed, sent.value.marginals(parsed), strict=True):
-            texts.append("\n".join(t for t, x in zip(page.text, p.tolist(), strict=True) if t is not None and x > 0.5))
+        sources, texts = [x or "" for x in given.column(0).to_pylist()], []
+        for a, b in chunks([x.encode() for x in sources]):
+            parsed = [parse(x) for x in sources[a:b]]
+            for page, p in zip(parsed, sent.value.marginals(parsed), strict=True):
+                texts.append("\n".join(t for t, x in zip(page.text, p.tolist(), strict=True) if t is not None and x > 0.5))
         return [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
 
     return append(pages, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], compute, [source], keep=keep)

@@ -168,7 +168,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) < FRONTIER // 8:
+        ends = batch.column(0)
+        if sum(x.num_rows for x in held) < FRONTIER // 8 or (len(held) > 1 and batch.num_rows and ends[0] == ends[batch.num_rows - 1]):
             continue
         key, fp = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
         done = int(np.searchsorted(key, key[-1]))

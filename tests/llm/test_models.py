@@ -178,3 +178,49 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
     assert all(r.n_tokens >= 0 and len(r.decoded_sha256) == 64 for r in rows)
+
+
+def test_quality_on_held_out_rows(spark):
+    """Three of four rated documents teach; the fourth is judged: toxic and low-quality ones mostly go, good ones stay."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fold = lambda df, test: df.where(op4.held_out() if test else ~op4.held_out())
+    model = op7.train(fold(docs, False), fold(labels, False))
+    rated = op7.rated(fold(docs, True), fold(labels, True))
+    rows = op7.grade(rated, model, keep=["grade"]).collect()
+    assert len(rows) > 300
+    kept = {g: [r.p_above_1 >= op7.KEEP for r in rows if r.grade == g] for g in range(3)}
+    assert sum(kept[2]) / len(kept[2]) > 0.97 and sum(kept[0]) / len(kept[0]) < 0.3 and sum(kept[1]) / len(kept[1]) < 0.3
+    means = [np.mean([r.expected_grade for r in rows if r.grade == g]) for g in range(3)]
+    assert means[0] < means[1] < means[2]
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    text = spark.range(3000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "concat('the garden of the king ', id) AS text", "'en' AS lang")
+    more = spark.createDataFrame([(i, f"das haus und der garten {i}", "de") for i in range(100, 160)] + [(8, "x" * (2 << 20), "de"), (None, "der garten", "de"), (9, None, "de")], "doc_id long, text string, lang string")
+    docs = text.unionByName(more).withColumn("held", op4.F.lit("clash")).withColumn("grade", op4.F.lit("clash"))
+    got = op4.sample(docs, "doc_id", "text", "lang", 50).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {"en": 1, "de": 50}
+    labels = spark.range(3000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic").unionByName(spark.createDataFrame([(8, 1, 0), (100, 1, 0), (101, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert sorted(r.grade for r in op7.rated(docs, labels).collect()) == [0, 1, 2]
+
+
+def test_equal_entropies_and_clashing_columns(spark):
+    rows = [(i, "aba aba bab " * 9, lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    models = op4.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "aba bab", "x", 3), (2, "x" * 3_000_000, "x", 3)], "doc_id long, text string, lang_pred string, rejected int")
+    got = op4.identify(docs, models).orderBy("doc_id").collect()
+    assert got[0].lang_pred in ("aa", "bb") and abs(got[0].score - 0.5) < 0.05 and got[1].lang_pred in ("aa", "bb")
+    pages = spark.createDataFrame([(1, "<p>x", "u", "t", "n")], "page_id long, html string, url string, text string, n_chars string")
+    assert op8.extract(pages, op8.train(pages)).columns == ["page_id", "html", "url", "text", "n_chars"]
+
+
+def test_sharding_of_one_repeated_row_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(op6, "RUN_ROWS", 10)
+    docs = spark.range(400).selectExpr("CAST(1 AS BIGINT) AS doc_id", "'same text' AS text", "5 AS shard", "6 AS g", "7 AS salt").repartition(4)
+    long = spark.createDataFrame([(2, "é" * 2_000_000, 5, 6, 7), (None, None, 5, 6, 7)], "doc_id long, text string, shard int, g int, salt int")
+    got = op6.shard(docs.unionByName(long), 3).collect()
+    for shard in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert len(got) == 402 and max(r["size"] for r in got) == 4_000_008

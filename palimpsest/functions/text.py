@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
 #: Adverbs without the usual ending (fixed values).
-ADVERBS = ("very", "quite", "rather", "almost", "always", "never", "often", "soon", "too", "just", "still", "perhaps", "seldom")
+ADVERBS = ("very", "quite", "rather", "too", "just", "really", "almost", "often", "never", "always", "sometimes", "perhaps", "maybe")
 
 
 def tokens(text: Column) -> Column:
@@ -25,6 +25,15 @@ def count_tokens(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.floor(F.octet_length(text) / 4) + 1).cast("long")
 
 
+def longest_prefix(text: Column, tokens: int) -> Column:
+    """The longest run of whole characters from the start that costs no more than so many tokens."""
+    most = 4 * (tokens - 1) + 3  # bytes
+    head = F.encode(text, "UTF-8")
+    # a cut within a character leaves no valid text; one of four neighbouring places is between characters
+    some = [F.try_validate_utf8(F.substring(head, 1, most - k).cast("string")) for k in range(min(4, most + 1))]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*some)) if tokens > 0 else F.lit("")
+
+
 def snippet(text: Column, at: Column, size: int = 240, before: int = 80) -> Column:
     """``size`` characters from ``before`` the hit at 0-based ``at``."""
     return F.substring(text, F.greatest(at - before, F.lit(0)) + 1, F.lit(size))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as X
 from .aggregates import fold, nth
 
 SIGNALS = ("accept", "reject", "behavioural_accept")
@@ -19,7 +18,7 @@ def validate_feedback(events: DataFrame) -> DataFrame:
     """Every event with a reason, null if it counts: a known signal; a behavioural one needs a change seen within ten minutes."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     behaves = F.col("signal") == "behavioural_accept"
-    reason = F.when(~F.col("signal").isin(*SIGNALS), "unknown signal").when(behaves & (blank("before") | blank("after")), "missing text").when(behaves & (F.trim("before") == F.trim("after")), "unchanged").when(behaves & (F.col("age_seconds") < 0), "future").when(behaves & (F.col("age_seconds") > WINDOW_SECONDS), "too late")
+    reason = F.when(~F.col("signal").isin(*SIGNALS), "unknown signal").when(behaves & (blank("before") | F.col("after").isNull()), "missing text").when(behaves & (F.col("before") == F.col("after")), "unchanged").when(behaves & (F.col("age_seconds") < 0), "future").when(behaves & (F.col("age_seconds") > WINDOW_SECONDS), "too late")
     return events.withColumn("reason", reason)
 
 
@@ -86,10 +85,26 @@ def list_preferences(prefs: DataFrame, active_only: bool, n: int) -> DataFrame:
     return some.withColumn("place", nth(["owner"], F.desc(F.round(F.col("relevance") * F.col("confidence"), 9)), F.desc("created"), "pref_id")).where(F.col("place") <= n)
 
 
-def evidence_bundle(prefs: DataFrame, events: DataFrame) -> DataFrame:
-    """Preferences with their events as a nested array in order."""
-    e = events.groupBy("pref_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "signal"))).alias("events"))
-    return prefs.join(e, "pref_id", "left")
+#: Newest events and history records of a preference that its evidence shows.
+SHOWN = 1000
+
+
+def evidence_bundle(prefs: DataFrame, events: DataFrame, observations: DataFrame | None = None, history: DataFrame | None = None, n: int = SHOWN) -> DataFrame:
+    """Preferences with their observations, and their newest n events and history records, as nested arrays in order.
+
+    ``observations`` and ``history`` have a pref_id; history has recorded_at, relevance, confidence and lifecycle.
+    """
+
+    def nested(df: DataFrame, order: str, columns: list[str], name: str, most: int | None) -> DataFrame:
+        some = df if most is None else df.withColumn("_n", nth(["pref_id"], F.desc(order))).where(F.col("_n") <= most)
+        return some.groupBy("pref_id").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name)).hint("merge")
+
+    out = prefs.join(nested(events, "event_id", ["signal"], "events", n), "pref_id", "left")
+    if observations is not None:  # as many as the preference was made from
+        out = out.join(nested(observations, "obs_id", ["metric", "value"], "observations", None), "pref_id", "left")
+    if history is not None:
+        out = out.join(nested(history, "recorded_at", ["relevance", "confidence", "lifecycle"], "history", n), "pref_id", "left")
+    return out
 
 
 def suppressed(applicable: DataFrame, events: DataFrame, needed: int = NEEDED) -> DataFrame:
@@ -111,13 +126,30 @@ def validate_scope(df: DataFrame, allowed: list[str]) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
+def is_rewrite(note: Column, quote: Column) -> Column:
+    """The note mostly repeats its quote: both have four words or more, and different words in common are 80 in a hundred of the shorter one's."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    n, q = words(note), words(quote)
+    return (F.size(n) >= 4) & (F.size(q) >= 4) & (F.size(F.array_intersect(n, q)) * 5 >= F.least(F.size(n), F.size(q)) * 4)
+
+
 def filter_notes(notes: DataFrame, passages: DataFrame, skills: list[str], suppressed_categories: DataFrame) -> DataFrame:
-    """Notes of an allowed skill whose quote is in the passage, that do not rewrite it, and whose category is not suppressed."""
-    told = notes.join(passages, "passage_id").where(F.col("skill").isin(skills) & (F.trim("quote") != "") & (F.trim("note") != "") & F.contains("text", "quote"))
-    words = lambda c: F.array_distinct(F.transform(X.tokens(F.col(c)), F.lower))
-    q, n = words("quote"), words("note")
-    rewrite = (F.size(q) >= 4) & (F.size(n) >= 4) & (F.size(F.array_intersect(q, n)) / F.size(n) >= 0.8)
-    return told.where(~rewrite).join(suppressed_categories, "category", "left_anti")
+    """Notes of an allowed skill whose quote is in the passage, that do not rewrite it, and of which neither category nor skill is suppressed.
+
+    Fields are trimmed first; a note without severity is a suggestion.
+    """
+    told = notes
+    for c in ("skill", "quote", "note", "category", "severity"):
+        if c in notes.columns:
+            told = told.withColumn(c, F.trim(F.coalesce(c, F.lit(""))))
+    if "severity" in notes.columns:
+        told = told.withColumn("severity", F.when(F.col("severity") == "", "suggestion").otherwise(F.col("severity")))
+    told = told.join(passages.hint("merge"), "passage_id").where(F.col("skill").isin(skills) & (F.col("quote") != "") & (F.col("note") != "") & F.contains("text", "quote"))
+    off = suppressed_categories.select(F.lower(F.trim("category")).alias("_off")).where("_off <> ''").distinct()
+    told = told.where(~is_rewrite(F.col("note"), F.col("quote")))
+    for c in ("category", "skill"):
+        told = told.join(off.hint("merge"), F.lower(c) == F.col("_off"), "left_anti")
+    return told
 
 
 def limit_selected(df: DataFrame, active: list[str], n: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import nth
+from .resolve import repoint
 
 
 def load_edges(nodes: DataFrame, relations: DataFrame, kinds: list[str]) -> DataFrame:
@@ -90,6 +91,13 @@ def delete_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return edges.join(keys, ["src", "dst", "rel_type"], "left_anti")
 
 
+def remap_nodes(edges: DataFrame, losers: DataFrame) -> DataFrame:
+    """Edges with the winner in place of each merged node; edges between the two stay, as loops."""
+    for end in ("src", "dst"):
+        edges = repoint(edges, losers, end)
+    return edges
+
+
 def sync_nodes(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     """Score and status of the registry where it knows the node."""
     new = registry.select("entity_id", F.col("relevance").alias("_r"), F.col("status").alias("_s"))

@@ -6,6 +6,7 @@ in each partition before the shuffle on the query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,39 +33,55 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def distances(queries: DataFrame, items: DataFrame, item: str, own: bool = False) -> DataFrame:
-    """Cosine distance of every item of the query's universe, without the query's own row unless ``own``; norms are taken once a row."""
+def distances(queries: DataFrame, items: DataFrame, item: str, own: bool = True) -> DataFrame:
+    """Cosine distance of every item of the query's universe, without that of the query's id if not ``own``; norms are taken once a row."""
     q = queries.select("query_id", "universe", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"))
     p = items.withColumn("_np", norm(F.col("embedding")))
     told = q.join(p, "universe").where((F.lit(own) | (F.col(item) != F.col("query_id"))) & (F.col("_nq") > 0) & (F.col("_np") > 0))
     return told.withColumn("distance", 1 - dot(F.col("_q"), F.col("embedding")) / (F.col("_nq") * F.col("_np"))).drop("_q", "_nq", "_np", "embedding")
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id", exclude_chapter: int | None = None, own: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id", exclude_chapter: int | None = None, own: bool = True) -> DataFrame:
     """Nearest k items of each query."""
     if exclude_chapter is not None:
         items = items.where(F.col("chapter_id") != exclude_chapter)
     return distances(queries, items, item, own).withColumn("rank", nth(["query_id"], F.round("distance", 9), item)).where(F.col("rank") <= k)
 
 
-def nearest_within(queries: DataFrame, items: DataFrame, threshold: float, item: str = "para_id") -> DataFrame:
+def nearest_within(queries: DataFrame, items: DataFrame, threshold: float, item: str = "para_id", own: bool = True) -> DataFrame:
     """The nearest item of each query if it is within the threshold."""
-    best = distances(queries, items, item).groupBy("query_id").agg(F.min_by(F.struct(item, "distance"), F.struct(F.round("distance", 9), item)).alias("b"))
+    best = distances(queries, items, item, own).groupBy("query_id").agg(F.min_by(F.struct(item, "distance"), F.struct(F.round("distance", 9), item)).alias("b"))
     return best.where(F.col("b.distance") <= threshold).select("query_id", f"b.{item}", "b.distance")
 
 
-def ann_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id", width: float = 0.5, tables: int = 12, radius: float = 1.35) -> DataFrame:
-    """Approximate nearest k: locality-sensitive hashing finds candidates, exact distances rank them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+#: Cells of the approximate index, those that a query searches, and rows (smallest hashes) that the cells are fitted on.
+CELLS, PROBED, FITTED = 32, 26, 10000
+
+
+def ann_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id", cells: int = CELLS, probed: int = PROBED, own: bool = True) -> DataFrame:
+    """Approximate nearest k: every item lies in the cell of its nearest centre, and a query searches its nearest cells exactly.
+
+    Centres come from k-means over a bounded sample. Queries meet items by universe and cell. How many cells must be searched depends on
+    how the vectors cluster: random ones need most of them for nine in ten of the true neighbours, clustered ones a few.
+    """
+    import json
+
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = Normalizer(inputCol="_v", outputCol="v", p=2.0)
-    as_vector = lambda df: unit.transform(df.withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>"))))
-    q, p = as_vector(queries.select("query_id", "universe", "embedding")), as_vector(items.select(item, "universe", "embedding"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(p)
-    near = model.approxSimilarityJoin(q, p, radius, distCol="d").where(F.col("datasetA.universe") == F.col("datasetB.universe"))
-    pairs = near.select("datasetA.query_id", F.col(f"datasetB.{item}").alias(item), (F.col("d") * F.col("d") / 2).alias("distance")).where(F.col("query_id") != F.col(item))
-    return pairs.withColumn("rank", nth(["query_id"], F.round("distance", 9), item)).where(F.col("rank") <= k)
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / norm(c))
+    p = items.where(norm(F.col("embedding")) > 0).select(item, "universe", unit(F.col("embedding")).alias("v"))
+    q = queries.where(norm(F.col("embedding")) > 0).select("query_id", "universe", unit(F.col("embedding")).alias("q"))
+    some = p.orderBy(F.xxhash64(item), item).limit(FITTED).select(array_to_vector("v").alias("features")).coalesce(1)
+    model = KMeans(k=cells, seed=7, maxIter=10).fit(some)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    table = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")  # a constant of bounded size
+    near = lambda v: F.array_sort(F.transform(table, lambda c, i: F.struct((dot(c, c) - 2 * dot(v, c)).alias("d"), i.alias("cell"))))
+    held = p.withColumn("cell", near(F.col("v"))[0]["cell"])
+    asked = q.withColumn("cell", F.explode(F.transform(F.slice(near(F.col("q")), 1, probed), lambda s: s["cell"])))
+    pairs = asked.join(held.hint("merge"), ["universe", "cell"]).where(F.lit(own) | (F.col("query_id") != F.col(item)))
+    told = pairs.select("query_id", item, (1 - dot(F.col("q"), F.col("v"))).alias("distance"))
+    return told.withColumn("rank", nth(["query_id"], F.round("distance", 9), item)).where(F.col("rank") <= k)
 
 
 def index(paras: DataFrame, key: str = "para_id") -> DataFrame:
@@ -82,27 +99,29 @@ def parse_web_query(queries: DataFrame, text: str = "text") -> DataFrame:
 
     clause = F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(Window.partitionBy("query_id").orderBy("n"))
     kind = F.when(F.col("part").startswith("-"), "not").otherwise("must")
-    terms = F.filter(F.transform(X.tokens(F.col("part")), F.lower), lambda w: ~w.isin(STOP))
+    # words that are left out keep their place, so that what stands around them in a phrase stays as far apart
+    all_words = F.transform(F.transform(X.tokens(F.col("part")), F.lower), lambda w, i: F.struct(i.alias("i"), w.alias("term")))
+    terms = F.filter(all_words, lambda w: ~w["term"].isin(STOP))
     return either.select("query_id", "universe", clause.alias("clause"), "n", terms.alias("terms"), kind.alias("kind")).where(F.size("terms") > 0)
 
 
-def keyword_search(queries: DataFrame, paras: DataFrame, k: int, key: str = "para_id", text: str = "text") -> DataFrame:
-    """(query_id, key, score, rank): every clause must match, none that is excluded.
+def keyword_search(queries: DataFrame, paras: DataFrame, k: int, key: str = "para_id", text: str = "text", own: bool = True, indexed: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score, rank): every clause must match, none that is excluded; without the item of the query's id if not ``own``.
 
     Score: for each term the sum of 1 / i**2 over its occurrences i, over pi**2 / 6 times the number of terms. Query terms
-    meet the index by a hash join; phrases compare positions.
+    meet the index (``indexed``, if it is there already) by a join on the term; phrases compare positions.
     """
     parsed = parse_web_query(queries, text)
-    wanted = parsed.select("query_id", "universe", "clause", "n", "kind", F.size("terms").alias("len"), F.posexplode("terms").alias("i", "term"))
-    found = wanted.join(index(paras, key), ["term", "universe"]).where(F.col(key) != F.col("query_id"))
+    wanted = parsed.select("query_id", "universe", "clause", "n", "kind", F.size("terms").alias("len"), F.explode("terms").alias("t")).select("*", "t.i", "t.term").drop("t")
+    found = wanted.join((index(paras, key) if indexed is None else indexed).hint("merge"), ["term", "universe"]).where(F.lit(own) | (F.col(key) != F.col("query_id")))
     shifted = F.transform("positions", lambda p: p - F.col("i"))
     parts = found.groupBy("query_id", key, "clause", "n", "kind", "len").agg(F.count("*").alias("got"), F.collect_list(shifted).alias("starts"), F.sum(F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))).alias("weight"))
     common = F.aggregate(F.slice("starts", 2, 1 << 20), F.element_at("starts", 1), lambda a, b: F.array_intersect(a, b))
     whole = parts.where((F.col("got") == F.col("len")) & ((F.col("len") == 1) | (F.size(common) > 0)))
-    banned = whole.where("kind = 'not'").select("query_id", key).distinct()
     need = parsed.where("kind = 'must'").groupBy("query_id").agg(F.count_distinct("clause").alias("need"), F.sum(F.size("terms")).alias("n_terms"))
-    hits = whole.where("kind = 'must'").groupBy("query_id", key).agg(F.count_distinct("clause").alias("got"), F.sum("weight").alias("weight"))
-    scored = hits.join(need, "query_id").where("got = need").join(banned, ["query_id", key], "left_anti")
+    must = F.col("kind") == "must"
+    hits = whole.groupBy("query_id", key).agg(F.count_distinct(F.when(must, F.col("clause"))).alias("got"), F.sum(F.when(must, F.col("weight"))).alias("weight"), F.count_if(~must).alias("banned"))
+    scored = hits.join(need.hint("merge"), "query_id").where("got = need AND banned = 0")
     scored = scored.select("query_id", key, (F.col("weight") / (F.lit(3.141592653589793**2 / 6) * F.col("n_terms"))).alias("score"))
     return scored.withColumn("rank", nth(["query_id"], F.desc(F.round("score", 9)), key)).where(F.col("rank") <= k)
 
@@ -178,9 +197,9 @@ def flag_fit(fused: DataFrame, budget: int) -> DataFrame:
     return fit_flags(told, ["query_id"], ["position"], "tokens", budget)
 
 
-def recall(queries: DataFrame, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """Hybrid recall of all queries in one plan: six ranked lists, fusion, rerank, fit, first k that fit."""
-    fused = fuse(all_lists(queries, ctx), names)
+def recall(queries: DataFrame, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None, own: bool = True, lists: DataFrame | None = None) -> DataFrame:
+    """Hybrid recall of all queries in one plan: six ranked lists (or those given), fusion, rerank, fit, first k that fit."""
+    fused = fuse(all_lists(queries, ctx, own=own) if lists is None else lists, names)
     if scores is not None:
         moved = apply_rerank(fused, scores, 20)
         fused = fused.join(moved.select("query_id", "item", "post"), ["query_id", "item"], "left").withColumn("position", F.coalesce("post", "position")).drop("post")
@@ -188,18 +207,33 @@ def recall(queries: DataFrame, ctx: dict[str, DataFrame], k: int, budget: int =
     return fit.withColumn("place", nth(["query_id"], "position")).where(F.col("place") <= k)
 
 
-def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 10) -> DataFrame:
-    """The ranked lists of every query; a pipeline without what it needs is empty."""
+def prepare(ctx: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """The context with what several lists need made once and kept: paragraphs, their inverted index, entities, edges and memories."""
+    paras = keep(ctx["paras"].select("para_id", "universe", "chapter_id", "embedding", "text"))
+    return {
+        **ctx, "paras": paras, "index": keep(index(paras.select("para_id", "universe", "text"))), "entities": keep(ctx["entities"]), "edges": keep(ctx["edges"].select("src", "dst", "rel_type")),
+        "mentions": keep(ctx["mentions"]), "memories": keep(ctx["memories"]), "preferences": keep(ctx["preferences"]),
+    }
+
+
+def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 10, own: bool = True) -> DataFrame:
+    """The ranked lists of every query; a pipeline without what it needs is empty.
+
+    A query without an embedding has no vector, keyword and consolidated list, and its graph seeds are the most relevant
+    entities of its universe. ``own`` false leaves out the paragraph of a query's id.
+    """
     paras, ents = ctx["paras"], ctx["entities"]
     ent = lambda c: F.concat(F.lit("e:"), c.cast("string"))
     para = F.concat(F.lit("p:"), F.col("para_id").cast("string"))
-    named = queries.select("query_id", "universe")
-    hits = vector_topk(queries, paras.select("para_id", "universe", "chapter_id", "embedding", "text"), k)
-    seeds = graph_seeds(hits, ctx["mentions"])
-    near = cocitation(ctx["edges"], seeds).where(F.col("rank") <= 20).withColumnRenamed("neighbor", "entity_id").join(ents.select("entity_id", "name"), "entity_id")
-    recent = named.join(recency(ents), "universe")
-    words = keyword_search(queries, paras.select("para_id", "universe", "text"), k).join(paras.select("para_id", "text"), "para_id")
-    memories = vector_topk(queries, ctx["memories"], k, item="entity_id", own=True)
+    named, whole = queries.select("query_id", "universe"), queries.where("embedding IS NOT NULL")
+    hits = vector_topk(whole, paras.select("para_id", "universe", "chapter_id", "embedding", "text"), k, own=own)
+    latest = recency(ents)
+    first = queries.where("embedding IS NULL").select("query_id", "universe").join(F.broadcast(latest.where(F.col("rank") <= SEEDS)), "universe")  # five rows a universe
+    seeds = graph_seeds(hits, ctx["mentions"]).select("query_id", "seed").unionByName(first.select("query_id", F.col("entity_id").alias("seed")))
+    near = cocitation(ctx["edges"], seeds).where(F.col("rank") <= 20).withColumnRenamed("neighbor", "entity_id").join(ents.select("entity_id", "name").hint("merge"), "entity_id")
+    recent = named.join(latest, "universe")
+    words = keyword_search(whole, paras.select("para_id", "universe", "text"), k, own=own, indexed=ctx.get("index")).join(paras.select("para_id", "text").hint("merge"), "para_id")
+    memories = vector_topk(whole, ctx["memories"], k, item="entity_id")
     liked = named.join(ctx["preferences"], "universe")
     return reduce(DataFrame.unionByName, [
         ranked("vector", hits, para, F.col("text")),

@@ -10,64 +10,128 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-#: Heading classes in order of preference, with the least matches that a class needs.
-HEADINGS = (
-    ("markdown", r"^#{1,3}\s+\S.*$", 2),
-    ("chapter", r"(?i)^\s*chapter\s+([0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)\b.{0,80}$", 2),
-    ("capitulo", r"(?i)^\s*cap[ií]tulo\s+([0-9]+|[ivxlcdm]+)\b.{0,80}$", 2),
-    ("roman", r"^\s*[IVXLCDM]{1,8}\.?\s*$", 2),
-    ("numbered", r"(?i)^\s*([0-9]{1,3}[.)]\s+\S.{0,80}|prologue|epilogue)\s*$", 1),
-    ("title", r"^\s*(\p{Lu}\p{Ll}+)(\s+(\p{Lu}\p{Ll}+|of|the|and|in|a)){1,6}\s*$", 2),
-    ("capitals", r"^\s*\p{Lu}{2,}(\s+\p{Lu}{2,}){0,7}\s*$", 2),
-)
+_ENGLISH = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand"
+_SPANISH = "uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|trece|catorce|quince|dieciséis|diecisiete|dieciocho|diecinueve|veinte|treinta|cuarenta|cincuenta|sesenta|setenta|ochenta|noventa|cien"
+#: Patterns of a line, and its title (fixed values).
+MARKDOWN = r"^#{1,3} (.+)$"
+CHAPTER = rf"(?iu)^[ \t]*(chapter[ \t]+(?:\d+|[ivxlc]+|{_ENGLISH})\b.*)$"
+CAPITULO = rf"(?iu)^[ \t]*(cap[ií]tulo[ \t]+(?:\d+|[ivxlc]+|{_SPANISH})\b.*)$"
+ROMAN = r"^[ \t]*([IVXLC]{1,7}\.?)[ \t]*$"
+NARRATIVE = r"(?iu)^(pr[oó]logo|prologue|ep[ií]logo|epilogue)(\s*:\s*.+)?$"
+NUMBER = r"^\d{1,4}\.?$"
+TITLE = r"^[ \t]*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)[ \t]*$"
+CAPITALIZED = r"^\p{Lu}\p{Ll}*(\s+\p{Lu}\p{Ll}*){0,7}$"
+#: Heading classes in order of preference, with the least headings that a class needs, and the most that are sane.
+CLASSES = {"markdown": 2, "chapter": 2, "capitulo": 2, "roman": 2, "narrative": 1, "title": 2, "capitals": 2}
 MOST_HEADINGS = 500
+#: Bytes of a capital line; characters below which it must be a name of the text, and bytes below which it must stand alone.
+LEAST_CAPITALS, MOST_CAPITALS, SHORT_CAPITALS = 3, 60, 10
+#: Bytes of a packed part.
+PART = 50000
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
+def all_capitals(line: Column) -> Column:
+    """A trimmed line of 3 to 60 bytes without lower-case letters, with three capitals at least, and no sentence's end."""
+    size = F.octet_length(line)
+    return (size >= LEAST_CAPITALS) & (size <= MOST_CAPITALS) & ~line.rlike(r"[.!?\"»,;:]$") & ~line.rlike(r"\p{Ll}") & line.rlike(r"(\p{Lu}[^\p{Lu}]*){3}")
+
+
+def names_in_prose(found: DataFrame, key: str) -> DataFrame:
+    """(key, name): words that stand after another word of a sentence, in documents with short capital lines."""
+    short = found.where(F.col("capital") & (F.char_length("trimmed") < SHORT_CAPITALS)).select(key).distinct()
+    words = lambda s: F.slice(F.filter(F.split(s, r"[^\p{L}]+"), lambda w: w != ""), 2, 1 << 20)
+    prose = found.where(~F.col("capital")).join(short.hint("merge"), key, "left_semi")
+    return prose.select(key, F.explode(F.flatten(F.transform(F.split("line", "[.!?]"), words))).alias("name")).where(F.col("name").rlike(r"^\p{Lu}")).distinct()
+
+
+def classified(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line_no, line, heads, inside): the classes by which a line begins a heading, and those by which it belongs to one.
+
+    Lines in capitals of fewer than ten characters are headings only if their name stands in the prose, and only between blank lines. A number
+    and the title-case line after it are one heading, and so are title-case lines with nothing between them.
+    """
+    up, down = Window.partitionBy(key).orderBy("line_no"), Window.partitionBy(key).orderBy(F.desc("line_no"))
+    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
+    told = lines(docs, key, text).withColumn("trimmed", trimmed).withColumn("capital", all_capitals(F.col("trimmed")))
+    some = F.when(F.col("trimmed") != "", F.struct("line", "trimmed"))
+    told = told.withColumn("next", F.last(some, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    told = told.withColumn("prev", F.last(some, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    told = told.withColumn("alone", blank(F.lag("trimmed").over(up)) & blank(F.lead("trimmed").over(up)))
+    name = F.concat(F.upper(F.substring("trimmed", 1, 1)), F.lower(F.substring("trimmed", 2, MOST_CAPITALS)))
+    told = told.withColumn("name", F.when(F.col("capital") & (F.char_length("trimmed") < SHORT_CAPITALS) & ~F.contains("trimmed", F.lit(" ")), name))
+    told = told.join(names_in_prose(told, key).withColumn("known", F.lit(True)).hint("merge"), [key, "name"], "left")
+    bare, title = F.col("trimmed").rlike(NUMBER), F.col("line").rlike(TITLE)
+    after_number = F.coalesce(F.col("trimmed").rlike(CAPITALIZED) & F.col("prev.trimmed").rlike(NUMBER), F.lit(False))
+    after_title = F.coalesce(F.col("prev.line").rlike(TITLE), F.lit(False))
+    long = (F.char_length("trimmed") >= SHORT_CAPITALS) | F.coalesce("known", F.lit(False))
+    heads = {
+        "markdown": F.col("line").rlike(MARKDOWN), "chapter": F.col("line").rlike(CHAPTER), "capitulo": F.col("line").rlike(CAPITULO), "roman": F.col("line").rlike(ROMAN),
+        "narrative": F.col("trimmed").rlike(NARRATIVE) | (bare & F.coalesce(F.col("next.trimmed").rlike(CAPITALIZED), F.lit(False))),
+        "title": title & ~after_title, "capitals": F.col("capital") & long & ((F.octet_length("trimmed") >= SHORT_CAPITALS) | F.col("alone")),
+    }
+    inside = {**heads, "narrative": heads["narrative"] | after_number, "title": title}
+    names = lambda flags: F.array_compact(F.array(*[F.when(f, F.lit(c)) for c, f in flags.items()]))
+    return told.select(key, "line_no", "line", names(heads).alias("heads"), names(inside).alias("inside"))
+
+
 def heading_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line, class): lines that a heading class takes, for each class.
+    """(key, line_no, line, class): lines that begin a heading, for each class that takes them."""
+    return classified(docs, key, text).select(key, "line_no", "line", F.explode("heads").alias("class"))
+
 
-    Title-case and capital lines must stand between blank lines, and their words must not be found as a name inside longer lines.
+def split_chapters(docs: DataFrame, key: str, text: str = "text", most: int = PART) -> DataFrame:
+    """(key, seq, title, body): the first class with enough headings cuts; what stands before them is Front Matter; empty bodies go.
+
+    A document without such a class is packed into parts of ``most`` bytes.
+    """
+    told = classified(docs, key, text)
+    whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("line_no")
+    count = lambda c: F.count_if(F.array_contains("heads", c)).over(whole)
+    chosen = F.coalesce(*[F.when((count(c) >= n) & (count(c) <= MOST_HEADINGS), F.lit(c)) for c, n in CLASSES.items()])
+    told = told.withColumn("class", chosen)
+    cut = told.where("class IS NOT NULL").withColumn("seq", F.count_if(F.array_contains("heads", F.col("class"))).over(order))
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    label = F.col("class")
+    # of a number and a title only the title counts
+    part = F.when(label == "markdown", F.regexp_extract("line", MARKDOWN, 1)).when((label == "narrative") & trim(F.col("line")).rlike(NUMBER), F.lit(None)).otherwise(F.col("line"))
+    pick = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["t"]), "\n")
+    last = F.max(F.when(F.array_contains("inside", label), F.col("line_no"))).over(Window.partitionBy(key, "seq"))
+    cut = cut.withColumn("_head", (F.col("seq") > 0) & (F.col("line_no") <= last))
+    parts = cut.groupBy(key, "seq").agg(
+        trim(pick(F.when(F.col("_head") & part.isNotNull(), F.struct("line_no", part.alias("t"))))).alias("title"),
+        trim(pick(F.when(~F.col("_head"), F.struct("line_no", F.col("line").alias("t"))))).alias("body"),
+    )
+    split = parts.select(key, "seq", F.when(F.col("seq") == 0, "Front Matter").otherwise(F.col("title")).alias("title"), "body")
+    rest = docs.join(told.where("class IS NOT NULL").select(key).distinct().hint("merge"), key, "left_anti")
+    packed = pack_paragraphs(rest, key, text, most).select(key, F.col("part").cast("long").alias("seq"), "title", "body")
+    return split.where("body <> ''").unionByName(packed)
+
+
+def pack_paragraphs(docs: DataFrame, key: str, text: str = "text", most: int = PART, between: str = "\n\n") -> DataFrame:
+    """(key, part, title, body): a text of ``most`` bytes at most as it is; else its paragraphs, joined until the next would pass them.
+
+    Blank texts have no part. The mark between paragraphs counts once it stands between two.
     """
-    order = Window.partitionBy(key).orderBy("line_no")
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    found = lines(docs, key, text).withColumn("_alone", blank(F.lag("line").over(order)) & blank(F.lead("line").over(order)))
-    kinds = F.array_compact(F.array(*[F.when(F.col("line").rlike(p) & (F.col("_alone") if c in ("title", "capitals") else F.lit(True)), F.lit(c)) for c, p, _ in HEADINGS]))
-    return found.select(key, "line_no", "line", F.explode(kinds).alias("class"))
-
-
-def split_chapters(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, seq, title, body): the first class with enough headings cuts; text before them is Front Matter; empty bodies go."""
-    heads = heading_lines(docs, key, text)
-    rank = F.create_map(*[x for i, (c, _, _) in enumerate(HEADINGS) for x in (F.lit(c), F.lit(i))])
-    least = F.create_map(*[x for c, _, n in HEADINGS for x in (F.lit(c), F.lit(n))])
-    counts = heads.groupBy(key, "class").count().where((F.col("count") >= least[F.col("class")]) & (F.col("count") <= MOST_HEADINGS))
-    chosen = counts.groupBy(key).agg(F.min_by("class", rank[F.col("class")]).alias("class"))
-    marks = heads.join(chosen, [key, "class"]).select(key, "line_no", F.lit(1).alias("head"))
-    order = Window.partitionBy(key).orderBy("line_no")
-    told = lines(docs, key, text).join(chosen.select(key), key).join(marks, [key, "line_no"], "left")
-    told = told.withColumn("seq", F.sum(F.coalesce("head", F.lit(0))).over(order))
-    parts = told.groupBy(key, "seq").agg(F.max(F.when(F.col("head") == 1, F.trim(F.regexp_replace("line", r"^\s*#{1,3}\s+", "")))).alias("title"), F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("line_no", "line")))).alias("rows"))
-    body = F.trim(F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), r"^\s+|\s+$", ""))
-    return parts.select(key, "seq", F.coalesce("title", F.lit("Front Matter")).alias("title"), body.alias("body")).where("body <> ''")
-
-
-def pack_paragraphs(docs: DataFrame, key: str, text: str = "text", most: int = 50000, between: str = "\n\n") -> DataFrame:
-    """(key, part, title, body): paragraphs joined until the next would pass ``most`` characters."""
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def add(a: Column, p: Column) -> Column:
-        fits = F.char_length(a["now"]) + len(between) + F.char_length(p) <= most
+        fits = F.octet_length(a["now"]) + F.octet_length(p) <= most
         joined = F.when(a["now"] == "", p).otherwise(F.concat(a["now"], F.lit(between), p))
         return F.when(fits | (a["now"] == ""), F.struct(a["done"].alias("done"), joined.alias("now"))).otherwise(F.struct(F.array_append(a["done"], a["now"]).alias("done"), p.alias("now")))
 
-    paragraphs = F.filter(F.split(text, between), lambda p: F.trim(p) != "")
-    packs = F.aggregate(paragraphs, start, add, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
-    out = docs.select(key, F.posexplode(packs).alias("part", "body"), F.size(packs).alias("_n"))
-    return out.select(key, "part", F.when(F.col("_n") == 1, F.lit("Untitled")).otherwise(F.concat(F.lit("Part "), (F.col("part") + 1).cast("string"))).alias("title"), "body")
+    body = trim(F.col(text))
+    paragraphs = F.filter(F.transform(F.split(body, between), trim), lambda p: p != "")
+    packs = F.aggregate(paragraphs, start, add, lambda a: F.array_append(a["done"], a["now"]))
+    whole = F.octet_length(body) <= most
+    told = docs.withColumn("_whole", whole).where(body != "")
+    out = told.select(key, "_whole", F.posexplode(F.when(F.col("_whole"), F.array(body)).otherwise(packs)).alias("part", "body"))
+    return out.select(key, "part", F.when(F.col("_whole"), F.lit("Untitled")).otherwise(F.concat(F.lit("Part "), (F.col("part") + 1).cast("string"))).alias("title"), "body")
 
 
 def paragraphs(chapters: DataFrame, keys: list[str], between: str = "\n", most: int = 30000) -> DataFrame:
@@ -92,39 +156,47 @@ def locate_mentions(names: DataFrame, paras: DataFrame, keys: list[str]) -> Data
     return best.select(*keys, "name", row["paragraph_index"].alias("paragraph_index"), (F.instr(F.lower(row["text"]), F.lower("name")) - 1).alias("at"), row["text"].alias("text"))
 
 
-def _gram(n: int):
-    """The n words of column ``w`` from a place on, joined by blanks."""
-    return lambda i: F.array_join(F.slice("w", i + 1, n), " ")
+#: Pieces of a text: runs of letters, digits and underscores, and every other character alone.
+PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 
 
-def match_gazetteer(paras: DataFrame, names: DataFrame, key: str, most_words: int = 3) -> DataFrame:
-    """(key, entity_id, start, words, form): names found on word boundaries, the longest first; a shared name is its smallest entity's.
+def match_gazetteer(paras: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """(key, entity_id, start, end, form): names found in any case between word boundaries, from left to right, the longest of each place.
 
-    Paragraph n-grams meet names by a hash join; words of a found name are not used again.
+    Texts and names are cut into the same pieces. A name's first piece meets the pieces of the paragraphs; the rest is compared where it
+    does. What a found name covers is not searched again, and a sign stands between two names. A name of several entities is the smallest one's; names may have any
+    length and signs.
     """
-    words = X.tokens(F.col("text"))
-    told = paras.select(key, words.alias("w"))
-    grams = None
-    for n in range(1, most_words + 1):
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-        some = told.select(key, F.lit(n).alias("words"), F.posexplode(F.transform(at, _gram(n))).alias("start", "form"))
-        grams = some if grams is None else grams.unionByName(some)
-    known = names.select(F.lower("name").alias("norm"), "entity_id").groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
-    hits = grams.withColumn("norm", F.lower("form")).join(known, "norm")
-    here = Window.partitionBy(key).orderBy("start").rangeBetween(-most_words, most_words)
-    spans = F.collect_list(F.struct("start", "words")).over(here)
-    longer = F.exists(spans, lambda s: ((s["words"] > F.col("words")) | ((s["words"] == F.col("words")) & (s["start"] < F.col("start")))) & (s["start"] < F.col("start") + F.col("words")) & (s["start"] + s["words"] > F.col("start")))
-    return hits.where("words > 0").withColumn("_longer", longer).where("NOT _longer").select(key, "entity_id", "start", "words", "form")
+    pieces = lambda c: F.regexp_extract_all(F.lower(c), F.lit(PIECE), F.lit(0))
+    known = names.select(F.lower(F.regexp_replace("name", r"^\s+|\s+$", "")).alias("norm"), "entity_id").where("norm <> ''").groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
+    known = known.withColumn("pieces", pieces(F.col("norm")))
+    told = paras.select(key, "text", pieces(F.col("text")).alias("w"))
+    at = told.select(key, F.posexplode("w").alias("i", "piece")).where(F.trim("piece") != "")
+    met = at.join(known.withColumn("piece", F.col("pieces")[0]).hint("merge"), "piece")
+    places = met.groupBy(key).agg(F.collect_list(F.struct("i", F.size("pieces").alias("n"), "entity_id", "pieces")).alias("places"))
+    both = told.join(places.hint("merge"), key)
+    w = F.col("w")
+    is_word = lambda p: F.coalesce(p.rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
+    holds = lambda p: (F.slice(w, p["i"] + 1, p["n"]) == p["pieces"])
+    # a name that begins or ends with a sign needs no letter beside it either
+    free = lambda p: ~is_word(F.get(w, F.when(p["i"] > 0, p["i"] - 1))) & ~is_word(F.get(w, p["i"] + p["n"]))
+    order = lambda p: F.struct(p["i"].alias("i"), (-p["n"]).alias("n"), p["entity_id"].alias("entity_id"))
+    sorted_ = F.array_sort(F.transform(F.filter("places", lambda p: holds(p) & free(p)), order))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,n:int,entity_id:bigint>>").alias("kept"))
+    keep = lambda a, p: F.when((p["i"] == 0) | (p["i"] > a["end"]), F.struct((p["i"] - p["n"]).alias("end"), F.array_append(a["kept"], F.struct(p["i"].alias("i"), (-p["n"]).alias("n"), p["entity_id"].cast("bigint").alias("entity_id"))).alias("kept"))).otherwise(a)
+    kept = both.select(key, "text", "w", F.explode(F.aggregate(sorted_, start, keep, lambda a: a["kept"])).alias("p"))
+    length = lambda n: F.char_length(F.array_join(F.slice("w", F.lit(1), n), ""))
+    told = kept.select(key, F.col("p.entity_id").alias("entity_id"), length(F.col("p.i")).cast("long").alias("start"), length(F.col("p.i") + F.col("p.n")).cast("long").alias("end"), "text")
+    return told.select(key, "entity_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("form"))
 
 
 def truncate_to_tokens(paras: DataFrame, key: str, order: str, budget: int) -> DataFrame:
-    """Paragraphs from the first until one does not fit; an oversized first is cut to the characters that fit."""
+    """Paragraphs from the first until one does not fit; an oversized first is cut to its longest prefix that fits."""
     w = Window.partitionBy(key).orderBy(order)
     cost = X.count_tokens(F.col("text"))
     told = paras.withColumn("tokens", cost).withColumn("used", F.sum("tokens").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    cut = F.substring("text", 1, 4 * (budget - 1) + 3)
-    kept = told.where((F.col("used") <= budget) | F.col("_first"))
-    return kept.select(key, order, F.when(F.col("used") <= budget, F.col("text")).otherwise(cut).alias("text"))
+    kept = told.where((F.col("used") <= budget) | F.col("_first")) if budget > 0 else told.where(F.lit(False))
+    return kept.select(key, order, F.when(F.col("used") <= budget, F.col("text")).otherwise(X.longest_prefix(F.col("text"), budget)).alias("text"))
 
 
 def cap_corpus(chunks: DataFrame, key: str, order: str, most: int = 12000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import TABLES, scan
 
+#: Closed vocabularies (fixed values).
 RELATIONS = "ALLY_OF MEMBER_OF LOCATED_IN OPPOSES PARENT_OF MENTOR_OF CAUSED_BY CONTROLS IMPRISONED_IN CONTROLLED_BY DEPENDS_ON FLOWS_THROUGH MAPS ENEMY_OF LOCATED_AT CO_OCCURS_WITH".split()
 ENTITY_TYPES = "character place object faction event world_rule plot_arc".split()
 
@@ -24,7 +25,7 @@ VIEWS = {
     "query_vecs": "SELECT vec_id AS query_id, vec_id % 5 AS universe, embedding FROM embeddings WHERE vec_id % 20 = 0",
     "ent_users": f"SELECT user_id AS entity_id, user_id % 5 AS universe, {_pick('user_id % 7', ENTITY_TYPES)} AS type, 'user' || CAST(user_id AS STRING) AS name, CASE WHEN user_id % 37 = 0 THEN 'deceased' WHEN user_id % 11 = 0 THEN 'candidate' ELSE 'active' END AS status, CAST(0.5 AS DOUBLE) + CAST(user_id % 50 AS DOUBLE) / 100 AS relevance, CAST(user_id % 10 AS DOUBLE) / 10 AS confidence, max(day(ts)) AS last_chapter FROM events GROUP BY user_id",
     "mentions": "SELECT event_id AS mention_id, user_id AS entity_id, user_id % 5 AS universe, CAST(day(ts) AS BIGINT) AS chapter_no, CAST(hour(ts) AS BIGINT) AS paragraph_index, props AS snippet, ts AS created_at FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0",
-    "ent_parts": "SELECT p_partkey AS entity_id, 1 AS universe, p_type AS type, p_name AS name, LIST(p_brand, upper(p_name)) AS aliases, p_name || ' ' || p_type || ' ' || p_brand AS description, p_retailprice / max(p_retailprice) OVER () AS relevance, p_size AS created FROM part",
+    "ent_parts": "SELECT p_partkey AS entity_id, 1 AS universe, p_type AS type, p_name AS name, LIST(p_brand, upper(p_name)) AS aliases, p_name || ' ' || p_type || ' ' || p_brand AS description, p_retailprice / (SELECT max(p_retailprice) FROM part) AS relevance, p_size AS created FROM part",
     "edges": f"SELECT src, dst, {_pick('(src + dst) % 16', RELATIONS)} AS rel_type FROM (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) AS x",
     "jobs": "SELECT o_orderkey AS job_id, o_custkey % 5 AS universe, SHA(CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING)) AS content_hash, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at FROM orders",
     "feedback": "SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'behavioural_accept' ELSE event_type END AS signal, k % 4 AS metric, k % 4 AS category, 'k' || CAST(k AS STRING) AS before, CASE WHEN k % 5 = 0 THEN 'k' || CAST(k AS STRING) ELSE 'k' || CAST(k AS STRING) || 'x' END AS after, 10 * k AS age_seconds, ts, value, user_id % 20 AS pref_id FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) AS e",
@@ -32,11 +33,23 @@ VIEWS = {
     "prefs": "SELECT s_suppkey AS pref_id, s_suppkey % 5 AS owner, CASE WHEN s_suppkey % 3 = 0 THEN 'universal' ELSE 'genre_bound' END AS scope, CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE s_nationkey % 5 END AS genre, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS confidence, least(CAST(1 AS DOUBLE), abs(s_acctbal) / 10000) AS relevance, CASE WHEN s_suppkey % 7 = 0 THEN 'archived' ELSE 'active' END AS lifecycle, s_suppkey AS created FROM supplier",
     "rec_paras": "SELECT vec_id AS para_id, vec_id % 5 AS universe, label AS chapter_id, text, embedding FROM embeddings JOIN documents ON vec_id = doc_id",
     "rec_queries": "SELECT para_id AS query_id, universe, text AS item, embedding FROM rec_paras WHERE para_id % 20 = 0",
-    "rec_entities": "SELECT p_partkey AS entity_id, p_partkey % 5 AS universe, p_name AS name, p_retailprice / max(p_retailprice) OVER () AS relevance, CASE WHEN p_size % 10 = 0 THEN 'archived' ELSE 'active' END AS status FROM part",
+    "rec_entities": "SELECT p_partkey AS entity_id, p_partkey % 5 AS universe, p_name AS name, p_retailprice / (SELECT max(p_retailprice) FROM part) AS relevance, CASE WHEN p_size % 10 = 0 THEN 'archived' ELSE 'active' END AS status FROM part",
     "rec_mentions": "SELECT DISTINCT l_orderkey AS para_id, l_partkey AS entity_id FROM lineitem JOIN rec_paras ON l_orderkey = para_id WHERE l_partkey % 5 = l_orderkey % 5",
     "rec_edges": "SELECT src, dst, rel_type FROM edges WHERE src % 5 = dst % 5",
     "rec_memories": "SELECT entity_id, universe, name AS summary, embedding FROM rec_entities JOIN embeddings ON vec_id = entity_id WHERE status = 'archived'",
     "asked": "SELECT DISTINCT l_orderkey AS chapter_id, substr(text, 1, 6) AS name FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM benchmark) AS c JOIN benchmark ON item_id = l_partkey % n",
+    "scripts": """SELECT CAST(doc_id IDIV 100 AS STRING) || '-' || CAST(doc_id % 8 AS STRING) AS script, CASE WHEN doc_id IDIV 100 % 2 = 0 THEN 'Some words before.' || {nl} || {nl} ELSE '' END || LISTAGG(
+CASE doc_id % 8 WHEN 0 THEN '## Part ' || CAST(doc_id AS STRING) WHEN 1 THEN 'Chapter ' || CAST(doc_id AS STRING) || ': onwards' WHEN 2 THEN '  CAPÍTULO ' || CAST(doc_id AS STRING)
+WHEN 3 THEN CASE doc_id % 3 WHEN 0 THEN 'XIV.' WHEN 1 THEN 'II' ELSE ' VII' END WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'Prologue: dawn' ELSE CAST(doc_id % 1000 AS STRING) || '.' || {nl} || {nl} || 'Holden Miller' END
+WHEN 5 THEN CASE doc_id % 3 WHEN 0 THEN 'Holden' WHEN 1 THEN 'The Long Road' ELSE 'Miller' || {nl} || {nl} || 'Julie' END
+WHEN 6 THEN CASE doc_id % 3 WHEN 0 THEN 'THE LONG ROAD HOME' WHEN 1 THEN 'HOLDEN' ELSE 'YES' END ELSE '' END
+|| {nl} || {nl} || replace(text, {nl}, {nl} || {nl}) || CASE WHEN doc_id % 8 = 6 THEN {nl} || {nl} || 'We saw Holden there. Yes.' ELSE '' END, {nl} || {nl}) WITHIN GROUP (ORDER BY doc_id) AS text
+FROM documents GROUP BY doc_id IDIV 100, doc_id % 8""",
+    "titled": """SELECT doc_id, CASE WHEN doc_id % 8 IN (4, 5, 6) THEN 'txt' ELSE 'md' END AS ext, CASE doc_id % 8
+WHEN 0 THEN '---' || {nl} || 'author: x' || {nl} || 'Title:  "Book ' || CAST(doc_id AS STRING) || '" ' || {nl} || '---' || {nl} || {nl} || '# Chapter One' || {nl} || text
+WHEN 1 THEN '# The Long Way ' || CAST(doc_id AS STRING) || {nl} || {nl} || '## Holden' || {nl} || {nl} || text WHEN 2 THEN '# Chapter One' || {nl} || {nl} || '# A Later Title' || {nl} || text
+WHEN 3 THEN '# ' || repeat('Long ', 40) || {nl} || text WHEN 4 THEN 'Book ' || CAST(doc_id AS STRING) || {nl} || {nl} || text WHEN 5 THEN 'Chapter One' || {nl} || {nl} || text
+WHEN 6 THEN 'The Book' || {nl} || {nl} || 'Holden' || {nl} || {nl} || 'some text here' || {nl} || {nl} || 'Miller' || {nl} || {nl} || text ELSE text END AS text FROM documents""",
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }
 #: Views whose text differs between Spark and the oracle.
@@ -45,6 +58,10 @@ OWN = {
         "SELECT universe, chapter_id, pos AS paragraph_index, part AS text FROM chapters LATERAL VIEW posexplode(split(text, '\\n')) AS pos, part WHERE trim(part) <> ''",
         "SELECT universe, chapter_id, i - 1 AS paragraph_index, parts[i] AS text FROM (SELECT universe, chapter_id, string_split(text, chr(10)) AS parts FROM chapters) AS c, unnest(range(1, len(parts) + 1)) AS u(i) WHERE trim(parts[i]) <> ''",
     ),
+    "lexicon": (
+        "SELECT item_id AS entity_id, name FROM benchmark LATERAL VIEW explode(array(split(text, ' ')[0], array_join(slice(split(text, ' '), 1, CAST(2 + item_id % 3 AS INT)), ' '), array_join(slice(split(text, ' '), 2, 5), '-'))) AS name UNION ALL SELECT 1000000 + doc_id, array_join(slice(split(text, ' '), 2, CAST(1 + doc_id % 5 AS INT)), ' ') FROM documents WHERE doc_id % 20 = 0",
+        "SELECT item_id AS entity_id, unnest([string_split(text, ' ')[1], array_to_string(string_split(text, ' ')[1:2 + item_id % 3], ' '), array_to_string(string_split(text, ' ')[2:6], '-')]) AS name FROM benchmark UNION ALL SELECT 1000000 + doc_id, array_to_string(string_split(text, ' ')[2:2 + doc_id % 5], ' ') FROM documents WHERE doc_id % 20 = 0",
+    ),
 }
 USES = {"observations": ["feedback"], "rec_queries": ["rec_paras"], "rec_mentions": ["rec_paras"], "rec_edges": ["edges"], "rec_memories": ["rec_entities"], "paragraphs": ["chapters"]}
 

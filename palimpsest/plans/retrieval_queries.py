@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..sources.scratch import keep
 from .fixtures import RELATIONS, Views, query
 from .text_queries import tok, words
 
@@ -108,6 +109,12 @@ def g10(v: Views):
     return G.delete_edges(v("edges"), v("edges").where("src % 3 = 0 AND rel_type = 'MAPS'")).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
+@query("g10_remap_nodes", "edges", "SELECT CASE WHEN src % 3 = 0 THEN src + 1 ELSE src END AS src, CASE WHEN dst % 3 = 0 THEN dst + 1 ELSE dst END AS dst, rel_type FROM edges")
+def g10c(v: Views):
+    losers = v("part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("entity_id"), (F.col("p_partkey") + 1).alias("winner"))
+    return G.remap_nodes(v("edges"), losers).select("src", "dst", "rel_type")
+
+
 @query("g10_sync_nodes", "ent_parts", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN round(relevance, 6) ELSE 0 END AS relevance, CASE WHEN entity_id % 2 = 0 THEN 'archived' ELSE 'active' END AS status FROM ent_parts")
 def g10b(v: Views):
     nodes = v("ent_parts").select("entity_id", F.lit(0.0).alias("relevance"), F.lit("active").alias("status"))
@@ -130,33 +137,33 @@ def top(left: str, right: str, item: str, k: int, own: bool = False) -> str:
 
 @query("v1_vector_topk", "query_vecs para_vecs", f"SELECT query_id, para_id, rank, round(distance, 6) AS distance FROM ({top('query_vecs', 'para_vecs', 'para_id', 10)}) AS t")
 def v1(v: Views):
-    return R.vector_topk(v("query_vecs"), v("para_vecs"), 10).select("query_id", "para_id", "rank", r6("distance"))
+    return R.vector_topk(v("query_vecs"), v("para_vecs"), 10, own=False).select("query_id", "para_id", "rank", r6("distance"))
 
 
 @query("v1_vector_topk_other_chapters", "query_vecs para_vecs", f"SELECT query_id, para_id, rank FROM ({top('query_vecs', '(SELECT * FROM para_vecs WHERE chapter_id <> 3)', 'para_id', 10)}) AS t")
 def v1b(v: Views):
-    return R.vector_topk(v("query_vecs"), v("para_vecs"), 10, exclude_chapter=3).select("query_id", "para_id", "rank")
+    return R.vector_topk(v("query_vecs"), v("para_vecs"), 10, exclude_chapter=3, own=False).select("query_id", "para_id", "rank")
 
 
 @query("v2_entity_topk", "query_vecs para_vecs", f"SELECT query_id, entity_id, rank FROM ({top('query_vecs', '(SELECT para_id AS entity_id, universe, embedding FROM para_vecs)', 'entity_id', 5)}) AS t")
 def v2(v: Views):
     ents = v("para_vecs").select(F.col("para_id").alias("entity_id"), "universe", "embedding")
-    return R.vector_topk(v("query_vecs"), ents, 5, item="entity_id").select("query_id", "entity_id", "rank")
+    return R.vector_topk(v("query_vecs"), ents, 5, item="entity_id", own=False).select("query_id", "entity_id", "rank")
 
 
 @query("v3_nearest_within", "query_vecs para_vecs", f"SELECT query_id, para_id, round(distance, 6) AS distance FROM ({top('query_vecs', 'para_vecs', 'para_id', 1)}) AS t WHERE distance <= 0.65")
 def v3(v: Views):
-    return R.nearest_within(v("query_vecs"), v("para_vecs"), 0.65).select("query_id", "para_id", r6("distance"))
+    return R.nearest_within(v("query_vecs"), v("para_vecs"), 0.65, own=False).select("query_id", "para_id", r6("distance"))
 
 
 @query("v4_memory_topk", "query_vecs rec_memories", f"SELECT query_id, entity_id, rank, round(distance, 6) AS distance FROM ({top('query_vecs', 'rec_memories', 'entity_id', 5, True)}) AS t")
 def v4(v: Views):
-    return R.vector_topk(v("query_vecs"), v("rec_memories"), 5, item="entity_id", own=True).select("query_id", "entity_id", "rank", r6("distance"))
+    return R.vector_topk(v("query_vecs"), v("rec_memories"), 5, item="entity_id").select("query_id", "entity_id", "rank", r6("distance"))
 
 
 @query("v5_ann_topk")
 def v5(v: Views):
-    return R.ann_topk(v("query_vecs"), v("para_vecs"), 10).select("query_id", "para_id", "rank", r6("distance"))
+    return R.ann_topk(v("query_vecs"), v("para_vecs"), 10, own=False).select("query_id", "para_id", "rank", r6("distance"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOP)
@@ -176,7 +183,7 @@ def rec_queries(v: Views):
 
 @query("v6_keyword_search", "rec_queries", f"WITH {_KEYWORD} SELECT query_id, para_id, rank, round(score, 6) AS score FROM kw")
 def v6(v: Views):
-    return R.keyword_search(rec_queries(v), v("rec_paras").select("para_id", "universe", "text"), 10).select("query_id", "para_id", "rank", r6("score"))
+    return R.keyword_search(rec_queries(v), v("rec_paras").select("para_id", "universe", "text"), 10, own=False).select("query_id", "para_id", "rank", r6("score"))
 
 
 @query("v7_recency", "rec_entities", "SELECT universe, entity_id, row_number() OVER (PARTITION BY universe ORDER BY relevance DESC, entity_id) AS rank FROM rec_entities WHERE status = 'active'")
@@ -204,7 +211,7 @@ _SEEDS = "seeds AS (SELECT query_id, entity_id AS seed, row_number() OVER (PARTI
 
 @query("v9_graph_seeds", "rec_queries rec_mentions", f"WITH {_HITS}, {_SEEDS} SELECT * FROM seeds")
 def v9(v: Views):
-    return R.graph_seeds(R.vector_topk(rec_queries(v), v("rec_paras"), 10), v("rec_mentions"))
+    return R.graph_seeds(R.vector_topk(rec_queries(v), v("rec_paras"), 10, own=False), v("rec_mentions"))
 
 
 _LISTS = f"""{_HITS}, {_SEEDS}, {_KEYWORD}, {_LIKED},
@@ -227,11 +234,12 @@ SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS score, arg_min(fact, o
 
 
 def context(v: Views):
-    return {"paras": v("rec_paras"), "entities": v("rec_entities"), "mentions": v("rec_mentions"), "edges": v("rec_edges"), "memories": v("rec_memories").select("entity_id", "universe", "summary", "embedding"), "preferences": R.preferences_for(v("prefs"), universes(v), 5).select("universe", "pref_id", "rank")}
+    """What recall needs, written once."""
+    return R.prepare({"paras": v("rec_paras"), "entities": v("rec_entities"), "mentions": v("rec_mentions"), "edges": v("rec_edges"), "memories": v("rec_memories").select("entity_id", "universe", "summary", "embedding"), "preferences": R.preferences_for(v("prefs"), universes(v), 5).select("universe", "pref_id", "rank")}, keep)
 
 
 def lists(v: Views):
-    return R.all_lists(rec_queries(v), context(v))
+    return R.all_lists(keep(rec_queries(v)), context(v), own=False)
 
 
 @query("v10_fuse", _REC, f"WITH {_LISTS}, {fused()} SELECT query_id, item, position, round(score, 6) AS score, fact, n_sources FROM fused")
@@ -266,7 +274,7 @@ def scores(f):
 
 @query("v13_apply_rerank", _REC, f"WITH {_LISTS}, {fused()}, {_RERANK} SELECT query_id, item, position, post, position - post AS moved FROM rr")
 def v13(v: Views):
-    f = R.fuse(lists(v))
+    f = keep(R.fuse(lists(v)))
     return R.apply_rerank(f, scores(f), 20).select("query_id", "item", "position", "post", "moved")
 
 
@@ -298,19 +306,30 @@ def v16(v: Views):
 
 @query("v17_recall", _REC, f"WITH RECURSIVE {_LISTS}, {fused()}, {fitting(2000)} SELECT query_id, item, round(score, 6) AS score, fact, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g JOIN fused USING (query_id, item, position) WHERE fits QUALIFY place <= 5")
 def v17(v: Views):
-    return R.recall(rec_queries(v), context(v), 5).select("query_id", "item", r6("score"), "fact", "place")
+    return R.recall(keep(rec_queries(v)), context(v), 5, own=False).select("query_id", "item", r6("score"), "fact", "place")
+
+
+_PLAIN = """seeds AS (SELECT query_id, entity_id AS seed FROM rec_queries JOIN rec_entities USING (universe) WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, entity_id) <= 5)"""
+
+
+@query("v17_recall_degraded", _REC, f"WITH RECURSIVE {_LISTS.replace(_SEEDS, _PLAIN)}, {fused(chr(40) + 'pipeline IN (' + ', '.join(chr(39) + p + chr(39) for p in ('graph', 'recency', 'preference')) + chr(41) + chr(41))}, {fitting(2000)} SELECT query_id, item, round(score, 6) AS score, fact, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g JOIN fused USING (query_id, item, position) WHERE fits QUALIFY place <= 5")
+def v17b(v: Views):
+    """Queries without an embedding."""
+    bare = rec_queries(v).withColumn("embedding", F.lit(None).cast("array<float>"))
+    return R.recall(keep(bare), context(v), 5, own=False).select("query_id", "item", r6("score"), "fact", "place")
 
 
 @query("v18_recall_explain", _REC, f"""WITH RECURSIVE {_LISTS}, {fused()}, {fitting(2000)}
 SELECT query_id, item, place, pipeline, rank, round(1.0::DOUBLE / (60 + rank), 6) AS delta FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g WHERE fits QUALIFY place <= 5) AS t JOIN lists USING (query_id, item)""")
 def v18(v: Views):
-    best = R.recall(rec_queries(v), context(v), 5).select("query_id", "item", "place")
-    return best.join(R.ledger(lists(v)), ["query_id", "item"]).select("query_id", "item", "place", "pipeline", "rank", r6("delta"))
+    told = keep(lists(v))
+    best = R.recall(rec_queries(v), {}, 5, lists=told).select("query_id", "item", "place")
+    return R.ledger(told).join(best.hint("merge"), ["query_id", "item"]).select("query_id", "item", "place", "pipeline", "rank", r6("delta"))
 
 
 @query("v19_format_hits", "query_vecs para_vecs", f"SELECT query_id, string_agg(rank || '. [chapter ' || chapter_id || '] ' || para_id || ' (' || printf('%.2f', 1 - distance) || ')', chr(10) ORDER BY rank) AS lines FROM ({top('query_vecs', 'para_vecs', 'para_id', 5)}) AS t GROUP BY query_id")
 def v19(v: Views):
-    hits = R.vector_topk(v("query_vecs"), v("para_vecs"), 5)
+    hits = R.vector_topk(v("query_vecs"), v("para_vecs"), 5, own=False)
     line = F.format_string("%d. [chapter %d] %d (%.2f)", "rank", "chapter_id", "para_id", 1 - F.col("distance"))
     rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("lines"))
@@ -332,7 +351,7 @@ def gold(v: Views):
 
 
 def found(v: Views):
-    return R.vector_topk(rec_queries(v), v("rec_paras"), 10).select("query_id", F.col("para_id").alias("item"), "rank")
+    return R.vector_topk(rec_queries(v), v("rec_paras"), 10, own=False).select("query_id", F.col("para_id").alias("item"), "rank")
 
 
 _JUDGED = f"{_HITS}, {_GOLD}, j AS (SELECT q.query_id, h.rank, g.para_id IS NOT NULL AS rel, coalesce(n, 0) AS n FROM rec_queries q LEFT JOIN hits h USING (query_id) LEFT JOIN gold g ON g.query_id = q.query_id AND g.para_id = h.para_id LEFT JOIN nrel USING (query_id))"
@@ -356,7 +375,7 @@ def e3(v: Views):
 
 @query("e4_expand_hits", "rec_queries rec_mentions", f"WITH {_HITS} SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), entity_id) AS rank FROM hits JOIN rec_mentions USING (para_id) GROUP BY query_id, entity_id")
 def e4(v: Views):
-    return E.expand_hits(R.vector_topk(rec_queries(v), v("rec_paras"), 10), v("rec_mentions"))
+    return E.expand_hits(R.vector_topk(rec_queries(v), v("rec_paras"), 10, own=False), v("rec_mentions"))
 
 
 def _subset(name: str, where: str) -> str:
@@ -366,7 +385,7 @@ def _subset(name: str, where: str) -> str:
 @query("e5_ablation", _REC, f"WITH {_LISTS}, {_GOLD}, {fused('pipeline = ' + chr(39) + 'vector' + chr(39), 'fv')}, {fused('pipeline = ' + chr(39) + 'keyword' + chr(39), 'fk')}, {fused('true', 'fa')} {_subset('vector', 'fv')} UNION ALL {_subset('keyword', 'fk')} UNION ALL {_subset('all', 'fa')}")
 def e5(v: Views):
     g = gold(v).select("query_id", F.concat(F.lit("p:"), F.col("item").cast("string")).alias("item"))
-    return E.ablation(lists(v), g, rec_queries(v), {"vector": ["vector"], "keyword": ["keyword"], "all": list(R.PIPELINES)})
+    return E.ablation(keep(lists(v)), g, rec_queries(v), {"vector": ["vector"], "keyword": ["keyword"], "all": list(R.PIPELINES)})
 
 
 @query("e6_paired_report", "rec_queries", f"""WITH {_JUDGED}, m AS (SELECT query_id, CASE WHEN any_value(n) > 0 THEN count(*) FILTER (rel AND rank <= 5)::DOUBLE / any_value(n) ELSE 0 END AS b, CASE WHEN any_value(n) > 0 THEN count(*) FILTER (rel AND rank <= 10)::DOUBLE / any_value(n) ELSE 0 END AS a FROM j GROUP BY query_id)

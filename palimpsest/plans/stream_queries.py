@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.consistency import fingerprint
 from ..streaming import streams as Q
 from .fixtures import Views, query
 
@@ -30,10 +31,15 @@ def q3(v: Views):
     return Q.drain(Q.per_work(events(v).select("user_id", "event_id", "ts")))
 
 
-@query("q4_relevance_stream", "mentions", "SELECT entity_id, count(*) AS mentions, round(least(1, 0.5 + 0.15::DOUBLE * count(*)), 6) AS relevance, 'active' AS status FROM mentions GROUP BY entity_id")
+@query("q4_relevance_stream", "", """
+WITH RECURSIVE e AS (SELECT user_id AS entity_id, event_type <> 'purchase' AS tick, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view' OR (event_type = 'purchase' AND event_id % 3 = 0)),
+g AS (SELECT DISTINCT entity_id, 0::BIGINT AS n, 0.5::DOUBLE AS r, 'active' AS s, 0::BIGINT AS m FROM e UNION ALL
+SELECT g.entity_id, e.n, CASE WHEN NOT tick THEN CASE WHEN s = 'archived' THEN 0.8::DOUBLE ELSE least(1, r + 0.15::DOUBLE) END WHEN s = 'active' THEN r * exp(-0.1::DOUBLE) ELSE r END,
+CASE WHEN NOT tick THEN 'active' WHEN s = 'active' AND r * exp(-0.1::DOUBLE) <= 0.15::DOUBLE THEN 'archived' ELSE s END, m + (NOT tick)::INT FROM g JOIN e ON e.entity_id = g.entity_id AND e.n = g.n + 1)
+SELECT entity_id, m AS mentions, round(r, 6) AS relevance, s AS status FROM g QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC) = 1""")
 def q4(v: Views):
-    mentions = events(v).where("event_type = 'purchase' AND event_id % 3 = 0").select(F.col("user_id").alias("entity_id"))
-    told = Q.drain(Q.relevance_stream(mentions), "update")
+    given = events(v).where("event_type = 'view' OR (event_type = 'purchase' AND event_id % 3 = 0)").select(F.col("user_id").alias("entity_id"), "ts", "event_id", (F.col("event_type") != "purchase").alias("tick"))
+    told = Q.drain(Q.relevance_stream(given), "update")
     last = told.groupBy("entity_id").agg(F.max_by(F.struct("relevance", "status", "mentions"), "_batch").alias("s"))
     return last.select("entity_id", "s.mentions", F.round("s.relevance", 6).alias("relevance"), "s.status")
 
@@ -53,10 +59,17 @@ def q6(v: Views):
     return Q.drain(Q.sessions(events(v))).select("user_id", "n", "last")
 
 
-@query("q7_behavioural_accepts", "", """
-SELECT a.event_id AS note_id, b.event_id AS edit_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'view' AND b.event_type = 'click'""")
+_PAIRS = "SELECT a.event_id AS note_id, b.event_id AS edit_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL {} WHERE a.event_type = 'view' AND b.event_type = 'click'"
+
+
+@query("q7_behavioural_accepts", "", _PAIRS.format("10 MINUTE") + " AND trim(a.props) <> '' AND a.props <> b.props")
 def q7(v: Views):
-    return Q.drain(Q.behavioural_accepts(events(v).where("event_type = 'view'"), events(v).where("event_type = 'click'")))
+    return Q.drain(Q.behavioural_accepts(events(v).where("event_type = 'view'"), events(v).where("event_type = 'click'"), text="props"))
+
+
+@query("q7_behavioural_accepts_slow", "", _PAIRS.format("6 HOUR"))
+def q7b(v: Views):
+    return Q.drain(Q.behavioural_accepts(events(v).where("event_type = 'view'"), events(v).where("event_type = 'click'"), within="6 hours"))
 
 
 @query("q8_progress", "", """
@@ -68,15 +81,11 @@ def q8(v: Views):
     return Q.progress(v("events"), 200).select("user_id", "done", F.round("seconds", 4).alias("seconds"), F.round("eta", 2).alias("eta"))
 
 
-@query("q9_alerts", "ent_users mentions", "SELECT DISTINCT entity_id FROM mentions JOIN ent_users USING (entity_id) WHERE status = 'deceased'")
+@query("q9_alerts", "ent_users mentions", """
+SELECT DISTINCT entity_id, CASE WHEN status IS NULL OR entity_id % 5 = 4 THEN 'entity_discovered' ELSE 'character_status' END AS kind, sha256(entity_id || CASE WHEN status IS NULL OR entity_id % 5 = 4 THEN 'entity_discovered' ELSE 'character_statusdeceased' END) AS fingerprint
+FROM mentions LEFT JOIN ent_users USING (entity_id) WHERE status IS NULL OR entity_id % 5 = 4 OR (status = 'deceased' AND entity_id % 2 = 1)""")
 def q9(v: Views):
-    import tempfile
-    import uuid
-
-    spark = v.spark
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="alerts-")
-    folder = f"{top.rstrip('/')}/alerts-{uuid.uuid4().hex}"
-    mentions = events(v).where("event_type = 'purchase' AND event_id % 3 = 0").select(F.col("user_id").alias("entity_id"), F.dayofmonth("ts").cast("long").alias("chapter_no"))
-    entities = v("ent_users")
-    Q.alerts(mentions, entities, lambda df, n: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("entity_id").distinct()
+    mentions = events(v).where("event_type = 'purchase' AND event_id % 3 = 0").select(F.col("user_id").alias("entity_id"))
+    known = v("ent_users").where("entity_id % 5 <> 4")
+    stored = known.where("status = 'deceased' AND entity_id % 2 = 0").select(fingerprint(F.col("entity_id"), F.lit("character_status"), F.col("status")).alias("fingerprint"))
+    return Q.drain(Q.alerts(mentions, known, stored))

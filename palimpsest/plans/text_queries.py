@@ -49,9 +49,28 @@ def s4(v: Views):
     return T.job_view(v("jobs")).select("job_id", "universe", "status", "place", F.to_date("started_at").alias("started"), F.to_date("completed_at").alias("completed"))
 
 
-@query("s5_infer_title", "manuscripts", "SELECT manuscript, '' AS title FROM manuscripts")
+def clean(x: str) -> str:
+    out = f"""regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g')"""
+    return f"CASE WHEN length({out}) <= 160 THEN {out} ELSE '' END"
+
+
+def is_chapter(x: str) -> str:
+    return f"(starts_with(lower({x}), 'chapter ') OR starts_with(lower({x}), 'capítulo ') OR starts_with(lower({x}), 'capitulo '))"
+
+
+_CASED = r"'^\s*\p{Lu}\p{Ll}*(\s+\p{Lu}\p{Ll}*){0,7}\s*$'"
+
+
+@query("s5_infer_title", "titled", rf"""
+WITH b AS (SELECT doc_id, ext, list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM titled),
+m AS (SELECT *, CASE WHEN l[1] = '---' THEN list_filter(l[2:CASE WHEN list_position(l[2:], '---') > 0 THEN list_position(l[2:], '---') ELSE len(l) END], lambda x: contains(x, ':') AND lower(trim(split_part(x, ':', 1))) = 'title')[1] END AS named,
+  {clean("substr(list_filter(l, lambda x: starts_with(x, '# '))[1], 3)")} AS h1, {clean('l[1]')} AS first FROM b),
+h AS (SELECT doc_id, count(*) AS heads FROM (SELECT doc_id, i, l, CASE WHEN regexp_matches(l[i], '^#{{1,3}} ') THEN {clean("regexp_replace(l[i], '^#{1,3} ', '')")} ELSE l[i] END AS name FROM b, unnest(range(1, len(l) + 1)) AS u(i)) AS x
+  WHERE regexp_matches(name, {_CASED}) AND NOT {is_chapter('name')} AND (regexp_matches(l[i], '^#{{1,3}} ') OR ((i = 1 OR l[i - 1] = '') AND coalesce(l[i + 1], '') = '')) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN ext = 'md' THEN CASE WHEN named IS NOT NULL THEN {clean("substr(named, strpos(named, ':') + 1)")} WHEN h1 IS NULL OR {is_chapter('h1')} THEN '' ELSE h1 END
+  WHEN len(l) > 1 AND l[2] = '' AND NOT {is_chapter('first')} AND coalesce(heads, 0) < 2 THEN first ELSE '' END AS title FROM m LEFT JOIN h USING (doc_id)""")
 def s5(v: Views):
-    return T.infer_title(v("manuscripts")).select("manuscript", "title")
+    return T.infer_title(v("titled"), ext="ext").select("doc_id", "title")
 
 
 @query("s6_html_to_markdown")
@@ -86,26 +105,54 @@ def s10(v: Views):
     return T.upsert(base, updates, ["para_id"])
 
 
-@query("t1_heading_lines", "manuscripts", r"""
-SELECT manuscript, i - 1 AS line_no, l[i] AS line, 'markdown' AS class FROM (SELECT manuscript, string_split(text, chr(10)) AS l FROM manuscripts) AS x, unnest(range(1, len(l) + 1)) AS u(i)
-WHERE regexp_matches(l[i], '^#{1,3}\s+\S.*$')""")
+_NUMBERS = (S._ENGLISH, S._SPANISH)
+_HEADS = rf"""l AS (SELECT script, i AS n, x[i] AS line, regexp_replace(x[i], '^\s+|\s+$', '', 'g') AS t FROM (SELECT script, string_split(text, chr(10)) AS x FROM scripts) AS s, unnest(range(1, len(x) + 1)) AS u(i)),
+c AS (SELECT *, strlen(t) BETWEEN 3 AND 60 AND NOT regexp_matches(t, '[.!?"»,;:]$') AND NOT regexp_matches(t, '\p{{Ll}}') AND regexp_matches(t, '(\p{{Lu}}[^\p{{Lu}}]*){{3}}') AS cap,
+  regexp_matches(line, '^[ \t]*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)[ \t]*$') AS cased, regexp_matches(t, '^\p{{Lu}}\p{{Ll}}*(\s+\p{{Lu}}\p{{Ll}}*){{0,7}}$') AS proper, regexp_matches(t, '^\d{{1,4}}\.?$') AS bare FROM l),
+d AS (SELECT *, last_value(CASE WHEN t <> '' THEN {{'cased': cased, 'bare': bare}} END IGNORE NULLS) OVER (PARTITION BY script ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+  first_value(CASE WHEN t <> '' THEN proper END IGNORE NULLS) OVER (PARTITION BY script ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next,
+  coalesce(lag(t) OVER w, '') = '' AND coalesce(lead(t) OVER w, '') = '' AS alone FROM c WINDOW w AS (PARTITION BY script ORDER BY n)),
+k AS (SELECT DISTINCT script, unnest(list_filter(string_split_regex(s, '[^\p{{L}}]+'), lambda x: x <> '')[2:]) AS name FROM (SELECT script, unnest(string_split_regex(line, '[.!?]')) AS s FROM c WHERE NOT cap) AS p),
+h AS (SELECT d.script, n, line, t, cased, bare, [
+  regexp_matches(line, '^#{{1,3}} (.+)$'), regexp_matches(line, '(?i)^[ \t]*(chapter[ \t]+(?:\d+|[ivxlc]+|{_NUMBERS[0]})\b.*)$'), regexp_matches(line, '(?i)^[ \t]*(cap[ií]tulo[ \t]+(?:\d+|[ivxlc]+|{_NUMBERS[1]})\b.*)$'),
+  regexp_matches(line, '^[ \t]*([IVXLC]{{1,7}}\.?)[ \t]*$'), regexp_matches(t, '(?i)^(pr[oó]logo|prologue|ep[ií]logo|epilogue)(\s*:\s*.+)?$') OR (bare AND coalesce(next, false)), cased AND NOT coalesce(prev.cased, false),
+  cap AND (length(t) >= 10 OR name IS NOT NULL) AND (strlen(t) >= 10 OR alone)] AS heads, proper AND coalesce(prev.bare, false) AS tail
+  FROM d LEFT JOIN k ON k.script = d.script AND k.name = upper(substr(t, 1, 1)) || lower(substr(t, 2)) AND cap AND length(t) < 10 AND NOT contains(t, ' '))"""
+_CLASSES = "['" + "', '".join(S.CLASSES) + "']"
+
+
+@query("t1_heading_lines", "scripts", f"WITH {_HEADS} SELECT script, n - 1 AS line_no, line, {_CLASSES}[i] AS class FROM h, unnest(range(1, 8)) AS u(i) WHERE heads[i]")
 def t1(v: Views):
-    return S.heading_lines(v("manuscripts"), "manuscript").where("class = 'markdown'")
+    return S.heading_lines(v("scripts"), "script")
+
 
+def packed(source: str, most: int, between: str) -> str:
+    """Greedy packing of ``text`` by ``id``, by recursion over its paragraphs."""
+    return rf"""pt AS (SELECT id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM {source}),
+pp AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS k, p FROM (SELECT id, i, regexp_replace(x[i], '^\s+|\s+$', '', 'g') AS p FROM (SELECT id, string_split(body, {between}) AS x FROM pt WHERE strlen(body) > {most}) AS s, unnest(range(1, len(x) + 1)) AS u(i)) AS q WHERE p <> ''),
+pg AS (SELECT id, k, p, 0 AS part, strlen(p) AS size FROM pp WHERE k = 1 UNION ALL
+SELECT pp.id, pp.k, pp.p, CASE WHEN size + strlen(pp.p) > {most} THEN part + 1 ELSE part END, CASE WHEN size + strlen(pp.p) > {most} THEN strlen(pp.p) ELSE size + strlen({between}) + strlen(pp.p) END FROM pg JOIN pp ON pp.id = pg.id AND pp.k = pg.k + 1),
+packed AS (SELECT id, 0 AS part, 'Untitled' AS title, body FROM pt WHERE body <> '' AND strlen(body) <= {most} UNION ALL SELECT id, part, 'Part ' || (part + 1), string_agg(p, {between} ORDER BY k) FROM pg GROUP BY id, part)"""
 
-@query("t2_split_chapters", "manuscripts", r"""
-WITH l AS (SELECT manuscript, i AS n, l[i] AS line FROM (SELECT manuscript, string_split(text, chr(10)) AS l FROM manuscripts) AS x, unnest(range(1, len(l) + 1)) AS u(i)),
-h AS (SELECT *, regexp_matches(line, '^#{1,3}\s+\S.*$') AS head FROM l),
-s AS (SELECT *, CAST(sum(head::INT) OVER (PARTITION BY manuscript ORDER BY n) AS BIGINT) AS seq, sum(head::INT) OVER (PARTITION BY manuscript) AS c FROM h)
-SELECT manuscript, seq, coalesce(max(CASE WHEN head THEN trim(regexp_replace(line, '^\s*#{1,3}\s+', '')) END), 'Front Matter') AS title,
-       regexp_replace(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS body
-FROM s WHERE c BETWEEN 2 AND 500 GROUP BY manuscript, seq HAVING body <> ''""")
+
+_NL2 = "chr(10) || chr(10)"
+
+
+@query("t2_split_chapters", "scripts", rf"""
+WITH RECURSIVE {_HEADS},
+n AS (SELECT script, [count(*) FILTER (heads[1]), count(*) FILTER (heads[2]), count(*) FILTER (heads[3]), count(*) FILTER (heads[4]), count(*) FILTER (heads[5]), count(*) FILTER (heads[6]), count(*) FILTER (heads[7])] AS n FROM h GROUP BY script),
+z AS (SELECT script, list_filter(range(1, 8), lambda i: n[i] BETWEEN CASE i WHEN 5 THEN 1 ELSE 2 END AND 500)[1] AS z FROM n),
+q AS (SELECT h.*, z, count(*) FILTER (heads[z]) OVER (PARTITION BY script ORDER BY n) AS seq, heads[z] OR (z = 5 AND tail) OR (z = 6 AND cased) AS inside FROM h JOIN z USING (script) WHERE z IS NOT NULL),
+e AS (SELECT *, seq > 0 AND n <= max(CASE WHEN inside THEN n END) OVER (PARTITION BY script, seq) AS head FROM q),
+parts AS (SELECT script, seq, CASE WHEN seq = 0 THEN 'Front Matter' ELSE regexp_replace(coalesce(string_agg(CASE WHEN z = 1 THEN regexp_replace(line, '^#+ ', '') WHEN z = 5 AND bare THEN NULL ELSE line END, chr(10) ORDER BY n) FILTER (head), ''), '^\s+|\s+$', '', 'g') END AS title,
+  regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT coalesce(head, false)), ''), '^\s+|\s+$', '', 'g') AS body FROM e GROUP BY script, seq),
+rest AS (SELECT script AS id, text FROM scripts JOIN z USING (script) WHERE z IS NULL), {packed('rest', 2000, _NL2)}
+SELECT script, seq, title, body FROM parts WHERE body <> '' UNION ALL SELECT id, part, title, body FROM packed""")
 def t2(v: Views):
-    some = S.heading_lines(v("manuscripts"), "manuscript").where("class = 'markdown'").groupBy("manuscript").count().where("count >= 2")
-    return S.split_chapters(v("manuscripts").join(some.select("manuscript"), "manuscript", "left_semi"), "manuscript")
+    return S.split_chapters(v("scripts"), "script", most=2000)
 
 
-@query("t3_pack_paragraphs")
+@query("t3_pack_paragraphs", "chapters", f"WITH RECURSIVE c AS (SELECT chapter_id AS id, text FROM chapters), {packed('c', 2000, 'chr(10)')} SELECT id AS chapter_id, part, title, body FROM packed")
 def t3(v: Views):
     return S.pack_paragraphs(v("chapters"), "chapter_id", most=2000, between="\n")
 
@@ -136,19 +183,29 @@ def t7(v: Views):
     return v("paragraphs").select("chapter_id", "paragraph_index", X.snippet(F.col("text"), F.floor(F.char_length("text") / 2).cast("int")).alias("snippet"))
 
 
-@query("t8_match_gazetteer", "paragraphs", f"""
-WITH names AS (SELECT lower(w[1]) AS norm, min(item_id) AS entity_id FROM (SELECT item_id, {words('text')} AS w FROM benchmark) b GROUP BY 1),
-p AS (SELECT chapter_id * 100000 + paragraph_index AS para, {words('text')} AS w FROM paragraphs)
-SELECT para, entity_id, i - 1 AS start, 1 AS words, w[i] AS form FROM p, unnest(range(1, len(w) + 1)) AS u(i) JOIN names ON norm = lower(w[i])""")
+_PIECE = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]'".replace("\\\\", "\\")
+
+
+def is_word(x: str) -> str:
+    return rf"coalesce(regexp_matches({x}, '^[\p{{L}}\p{{N}}_]'), false)"
+
+
+@query("t8_match_gazetteer", "paragraphs lexicon", rf"""
+WITH RECURSIVE k AS (SELECT min(entity_id) AS entity_id, regexp_extract_all(norm, {_PIECE}) AS b FROM (SELECT entity_id, lower(regexp_replace(name, '^\s+|\s+$', '', 'g')) AS norm FROM lexicon) AS x WHERE norm <> '' GROUP BY norm),
+p AS (SELECT chapter_id * 100000 + paragraph_index AS para, text, regexp_extract_all(lower(text), {_PIECE}) AS w FROM paragraphs),
+best AS (SELECT para, i, i + len(b) AS e, entity_id FROM p, unnest(range(1, len(w) + 1)) AS u(i) JOIN k ON b[1] = w[i] WHERE w[i:i + len(b) - 1] = b AND NOT (i > 1 AND {is_word('w[i - 1]')}) AND NOT {is_word('w[i + len(b)]')} QUALIFY row_number() OVER (PARTITION BY para, i ORDER BY len(b) DESC) = 1),
+g AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY para ORDER BY i) = 1 UNION ALL
+SELECT para, i, e, entity_id FROM (SELECT best.*, row_number() OVER (PARTITION BY best.para ORDER BY best.i) AS n FROM g JOIN best ON best.para = g.para AND best.i > g.e) AS x WHERE n = 1),
+s AS (SELECT para, entity_id, length(array_to_string(w[1:i - 1], '')) AS start, length(array_to_string(w[1:e - 1], '')) AS "end", text FROM g JOIN p USING (para))
+SELECT para, entity_id, start, "end", substr(text, start + 1, "end" - start) AS form FROM s""")
 def t8(v: Views):
-    names = v("benchmark").select(F.col("item_id").alias("entity_id"), F.get(X.tokens(F.col("text")), 0).alias("name"))
     paras = v("paragraphs").select((F.col("chapter_id") * 100000 + F.col("paragraph_index")).alias("para"), "text")
-    return S.match_gazetteer(paras, names, "para", most_words=2)
+    return S.match_gazetteer(paras, v("lexicon"), "para")
 
 
 @query("t9_truncate_to_tokens", "paragraphs", f"""
 WITH p AS (SELECT chapter_id, paragraph_index, text, sum({tok('text')}) OVER w AS used, row_number() OVER w AS n FROM paragraphs WINDOW w AS (PARTITION BY chapter_id ORDER BY paragraph_index))
-SELECT chapter_id, paragraph_index, CASE WHEN used <= 100 THEN text ELSE substr(text, 1, 399) END AS text FROM p WHERE used <= 100 OR n = 1""")
+SELECT chapter_id, paragraph_index, CASE WHEN used <= 100 THEN text ELSE substr(text, 1, list_max(list_filter(range(99, 400), lambda i: strlen(substr(text, 1, i)) <= 399))) END AS text FROM p WHERE used <= 100 OR n = 1""")
 def t9(v: Views):
     return S.truncate_to_tokens(v("paragraphs").select("chapter_id", "paragraph_index", "text"), "chapter_id", "paragraph_index", 100)
 
@@ -290,6 +347,13 @@ def x3(v: Views):
     return good.withColumn("reason", F.lit("ok")).unionByName(bad).groupBy("rel_type", "reason").agg(F.count("*").alias("n"))
 
 
+@query("x3_validate_entities", "", f"SELECT reason, type, count(*) AS n FROM (SELECT CASE p_partkey % 7 {' '.join(f'WHEN {i} THEN {chr(39)}{t}{chr(39)}' for i, t in enumerate(ENTITY_TYPES))} END AS type, CASE WHEN p_partkey % 6 = 0 THEN 'empty name' WHEN p_partkey % 7 >= 5 THEN 'unknown type' ELSE 'ok' END AS reason FROM part) AS x GROUP BY ALL")
+def x3b(v: Views):
+    given = P.flatten_extractions(extractions(v), "p_partkey", "raw").withColumn("name", F.when(F.col("p_partkey") % 6 != 0, F.col("name")).otherwise("  "))
+    good, bad = P.validate_entities(given, ENTITY_TYPES[:5])
+    return good.withColumn("reason", F.lit("ok")).unionByName(bad).groupBy("reason", "type").agg(F.count("*").alias("n"))
+
+
 @query("x4_gate", "", f"WITH x AS ({_X1}), y AS (SELECT p_partkey, least(coalesce(confidence, 1), 1) AS confidence FROM x) SELECT p_partkey, confidence, CASE WHEN confidence < 0.7::DOUBLE THEN 'candidate' ELSE 'active' END AS status FROM y")
 def x4(v: Views):
     return P.gate(P.flatten_extractions(extractions(v), "p_partkey", "raw")).select("p_partkey", "confidence", "status")

@@ -63,15 +63,46 @@ def export_works(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("work").agg(body.alias("markdown")).select("work", name.alias("filename"), F.concat(F.lit("# "), F.col("work"), F.lit("\n\n"), F.col("markdown")).alias("markdown"))
 
 
-def infer_title(df: DataFrame, text: str = "text") -> DataFrame:
-    """Title: front-matter ``title:``, else the first H1 that is no chapter heading, else a short first line; 160 characters at most."""
-    front = F.regexp_extract(text, r"(?s)\A---\n(?:.*?\n)?title:[ \t]*([^\n]+)\n", 1)
-    heads = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^# +\S") & ~x.rlike(r"(?i)^# +(chapter|cap[ií]tulo)\b"))
-    h1 = F.coalesce(F.regexp_replace(F.get(heads, 0), "^# +", ""), F.lit(""))
-    first = F.trim(F.get(F.split(text, "\n"), 0))
-    alone = F.when(~first.startswith("#") & (F.trim(F.coalesce(F.get(F.split(text, "\n"), 1), F.lit(""))) == "") & (F.char_length(first) <= 160), first)
-    pick = F.coalesce(F.when(front != "", front), F.when(h1 != "", h1), alone, F.lit(""))
-    return df.withColumn("title", F.substring(F.trim(pick), 1, 160))
+#: Characters of a title at most, and words of a title-case heading.
+TITLE_CHARS, TITLE_WORDS = 160, 8
+
+
+def _clean(value: Column) -> Column:
+    """Without blanks and quotation marks around it; empty if it is too long for a title."""
+    out = F.regexp_replace(F.regexp_replace(value, r"^\s+|\s+$", ""), "^[\"']+|[\"']+$", "")
+    return F.when(F.char_length(out) <= TITLE_CHARS, out).otherwise("")
+
+
+def _is_chapter(value: Column) -> Column:
+    return F.lower(F.trim(value)).rlike("^(chapter|capítulo|capitulo) ")
+
+
+def markdown_title(text: Column) -> Column:
+    """The front matter's title; else the first H1, unless it is a chapter's."""
+    body = F.regexp_replace(text, r"^\s+|\s+$", "")
+    front = F.regexp_extract(body, r"(?s)\A---\r?\n(.*?)(?:\n[ \t]*---[ \t]*\r?(?:\n|\z)|\z)", 1)
+    named = F.get(F.filter(F.split(front, "\n"), lambda x: x.rlike(r"(?i)^\s*title\s*:")), 0)
+    head = F.get(F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.startswith("# ")), 0)
+    h1 = _clean(F.substring(head, 3, 1 << 30))
+    return F.when(named.isNotNull(), _clean(F.regexp_replace(named, r"^[^:]*:", ""))).when(head.isNull() | _is_chapter(h1), "").otherwise(h1)
+
+
+def plain_title(text: Column) -> Column:
+    """The first line if a blank one follows, it is no chapter's, and no two title-case headings stand in the text."""
+    told = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    blank = lambda i: F.coalesce(F.get(told, i), F.lit("")) == ""
+    marked = lambda x: x.rlike("^#{1,3} ")
+    name = lambda x: F.when(marked(x), _clean(F.regexp_replace(x, "^#{1,3} ", ""))).otherwise(x)
+    cased = lambda x: name(x).rlike(rf"^\s*\p{{Lu}}\p{{Ll}}*(\s+\p{{Lu}}\p{{Ll}}*){{0,{TITLE_WORDS - 1}}}\s*$") & ~_is_chapter(name(x))
+    heads = F.filter(told, lambda x, i: cased(x) & (marked(x) | (F.when(i > 0, blank(i - 1)).otherwise(True) & blank(i + 1))))
+    first = _clean(F.get(told, 0))
+    return F.when((F.size(told) > 1) & blank(F.lit(1)) & ~_is_chapter(first) & (F.size(heads) < 2), first).otherwise("")
+
+
+def infer_title(df: DataFrame, text: str = "text", ext: str | None = None) -> DataFrame:
+    """With ``title``: by the rule of Markdown, or of plain text where ``ext`` says txt; empty if there is none."""
+    t = F.col(text)
+    return df.withColumn("title", markdown_title(t) if ext is None else F.when(F.lower(ext) == "txt", plain_title(t)).otherwise(markdown_title(t)))
 
 
 def latest(keys: list[str], order: list[Column]) -> Column:

@@ -5,19 +5,19 @@ State is bounded by a watermark or kept per key in the RocksDB store; what a job
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.lifecycle import BUMP, REACTIVATED
+from ..operators.lifecycle import ARCHIVE_AT, BUMP, DECAY, REACTIVATED
+from ..sources.scratch import scratch_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EWMA_NEW = 0.35
+EWMA_NEW, FADE = 0.35, math.exp(-DECAY)
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -67,15 +67,20 @@ def per_work(stream: DataFrame) -> DataFrame:
 
 
 class _Relevance(StatefulProcessor):
-    """Score and status of an entity after each batch of its mentions."""
+    """Score and status of an entity after each batch of its mentions and ticks."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("now", "relevance double, status string, mentions bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         score, status, n = self.now.get() if self.now.exists() else (0.5, "active", 0)
-        for _ in range(sum(len(r) for r in rows)):
-            score, status, n = (REACTIVATED if status == "archived" else min(1.0, score + BUMP)), "active", n + 1
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for tick in batch["tick"]:
+            if not tick:
+                score, status, n = (REACTIVATED if status == "archived" else min(1.0, score + BUMP)), "active", n + 1
+            elif status == "active":
+                score *= FADE
+                status = "archived" if score <= ARCHIVE_AT else status
         self.now.update((float(score), status, int(n)))
         yield pd.DataFrame({"entity_id": [key[0]], "relevance": [float(score)], "status": [status], "mentions": [int(n)]})
 
@@ -83,9 +88,13 @@ class _Relevance(StatefulProcessor):
         pass
 
 
-def relevance_stream(mentions: DataFrame) -> DataFrame:
-    """Running relevance of each entity, one row for each batch that mentions it."""
-    return mentions.groupBy("entity_id").transformWithStateInPandas(_Relevance(), "entity_id bigint, relevance double, status string, mentions bigint", "update", "none")
+def relevance_stream(events: DataFrame) -> DataFrame:
+    """Running relevance of each entity, one row for each batch that has any of its events.
+
+    An event (entity_id, ts, event_id, tick) is a mention, which raises or brings back, or a tick without one, which fades
+    and archives at the threshold.
+    """
+    return events.select("entity_id", "ts", "event_id", "tick").groupBy("entity_id").transformWithStateInPandas(_Relevance(), "entity_id bigint, relevance double, status string, mentions bigint", "update", "none")
 
 
 def telemetry_stream(events: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -101,11 +110,14 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") ->
     return told.agg(F.count("*").alias("n"), F.max_by("props", "ts").alias("last")).select("user_id", F.col("session_window.start").alias("start"), "n", "last")
 
 
-def behavioural_accepts(notes: DataFrame, edits: DataFrame, within: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    """(note_id, edit_id): a note, and an edit of the same user that follows it in time."""
-    a = notes.select(F.col("event_id").alias("note_id"), "user_id", F.col("ts").alias("note_ts")).withWatermark("note_ts", delay)
-    b = edits.select(F.col("event_id").alias("edit_id"), F.col("user_id").alias("edit_user"), F.col("ts").alias("edit_ts")).withWatermark("edit_ts", delay)
+def behavioural_accepts(notes: DataFrame, edits: DataFrame, within: str = "10 minutes", delay: str = "1 hour", text: str | None = None) -> DataFrame:
+    """(note_id, edit_id): a note, and an edit of the same user that follows it in time; with ``text``, one that changed that column, which was not blank before."""
+    told = [F.col(text).alias(n) if text else F.lit(None).cast("string").alias(n) for n in ("before", "after")]
+    a = notes.select(F.col("event_id").alias("note_id"), "user_id", F.col("ts").alias("note_ts"), told[0]).withWatermark("note_ts", delay)
+    b = edits.select(F.col("event_id").alias("edit_id"), F.col("user_id").alias("edit_user"), F.col("ts").alias("edit_ts"), told[1]).withWatermark("edit_ts", delay)
     on = (F.col("user_id") == F.col("edit_user")) & (F.col("edit_ts") >= F.col("note_ts")) & (F.col("edit_ts") <= F.col("note_ts") + F.expr(f"interval {within}"))
+    if text:
+        on = on & (F.trim("before") != "") & (F.col("before") != F.col("after"))
     return a.join(b, on).select("note_id", "edit_id")
 
 
@@ -119,23 +131,25 @@ def progress(events: DataFrame, total: int) -> DataFrame:
     return told.select("user_id", done.alias("done"), F.round(fold, 6).alias("seconds"), F.when(done * 10 >= total, F.round(fold * F.greatest(F.lit(total) - done, F.lit(0)), 6)).alias("eta"))
 
 
-def alerts(stream: DataFrame, entities: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Each batch's contradictions, as they appear, handed to a sink with the batch number."""
-    from ..operators.consistency import check_deceased, fingerprint
+def alerts(mentions: DataFrame, entities: DataFrame, stored: DataFrame) -> DataFrame:
+    """(entity_id, kind, fingerprint) as they appear: mentions of deceased entities whose contradiction is not stored, and of entities that are not known.
 
-    def handle(batch: DataFrame, number: int) -> None:
-        seen = batch.groupBy("entity_id").agg(F.min("chapter_no").alias("chapter_no"))
-        found = check_deceased(entities.withColumnRenamed("status", "previous_status").join(seen, "entity_id"))
-        sink(found.withColumn("fingerprint", fingerprint(F.col("entity_id"), F.col("kind"), F.col("evidence_a"))), number)
+    Each is told once; the stream keeps the fingerprints that it has told.
+    """
+    from ..operators.consistency import fingerprint
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    seen = mentions.select("entity_id")
+    known = entities.select("entity_id", "status")
+    told = seen.join(known, "entity_id", "left")
+    kind = F.when(F.col("status").isNull(), "entity_discovered").when(F.col("status") == "deceased", "character_status")
+    found = told.withColumn("kind", kind).where("kind IS NOT NULL").select("entity_id", "kind", fingerprint(F.col("entity_id"), F.col("kind"), F.coalesce("status", F.lit(""))).alias("fingerprint"))
+    return found.join(stored.select("fingerprint").distinct(), "fingerprint", "left_anti").select("entity_id", "kind", "fingerprint").dropDuplicates(["fingerprint"])
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream emits from what its source holds now, as a table; append output goes through Parquet files."""
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:

@@ -54,9 +54,12 @@ def test_manuscript_files(spark, tmp_path):
 
 
 def test_titles(spark):
-    rows = [(1, "---\ntitle: My Book\n---\n# Other"), (2, "# Chapter 1\n\n# Real Title\n"), (3, "A First Line\n\ntext"), (4, "two\nlines"), (5, "")]
-    got = [r.title for r in infer_title(spark.createDataFrame(rows, "id int, text string")).orderBy("id").collect()]
-    assert got == ["My Book", "Real Title", "A First Line", "", ""]
+    rows = [
+        (1, "---\nTitle: 'My Book'\n---\n# Other", "md", "My Book"), (2, "# Chapter 1\n\n# Real Title\n", "md", ""), (3, "A First Line\n\ntext", "txt", "A First Line"), (4, "two\nlines", "txt", ""), (5, "", "md", ""),
+        (6, "# " + "long " * 40, "md", ""), (7, "# The Way Home\n\n## Holden\n\n## Miller", "md", "The Way Home"), (8, "Chapter One\n\nText", "txt", ""), (9, "The Book\n\nHolden\n\ntext of it\n\nMiller\n\nmore", "txt", ""), (10, "---\r\nauthor: x\r\n---\r\n# Home", "md", "Home"),
+    ]
+    got = [r.title for r in infer_title(spark.createDataFrame(rows, "id int, text string, ext string, want string"), ext="ext").orderBy("id").collect()]
+    assert got == [r[3] for r in rows]
 
 
 def test_style_of_one_sentence(spark):
@@ -92,7 +95,7 @@ def test_ledger_adds_up_to_the_score(views):
 
 
 def test_recall_comes_from_the_lists(views):
-    got = V.recall(RQ.rec_queries(views), RQ.context(views), 5)
+    got = V.recall(RQ.rec_queries(views), RQ.context(views), 5, own=False)
     assert got.join(RQ.lists(views), ["query_id", "item"], "left_anti").count() == 0
     assert got.groupBy("query_id").agg(F.max("place").alias("n")).where("n > 5").count() == 0
 

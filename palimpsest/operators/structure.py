@@ -183,7 +183,7 @@ def match_gazetteer(paras: DataFrame, names: DataFrame, key: str) -> DataFrame:
     order = lambda p: F.struct(p["i"].alias("i"), (-p["n"]).alias("n"), p["entity_id"].alias("entity_id"))
     sorted_ = F.array_sort(F.transform(F.filter("places", lambda p: holds(p) & free(p)), order))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,n:int,entity_id:bigint>>").alias("kept"))
-    keep = lambda a, p: F.when((p["i"] == 0) | (p["i"] > a["end"]), F.struct((p["i"] - p["n"]).alias("end"), F.array_append(a["kept"], F.struct(p["i"].alias("i"), (-p["n"]).alias("n"), p["entity_id"].cast("bigint").alias("entity_id"))).alias("kept"))).otherwise(a)
+    keep = lambda a, p: F.when((p["i"] > a["end"]) | ((p["i"] == 0) & (a["end"] == 0)), F.struct((p["i"] - p["n"]).alias("end"), F.array_append(a["kept"], F.struct(p["i"].alias("i"), (-p["n"]).alias("n"), p["entity_id"].cast("bigint").alias("entity_id"))).alias("kept"))).otherwise(a)
     kept = both.select(key, "text", "w", F.explode(F.aggregate(sorted_, start, keep, lambda a: a["kept"])).alias("p"))
     length = lambda n: F.char_length(F.array_join(F.slice("w", F.lit(1), n), ""))
     told = kept.select(key, F.col("p.entity_id").alias("entity_id"), length(F.col("p.i")).cast("long").alias("start"), length(F.col("p.i") + F.col("p.n")).cast("long").alias("end"), "text")

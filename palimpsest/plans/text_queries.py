@@ -90,10 +90,10 @@ def s8(v: Views):
 
 
 @query("s9_export_works", "chapters", r"""
-SELECT work, regexp_replace(lower(work), '[^a-z0-9]+', '-', 'g') || '.md' AS filename,
-       '# ' || work || chr(10) || chr(10) || string_agg('## Chapter ' || order_index || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY order_index) AS markdown FROM chapters GROUP BY work""")
+SELECT work, order_index // 5 AS part, regexp_replace(lower(work), '[^a-z0-9]+', '-', 'g') || '.md' AS filename,
+       CASE WHEN order_index // 5 = 0 THEN '# ' || work ELSE '' END || chr(10) || chr(10) || string_agg('## Chapter ' || order_index || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY order_index) AS markdown FROM chapters GROUP BY work, order_index // 5""")
 def s9(v: Views):
-    return T.export_works(v("chapters"))
+    return T.export_works(v("chapters"), 5)
 
 
 @query("s10_upsert", "para_vecs", """

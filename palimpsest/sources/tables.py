@@ -55,12 +55,23 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "version")
 
 
-def export_works(chapters: DataFrame) -> DataFrame:
-    """(work, filename, markdown): the chapters of each work in order under second-level headings."""
+#: Chapters in one exported part: a work of any length is a sequence of parts, so no row grows with it.
+PART_CHAPTERS = 100
+
+
+def export_works(chapters: DataFrame, size: int = PART_CHAPTERS) -> DataFrame:
+    """(work, part, filename, markdown): chapters in order under second-level headings, in parts that make the file one after another.
+
+    The first part begins with the work's name, later ones with the blank line that parts them from the one before. Chapters are
+    numbered by ``order_index`` without gaps.
+    """
     parts = F.array_sort(F.collect_list(F.struct("order_index", "text")))
     body = F.array_join(F.transform(parts, lambda c: F.concat(F.lit("## Chapter "), c["order_index"].cast("string"), F.lit("\n\n"), c["text"])), "\n\n")
     name = F.concat(F.regexp_replace(F.lower("work"), "[^a-z0-9]+", "-"), F.lit(".md"))
-    return chapters.groupBy("work").agg(body.alias("markdown")).select("work", name.alias("filename"), F.concat(F.lit("# "), F.col("work"), F.lit("\n\n"), F.col("markdown")).alias("markdown"))
+    part = F.floor(F.col("order_index") / size).cast("long")
+    told = chapters.groupBy("work", part.alias("part")).agg(body.alias("markdown"))
+    lead = F.when(F.col("part") == 0, F.concat(F.lit("# "), F.col("work"), F.lit("\n\n"))).otherwise(F.lit("\n\n"))
+    return told.select("work", "part", name.alias("filename"), F.concat(lead, "markdown").alias("markdown"))
 
 
 #: Characters of a title at most, and words of a title-case heading.

@@ -20,6 +20,8 @@ from .graph import cocitation
 RRF = 60
 PIPELINES = ("vector", "graph", "recency", "keyword", "consolidated", "preference")
 SEEDS = 5
+#: Items of a query that recall tries first.
+HEAD = 200
 #: Words that a keyword query leaves out (fixed values).
 STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
@@ -197,14 +199,28 @@ def flag_fit(fused: DataFrame, budget: int) -> DataFrame:
     return fit_flags(told, ["query_id"], ["position"], "tokens", budget)
 
 
-def recall(queries: DataFrame, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None, own: bool = True, lists: DataFrame | None = None) -> DataFrame:
-    """Hybrid recall of all queries in one plan: six ranked lists (or those given), fusion, rerank, fit, first k that fit."""
+def recall(queries: DataFrame, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None, own: bool = True, lists: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Hybrid recall of all queries in one plan: six ranked lists (or those given), fusion, rerank, fit, first k that fit.
+
+    With ``keep``, which writes a table and reads it back, only the first HEAD items of a query are tried, and all of those queries
+    that are not done by then; the result is the same.
+    """
     fused = fuse(all_lists(queries, ctx, own=own) if lists is None else lists, names)
     if scores is not None:
         moved = apply_rerank(fused, scores, 20)
         fused = fused.join(moved.select("query_id", "item", "post"), ["query_id", "item"], "left").withColumn("position", F.coalesce("post", "position")).drop("post")
-    fit = flag_fit(fused, budget).where("fits")
-    return fit.withColumn("place", nth(["query_id"], "position")).where(F.col("place") <= k)
+    first = lambda df: flag_fit(df, budget).where("fits").withColumn("place", nth(["query_id"], "position")).where(F.col("place") <= k)
+    if keep is None:
+        return first(fused)
+    # whether an item fits depends on those before it only: most queries are done long before their lists end
+    fused = keep(fused)
+    found = keep(first(fused.where(F.col("position") <= HEAD)))
+    done = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    open_ = keep(fused.where(F.col("position") > HEAD).select("query_id").distinct().join(done.hint("merge"), "query_id", "left_anti"))
+    if open_.isEmpty():
+        return found
+    more = first(fused.join(open_.hint("merge"), "query_id", "left_semi"))
+    return found.join(open_.hint("merge"), "query_id", "left_anti").unionByName(more)
 
 
 def prepare(ctx: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:

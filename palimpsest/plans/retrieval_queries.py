@@ -306,7 +306,7 @@ def v16(v: Views):
 
 @query("v17_recall", _REC, f"WITH RECURSIVE {_LISTS}, {fused()}, {fitting(2000)} SELECT query_id, item, round(score, 6) AS score, fact, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g JOIN fused USING (query_id, item, position) WHERE fits QUALIFY place <= 5")
 def v17(v: Views):
-    return R.recall(keep(rec_queries(v)), context(v), 5, own=False).select("query_id", "item", r6("score"), "fact", "place")
+    return R.recall(keep(rec_queries(v)), context(v), 5, own=False, keep=keep).select("query_id", "item", r6("score"), "fact", "place")
 
 
 _PLAIN = """seeds AS (SELECT query_id, entity_id AS seed FROM rec_queries JOIN rec_entities USING (universe) WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, entity_id) <= 5)"""
@@ -316,14 +316,14 @@ _PLAIN = """seeds AS (SELECT query_id, entity_id AS seed FROM rec_queries JOIN r
 def v17b(v: Views):
     """Queries without an embedding."""
     bare = rec_queries(v).withColumn("embedding", F.lit(None).cast("array<float>"))
-    return R.recall(keep(bare), context(v), 5, own=False).select("query_id", "item", r6("score"), "fact", "place")
+    return R.recall(keep(bare), context(v), 5, own=False, keep=keep).select("query_id", "item", r6("score"), "fact", "place")
 
 
 @query("v18_recall_explain", _REC, f"""WITH RECURSIVE {_LISTS}, {fused()}, {fitting(2000)}
 SELECT query_id, item, place, pipeline, rank, round(1.0::DOUBLE / (60 + rank), 6) AS delta FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g WHERE fits QUALIFY place <= 5) AS t JOIN lists USING (query_id, item)""")
 def v18(v: Views):
     told = keep(lists(v))
-    best = R.recall(rec_queries(v), {}, 5, lists=told).select("query_id", "item", "place")
+    best = R.recall(rec_queries(v), {}, 5, lists=told, keep=keep).select("query_id", "item", "place")
     return R.ledger(told).join(best.hint("merge"), ["query_id", "item"]).select("query_id", "item", "place", "pipeline", "rank", r6("delta"))
 
 

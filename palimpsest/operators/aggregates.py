@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import keep
+
 
 def nth(keys: list[str], *order: Column | str) -> Column:
     """Place of a row within its keys; filtered to a few, Spark prunes before the shuffle."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
+def number(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """Place of every row within its keys, in a new column, where all places are wanted.
+
+    Rows are dealt by ranges of keys and order. Each range is numbered by itself and moved on by the rows of its key that lie
+    before it, so that a key with a third of all rows is numbered by many tasks. Null keys are a key.
+    """
+    # written once: the ranges come from a sample, and both sides below must see the same ones
+    dealt = keep(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    runs = runs.select(*[F.col(k).alias(f"_run_{k}") for k in keys], F.col("_range").alias("_run"), "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_run_{k}")) for k in keys], F.col("_range") == F.col("_run"))
+    told = dealt.join(runs.hint("merge"), same).withColumn("_nth", nth([*keys, "_range"], *order))
+    return told.select(*df.columns, (F.col("_nth") + F.col("_before")).alias(name))
+
+
 def list_entities(df: DataFrame, kind: str | None = None, status: str | None = None, least: float | None = None, like: str | None = None) -> DataFrame:
     """Entities of a type, a status, a least relevance, and a part of the name or of an alias in any case."""
     if kind is not None:

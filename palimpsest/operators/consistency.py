@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .aggregates import distinct_on, fold, nth
+from .aggregates import distinct_on, fold, nth, number
 
 
 def check_deceased(resolved: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def open_arcs(plot_holes: DataFrame, entity: Column) -> DataFrame:
 
 def timeline(events: DataFrame) -> DataFrame:
     """Events by position, those without one last."""
-    return events.withColumn("place", nth(["universe"], F.asc_nulls_last("position"), "id"))
+    return number(events, ["universe"], [F.asc_nulls_last("position"), "id"], "place")
 
 
 def validate_timeline(events: DataFrame, chapters: DataFrame) -> DataFrame:

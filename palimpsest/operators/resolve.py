@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import distinct_on, nth
+from .aggregates import distinct_on, number
 
 KEY = ["universe", "norm", "type"]
 
@@ -136,7 +136,7 @@ def review_candidates(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """Candidates with their newest mention, surest first."""
     last = mentions.groupBy("entity_id").agg(F.max_by(F.struct("snippet", "chapter_no"), F.struct("created_at", "mention_id")).alias("m"))
     told = entities.where("status = 'candidate'").join(last, "entity_id", "left")
-    return told.select("universe", "entity_id", "name", "confidence", "m.snippet", "m.chapter_no", nth(["universe"], F.desc("confidence"), "entity_id").alias("place"))
+    return number(told.select("universe", "entity_id", "name", "confidence", "m.snippet", "m.chapter_no"), ["universe"], [F.desc("confidence"), "entity_id"], "place")
 
 
 def decided(entities: DataFrame, decisions: DataFrame) -> DataFrame:

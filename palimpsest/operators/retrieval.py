@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .aggregates import nth
+from ..sources.scratch import keep as written
+from .aggregates import nth, number
 from .consistency import fit_flags
 from .graph import cocitation
 
@@ -130,7 +131,7 @@ def keyword_search(queries: DataFrame, paras: DataFrame, k: int, key: str = "par
 
 def recency(entities: DataFrame) -> DataFrame:
     """All active entities of each universe by relevance."""
-    return entities.where("status = 'active'").withColumn("rank", nth(["universe"], F.desc("relevance"), "entity_id"))
+    return number(entities.where("status = 'active'"), ["universe"], [F.desc("relevance"), "entity_id"], "rank")
 
 
 def preferences_for(prefs: DataFrame, universes: DataFrame, k: int) -> DataFrame:
@@ -199,63 +200,85 @@ def flag_fit(fused: DataFrame, budget: int) -> DataFrame:
     return fit_flags(told, ["query_id"], ["position"], "tokens", budget)
 
 
-def recall(queries: DataFrame, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None, own: bool = True, lists: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Hybrid recall of all queries in one plan: six ranked lists (or those given), fusion, rerank, fit, first k that fit.
+def recall(queries: DataFrame | None, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None, own: bool = True, lists: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Hybrid recall of all queries in one plan: six ranked lists (or those given), fusion, rerank, fit, first k that fit."""
+    return explained(queries, ctx, k, budget, scores, names, own, lists, keep)[0]
 
-    With ``keep``, which writes a table and reads it back, only the first HEAD items of a query are tried, and all of those queries
-    that are not done by then; the result is the same.
+
+def explained(queries: DataFrame | None, ctx: dict[str, DataFrame], k: int, budget: int = 2000, scores: DataFrame | None = None, names: list[str] | None = None, own: bool = True, lists: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What recall finds, and lists that hold every appearance of those items.
+
+    With ``keep``, which writes a table and reads it back, a query first gets only the lists that settle its first HEAD items, and
+    whole ones only where too few of these fit; the result is the same.
     """
-    fused = fuse(all_lists(queries, ctx, own=own) if lists is None else lists, names)
-    if scores is not None:
-        moved = apply_rerank(fused, scores, 20)
-        fused = fused.join(moved.select("query_id", "item", "post"), ["query_id", "item"], "left").withColumn("position", F.coalesce("post", "position")).drop("post")
-    first = lambda df: flag_fit(df, budget).where("fits").withColumn("place", nth(["query_id"], "position")).where(F.col("place") <= k)
+
+    def first(told: DataFrame, most: int | None = None) -> DataFrame:
+        fused = fuse(told, names)
+        if scores is not None:
+            moved = apply_rerank(fused, scores, 20)
+            fused = fused.join(moved.select("query_id", "item", "post"), ["query_id", "item"], "left").withColumn("position", F.coalesce("post", "position")).drop("post")
+        # whether an item fits depends on those before it only
+        fused = fused if most is None else fused.where(F.col("position") <= most)
+        return flag_fit(fused, budget).where("fits").withColumn("place", nth(["query_id"], "position")).where(F.col("place") <= k)
+
     if keep is None:
-        return first(fused)
-    # whether an item fits depends on those before it only: most queries are done long before their lists end
-    fused = keep(fused)
-    found = keep(first(fused.where(F.col("position") <= HEAD)))
+        whole = all_lists(queries, ctx, own=own) if lists is None else lists
+        return first(whole), whole
+    near = keep(all_lists(queries, ctx, own=own, most=HEAD)) if lists is None else lists
+    found = keep(first(near, HEAD))
     done = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    open_ = keep(fused.where(F.col("position") > HEAD).select("query_id").distinct().join(done.hint("merge"), "query_id", "left_anti"))
+    asked = near.select("query_id").distinct() if lists is not None else queries
+    open_ = keep(asked.join(done.hint("merge"), "query_id", "left_anti"))
     if open_.isEmpty():
-        return found
-    more = first(fused.join(open_.hint("merge"), "query_id", "left_semi"))
-    return found.join(open_.hint("merge"), "query_id", "left_anti").unionByName(more)
+        return found, near
+    ids = open_.select("query_id").hint("merge")
+    rest = keep(all_lists(open_, ctx, own=own) if lists is None else near.join(ids, "query_id", "left_semi"))
+    closed = lambda df: df.join(ids, "query_id", "left_anti")
+    return closed(found).unionByName(first(rest)), closed(near).unionByName(rest)
 
 
 def prepare(ctx: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
-    """The context with what several lists need made once and kept: paragraphs, their inverted index, entities, edges and memories."""
+    """The context with what several lists need made once and kept: paragraphs, their inverted index, entities, their order, edges and memories."""
+    entities = keep(ctx["entities"])
     paras = keep(ctx["paras"].select("para_id", "universe", "chapter_id", "embedding", "text"))
     return {
-        **ctx, "paras": paras, "index": keep(index(paras.select("para_id", "universe", "text"))), "entities": keep(ctx["entities"]), "edges": keep(ctx["edges"].select("src", "dst", "rel_type")),
+        **ctx, "paras": paras, "index": keep(index(paras.select("para_id", "universe", "text"))), "entities": entities, "latest": keep(recency(entities)), "edges": keep(ctx["edges"].select("src", "dst", "rel_type")),
         "mentions": keep(ctx["mentions"]), "memories": keep(ctx["memories"]), "preferences": keep(ctx["preferences"]),
     }
 
 
-def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 10, own: bool = True) -> DataFrame:
+def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 10, own: bool = True, most: int | None = None) -> DataFrame:
     """The ranked lists of every query; a pipeline without what it needs is empty.
 
     A query without an embedding has no vector, keyword and consolidated list, and its graph seeds are the most relevant
-    entities of its universe. ``own`` false leaves out the paragraph of a query's id.
+    entities of its universe. ``own`` false leaves out the paragraph of a query's id. With ``most``, the recency list, the only one
+    that grows with the entities, holds its first ``most`` places and those of entities that other lists name: whatever it leaves
+    out comes after ``most`` items of any fusion, as it has no other list and a later place than they.
     """
     paras, ents = ctx["paras"], ctx["entities"]
     ent = lambda c: F.concat(F.lit("e:"), c.cast("string"))
     para = F.concat(F.lit("p:"), F.col("para_id").cast("string"))
     named, whole = queries.select("query_id", "universe"), queries.where("embedding IS NOT NULL")
     hits = vector_topk(whole, paras.select("para_id", "universe", "chapter_id", "embedding", "text"), k, own=own)
-    latest = recency(ents)
-    first = queries.where("embedding IS NULL").select("query_id", "universe").join(F.broadcast(latest.where(F.col("rank") <= SEEDS)), "universe")  # five rows a universe
+    latest = ctx["latest"] if "latest" in ctx else recency(ents)
+    first = queries.where("embedding IS NULL").select("query_id", "universe").join(latest.where(F.col("rank") <= SEEDS).hint("merge"), "universe")
     seeds = graph_seeds(hits, ctx["mentions"]).select("query_id", "seed").unionByName(first.select("query_id", F.col("entity_id").alias("seed")))
     near = cocitation(ctx["edges"], seeds).where(F.col("rank") <= 20).withColumnRenamed("neighbor", "entity_id").join(ents.select("entity_id", "name").hint("merge"), "entity_id")
-    recent = named.join(latest, "universe")
     words = keyword_search(whole, paras.select("para_id", "universe", "text"), k, own=own, indexed=ctx.get("index")).join(paras.select("para_id", "text").hint("merge"), "para_id")
     memories = vector_topk(whole, ctx["memories"], k, item="entity_id")
     liked = named.join(ctx["preferences"], "universe")
-    return reduce(DataFrame.unionByName, [
+    short = reduce(DataFrame.unionByName, [
         ranked("vector", hits, para, F.col("text")),
         ranked("graph", near, ent(F.col("entity_id")), F.concat(F.lit("Related entity: "), "name")),
-        ranked("recency", recent, ent(F.col("entity_id")), F.col("name")),
         ranked("keyword", words, para, F.col("text")),
         ranked("consolidated", memories, ent(F.col("entity_id")), F.col("summary")),
         ranked("preference", liked, F.concat(F.lit("f:"), F.col("pref_id").cast("string")), F.concat(F.lit("Preference "), F.col("pref_id").cast("string"))),
     ])
+    if most is None:
+        return short.unionByName(ranked("recency", named.join(latest, "universe"), ent(F.col("entity_id")), F.col("name")))
+    short = written(short)
+    head = named.join(latest.where(F.col("rank") <= most).hint("merge"), "universe")
+    met = short.where(F.col("item").startswith("e:")).select("query_id", F.substring("item", 3, 40).cast("long").alias("entity_id")).distinct()
+    later = met.join(named.hint("merge"), "query_id").join(latest.where(F.col("rank") > most).hint("merge"), ["entity_id", "universe"])
+    recent = head.select("query_id", "entity_id", "name", "rank").unionByName(later.select("query_id", "entity_id", "name", "rank"))
+    return short.unionByName(ranked("recency", recent, ent(F.col("entity_id")), F.col("name")))

@@ -58,7 +58,8 @@ def a6(v: Views):
 
 @query("a7_active_entities", "ent_users", "SELECT universe, entity_id, name, row_number() OVER (PARTITION BY universe ORDER BY relevance DESC, name, entity_id) AS place FROM ent_users WHERE status = 'active'")
 def a7(v: Views):
-    return v("ent_users").where("status = 'active'").select("universe", "entity_id", "name", A.nth(["universe"], F.desc("relevance"), "name", "entity_id").alias("place"))
+    active = v("ent_users").where("status = 'active'").select("universe", "entity_id", "name", "relevance")
+    return A.number(active, ["universe"], [F.desc("relevance"), "name", "entity_id"], "place").drop("relevance")
 
 
 @query("a8_next_index", "chapters", "SELECT work, max(order_index) + 1 AS next_index FROM chapters GROUP BY work")

@@ -238,8 +238,8 @@ def context(v: Views):
     return R.prepare({"paras": v("rec_paras"), "entities": v("rec_entities"), "mentions": v("rec_mentions"), "edges": v("rec_edges"), "memories": v("rec_memories").select("entity_id", "universe", "summary", "embedding"), "preferences": R.preferences_for(v("prefs"), universes(v), 5).select("universe", "pref_id", "rank")}, keep)
 
 
-def lists(v: Views):
-    return R.all_lists(keep(rec_queries(v)), context(v), own=False)
+def lists(v: Views, most: int | None = None):
+    return R.all_lists(keep(rec_queries(v)), context(v), own=False, most=most)
 
 
 @query("v10_fuse", _REC, f"WITH {_LISTS}, {fused()} SELECT query_id, item, position, round(score, 6) AS score, fact, n_sources FROM fused")
@@ -274,7 +274,7 @@ def scores(f):
 
 @query("v13_apply_rerank", _REC, f"WITH {_LISTS}, {fused()}, {_RERANK} SELECT query_id, item, position, post, position - post AS moved FROM rr")
 def v13(v: Views):
-    f = keep(R.fuse(lists(v)))
+    f = keep(R.fuse(lists(v, R.HEAD)))
     return R.apply_rerank(f, scores(f), 20).select("query_id", "item", "position", "post", "moved")
 
 
@@ -322,9 +322,8 @@ def v17b(v: Views):
 @query("v18_recall_explain", _REC, f"""WITH RECURSIVE {_LISTS}, {fused()}, {fitting(2000)}
 SELECT query_id, item, place, pipeline, rank, round(1.0::DOUBLE / (60 + rank), 6) AS delta FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g WHERE fits QUALIFY place <= 5) AS t JOIN lists USING (query_id, item)""")
 def v18(v: Views):
-    told = keep(lists(v))
-    best = R.recall(rec_queries(v), {}, 5, lists=told, keep=keep).select("query_id", "item", "place")
-    return R.ledger(told).join(best.hint("merge"), ["query_id", "item"]).select("query_id", "item", "place", "pipeline", "rank", r6("delta"))
+    best, told = R.explained(keep(rec_queries(v)), context(v), 5, own=False, keep=keep)
+    return R.ledger(told).join(best.select("query_id", "item", "place").hint("merge"), ["query_id", "item"]).select("query_id", "item", "place", "pipeline", "rank", r6("delta"))
 
 
 @query("v19_format_hits", "query_vecs para_vecs", f"SELECT query_id, string_agg(rank || '. [chapter ' || chapter_id || '] ' || para_id || ' (' || printf('%.2f', 1 - distance) || ')', chr(10) ORDER BY rank) AS lines FROM ({top('query_vecs', 'para_vecs', 'para_id', 5)}) AS t GROUP BY query_id")
@@ -385,7 +384,7 @@ def _subset(name: str, where: str) -> str:
 @query("e5_ablation", _REC, f"WITH {_LISTS}, {_GOLD}, {fused('pipeline = ' + chr(39) + 'vector' + chr(39), 'fv')}, {fused('pipeline = ' + chr(39) + 'keyword' + chr(39), 'fk')}, {fused('true', 'fa')} {_subset('vector', 'fv')} UNION ALL {_subset('keyword', 'fk')} UNION ALL {_subset('all', 'fa')}")
 def e5(v: Views):
     g = gold(v).select("query_id", F.concat(F.lit("p:"), F.col("item").cast("string")).alias("item"))
-    return E.ablation(keep(lists(v)), g, rec_queries(v), {"vector": ["vector"], "keyword": ["keyword"], "all": list(R.PIPELINES)})
+    return E.ablation(keep(lists(v, R.HEAD)), g, rec_queries(v), {"vector": ["vector"], "keyword": ["keyword"], "all": list(R.PIPELINES)})
 
 
 @query("e6_paired_report", "rec_queries", f"""WITH {_JUDGED}, m AS (SELECT query_id, CASE WHEN any_value(n) > 0 THEN count(*) FILTER (rel AND rank <= 5)::DOUBLE / any_value(n) ELSE 0 END AS b, CASE WHEN any_value(n) > 0 THEN count(*) FILTER (rel AND rank <= 10)::DOUBLE / any_value(n) ELSE 0 END AS a FROM j GROUP BY query_id)

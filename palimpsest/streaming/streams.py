@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lifecycle import ARCHIVE_AT, BUMP, DECAY, REACTIVATED
@@ -122,13 +123,25 @@ def behavioural_accepts(notes: DataFrame, edits: DataFrame, within: str = "10 mi
 
 
 def progress(events: DataFrame, total: int) -> DataFrame:
-    """Per user: smoothed seconds for each event, and the time left once a tenth is done; one fold in order of time."""
-    told = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("rows"))
-    rows = F.col("rows")
-    secs = F.transform(F.slice(rows, 2, 1 << 30), lambda r, i: r["ts"].cast("double") - F.get(rows, i)["ts"].cast("double"))
-    fold = F.aggregate(secs, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(EWMA_NEW * x + (1 - EWMA_NEW) * a))
-    done = F.size(rows)
-    return told.select("user_id", done.alias("done"), F.round(fold, 6).alias("seconds"), F.when(done * 10 >= total, F.round(fold * F.greatest(F.lit(total) - done, F.lit(0)), 6)).alias("eta"))
+    """Per user: smoothed seconds for each event, and the time left once a tenth is done; one fold in order of time.
+
+    An event without a time counts as done and has no seconds.
+    """
+    from ..operators.aggregates import fold
+
+    def step(state: tuple, row: tuple) -> tuple:
+        n, last, mean = state
+        if row[0] is None or last is None:
+            return n + 1, last if row[0] is None else row[0], mean
+        gap = row[0] - last
+        return n + 1, row[0], gap if mean is None else EWMA_NEW * gap + (1 - EWMA_NEW) * mean
+
+    fields = [T.StructField("_done", T.LongType()), T.StructField("_last", T.DoubleType()), T.StructField("_mean", T.DoubleType())]
+    rows = events.select("user_id", "event_id", F.col("ts").cast("double").alias("_at"))
+    told = fold(rows, ["user_id"], ["_at", "event_id"], ["_at"], lambda key: (0, None, None), step, fields)
+    last = told.groupBy("user_id").agg(F.max("_done").alias("done"), F.max_by("_mean", "_done").alias("_mean"))
+    left = F.round(F.col("_mean") * F.greatest(F.lit(total) - F.col("done"), F.lit(0)), 6)
+    return last.select("user_id", "done", F.round("_mean", 6).alias("seconds"), F.when(F.col("done") * 10 >= total, left).alias("eta"))
 
 
 def alerts(mentions: DataFrame, entities: DataFrame, stored: DataFrame) -> DataFrame:

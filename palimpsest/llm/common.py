@@ -64,6 +64,12 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n + "_" * i for i in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
+
+
 def append(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.Table], list], need: list[str], keep: list[str] | None = None) -> DataFrame:
     """Columns computed from the columns ``need`` of each Arrow batch, after the columns ``keep`` (all by default).
 
@@ -72,8 +78,8 @@ def append(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.Tab
     small_batches(df.sparkSession)
     new = [f.name for f in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    hidden = {c: f"_need_{i}" for i, c in enumerate(need)}
-    source = df.select(*kept, *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
+    hidden = dict(zip(need, fresh(df, *[f"_need_{i}" for i in range(len(need))]), strict=True))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
     schema = T.StructType([df.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,7 @@ def pieces(numbers: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
 
 def encode(numbers: np.ndarray, width: int = TABLE_BITS) -> bytes:
     """Ascending numbers of ``width`` bits: their low bytes, and a bit string that counts up to their high parts."""
+    numbers = np.asarray(numbers).astype(np.uint64)
     n = len(numbers)
     k = min(range(9), key=lambda k: 8 * k * n + n + ((1 << width) >> 8 * k))
     high = (numbers >> np.uint64(8 * k)).astype(np.int64) + np.arange(n)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, utf8
+from .common import chunks, fresh, table, utf8
 from .exchange import FRAGMENT, Exchange, Kind, answers, fragments, pieces
 from .words import eights, pair
 
@@ -175,7 +175,8 @@ def without_repeats(docs: DataFrame, key: str, text: str, fields: list[T.StructF
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
     bits = max(1, math.ceil(math.log2(max(2, total / (PLACES / 2) / TASK_KEYS))))
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(blocks)))
+    (dealing,) = fresh(docs, "_block")
+    dealt = docs.withColumn(dealing, F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(blocks)))
     again = lambda n: n > 1
     lead = lambda told, first, own, total: np.where(first, told, np.minimum(told, 1))
     kinds = {
@@ -188,7 +189,7 @@ def without_repeats(docs: DataFrame, key: str, text: str, fields: list[T.StructF
 
     def block_of(given: pa.Table) -> tuple[int, list[bytes], Phrases]:
         texts = utf8(given.column(text))
-        return given.column("_block")[0].as_py(), texts, Phrases(texts)
+        return given.column(dealing)[0].as_py(), texts, Phrases(texts)
 
     def short(x: np.ndarray) -> np.ndarray:
         return x >> np.uint64(32 - bits)
@@ -274,7 +275,7 @@ def without_repeats(docs: DataFrame, key: str, text: str, fields: list[T.StructF
         removed: list = [inside[a:b] if inside[a:b].any() else None for a, b in zip(block.base, block.base[1:], strict=False)]
         return result(given, texts, removed)
 
-    by_block = dealt.groupBy("_block")
+    by_block = dealt.groupBy(f"`{dealing}`")
     told = ex.settle(by_block.applyInArrow(sketch, FRAGMENT))
     for step in (ask, compare):
         told = ex.settle(by_block.cogroup(told.groupBy("block")).applyInArrow(step, FRAGMENT))

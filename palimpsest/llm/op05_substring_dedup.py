@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, utf8
+from .common import chunks, fresh, table, utf8
 from .exchange import FRAGMENT, Exchange, Kind, answers, decode, encode, flags, fragments  # noqa: F401
 from .words import SPACES, covered, mix, windows_of, words_of
 
@@ -90,14 +90,15 @@ def without_repeats(docs: DataFrame, key: str, text: str, fields: list[T.StructF
     blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
     bits = max(RANGE_BITS - 6, math.ceil(math.log2(max(1, total / WORD_BYTES * CELLS))))
     key_bits = max(1, math.ceil(math.log2(max(2, total / WORD_BYTES / RANGE_KEYS / 2))))
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(blocks)))
+    (dealing,) = fresh(docs, "_block")
+    dealt = docs.withColumn(dealing, F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(blocks)))
     sketches = Exchange({row: Kind(bits, max(0, bits - RANGE_BITS), ("count",), lambda n: n > 1) for row in range(DEPTH)}, blocks)
     smaller = lambda told, first, own, total: told | (own[0] > total[0])
     exact = Exchange({DEPTH: Kind(key_bits + 32, key_bits, ("min",), np.zeros_like, smaller, second=True)}, blocks)
 
     def block_of(given: pa.Table) -> tuple[int, list[bytes], Block]:
         texts = utf8(given.column(text))
-        return given.column("_block")[0].as_py(), texts, Block(_keys(given.column(key)), texts, size)
+        return given.column(dealing)[0].as_py(), texts, Block(_keys(given.column(key)), texts, size)
 
     def short(head: np.ndarray) -> np.ndarray:
         return head >> np.uint64(32 - key_bits) if key_bits < 32 else head
@@ -138,7 +139,7 @@ def without_repeats(docs: DataFrame, key: str, text: str, fields: list[T.StructF
             removed[i] = inside[first[i] : first[i + 1]]
         return result(given, texts, block.n_words, removed)
 
-    by_block = dealt.groupBy("_block")
+    by_block = dealt.groupBy(f"`{dealing}`")
     counts = sketches.settle(by_block.applyInArrow(sketch, FRAGMENT))
     told = exact.settle(by_block.cogroup(counts.groupBy("block")).applyInArrow(candidates, FRAGMENT))
     return by_block.cogroup(told.groupBy("block")).applyInArrow(finish, T.StructType(fields))

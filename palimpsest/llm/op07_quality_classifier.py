@@ -127,7 +127,7 @@ def rated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
     known = labels.select(F.col(key).alias("_k"), grade.alias("grade")).where("grade IS NOT NULL AND _k IS NOT NULL").groupBy("_k").agg(F.min("grade").alias("grade"))
     some = known.orderBy(F.xxhash64("_k"), "_k").limit(n)  # n rows at most
-    texts = sample(docs.join(F.broadcast(some), F.col(key) == F.col("_k"), "left_semi"), key, text, n)
+    texts = sample(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).join(F.broadcast(some), F.col(key) == F.col("_k"), "left_semi"), key, text, n)
     return texts.join(F.broadcast(some), F.col(key) == F.col("_k")).select(F.col(text).alias("text"), "grade")
 
 

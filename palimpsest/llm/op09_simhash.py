@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, cut, table, utf8
+from .common import append, cut, fresh, table, utf8
 from .components import components
 
 RADIUS = 3
@@ -222,10 +222,10 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
     Documents are chosen by row: two texts under one key both stay if they lead different groups. Groups without any key go.
     """
     cells = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # Spark hashes no maps
-    digests = {f"_row_{n}": F.xxhash64(F.lit(n), *[c.isNull() for c in cells], *cells) for n in (1, 2)}
-    rows = cut(fingerprints(docs.select(F.col(f"`{key}`").alias("_row_key"), F.col(f"`{text}`").alias("_row_text"), *[d.alias(n) for n, d in digests.items()]), ["_row_key", *digests], "_row_text"))
+    digests = {c: F.xxhash64(F.lit(n), *[x.isNull() for x in cells], *cells) for n, c in enumerate(fresh(docs, "_row_1", "_row_2"), 1)}
+    rows = cut(fingerprints(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), *[d.alias(n) for n, d in digests.items()]), ["_key", *digests], "_text"))
     # a digest decides the fingerprint; a null key comes last
-    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("_row_key").isNull().alias("none"), "_row_key", "fp", *digests)).alias("r"))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "fp", *digests)).alias("r"))
     first = cut(classes(best, radius).groupBy("top").agg(F.min("r").alias("r")).where("NOT r.none").select(*[F.col(f"r.{n}") for n in digests]))
     same = list(digests)
     left = docs.withColumns(digests).join(first.hint("merge"), same, "left_semi")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -104,9 +104,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     symbols = F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long")
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    made = docs.select(*kept, counted.alias("_words"), of_lines.alias("_lines"), symbols.alias("n_symbols"))
-    parts = {"n_symbols": "n_symbols", "n_lines": "_lines.n_lines", "n_dup_lines": "_lines.n_dup_lines"}
-    return made.select(*kept, *[F.col(parts.get(c, f"_words.{c}")).alias(c) for c in new])
+    of_word, of_line = fresh(docs, "_words", "_lines")
+    made = docs.select(*kept, counted.alias(of_word), of_lines.alias(of_line), symbols.alias("n_symbols"))
+    parts = {"n_symbols": "n_symbols", "n_lines": f"{of_line}.n_lines", "n_dup_lines": f"{of_line}.n_dup_lines"}
+    return made.select(*kept, *[F.col(parts.get(c, f"{of_word}.{c}")).alias(c) for c in new])
 
 
 def passes(rules: tuple[Rule, ...] = RULES) -> Column:

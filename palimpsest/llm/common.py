@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,6 +48,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="palimpsest-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the scratch folder. Unlike a checkpoint it also forgets how large Spark thinks them, which every join of a loop would square."""
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes, each text whole."""
     start, held = 0, 0

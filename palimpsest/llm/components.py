@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,13 +28,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for every vertex of the edges (u, v); the component is its smallest vertex.
 
-    Each round is checkpointed. No edges, no rows; repeated edges and loops do no harm.
+    Each round is written to a table and read back. No edges, no rows; repeated edges and loops do no harm.
     """
-    now = cut(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct())
+    now = stored(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = cut(_stars(_stars(now, True), False))
+        now = stored(_stars(_stars(now, True), False))
         after = mark(now)
         if after == before:
             break

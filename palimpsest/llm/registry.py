@@ -20,6 +20,8 @@ from .op09_simhash import op9_simhash
 from .op10_quality_rules import ORACLE as ORACLE_10
 from .op10_quality_rules import op10_quality_rules
 from .op11_ngram_join import op11_ngram_join
+from .op12_whitening import op12_whitening
+from .op13_prefix_trie import op13_prefix_trie
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_bpe, op2_decontamination, op3_suffix_array_dedup, op4_language_id, op5_substring_dedup,
-        op6_sharding, op7_quality_classifier, op8_html_extraction, op9_simhash, op10_quality_rules, op11_ngram_join, pipeline,
+        op6_sharding, op7_quality_classifier, op8_html_extraction, op9_simhash, op10_quality_rules, op11_ngram_join, op12_whitening, op13_prefix_trie, pipeline,
     ]
     return {f.__name__: f for f in found}
 

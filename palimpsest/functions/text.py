@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A word (fixed pattern).
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
 #: Adverbs without the usual ending (fixed values).
 ADVERBS = ("very", "quite", "rather", "too", "just", "really", "almost", "often", "never", "always", "sometimes", "perhaps", "maybe")
@@ -25,13 +26,17 @@ def count_tokens(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.floor(F.octet_length(text) / 4) + 1).cast("long")
 
 
-def longest_prefix(text: Column, tokens: int) -> Column:
-    """The longest run of whole characters from the start that costs no more than so many tokens."""
-    most = 4 * (tokens - 1) + 3  # bytes
+def byte_prefix(text: Column, most: Column) -> Column:
+    """The longest run of whole characters from the start that takes ``most`` bytes at most."""
     head = F.encode(text, "UTF-8")
     # a cut within a character leaves no valid text; one of four neighbouring places is between characters
-    some = [F.try_validate_utf8(F.substring(head, 1, most - k).cast("string")) for k in range(min(4, most + 1))]
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*some)) if tokens > 0 else F.lit("")
+    some = [F.when(most >= k, F.try_validate_utf8(F.substring(head, F.lit(1), (most - k).cast("int")).cast("string"))) for k in range(4)]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*some, F.lit("")))
+
+
+def longest_prefix(text: Column, tokens: int) -> Column:
+    """The longest run of whole characters from the start that costs no more than so many tokens."""
+    return byte_prefix(text, F.lit(4 * (tokens - 1) + 3)) if tokens > 0 else F.lit("")
 
 
 def snippet(text: Column, at: Column, size: int = 240, before: int = 80) -> Column:
@@ -40,8 +45,9 @@ def snippet(text: Column, at: Column, size: int = 240, before: int = 80) -> Colu
 
 
 def truncate(text: Column, n: int) -> Column:
-    """Text of more than n characters cut there and closed with an ellipsis."""
-    return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
+    """Text of more than n bytes cut to whole characters of n - 1 bytes and closed with an ellipsis; below 4 only cut."""
+    cut = byte_prefix(text, F.lit(n)) if n < 4 else F.concat(byte_prefix(text, F.lit(n - 1)), F.lit("…"))
+    return F.when(F.octet_length(text) > n, cut).otherwise(text)
 
 
 def short_title(text: Column) -> Column:

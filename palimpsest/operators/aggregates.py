@@ -34,6 +34,12 @@ def number(df: DataFrame, keys: list[str], order: list[Column | str], name: str)
     return told.select(*df.columns, (F.col("_nth") + F.col("_before")).alias(name))
 
 
+def inventory(entities: DataFrame, active_only: bool = False) -> DataFrame:
+    """Every entity of each universe, or only the active ones, with its place by relevance, then name, then id."""
+    some = entities.where("status = 'active'") if active_only else entities
+    return number(some, ["universe"], [F.desc("relevance"), "name", "entity_id"], "place")
+
+
 def list_entities(df: DataFrame, kind: str | None = None, status: str | None = None, least: float | None = None, like: str | None = None) -> DataFrame:
     """Entities of a type, a status, a least relevance, and a part of the name or of an alias in any case."""
     if kind is not None:
@@ -87,21 +93,50 @@ def telemetry(events: DataFrame, *keys: Column | str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "signup").alias("client_errors"), F.count_if(F.col("event_type") == "error").alias("server_errors"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
 
 
+#: Pieces in which a range of values is counted, and values of a key that are looked at one by one in the end.
+PIECES, FEW = 256, 4096
+
+
+def order_statistic(df: DataFrame, key: str, value: str, place: Column, pieces: int = PIECES, few: int = FEW) -> DataFrame:
+    """(key, value): of each key the value at a 0-based place, an expression of its number of values ``n``; nulls do not count.
+
+    For all keys at once: the range of a key's values is counted in pieces, and only the piece that holds the place is looked into
+    again, until few values or one different value are left. No task ever holds or sorts the values of a key.
+    """
+    given = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    wide = F.col("_v").cast("double")
+    facts = given.groupBy("_k").agg(F.count("*").alias("n"), F.min(wide).alias("low"), F.max(wide).alias("high"))
+    open_ = keep(facts.select("_k", place.cast("long").alias("place"), F.col("n").alias("inside"), "low", "high"))
+    done = []
+    while True:
+        ready = (F.col("inside") <= few) | (F.col("low") >= F.col("high"))
+        done.append(open_.where(ready))
+        open_ = open_.where(~ready)
+        if open_.isEmpty():
+            break
+        # the sum of the ends may pass the largest number, their halves do not
+        span = F.col("high") / 2 - F.col("low") / 2
+        piece = F.least(F.floor((wide / 2 - F.col("low") / 2) / span * pieces), F.lit(pieces - 1)).cast("int")
+        asked = given.join(open_.hint("merge"), "_k").where(wide.between(F.col("low"), F.col("high"))).withColumn("piece", piece)
+        counts = asked.groupBy("_k", "place", "piece").agg(F.count("*").alias("c"), F.min(wide).alias("low"), F.max(wide).alias("high"))
+        upto = F.sum("c").over(Window.partitionBy("_k").orderBy("piece"))  # PIECES rows a key
+        held = counts.withColumn("before", upto - F.col("c")).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("c")))
+        open_ = keep(held.select("_k", (F.col("place") - F.col("before")).alias("place"), F.col("c").alias("inside"), "low", "high"))
+    ends = reduce(DataFrame.unionByName, done)
+    left = given.join(ends.hint("merge"), "_k").where(wide.between(F.col("low"), F.col("high")))
+    counts = left.groupBy("_k", "place", "_v").agg(F.count("*").alias("c"))
+    told = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_k").orderBy("_v"))).where(F.col("upto") > F.col("place"))
+    return told.groupBy("_k").agg(F.min("_v").alias("value")).select(F.col("_k").alias(key), "value")
+
+
 def percentile_nearest(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """Nearest-rank percentile, the value at place ceil(q n)."""
-    return df.groupBy(key).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("value"))
+    return order_statistic(df, key, value, F.greatest(F.ceil(F.col("n") * F.lit(q)) - 1, F.lit(0)))
 
 
 def percentile_at(df: DataFrame, key: str, value: str, percent: int) -> DataFrame:
-    """The value at 0-based place n * percent / 100, in whole numbers: one order statistic of each key.
-
-    Values are counted first, so that a key's equal values take one row.
-    """
-    counts = df.groupBy(key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key).orderBy(value)
-    told = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
-    place = F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1)
-    return told.where(F.col("upto") > place).groupBy(key).agg(F.min(value).alias("value"))
+    """The value at 0-based place n * percent / 100, in whole numbers."""
+    return order_statistic(df, key, value, F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1))
 
 
 def distinct_on(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:

@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
-from .aggregates import distinct_on, fold, nth, number
+from .aggregates import distinct_on, nth, number
+from .folds import fit
 
 
-def check_deceased(resolved: DataFrame) -> DataFrame:
-    """A mention of an entity that was deceased before it is a critical contradiction."""
-    text = F.format_string("%s is deceased but appears in chapter %d", "name", F.col("chapter_no").cast("long"))
-    return resolved.where("previous_status = 'deceased'").select("entity_id", F.lit("character_status").alias("kind"), F.lit("critical").alias("severity"), text.alias("evidence_b"), F.lit("deceased").alias("evidence_a"), "chapter_no")
+#: The kind of contradiction, what is told of it, and its two pieces of evidence (fixed texts).
+DECEASED = "deceased_alive"
 
 
 def fingerprint(*parts: Column) -> Column:
-    """SHA-256 of the parts one after another."""
-    return F.sha2(F.concat(*[p.cast("string") for p in parts]), 256)
+    """SHA-256 of the parts one after another; a null part is empty."""
+    return F.sha2(F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def deceased_fingerprint(entity: Column, name: Column, text: Column, chapter: Column) -> Column:
+    """Of entity, kind, both pieces of evidence and both chapters, so the same words in another chapter are another contradiction."""
+    return fingerprint(entity, F.lit(DECEASED), F.format_string("Entity %s is deceased in DB", name), text, chapter, chapter)
+
+
+def check_deceased(resolved: DataFrame) -> DataFrame:
+    """A mention (``mention_text``) of an entity that was deceased before it is a critical contradiction."""
+    text = F.format_string("Entity '%s' is marked as deceased but was mentioned as active: \"%s\"", "name", X.truncate(F.coalesce("mention_text", F.lit("")), 80))
+    found = resolved.where("previous_status = 'deceased'")
+    return found.select(
+        "entity_id", F.lit(DECEASED).alias("kind"), F.lit("critical").alias("severity"), text.alias("description"), F.format_string("Entity %s status: deceased", "name").alias("evidence_a"),
+        F.coalesce("mention_text", F.lit("")).alias("evidence_b"), "chapter_no", deceased_fingerprint(F.col("entity_id"), F.col("name"), F.col("mention_text"), F.col("chapter_no")).alias("fingerprint"),
+    )
 
 
 def new_contradictions(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -34,8 +47,14 @@ def apply_status(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return told.withColumn("status", F.when(ok, F.col("_s")).otherwise(F.col("status"))).drop("_u", "_s")
 
 
-def open_arcs(plot_holes: DataFrame, entity: Column) -> DataFrame:
-    return plot_holes.where((F.col("status") == "open") & F.array_contains("related", entity))
+def open_arcs(plot_holes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(universe, entity_id, id, place): open arcs of each asked entity of a universe, newest first.
+
+    Arcs have universe, id, status, created and the entities related.
+    """
+    arcs = plot_holes.where("status = 'open'").select("universe", "id", "created", F.explode(F.array_distinct("related")).alias("entity_id"))
+    told = arcs.join(asked.select("universe", "entity_id").distinct().hint("merge"), ["universe", "entity_id"])
+    return told.select("universe", "entity_id", "id", nth(["universe", "entity_id"], F.desc("created"), "id").alias("place"))
 
 
 def timeline(events: DataFrame) -> DataFrame:
@@ -53,9 +72,21 @@ def validate_timeline(events: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def seed_timeline(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """One event for each event entity of a chapter, with the characters of that chapter."""
+    events, members = seeded_events(mentions, entities)
+    people = members.groupBy("group_id").agg(F.array_sort(F.collect_set("entity_id")).alias("participants"))
+    return events.join(people.hint("merge"), "group_id", "left").select("universe", "entity_id", "title", "position", F.coalesce("participants", F.array().cast("array<bigint>")).alias("participants"))
+
+
+def seeded_events(mentions: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events (universe, entity_id, title, position, group_id), and the members (group_id, entity_id) of each group.
+
+    All events of a chapter have the same participants, so they name a group and no event has its own copy: rows grow with events
+    plus participants.
+    """
     told = mentions.select("universe", "chapter_no", "entity_id").distinct().join(entities.select("entity_id", "type", "name"), "entity_id")
-    people = told.where("type = 'character'").groupBy("universe", "chapter_no").agg(F.array_sort(F.collect_set("entity_id")).alias("participants"))
-    return told.where("type = 'event'").join(people, ["universe", "chapter_no"], "left").select("universe", "entity_id", F.col("name").alias("title"), F.col("chapter_no").alias("position"), F.coalesce("participants", F.array().cast("array<bigint>")).alias("participants"))
+    told = told.withColumn("group_id", F.concat_ws(":", "universe", "chapter_no"))
+    events = told.where("type = 'event'").select("universe", "entity_id", F.col("name").alias("title"), F.col("chapter_no").alias("position"), "group_id")
+    return events, told.where("type = 'character'").select("group_id", "entity_id")
 
 
 def last_k_chapters(mentions: DataFrame, k: int) -> DataFrame:
@@ -81,13 +112,7 @@ def parse_memories(raw: DataFrame) -> DataFrame:
 
 def fit_flags(items: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
     """Each item with ``fits`` and the cost ``used`` up to it: an item that does not fit is skipped and the next one tried."""
-
-    def add(state: tuple, row: tuple) -> tuple:
-        fits = row[0] is not None and state[1] + row[0] <= budget
-        return fits, state[1] + row[0] if fits else state[1]
-
-    told = items.withColumn("_c", F.col(cost).cast("long"))
-    return fold(told, keys, order, ["_c"], lambda key: (False, 0), add, [T.StructField("fits", T.BooleanType()), T.StructField("used", T.LongType())]).drop("_c")
+    return fit(items, keys, order, cost, budget)
 
 
 def greedy_fit(items: DataFrame, keys: list[str], order: list[str], cost: str, item: str, budget: int) -> DataFrame:
@@ -100,5 +125,5 @@ def greedy_fit(items: DataFrame, keys: list[str], order: list[str], cost: str, i
 def entity_lines(entities: DataFrame, budget: int) -> DataFrame:
     """Prompt lines of the most relevant entities of each type that fit a token budget together."""
     line = F.format_string("- %s (%s): %s", "name", "type", "description")
-    told = entities.withColumn("line", line).withColumn("cost", X.count_tokens(F.col("line"))).withColumn("neg", -F.col("relevance"))
+    told = entities.withColumn("line", line).withColumn("cost", X.count_tokens(F.concat("line", F.lit("\n")))).withColumn("neg", -F.col("relevance"))
     return greedy_fit(told, ["universe", "type"], ["neg", "entity_id"], "cost", "line", budget).select("universe", "type", F.array_join("kept", "\n").alias("text"), "used")

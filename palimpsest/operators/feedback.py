@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .aggregates import fold, nth
+from .aggregates import nth
+from .folds import applied, composed, step_of
 
 SIGNALS = ("accept", "reject", "behavioural_accept")
 WINDOW_SECONDS, NEEDED, DECAY, ARCHIVE_AT = 600, 3, 0.1, 0.15
@@ -31,55 +31,65 @@ def match_evidence(events: DataFrame, observations: DataFrame) -> DataFrame:
     return named.unionByName(by_metric).unionByName(anything)
 
 
+#: What a preference of each style measure is about, and of any other (fixed texts).
+ABOUT = {"mean_sentence_length": "long sentence lengths", "adverb_density": "adverb-rich phrasing", "dialogue_ratio": "a dialogue-forward balance", "lexical_richness": "varied vocabulary"}
+OTHERWISE = "this craft choice"
+
+
+def preference_statement(metric: Column, signal: Column) -> Column:
+    """What a promoted preference says."""
+    verb = F.when(signal == "reject", "deliberately keeps").otherwise("values")
+    about = F.coalesce(*[F.when(metric == m, t) for m, t in ABOUT.items()], F.lit(OTHERWISE))
+    return F.concat(F.lit("The writer "), verb, F.lit(" "), about, F.lit("."))
+
+
 def promote(evidence: DataFrame, needed: int = NEEDED) -> DataFrame:
     """Observations whose winning signal has enough events become preferences."""
     counts = evidence.groupBy("user_id", "obs_id", "signal").agg(F.count("*").alias("n"))
     rank = F.when(F.col("signal") == "accept", 0).when(F.col("signal") == "behavioural_accept", 1).otherwise(2)
     best = counts.groupBy("user_id", "obs_id").agg(F.sum("n").alias("events"), F.min_by(F.struct("signal", "n"), F.struct((-F.col("n")).alias("n"), rank.alias("r"))).alias("b"))
     told = best.where((F.col("events") >= needed) & (F.col("b.n") >= needed))
-    text = F.format_string("Observed preference %d: %s", "obs_id", F.col("b.signal"))
+    told = told.join(evidence.select("obs_id", "metric").distinct().hint("merge"), "obs_id") if "metric" in evidence.columns else told.withColumn("metric", F.lit(""))
+    text = preference_statement(F.col("metric"), F.col("b.signal"))
     return told.select("user_id", "obs_id", F.col("b.signal").alias("signal"), "events", text.alias("statement"), F.lit(0.5).alias("confidence"), F.lit(1.0).alias("relevance"))
 
 
 def reinforce_preferences(prefs: DataFrame, events: DataFrame, rate: float = DECAY, threshold: float = ARCHIVE_AT) -> DataFrame:
-    """Each preference after its events in order, by one fold; both numbers stay within 0 and 1."""
-    fade = math.exp(-rate)
-    columns = ["pref_id", "_c0", "_r0"]
-    firsts = prefs.select("pref_id", F.col("confidence").cast("double").alias("_c0"), F.col("relevance").cast("double").alias("_r0")).distinct()
-    rows = events.select("pref_id", "event_id", "signal").join(firsts, "pref_id")
-
-    def hold(x: float | None) -> float:
-        return 0.0 if x is None else 1.0 if x != x else min(1.0, max(0.0, x))
-
-    def step(state: tuple, row: tuple) -> tuple:
-        c, r, n = state
-        if row[0] == "accept":
-            c, r = None if c is None else c + 0.1, 1.0
-        elif row[0] == "behavioural_accept":
-            c = None if c is None else c + 0.05
-        elif row[0] == "reject":
-            c, r = None if c is None else c * fade, None if r is None else r * fade
-        return hold(c), hold(r), n + 1
-
-    fields = [T.StructField("_c", T.DoubleType()), T.StructField("_r", T.DoubleType()), T.StructField("_k", T.LongType())]
-    told = fold(rows, columns, ["event_id", "signal"], ["signal"], lambda key: (key[1], key[2], 0), step, fields)
-    last = told.groupBy(*columns).agg(F.max("_k").alias("_k"), F.max_by("_c", "_k").alias("_c"), F.max_by("_r", "_k").alias("_r"))
-    same = (prefs["pref_id"] == last["pref_id"]) & prefs["confidence"].cast("double").eqNullSafe(last["_c0"]) & prefs["relevance"].cast("double").eqNullSafe(last["_r0"])
-    told = prefs.join(last.select(*columns, "_k", "_c", "_r"), same, "left")
-    held = F.col("_k").isNotNull()
-    told = told.select(prefs["pref_id"], prefs["lifecycle"], F.struct(F.when(held, F.col("_c")).otherwise(prefs["confidence"]).alias("c"), F.when(held, F.col("_r")).otherwise(prefs["relevance"]).alias("r")).alias("_s"))
-    life = F.when(F.col("_s.r") <= threshold, "archived").otherwise(F.col("lifecycle"))
-    return told.select("pref_id", F.col("_s.c").alias("confidence"), F.col("_s.r").alias("relevance"), life.alias("lifecycle"))
+    """Each preference after its events in order; both numbers stay within 0 and 1, a null one counts as 0.
+
+    An accept of either kind raises confidence, sets relevance to 1 and makes the preference active; a reject fades both numbers; whatever
+    the event, a relevance at the threshold archives. Each number's steps compose, and as rejects only lower relevance, the last
+    relevance tells whether anything since the last accept archived it.
+    """
+    fade, signal = math.exp(-rate), F.col("signal")
+    accept, behaves, reject = (signal == s for s in ("accept", "behavioural_accept", "reject"))
+    confidence = F.when(accept, step_of(1, 0.1, 0, 1)).when(behaves, step_of(1, 0.05, 0, 1)).when(reject, step_of(fade, 0, 0, 1)).otherwise(step_of(1, 0, 0, 1))
+    relevance = F.when(accept | behaves, step_of(0, 1, 0, 1)).when(reject, step_of(fade, 0, 0, 1)).otherwise(step_of(1, 0, 0, 1))
+    rows = events.select("pref_id", "event_id", "signal", confidence.alias("_c"), relevance.alias("_r"))
+    told = composed(rows, ["pref_id"], ["event_id", "signal"], ["_c", "_r"])
+    accepts = events.groupBy("pref_id").agg(F.count_if(accept | behaves).alias("_accepts"))
+    told = prefs.join(told.hint("merge"), "pref_id", "left").join(accepts.hint("merge"), "pref_id", "left")
+    held = F.col("_accepts").isNotNull()
+    after = lambda step, c: F.when(held, applied(F.col(step), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))).otherwise(F.col(c))
+    told = told.withColumns({"_c1": after("_c", "confidence"), "_r1": after("_r", "relevance")})
+    life = F.when(held & (F.col("_r1") <= threshold), "archived").when(F.col("_accepts") > 0, "active").otherwise(F.col("lifecycle"))
+    return told.select("pref_id", F.col("_c1").alias("confidence"), F.col("_r1").alias("relevance"), life.alias("lifecycle"))
 
 
 def decay_preferences(prefs: DataFrame, owners: DataFrame, rate: float = DECAY, threshold: float = ARCHIVE_AT) -> DataFrame:
     """One tick on all active preferences of the owners, whatever their genre."""
-    told = prefs.join(owners.select("owner").distinct().withColumn("_o", F.lit(True)), "owner", "left")
+    told = prefs.join(owners.select("owner").distinct().withColumn("_o", F.lit(True)).hint("merge"), "owner", "left")
     fades = F.coalesce("_o", F.lit(False)) & (F.col("lifecycle") == "active")
     score = F.when(fades, F.col("relevance") * math.exp(-rate)).otherwise(F.col("relevance"))
     return told.withColumn("relevance", score).withColumn("lifecycle", F.when(fades & (F.col("relevance") <= threshold), "archived").otherwise(F.col("lifecycle"))).drop("_o")
 
 
+def decay_history(prefs: DataFrame, owners: DataFrame, recorded_at: Column, rate: float = DECAY, threshold: float = ARCHIVE_AT) -> DataFrame:
+    """(pref_id, recorded_at, relevance, confidence, lifecycle): the history row of each preference that a tick fades."""
+    active = prefs.where("lifecycle = 'active'").join(owners.select("owner").distinct().hint("merge"), "owner", "left_semi")
+    return decay_preferences(active, owners, rate, threshold).select("pref_id", recorded_at.alias("recorded_at"), "relevance", "confidence", "lifecycle")
+
+
 def list_preferences(prefs: DataFrame, active_only: bool, n: int) -> DataFrame:
     some = prefs.where("lifecycle = 'active'") if active_only else prefs
     return some.withColumn("place", nth(["owner"], F.desc(F.round(F.col("relevance") * F.col("confidence"), 9)), F.desc("created"), "pref_id")).where(F.col("place") <= n)

@@ -26,6 +26,19 @@ def neighbors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return both_ways(edges).join(seeds.select("seed").distinct(), "seed")
 
 
+def entities_by_name(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name, seed): of each asked name, in any case, the active entity that bears it, else one that has it as an alias.
+
+    Of several the most relevant, then by name and id.
+    """
+    wanted = asked.select(F.col("name"), F.lower("name").alias("_low")).distinct()
+    live = entities.where("status = 'active'").select("entity_id", "relevance", F.col("name").alias("_own"), "aliases")
+    called = live.select("entity_id", "relevance", "_own", F.lit(0).alias("_pass"), F.lower("_own").alias("_low"))
+    known = called.unionByName(live.select("entity_id", "relevance", "_own", F.lit(1).alias("_pass"), F.explode("aliases").alias("_low")).withColumn("_low", F.lower("_low")))
+    best = F.min(F.struct("_pass", (-F.col("relevance")).alias("r"), "_own", "entity_id"))
+    return wanted.join(known.hint("merge"), "_low").groupBy("name").agg(best.alias("b")).select("name", F.col("b.entity_id").alias("seed"))
+
+
 def cocitation(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(query_id, neighbor, score): edges between a query's seeds and each neighbour, ranked; parallel edges count."""
     hits = both_ways(edges).join(seeds.select("query_id", "seed").distinct(), "seed")
@@ -60,6 +73,18 @@ def bounded(nodes: DataFrame, edges: DataFrame, key: str, most_nodes: int = 96,
     return told.select(key, F.least("nodes", F.lit(most_nodes)).alias("nodes"), F.least("edges", F.lit(most_edges)).alias("edges"), ((F.col("nodes") > most_nodes) | (F.col("edges") > most_edges)).alias("truncated"))
 
 
+def bounded_rows(nodes: DataFrame, edges: DataFrame, key: str, most_nodes: int = 96, most_edges: int = 160) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of each graph within the caps, and its counts with whether anything was cut.
+
+    Nodes (key, node, hop) stay by hop and id; edges (key, src, dst, rel_type, tier) only between nodes that stay, by tier and ends.
+    """
+    kept = nodes.withColumn("_n", nth([key], "hop", "node")).where(F.col("_n") <= most_nodes).drop("_n")
+    a, b = (kept.select(key, F.col("node").alias(c)).hint("merge") for c in ("src", "dst"))
+    inside = edges.join(a, [key, "src"]).join(b, [key, "dst"])
+    inside = inside.withColumn("_n", nth([key], "tier", "src", "dst", "rel_type")).where(F.col("_n") <= most_edges).drop("_n")
+    return kept, inside, bounded(nodes, edges, key, most_nodes, most_edges)
+
+
 def full_graph(graph_nodes: DataFrame, edges: DataFrame, registry: DataFrame) -> DataFrame:
     """Every node with its degree; entities that only the registry knows are marked as not graph backed."""
     degree = both_ways(edges).groupBy("seed").agg(F.count("*").alias("degree")).withColumnRenamed("seed", "entity_id")
@@ -70,16 +95,32 @@ def full_graph(graph_nodes: DataFrame, edges: DataFrame, registry: DataFrame) ->
 
 def cooccurrence(mentions: DataFrame, chunk: str, cap: int | None = None, run: str | None = None) -> DataFrame:
     """Different unordered pairs of one chunk, smaller id first; with a cap, the first of each run in chunk order."""
-    m = mentions.select(chunk, "entity_id", *([run] if run else [])).distinct()
-    a = m.withColumnRenamed("entity_id", "src")
-    b = m.select(chunk, F.col("entity_id").alias("dst"))
-    pairs = a.join(b, chunk).where("src < dst")
+    pairs = chunk_pairs(mentions.select(chunk, "entity_id", *([run] if run else [])).distinct(), chunk)
     if cap is None:
         return pairs.select("src", "dst").distinct()
-    first = pairs.groupBy(run, "src", "dst").agg(F.min(chunk).alias("_chunk"))
+    # of a chunk, only the first pairs can be among the first of its run
+    few = pairs.withColumn("_m", F.row_number().over(Window.partitionBy(chunk).orderBy("src", "dst"))).where(F.col("_m") <= cap)
+    first = few.groupBy(run, "src", "dst").agg(F.min(chunk).alias("_chunk"))
     return first.withColumn("_n", F.row_number().over(Window.partitionBy(run).orderBy("_chunk", "src", "dst"))).where(F.col("_n") <= cap).select(run, "src", "dst")
 
 
+#: Members of a chunk that meet in one task.
+BLOCK = 512
+
+
+def chunk_pairs(members: DataFrame, chunk: str, block: int = BLOCK) -> DataFrame:
+    """Pairs src < dst of the members (chunk, entity_id, more) of each chunk, with the columns of src.
+
+    Members of a large chunk lie in blocks, and every pair of blocks meets under a key of its own, so a chunk with many members spreads.
+    """
+    sizes = members.groupBy(chunk).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = members.join(sizes.hint("merge"), chunk).withColumn("_own", F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = dealt.withColumnRenamed("entity_id", "src").withColumn("_other", others).withColumnRenamed("_own", "_a").withColumnRenamed("_other", "_b")
+    b = dealt.select(chunk, F.col("entity_id").alias("dst"), F.col("_own").alias("_b"), "_blocks").withColumn("_a", others).drop("_blocks")
+    return a.join(b.hint("merge"), [chunk, "_a", "_b"]).where("src < dst").drop("_a", "_b", "_blocks")
+
+
 def edge_sentences(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each edge as a sentence, its kind in lower case with blanks."""
     names = nodes.select("entity_id", "name")

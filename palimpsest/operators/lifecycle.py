@@ -91,8 +91,10 @@ def crossings(history: DataFrame, threshold: float = ARCHIVE_AT) -> DataFrame:
 def stale_arcs(entities: DataFrame, current: int, gap: int = 8) -> DataFrame:
     """Active entities of more than half relevance that no chapter has named for ``gap`` chapters."""
     idle = F.lit(current) - F.col("last_chapter")
-    text = F.format_string("%s was last mentioned in chapter %d, %d chapters ago", "name", F.col("last_chapter").cast("long"), idle.cast("long"))
-    return entities.where((F.col("status") == "active") & (F.col("relevance") > 0.5) & (idle >= gap)).select("entity_id", "universe", F.concat(F.lit("Unresolved: "), "name").alias("title"), text.alias("description"))
+    whole = lambda c: c.cast("long")
+    title = F.format_string("Stale arc: %s (gap %d chapters)", "name", whole(idle))
+    text = F.format_string("Entity '%s' has not been mentioned for %d chapters (last seen in chapter %d, currently at chapter %d)", "name", whole(idle), whole(F.col("last_chapter")), F.lit(current).cast("long"))
+    return entities.where((F.col("status") == "active") & (F.col("relevance") > 0.5) & (idle >= gap)).select("entity_id", "universe", title.alias("title"), text.alias("description"))
 
 
 def replay(entities: DataFrame, mentions: DataFrame, chapters: int, rate: float = DECAY, threshold: float = ARCHIVE_AT) -> DataFrame:

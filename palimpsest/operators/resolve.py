@@ -50,7 +50,7 @@ def match_alias(mentions: DataFrame, entities: DataFrame, typed: bool = True) ->
     """The name is an alias in any case; the smallest id wins."""
     keys = ["universe", "norm"] + (["type"] if typed else [])
     known = entities.select("universe", "type", "entity_id", F.explode("aliases").alias("a")).withColumn("norm", F.lower("a")).groupBy(*keys).agg(F.min("entity_id").alias("entity_id"))
-    return normal(mentions).join(known, keys).select("mention_id", "entity_id")
+    return normal(mentions).join(known.hint("merge"), keys).select("mention_id", "entity_id")
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, semantic: DataFrame | None
         steps.append(("semantic", semantic))
     told = normal(mentions)
     for name, found in steps:
-        told = told.join(found.withColumnRenamed("entity_id", name), "mention_id", "left")
+        told = told.join(found.withColumnRenamed("entity_id", name).hint("merge"), "mention_id", "left")
     names = [n for n, _ in steps]
     how = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names], F.lit("new"))
     told = told.withColumn("how", how).withColumn("entity_id", F.coalesce(*names))
@@ -74,15 +74,20 @@ def resolve(mentions: DataFrame, entities: DataFrame, semantic: DataFrame | None
 
 
 def merge_fields(old: DataFrame, new: DataFrame, gate: float = 0.7) -> DataFrame:
-    """Existing rows with the incoming fields: aliases joined in order, the longer description, only missing properties, the greater confidence."""
-    n = new.select("entity_id", *[F.col(c).alias(f"n_{c}") for c in ("aliases", "description", "props", "confidence")])
+    """Existing rows with the incoming fields: aliases joined in order, the description of more bytes, only missing properties, the greater confidence.
+
+    An incoming status counts unless it is empty or the writer has dismissed or merged the row; a candidate sure enough becomes active.
+    """
+    n = new if "status" in new.columns else new.withColumn("status", F.lit(""))
+    n = n.select("entity_id", *[F.col(c).alias(f"n_{c}") for c in ("aliases", "description", "props", "confidence", "status")])
     told = old.join(n, "entity_id", "left")
     aliases = F.array_distinct(F.concat("aliases", F.coalesce("n_aliases", F.array().cast("array<string>"))))
-    longer = F.when(F.char_length("n_description") > F.char_length("description"), F.col("n_description")).otherwise(F.col("description"))
+    longer = F.when(F.octet_length("n_description") > F.octet_length("description"), F.col("n_description")).otherwise(F.col("description"))
     empty = lambda x: F.coalesce(x, F.lit("")) == ""
     props = F.when(F.col("n_props").isNull(), F.col("props")).otherwise(F.map_zip_with("props", "n_props", lambda k, a, b: F.when(empty(a), b).otherwise(a)))
     confidence = F.greatest("confidence", F.coalesce("n_confidence", "confidence"))
-    status = F.when((F.col("status") == "candidate") & (confidence >= gate), "active").otherwise(F.col("status"))
+    status = F.when(F.col("status").isin("dismissed", "merged") | empty(F.col("n_status")), F.col("status")).otherwise(F.col("n_status"))
+    status = F.when((status == "candidate") & (confidence >= gate), "active").otherwise(status)
     return told.select("entity_id", aliases.alias("aliases"), longer.alias("description"), props.alias("props"), confidence.alias("confidence"), status.alias("status"))
 
 
@@ -105,11 +110,11 @@ def consolidate_attributes(entities: DataFrame, losers: DataFrame) -> DataFrame:
     told = entities.join(losers, "entity_id", "left").withColumn("to", F.coalesce("winner", "entity_id"))
     own = entities.select(F.col("entity_id").alias("to"), F.lower("name").alias("own"))
     names = told.where("winner IS NOT NULL").select("to", F.col("name").alias("alias")).unionByName(told.select("to", F.explode("aliases").alias("alias")))
-    some = names.join(own, "to").where(F.lower("alias") != F.col("own"))
+    some = names.join(own.hint("merge"), "to").where(F.lower("alias") != F.col("own"))
     first = some.groupBy("to", F.lower("alias").alias("low")).agg(F.min("alias").alias("alias"))
     lists = first.groupBy("to").agg(F.transform(F.array_sort(F.collect_list(F.struct("low", "alias"))), lambda s: s["alias"]).alias("aliases"))
     text = told.groupBy("to").agg(F.max(F.struct(F.char_length("description").alias("n"), "description"))["description"].alias("description"))
-    return text.join(lists, "to", "left").join(losers.select(F.col("winner").alias("to")).distinct(), "to", "left_semi").select(F.col("to").alias("winner"), "aliases", "description")
+    return text.join(lists.hint("merge"), "to", "left").join(losers.select(F.col("winner").alias("to")).distinct(), "to", "left_semi").select(F.col("to").alias("winner"), "aliases", "description")
 
 
 def repoint(fact: DataFrame, losers: DataFrame, column: str) -> DataFrame:
@@ -133,10 +138,11 @@ def transfer_satellites(rows: DataFrame, losers: DataFrame, order: str) -> DataF
 
 
 def review_candidates(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Candidates with their newest mention, surest first."""
+    """Candidates with their newest mention, least sure first, then the one changed longest ago (``updated_at``, if there), then by id."""
     last = mentions.groupBy("entity_id").agg(F.max_by(F.struct("snippet", "chapter_no"), F.struct("created_at", "mention_id")).alias("m"))
-    told = entities.where("status = 'candidate'").join(last, "entity_id", "left")
-    return number(told.select("universe", "entity_id", "name", "confidence", "m.snippet", "m.chapter_no"), ["universe"], [F.desc("confidence"), "entity_id"], "place")
+    told = entities.where("status = 'candidate'").join(last.hint("merge"), "entity_id", "left")
+    changed = ["updated_at"] if "updated_at" in entities.columns else []
+    return number(told.select("universe", "entity_id", "name", "confidence", *changed, "m.snippet", "m.chapter_no"), ["universe"], ["confidence", *changed, "entity_id"], "place").drop(*changed)
 
 
 def decided(entities: DataFrame, decisions: DataFrame) -> DataFrame:

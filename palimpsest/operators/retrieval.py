@@ -17,6 +17,7 @@ from ..sources.scratch import keep as written
 from .aggregates import nth, number
 from .consistency import fit_flags
 from .graph import cocitation
+from .nearest import encoded, nearest, shortlist
 
 RRF = 60
 PIPELINES = ("vector", "graph", "recency", "keyword", "consolidated", "preference")
@@ -36,36 +37,35 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def distances(queries: DataFrame, items: DataFrame, item: str, own: bool = True) -> DataFrame:
-    """Cosine distance of every item of the query's universe, without that of the query's id if not ``own``; norms are taken once a row."""
-    q = queries.select("query_id", "universe", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"))
-    p = items.withColumn("_np", norm(F.col("embedding")))
-    told = q.join(p, "universe").where((F.lit(own) | (F.col(item) != F.col("query_id"))) & (F.col("_nq") > 0) & (F.col("_np") > 0))
-    return told.withColumn("distance", 1 - dot(F.col("_q"), F.col("embedding")) / (F.col("_nq") * F.col("_np"))).drop("_q", "_nq", "_np", "embedding")
-
-
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id", exclude_chapter: int | None = None, own: bool = True) -> DataFrame:
-    """Nearest k items of each query."""
+    """Nearest k items of each query in its universe by cosine distance, without that of the query's id if not ``own``; ties by item.
+
+    Only ids travel; the other columns of the items are joined to the k that stay.
+    """
     if exclude_chapter is not None:
         items = items.where(F.col("chapter_id") != exclude_chapter)
-    return distances(queries, items, item, own).withColumn("rank", nth(["query_id"], F.round("distance", 9), item)).where(F.col("rank") <= k)
+    near = nearest(queries, items, k, item, own).withColumn("rank", nth(["query_id"], F.round("distance", 9), item)).where(F.col("rank") <= k)
+    rest = [c for c in items.columns if c not in (item, "embedding")]
+    told = written(near).join(items.select(item, *rest).hint("merge"), item)
+    return told.select("query_id", "universe", item, *[c for c in rest if c != "universe"], "distance", "rank")
 
 
 def nearest_within(queries: DataFrame, items: DataFrame, threshold: float, item: str = "para_id", own: bool = True) -> DataFrame:
     """The nearest item of each query if it is within the threshold."""
-    best = distances(queries, items, item, own).groupBy("query_id").agg(F.min_by(F.struct(item, "distance"), F.struct(F.round("distance", 9), item)).alias("b"))
+    best = nearest(queries, items, 1, item, own).groupBy("query_id").agg(F.min_by(F.struct(item, "distance"), F.struct(F.round("distance", 9), item)).alias("b"))
     return best.where(F.col("b.distance") <= threshold).select("query_id", f"b.{item}", "b.distance")
 
 
-#: Cells of the approximate index, those that a query searches, and rows (smallest hashes) that the cells are fitted on.
-CELLS, PROBED, FITTED = 32, 26, 10000
+#: Cells of the approximate index, those that a query searches, rows (smallest hashes) that the cells are fitted on, and items of a query whose vectors are read.
+CELLS, PROBED, FITTED, SHORT = 32, 26, 10000, 30
 
 
-def ann_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id", cells: int = CELLS, probed: int = PROBED, own: bool = True) -> DataFrame:
-    """Approximate nearest k: every item lies in the cell of its nearest centre, and a query searches its nearest cells exactly.
+def ann_shortlist(queries: DataFrame, items: DataFrame, short: int = SHORT, item: str = "para_id", cells: int = CELLS, probed: int = PROBED, own: bool = True) -> DataFrame:
+    """(query_id, item): the items whose codes are nearest to each query in its nearest cells.
 
-    Centres come from k-means over a bounded sample. Queries meet items by universe and cell. How many cells must be searched depends on
-    how the vectors cluster: random ones need most of them for nine in ten of the true neighbours, clustered ones a few.
+    Every item lies in the cell of its nearest centre, as a code of one byte a number. Centres come from k-means over a bounded
+    sample. How many cells must be searched depends on how the vectors cluster: random ones need most of them for nine in ten of the
+    true neighbours, clustered ones a few.
     """
     import json
 
@@ -74,16 +74,24 @@ def ann_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id"
 
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / norm(c))
     p = items.where(norm(F.col("embedding")) > 0).select(item, "universe", unit(F.col("embedding")).alias("v"))
-    q = queries.where(norm(F.col("embedding")) > 0).select("query_id", "universe", unit(F.col("embedding")).alias("q"))
+    q = queries.where(norm(F.col("embedding")) > 0).select("query_id", "universe", unit(F.col("embedding")).alias("_q"))
     some = p.orderBy(F.xxhash64(item), item).limit(FITTED).select(array_to_vector("v").alias("features")).coalesce(1)
     model = KMeans(k=cells, seed=7, maxIter=10).fit(some)
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     table = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")  # a constant of bounded size
     near = lambda v: F.array_sort(F.transform(table, lambda c, i: F.struct((dot(c, c) - 2 * dot(v, c)).alias("d"), i.alias("cell"))))
-    held = p.withColumn("cell", near(F.col("v"))[0]["cell"])
-    asked = q.withColumn("cell", F.explode(F.transform(F.slice(near(F.col("q")), 1, probed), lambda s: s["cell"])))
-    pairs = asked.join(held.hint("merge"), ["universe", "cell"]).where(F.lit(own) | (F.col("query_id") != F.col(item)))
-    told = pairs.select("query_id", item, (1 - dot(F.col("q"), F.col("v"))).alias("distance"))
+    cell = p.select(item, near(F.col("v"))[0]["cell"].alias("cell"))
+    held = encoded(items, item).join(cell.hint("merge"), item)
+    asked = q.withColumn("cell", F.explode(F.transform(F.slice(near(F.col("_q")), 1, probed), lambda s: s["cell"])))
+    told = shortlist(asked, held, item, short, ["universe", "cell"], own)
+    return told.withColumn("_n", nth(["query_id"], "near", item)).where(F.col("_n") <= short).select("query_id", item)
+
+
+def ann_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id", cells: int = CELLS, probed: int = PROBED, own: bool = True, short: int = SHORT) -> DataFrame:
+    """Approximate nearest k: of the items that their codes put first, the exact distances decide; only these items' vectors are read."""
+    few = written(ann_shortlist(queries, items, max(k, short), item, cells, probed, own))
+    pairs = few.join(items.select(item, F.col("embedding").alias("_p")).hint("merge"), item).join(queries.select("query_id", F.col("embedding").alias("_q")).hint("merge"), "query_id")
+    told = pairs.select("query_id", item, (1 - dot(F.col("_q"), F.col("_p")) / (norm(F.col("_q")) * norm(F.col("_p")))).alias("distance"))
     return told.withColumn("rank", nth(["query_id"], F.round("distance", 9), item)).where(F.col("rank") <= k)
 
 
@@ -119,7 +127,7 @@ def keyword_search(queries: DataFrame, paras: DataFrame, k: int, key: str = "par
     found = wanted.join((index(paras, key) if indexed is None else indexed).hint("merge"), ["term", "universe"]).where(F.lit(own) | (F.col(key) != F.col("query_id")))
     shifted = F.transform("positions", lambda p: p - F.col("i"))
     parts = found.groupBy("query_id", key, "clause", "n", "kind", "len").agg(F.count("*").alias("got"), F.collect_list(shifted).alias("starts"), F.sum(F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))).alias("weight"))
-    common = F.aggregate(F.slice("starts", 2, 1 << 20), F.element_at("starts", 1), lambda a, b: F.array_intersect(a, b))
+    common = F.aggregate("starts", F.element_at("starts", 1), lambda a, b: F.array_intersect(a, b))
     whole = parts.where((F.col("got") == F.col("len")) & ((F.col("len") == 1) | (F.size(common) > 0)))
     need = parsed.where("kind = 'must'").groupBy("query_id").agg(F.count_distinct("clause").alias("need"), F.sum(F.size("terms")).alias("n_terms"))
     must = F.col("kind") == "must"
@@ -215,16 +223,16 @@ def explained(queries: DataFrame | None, ctx: dict[str, DataFrame], k: int, budg
     def first(told: DataFrame, most: int | None = None) -> DataFrame:
         fused = fuse(told, names)
         if scores is not None:
-            moved = apply_rerank(fused, scores, 20)
+            moved = apply_rerank(fused, scores, k)
             fused = fused.join(moved.select("query_id", "item", "post"), ["query_id", "item"], "left").withColumn("position", F.coalesce("post", "position")).drop("post")
         # whether an item fits depends on those before it only
         fused = fused if most is None else fused.where(F.col("position") <= most)
         return flag_fit(fused, budget).where("fits").withColumn("place", nth(["query_id"], "position")).where(F.col("place") <= k)
 
     if keep is None:
-        whole = all_lists(queries, ctx, own=own) if lists is None else lists
+        whole = all_lists(queries, ctx, k, own) if lists is None else lists
         return first(whole), whole
-    near = keep(all_lists(queries, ctx, own=own, most=HEAD)) if lists is None else lists
+    near = keep(all_lists(queries, ctx, k, own, HEAD)) if lists is None else lists
     found = keep(first(near, HEAD))
     done = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     asked = near.select("query_id").distinct() if lists is not None else queries
@@ -232,7 +240,7 @@ def explained(queries: DataFrame | None, ctx: dict[str, DataFrame], k: int, budg
     if open_.isEmpty():
         return found, near
     ids = open_.select("query_id").hint("merge")
-    rest = keep(all_lists(open_, ctx, own=own) if lists is None else near.join(ids, "query_id", "left_semi"))
+    rest = keep(all_lists(open_, ctx, k, own) if lists is None else near.join(ids, "query_id", "left_semi"))
     closed = lambda df: df.join(ids, "query_id", "left_anti")
     return closed(found).unionByName(first(rest)), closed(near).unionByName(rest)
 
@@ -250,8 +258,9 @@ def prepare(ctx: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -
 def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 10, own: bool = True, most: int | None = None) -> DataFrame:
     """The ranked lists of every query; a pipeline without what it needs is empty.
 
-    A query without an embedding has no vector, keyword and consolidated list, and its graph seeds are the most relevant
-    entities of its universe. ``own`` false leaves out the paragraph of a query's id. With ``most``, the recency list, the only one
+    Vector, keyword, consolidated and preference lists have ``k`` places, the graph list all neighbours of the seeds. A query without an
+    embedding has no vector and consolidated list, and its graph seeds are the most relevant entities of its universe; one without
+    text has no keyword list. ``own`` false leaves out the paragraph of a query's id. With ``most``, the recency list, the only one
     that grows with the entities, holds its first ``most`` places and those of entities that other lists name: whatever it leaves
     out comes after ``most`` items of any fusion, as it has no other list and a later place than they.
     """
@@ -263,10 +272,11 @@ def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 10, own: b
     latest = ctx["latest"] if "latest" in ctx else recency(ents)
     first = queries.where("embedding IS NULL").select("query_id", "universe").join(latest.where(F.col("rank") <= SEEDS).hint("merge"), "universe")
     seeds = graph_seeds(hits, ctx["mentions"]).select("query_id", "seed").unionByName(first.select("query_id", F.col("entity_id").alias("seed")))
-    near = cocitation(ctx["edges"], seeds).where(F.col("rank") <= 20).withColumnRenamed("neighbor", "entity_id").join(ents.select("entity_id", "name").hint("merge"), "entity_id")
-    words = keyword_search(whole, paras.select("para_id", "universe", "text"), k, own=own, indexed=ctx.get("index")).join(paras.select("para_id", "text").hint("merge"), "para_id")
+    near = cocitation(ctx["edges"], seeds).withColumnRenamed("neighbor", "entity_id").join(ents.select("entity_id", "name").hint("merge"), "entity_id")
+    spoken = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    words = keyword_search(spoken, paras.select("para_id", "universe", "text"), k, own=own, indexed=ctx.get("index")).join(paras.select("para_id", "text").hint("merge"), "para_id")
     memories = vector_topk(whole, ctx["memories"], k, item="entity_id")
-    liked = named.join(ctx["preferences"], "universe")
+    liked = named.join(ctx["preferences"].where(F.col("rank") <= k).hint("merge"), "universe")
     short = reduce(DataFrame.unionByName, [
         ranked("vector", hits, para, F.col("text")),
         ranked("graph", near, ent(F.col("entity_id")), F.concat(F.lit("Related entity: "), "name")),

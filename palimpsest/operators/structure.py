@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.scratch import keep
+from . import automaton
 
 _ENGLISH = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand"
 _SPANISH = "uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|trece|catorce|quince|dieciséis|diecisiete|dieciocho|diecinueve|veinte|treinta|cuarenta|cincuenta|sesenta|setenta|ochenta|noventa|cien"
@@ -43,7 +50,7 @@ def all_capitals(line: Column) -> Column:
 def names_in_prose(found: DataFrame, key: str) -> DataFrame:
     """(key, name): words that stand after another word of a sentence, in documents with short capital lines."""
     short = found.where(F.col("capital") & (F.char_length("trimmed") < SHORT_CAPITALS)).select(key).distinct()
-    words = lambda s: F.slice(F.filter(F.split(s, r"[^\p{L}]+"), lambda w: w != ""), 2, 1 << 20)
+    words = lambda s: F.filter(F.filter(F.split(s, r"[^\p{L}]+"), lambda w: w != ""), lambda w, i: i > 0)
     prose = found.where(~F.col("capital")).join(short.hint("merge"), key, "left_semi")
     return prose.select(key, F.explode(F.flatten(F.transform(F.split("line", "[.!?]"), words))).alias("name")).where(F.col("name").rlike(r"^\p{Lu}")).distinct()
 
@@ -134,13 +141,16 @@ def pack_paragraphs(docs: DataFrame, key: str, text: str = "text", most: int = P
     return out.select(key, "part", F.when(F.col("_whole"), F.lit("Untitled")).otherwise(F.concat(F.lit("Part "), (F.col("part") + 1).cast("string"))).alias("title"), "body")
 
 
-def paragraphs(chapters: DataFrame, keys: list[str], between: str = "\n", most: int = 30000) -> DataFrame:
-    """Rows (keys, paragraph_index, offset, text): index over all parts, byte offset of the trimmed text; blank and oversized parts go."""
+def paragraphs(chapters: DataFrame, keys: list[str], between: str = "\n\n", most: int = 30000) -> DataFrame:
+    """Rows (keys, paragraph_index, offset, text): index over all parts, byte offset of the trimmed text; blank parts and those of more than ``most`` bytes go.
+
+    All white space of Unicode is trimmed.
+    """
     parts = chapters.select(*keys, F.posexplode(F.split("text", between)).alias("paragraph_index", "part"))
     order = Window.partitionBy(*keys).orderBy("paragraph_index").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.octet_length("part") + len(between)).over(order), F.lit(0))
-    lead = F.octet_length("part") - F.octet_length(F.ltrim("part"))
-    out = parts.select(*keys, "paragraph_index", (before + lead).cast("long").alias("offset"), F.trim("part").alias("text"))
+    lead = F.octet_length("part") - F.octet_length(F.regexp_replace("part", r"(?U)^\s+", ""))
+    out = parts.select(*keys, "paragraph_index", (before + lead).cast("long").alias("offset"), F.regexp_replace("part", r"(?U)^\s+|\s+$", "").alias("text"))
     return out.where((F.col("text") != "") & (F.octet_length("text") <= most))
 
 
@@ -156,38 +166,89 @@ def locate_mentions(names: DataFrame, paras: DataFrame, keys: list[str]) -> Data
     return best.select(*keys, "name", row["paragraph_index"].alias("paragraph_index"), (F.instr(F.lower(row["text"]), F.lower("name")) - 1).alias("at"), row["text"].alias("text"))
 
 
-#: Pieces of a text: runs of letters, digits and underscores, and every other character alone.
-PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+#: Bytes of names in a shard of the lexicon, bytes of automata that are broadcast at once, and characters of text that are matched at once.
+SHARD_BYTES, PASS_BYTES, MATCHED_CHARS = 1 << 20, 128 << 20, 1 << 20
+
+
+def lexicon_automata(names: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(shard, automaton) of the different names, ids the smallest of each; every shard is built by one task from at most some ``shard_bytes``."""
+    known = names.select(F.lower(F.regexp_replace("name", r"^\s+|\s+$", "")).alias("norm"), F.col("entity_id").cast("long").alias("entity_id")).where("norm <> ''").groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
+    known = keep(known)
+    total = known.agg(F.sum(F.octet_length("norm"))).first()[0] or 0
+    shards = -(-total // shard_bytes)
+    dealt = known.withColumn("shard", F.pmod(F.xxhash64("norm"), F.lit(max(1, shards))))
 
+    def build(given: pa.Table) -> pa.Table:
+        made = automaton.Automaton(given.column("norm").to_pylist(), given.column("entity_id").to_pylist())
+        return pa.table({"shard": given.column("shard")[:1], "automaton": pa.array([made.dump()], pa.binary())})
 
-def match_gazetteer(paras: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    return keep(dealt.groupBy("shard").applyInArrow(build, "shard long, automaton binary"))
+
+
+def match_gazetteer(paras: DataFrame, names: DataFrame, key: str, shard_bytes: int = SHARD_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(key, entity_id, start, end, form): names found in any case between word boundaries, from left to right, the longest of each place.
 
-    Texts and names are cut into the same pieces. A name's first piece meets the pieces of the paragraphs; the rest is compared where it
-    does. What a found name covers is not searched again, and a sign stands between two names. A name of several entities is the smallest one's; names may have any
-    length and signs.
+    Names become automata over their pieces, in shards of bounded size. As many as fit ``pass_bytes`` are broadcast together, and texts
+    are matched where they are read; only a larger lexicon takes more passes, whose matches then meet by text. What a found name covers is
+    not searched again, and a sign stands between two names. A name of several entities is the smallest one's; names may have any length and signs.
     """
-    pieces = lambda c: F.regexp_extract_all(F.lower(c), F.lit(PIECE), F.lit(0))
-    known = names.select(F.lower(F.regexp_replace("name", r"^\s+|\s+$", "")).alias("norm"), "entity_id").where("norm <> ''").groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
-    known = known.withColumn("pieces", pieces(F.col("norm")))
-    told = paras.select(key, "text", pieces(F.col("text")).alias("w"))
-    at = told.select(key, F.posexplode("w").alias("i", "piece")).where(F.trim("piece") != "")
-    met = at.join(known.withColumn("piece", F.col("pieces")[0]).hint("merge"), "piece")
-    places = met.groupBy(key).agg(F.collect_list(F.struct("i", F.size("pieces").alias("n"), "entity_id", "pieces")).alias("places"))
-    both = told.join(places.hint("merge"), key)
-    w = F.col("w")
-    is_word = lambda p: F.coalesce(p.rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
-    holds = lambda p: (F.slice(w, p["i"] + 1, p["n"]) == p["pieces"])
-    # a name that begins or ends with a sign needs no letter beside it either
-    free = lambda p: ~is_word(F.get(w, F.when(p["i"] > 0, p["i"] - 1))) & ~is_word(F.get(w, p["i"] + p["n"]))
-    order = lambda p: F.struct(p["i"].alias("i"), (-p["n"]).alias("n"), p["entity_id"].alias("entity_id"))
-    sorted_ = F.array_sort(F.transform(F.filter("places", lambda p: holds(p) & free(p)), order))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,n:int,entity_id:bigint>>").alias("kept"))
-    keep = lambda a, p: F.when((p["i"] > a["end"]) | ((p["i"] == 0) & (a["end"] == 0)), F.struct((p["i"] - p["n"]).alias("end"), F.array_append(a["kept"], F.struct(p["i"].alias("i"), (-p["n"]).alias("n"), p["entity_id"].cast("bigint").alias("entity_id"))).alias("kept"))).otherwise(a)
-    kept = both.select(key, "text", "w", F.explode(F.aggregate(sorted_, start, keep, lambda a: a["kept"])).alias("p"))
-    length = lambda n: F.char_length(F.array_join(F.slice("w", F.lit(1), n), ""))
-    told = kept.select(key, F.col("p.entity_id").alias("entity_id"), length(F.col("p.i")).cast("long").alias("start"), length(F.col("p.i") + F.col("p.n")).cast("long").alias("end"), "text")
-    return told.select(key, "entity_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("form"))
+    shards = lexicon_automata(names, shard_bytes)
+    passes: list[list[int]] = []
+    left = 0
+    for r in shards.select("shard", F.octet_length("automaton").alias("n")).orderBy("shard").collect():  # a row for each shard
+        if not passes or r.n > left:
+            passes, left = [*passes, []], pass_bytes
+        passes[-1].append(r.shard)
+        left -= r.n
+    told = paras.select(key, "text", F.lower("text").alias("low")).where("text IS NOT NULL")
+    kind = paras.schema[key].dataType
+    span = T.StructType([T.StructField(key, kind), *[T.StructField(c, T.LongType()) for c in ("entity_id", "start", "end")], T.StructField("form", T.StringType())])
+    placed = T.StructType([*span.fields, T.StructField("text", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+
+    def matcher(sent, alone: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automata = [automaton.load(x) for x in sent.value]
+            for batch in batches:
+                low, text = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+                ends = np.cumsum([len(t) for t in low]) // MATCHED_CHARS if low else np.zeros(0)
+                for part in np.split(np.arange(len(low)), np.flatnonzero(np.diff(ends)) + 1):
+                    found = [a.found([low[i] for i in part]) for a in automata]
+                    row, start, end, entity, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order = np.lexsort((entity, -last, first, row))
+                    row, start, end, entity, first, last = (x[order] for x in (row, start, end, entity, first, last))
+                    if alone:
+                        kept = automaton.leftmost_longest(row, first, last)
+                        row, start, end, entity, first, last = (x[kept] for x in (row, start, end, entity, first, last))
+                    at = part[row] if len(row) else row
+                    form = [text[i][x:y] for i, x, y in zip(at.tolist(), start.tolist(), end.tolist(), strict=True)]
+                    columns = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(x, pa.int64()) for x in (entity, start, end)], pa.array(form, pa.string())]
+                    if not alone:
+                        columns += [batch.column(3).take(pa.array(at, pa.int64())), *[pa.array(x, pa.int64()) for x in (first, last)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in (span if alone else placed).fields])
+
+        return run
+
+    def shard_pass(chosen: list[int], alone: bool) -> DataFrame:
+        sent = paras.sparkSession.sparkContext.broadcast([bytes(r.automaton) for r in shards.where(F.col("shard").isin(chosen)).collect()])  # PASS_BYTES and one shard at most
+        source = told if alone else told.withColumn("text_id", F.xxhash64("text"))
+        return source.mapInArrow(matcher(sent, alone), span if alone else placed)
+
+    if len(passes) < 2:
+        return shard_pass(passes[0] if passes else [], True) if passes else paras.sparkSession.createDataFrame([], span)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first, last = (np.array([p[c] for p in places]) for c in ("first", "last"))
+                kept = automaton.leftmost_longest(np.zeros(len(places), int), first, -last)
+                out += [(k, p["entity"], p["start"], p["end"], p["form"]) for p, good in zip(places, kept.tolist(), strict=True) if good]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, *[pa.int64()] * 3, pa.string()], strict=True)], names=span.names)
+
+    found = reduce(DataFrame.unionByName, [keep(shard_pass(chosen, False)) for chosen in passes])
+    place = F.struct("first", (-F.col("last")).alias("last"), F.col("entity_id").alias("entity"), "start", "end", "form")
+    return found.groupBy(key, "text").agg(F.array_sort(F.collect_list(place)).alias("places")).select(key, "places").mapInArrow(settle, span)
 
 
 def truncate_to_tokens(paras: DataFrame, key: str, order: str, budget: int) -> DataFrame:
@@ -200,15 +261,17 @@ def truncate_to_tokens(paras: DataFrame, key: str, order: str, budget: int) -> D
 
 
 def cap_corpus(chunks: DataFrame, key: str, order: str, most: int = 12000) -> DataFrame:
-    """Chunks of a key in order until ``most`` characters; the last is cut."""
+    """Chunks of a key in order until ``most`` bytes, two between chunks; the last is cut to whole characters."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(most) - F.coalesce(F.sum(F.char_length("text") + 2).over(w), F.lit(0))
-    return chunks.withColumn("_left", left).where("_left > 0").select(key, order, F.substring("text", F.lit(1), F.col("_left").cast("int")).alias("text"))
+    left = F.lit(most) - F.coalesce(F.sum(F.octet_length("text") + 2).over(w), F.lit(0))
+    return chunks.withColumn("_left", left).where("_left > 0").select(key, order, X.byte_prefix(F.col("text"), F.col("_left")).alias("text"))
 
 
-def conversation_tokens(turns: DataFrame) -> DataFrame:
-    """Two, and four and the role's and content's tokens for each message."""
-    return turns.groupBy("conv_id").agg((F.lit(2) + F.sum(4 + X.count_tokens(F.col("role")) + X.count_tokens(F.col("text")))).alias("tokens"))
+def conversation_tokens(turns: DataFrame, calls: str | None = None) -> DataFrame:
+    """Two, and four and the role's and content's tokens for each message, and those of its tool calls (a column of JSON text, which may be null)."""
+    cost = 4 + X.count_tokens(F.col("role")) + X.count_tokens(F.col("text"))
+    cost = cost if calls is None else cost + X.count_tokens(F.coalesce(calls, F.lit("")))
+    return turns.groupBy("conv_id").agg((F.lit(2) + F.sum(cost)).alias("tokens"))
 
 
 def compaction_plan(turns: DataFrame, usable: int) -> DataFrame:

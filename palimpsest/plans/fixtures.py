@@ -24,7 +24,7 @@ VIEWS = {
     "para_vecs": "SELECT vec_id AS para_id, vec_id % 5 AS universe, label AS chapter_id, embedding FROM embeddings",
     "query_vecs": "SELECT vec_id AS query_id, vec_id % 5 AS universe, embedding FROM embeddings WHERE vec_id % 20 = 0",
     "ent_users": f"SELECT user_id AS entity_id, user_id % 5 AS universe, {_pick('user_id % 7', ENTITY_TYPES)} AS type, 'user' || CAST(user_id AS STRING) AS name, CASE WHEN user_id % 37 = 0 THEN 'deceased' WHEN user_id % 11 = 0 THEN 'candidate' ELSE 'active' END AS status, CAST(0.5 AS DOUBLE) + CAST(user_id % 50 AS DOUBLE) / 100 AS relevance, CAST(user_id % 10 AS DOUBLE) / 10 AS confidence, max(day(ts)) AS last_chapter FROM events GROUP BY user_id",
-    "mentions": "SELECT event_id AS mention_id, user_id AS entity_id, user_id % 5 AS universe, CAST(day(ts) AS BIGINT) AS chapter_no, CAST(hour(ts) AS BIGINT) AS paragraph_index, props AS snippet, ts AS created_at FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0",
+    "mentions": "SELECT event_id AS mention_id, user_id AS entity_id, user_id % 5 AS universe, CAST(day(ts) AS BIGINT) AS chapter_no, CAST(hour(ts) AS BIGINT) AS paragraph_index, props AS snippet, ts AS created_at FROM events WHERE event_type = 'purchase'",
     "ent_parts": "SELECT p_partkey AS entity_id, 1 AS universe, p_type AS type, p_name AS name, LIST(p_brand, upper(p_name)) AS aliases, p_name || ' ' || p_type || ' ' || p_brand AS description, p_retailprice / (SELECT max(p_retailprice) FROM part) AS relevance, p_size AS created FROM part",
     "edges": f"SELECT src, dst, {_pick('(src + dst) % 16', RELATIONS)} AS rel_type FROM (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) AS x",
     "jobs": "SELECT o_orderkey AS job_id, o_custkey % 5 AS universe, SHA(CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING)) AS content_hash, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at FROM orders",
@@ -50,6 +50,7 @@ WHEN 0 THEN '---' || {nl} || 'author: x' || {nl} || 'Title:  "Book ' || CAST(doc
 WHEN 1 THEN '# The Long Way ' || CAST(doc_id AS STRING) || {nl} || {nl} || '## Holden' || {nl} || {nl} || text WHEN 2 THEN '# Chapter One' || {nl} || {nl} || '# A Later Title' || {nl} || text
 WHEN 3 THEN '# ' || repeat('Long ', 40) || {nl} || text WHEN 4 THEN 'Book ' || CAST(doc_id AS STRING) || {nl} || {nl} || text WHEN 5 THEN 'Chapter One' || {nl} || {nl} || text
 WHEN 6 THEN 'The Book' || {nl} || {nl} || 'Holden' || {nl} || {nl} || 'some text here' || {nl} || {nl} || 'Miller' || {nl} || {nl} || text ELSE text END AS text FROM documents""",
+    "broken": "SELECT doc_id AS chapter_id, chr(160) || replace(replace(text, '. ', '.' || {nl} || {nl} || ' '), ', ', ',' || chr(160) || {nl} || {nl} || chr(9)) AS text FROM documents",
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }
 #: Views whose text differs between Spark and the oracle.

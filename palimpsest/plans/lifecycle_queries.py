@@ -50,16 +50,20 @@ def a5(v: Views):
 
 
 @query("a6_entities_for_paragraphs", "mentions", """
-SELECT DISTINCT m.entity_id, m.chapter_no, m.paragraph_index FROM mentions m JOIN (SELECT DISTINCT chapter_no, paragraph_index FROM mentions WHERE mention_id % 7 = 0) k USING (chapter_no, paragraph_index)""")
+SELECT DISTINCT m.entity_id, m.chapter_no, m.paragraph_index FROM mentions m JOIN (SELECT DISTINCT chapter_no, paragraph_index FROM mentions WHERE mention_id % 20 = 0) k USING (chapter_no, paragraph_index)""")
 def a6(v: Views):
-    keys = v("mentions").where("mention_id % 7 = 0").select("chapter_no", "paragraph_index")
+    keys = v("mentions").where("mention_id % 20 = 0").select("chapter_no", "paragraph_index")
     return v("mentions").join(keys, ["chapter_no", "paragraph_index"], "left_semi").select("entity_id", "chapter_no", "paragraph_index").distinct()
 
 
 @query("a7_active_entities", "ent_users", "SELECT universe, entity_id, name, row_number() OVER (PARTITION BY universe ORDER BY relevance DESC, name, entity_id) AS place FROM ent_users WHERE status = 'active'")
 def a7(v: Views):
-    active = v("ent_users").where("status = 'active'").select("universe", "entity_id", "name", "relevance")
-    return A.number(active, ["universe"], [F.desc("relevance"), "name", "entity_id"], "place").drop("relevance")
+    return A.inventory(v("ent_users"), True).select("universe", "entity_id", "name", "place")
+
+
+@query("a7_inventory", "ent_users", "SELECT universe, entity_id, name, status, row_number() OVER (PARTITION BY universe ORDER BY relevance DESC, name, entity_id) AS place FROM ent_users")
+def a7b(v: Views):
+    return A.inventory(v("ent_users")).select("universe", "entity_id", "name", "status", "place")
 
 
 @query("a8_next_index", "chapters", "SELECT work, max(order_index) + 1 AS next_index FROM chapters GROUP BY work")
@@ -162,17 +166,21 @@ hit AS (SELECT DISTINCT entity_id, chapter_no FROM mentions),
 h AS (SELECT entity_id, universe, 0::BIGINT AS recorded_at, relevance, CASE status WHEN 'candidate' THEN 'active' ELSE status END AS status FROM ent_users
 UNION ALL SELECT entity_id, universe, recorded_at, s AS relevance, CASE WHEN st = 'active' AND s <= 0.15::DOUBLE THEN 'archived' ELSE st END FROM (
  SELECT h.entity_id, universe, recorded_at + 1 AS recorded_at,
-  CASE WHEN hit.entity_id IS NOT NULL AND status = 'archived' THEN 0.8::DOUBLE WHEN hit.entity_id IS NOT NULL AND status = 'active' THEN least(1::DOUBLE, relevance + 0.15::DOUBLE) WHEN status = 'active' THEN relevance * exp(-0.1::DOUBLE) ELSE relevance END AS s,
+  CASE WHEN hit.entity_id IS NOT NULL AND status = 'archived' THEN 0.8::DOUBLE WHEN hit.entity_id IS NOT NULL AND status = 'active' THEN least(1::DOUBLE, relevance + 0.15::DOUBLE) WHEN status = 'active' THEN relevance * exp(-0.3::DOUBLE) ELSE relevance END AS s,
   CASE WHEN hit.entity_id IS NOT NULL AND status = 'archived' THEN 'active' ELSE status END AS st
  FROM h LEFT JOIN hit ON hit.entity_id = h.entity_id AND hit.chapter_no = recorded_at + 1 WHERE recorded_at < 30) AS x)"""
 
 
+#: Fading a chapter at which some of the many mentioned entities are archived.
+RATE = 0.3
+
+
 def started(v: Views):
     return v("ent_users").withColumn("status", F.when(F.col("status") == "candidate", "active").otherwise(F.col("status")))
 
 
 def history(v: Views):
-    return L.replay(started(v), v("mentions"), 30)
+    return L.replay(started(v), v("mentions"), 30, RATE)
 
 
 def final(v: Views):
@@ -216,7 +224,8 @@ def l10(v: Views):
 
 
 @query("l11_stale_arcs", "ent_users", """
-SELECT entity_id, universe, 'Unresolved: ' || name AS title, name || ' was last mentioned in chapter ' || last_chapter || ', ' || (60 - last_chapter) || ' chapters ago' AS description FROM ent_users WHERE status = 'active' AND relevance > 0.5 AND 60 - last_chapter >= 31""")
+SELECT entity_id, universe, 'Stale arc: ' || name || ' (gap ' || (60 - last_chapter) || ' chapters)' AS title,
+'Entity ' || chr(39) || name || chr(39) || ' has not been mentioned for ' || (60 - last_chapter) || ' chapters (last seen in chapter ' || last_chapter || ', currently at chapter 60)' AS description FROM ent_users WHERE status = 'active' AND relevance > 0.5 AND 60 - last_chapter >= 31""")
 def l11(v: Views):
     return L.stale_arcs(v("ent_users"), 60, 31)
 
@@ -230,21 +239,23 @@ def l13(v: Views):
 
 
 def deceased(v: Views):
-    seen = v("mentions").groupBy("entity_id").agg(F.min("chapter_no").alias("chapter_no"))
-    return C.check_deceased(v("ent_users").withColumnRenamed("status", "previous_status").join(seen, "entity_id"))
+    known = v("ent_users").select("entity_id", "name", F.col("status").alias("previous_status"))
+    return C.check_deceased(v("mentions").select("mention_id", "entity_id", "chapter_no", F.col("snippet").alias("mention_text")).join(known, "entity_id"))
 
 
-_DECEASED = "d AS (SELECT entity_id, name || ' is deceased but appears in chapter ' || min(chapter_no) AS evidence_b, min(chapter_no) AS chapter_no FROM ent_users e JOIN mentions m USING (entity_id) WHERE e.status = 'deceased' GROUP BY entity_id, name)"
+_DECEASED = "d AS (SELECT entity_id, name, coalesce(snippet, '') AS snippet, chapter_no FROM ent_users e JOIN mentions m USING (entity_id) WHERE e.status = 'deceased')"
+_MARK = "sha256(entity_id || 'deceased_alive' || 'Entity ' || name || ' is deceased in DB' || snippet || chapter_no || chapter_no)"
 
 
-@query("c1_check_deceased", "ent_users mentions", f"WITH {_DECEASED} SELECT entity_id, 'character_status' AS kind, 'critical' AS severity, evidence_b, 'deceased' AS evidence_a, chapter_no FROM d")
+@query("c1_check_deceased", "ent_users mentions", f"""WITH {_DECEASED} SELECT entity_id, 'deceased_alive' AS kind, 'critical' AS severity, 'Entity ' || chr(39) || name || chr(39) || ' is marked as deceased but was mentioned as active: "' || snippet || '"' AS description,
+'Entity ' || name || ' status: deceased' AS evidence_a, snippet AS evidence_b, chapter_no, {_MARK} AS fingerprint FROM d""")
 def c1(v: Views):
     return deceased(v)
 
 
-@query("c2_fingerprint", "ent_users mentions", f"WITH {_DECEASED} SELECT entity_id, sha256(entity_id || 'character_status' || 'deceased' || evidence_b || chapter_no) AS fingerprint FROM d")
+@query("c2_fingerprint", "ent_users mentions", f"WITH {_DECEASED} SELECT {_MARK} AS fingerprint, count(*) AS n FROM d GROUP BY ALL")
 def c2(v: Views):
-    return deceased(v).select("entity_id", C.fingerprint(*[F.col(c) for c in ("entity_id", "kind", "evidence_a", "evidence_b", "chapter_no")]).alias("fingerprint"))
+    return deceased(v).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
 @query("c3_new_contradictions", "mentions", """
@@ -263,11 +274,14 @@ def c4(v: Views):
     return C.apply_status(rows, changes).select("id", "status")
 
 
-@query("c5_open_arcs", "", "SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') o ON o_orderkey = l_orderkey WHERE l_partkey = 7")
+@query("c5_open_arcs", "", """
+SELECT l_partkey AS entity_id, o_custkey % 5 AS universe, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey % 5, l_partkey ORDER BY o_orderdate DESC, o_orderkey) AS place
+FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) AS l JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_partkey % 5 = o_custkey % 5""")
 def c5(v: Views):
-    arcs = v("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("related"))
-    holes = arcs.join(v("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("resolved").alias("status")), "id")
-    return C.open_arcs(holes, F.lit(7).cast("long")).select("id")
+    arcs = v("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_partkey").alias("related"))
+    orders = v("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("universe"), F.col("o_orderdate").alias("created"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("resolved").alias("status"))
+    asked = v("part").select((F.col("p_partkey") % 5).alias("universe"), F.col("p_partkey").alias("entity_id"))
+    return C.open_arcs(arcs.join(orders, "id"), asked).select("entity_id", "universe", "id", "place")
 
 
 @query("c6_timeline", "", """
@@ -293,6 +307,14 @@ def c8(v: Views):
     return C.seed_timeline(v("mentions"), v("ent_users")).withColumn("participants", F.array_join(F.col("participants").cast("array<string>"), ","))
 
 
+@query("c8_seeded_events", "mentions ent_users", """
+WITH t AS (SELECT DISTINCT m.universe, chapter_no, entity_id, type, name FROM mentions m JOIN ent_users e USING (entity_id) WHERE type IN ('event', 'character'))
+SELECT universe || ':' || chapter_no AS group_id, entity_id, type = 'event' AS is_event FROM t""")
+def c8b(v: Views):
+    events, members = C.seeded_events(v("mentions"), v("ent_users"))
+    return events.select("group_id", "entity_id", F.lit(True).alias("is_event")).unionByName(members.withColumn("is_event", F.lit(False)))
+
+
 @query("c9_last_k_chapters", "mentions", "SELECT universe, chapter_no FROM (SELECT DISTINCT universe, chapter_no FROM mentions) AS x QUALIFY row_number() OVER (PARTITION BY universe ORDER BY chapter_no DESC) <= 3")
 def c9(v: Views):
     return C.last_k_chapters(v("mentions"), 3)
@@ -314,7 +336,7 @@ def c11(v: Views):
 
 @query("c12_entity_lines", "ent_parts", """
 WITH RECURSIVE i AS (SELECT universe, type, '- ' || name || ' (' || type || '): ' || description AS line, row_number() OVER (PARTITION BY universe, type ORDER BY relevance DESC, entity_id) AS n FROM ent_parts),
-c AS (SELECT *, strlen(line) // 4 + 1 AS cost FROM i),
+c AS (SELECT *, (strlen(line) + 1) // 4 + 1 AS cost FROM i),
 g AS (SELECT universe, type, n, CASE WHEN cost <= 200 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 200 THEN line ELSE '' END AS text FROM c WHERE n = 1
 UNION ALL SELECT c.universe, c.type, c.n, CASE WHEN used + cost <= 200 THEN used + cost ELSE used END, CASE WHEN used + cost <= 200 THEN text || chr(10) || line ELSE text END FROM g JOIN c ON c.universe = g.universe AND c.type = g.type AND c.n = g.n + 1)
 SELECT universe, type, max_by(text, n) AS text, max_by(used, n) AS used FROM g GROUP BY ALL""")

@@ -71,13 +71,13 @@ def r5(v: Views):
 
 @query("r6_merge_fields", "ent_parts", """
 SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN array_to_string(aliases, ',') || ',x' || entity_id ELSE array_to_string(aliases, ',') END AS aliases,
-CASE WHEN entity_id % 2 = 0 AND length(name || ' of the old harbour town') > length(description) THEN name || ' of the old harbour town' ELSE description END AS description,
+CASE WHEN entity_id % 2 = 0 AND strlen(name || ' of the old harbour town') > strlen(description) THEN name || ' of the old harbour town' ELSE description END AS description,
 CASE WHEN entity_id % 2 = 0 THEN 'new' ELSE '' END AS color, 'old' AS size, round(CASE WHEN entity_id % 2 = 0 THEN greatest(0.5::DOUBLE, (entity_id % 10)::DOUBLE / 10) ELSE 0.5 END, 6) AS confidence,
-CASE WHEN entity_id % 2 = 0 AND entity_id % 10 >= 7 THEN 'active' ELSE 'candidate' END AS status FROM ent_parts""")
+CASE WHEN entity_id % 3 = 0 THEN 'dismissed' WHEN entity_id % 2 = 0 AND entity_id % 4 = 0 THEN 'deceased' WHEN entity_id % 2 = 0 AND entity_id % 10 >= 7 THEN 'active' ELSE 'candidate' END AS status FROM ent_parts""")
 def r6_merge(v: Views):
     props = lambda a, b: F.create_map(F.lit("color"), F.lit(a), F.lit("size"), F.lit(b))
-    old = v("ent_parts").select("entity_id", "aliases", "description", props("", "old").alias("props"), F.lit(0.5).alias("confidence"), F.lit("candidate").alias("status"))
-    new = v("ent_parts").where("entity_id % 2 = 0").select("entity_id", F.array(F.col("aliases")[0], F.concat(F.lit("x"), F.col("entity_id").cast("string"))).alias("aliases"), F.concat("name", F.lit(" of the old harbour town")).alias("description"), props("new", "new").alias("props"), (F.col("entity_id") % 10 / 10).alias("confidence"))
+    old = v("ent_parts").select("entity_id", "aliases", "description", props("", "old").alias("props"), F.lit(0.5).alias("confidence"), F.when(F.col("entity_id") % 3 == 0, "dismissed").otherwise("candidate").alias("status"))
+    new = v("ent_parts").where("entity_id % 2 = 0").select("entity_id", F.array(F.col("aliases")[0], F.concat(F.lit("x"), F.col("entity_id").cast("string"))).alias("aliases"), F.concat("name", F.lit(" of the old harbour town")).alias("description"), props("new", "new").alias("props"), (F.col("entity_id") % 10 / 10).alias("confidence"), F.when(F.col("entity_id") % 4 == 0, "deceased").otherwise("").alias("status"))
     return R.merge_fields(old, new).select("entity_id", F.array_join("aliases", ",").alias("aliases"), "description", F.col("props")["color"].alias("color"), F.col("props")["size"].alias("size"), r6("confidence"), "status")
 
 
@@ -125,10 +125,10 @@ def r12(v: Views):
 
 
 @query("r13_review_candidates", "ent_users mentions", """
-SELECT universe, entity_id, name, round(confidence, 6) AS confidence, snippet, chapter_no, row_number() OVER (PARTITION BY universe ORDER BY confidence DESC, entity_id) AS place
+SELECT universe, entity_id, name, round(confidence, 6) AS confidence, snippet, chapter_no, row_number() OVER (PARTITION BY universe ORDER BY confidence, last_chapter, entity_id) AS place
 FROM (SELECT * FROM ent_users WHERE status = 'candidate') e LEFT JOIN (SELECT entity_id, snippet, chapter_no FROM mentions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, mention_id DESC) = 1) m USING (entity_id)""")
 def r13(v: Views):
-    return R.review_candidates(v("ent_users"), v("mentions")).withColumn("confidence", F.round("confidence", 6))
+    return R.review_candidates(v("ent_users").withColumn("updated_at", F.col("last_chapter")), v("mentions")).withColumn("confidence", F.round("confidence", 6))
 
 
 _DECIDED = """t AS (SELECT entity_id, universe, status, CASE entity_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'dismiss' ELSE 'merge' END AS decision, (entity_id // 10 + 1) * 10 + entity_id % 5 AS target FROM ent_users),
@@ -255,27 +255,35 @@ def p2(v: Views):
 
 @query("p3_promote", "feedback observations", f"""WITH {_EVIDENCE}, c AS (SELECT user_id, obs_id, signal, count(*) AS n FROM ev GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER (PARTITION BY obs_id) AS events FROM c QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY n DESC, CASE signal WHEN 'accept' THEN 0 WHEN 'behavioural_accept' THEN 1 ELSE 2 END) = 1)
-SELECT user_id, obs_id, signal, CAST(events AS BIGINT) AS events, 'Observed preference ' || obs_id || ': ' || signal AS statement, 0.5::DOUBLE AS confidence, 1.0::DOUBLE AS relevance FROM b WHERE events >= 3 AND n >= 3""")
+SELECT user_id, obs_id, signal, CAST(events AS BIGINT) AS events, 'The writer ' || CASE WHEN signal = 'reject' THEN 'deliberately keeps' ELSE 'values' END || ' ' || CASE metric WHEN 0 THEN 'long sentence lengths' WHEN 1 THEN 'adverb-rich phrasing' WHEN 2 THEN 'a dialogue-forward balance' ELSE 'this craft choice' END || '.' AS statement, 0.5::DOUBLE AS confidence, 1.0::DOUBLE AS relevance FROM b JOIN (SELECT obs_id, metric FROM observations) AS o USING (obs_id) WHERE events >= 3 AND n >= 3""")
 def p3(v: Views):
-    return P.promote(evidence(v))
+    names = F.array(*[F.lit(m) for m in ("mean_sentence_length", "adverb_density", "dialogue_ratio", "vocabulary")])
+    metrics = v("observations").select("obs_id", F.get(names, F.col("metric").cast("int")).alias("metric"))
+    return P.promote(evidence(v).join(metrics, "obs_id"))
 
 
 @query("p4_reinforce_preferences", "feedback prefs", """
 WITH RECURSIVE e AS (SELECT pref_id, signal, row_number() OVER (PARTITION BY pref_id ORDER BY event_id) AS n FROM feedback),
-g AS (SELECT pref_id, 0::BIGINT AS n, confidence AS c, relevance AS r FROM prefs UNION ALL
-SELECT g.pref_id, e.n, least(1, greatest(0, CASE signal WHEN 'accept' THEN c + 0.1::DOUBLE WHEN 'behavioural_accept' THEN c + 0.05::DOUBLE WHEN 'reject' THEN c * exp(-0.1::DOUBLE) ELSE c END)),
-least(1, greatest(0, CASE signal WHEN 'accept' THEN 1 WHEN 'reject' THEN r * exp(-0.1::DOUBLE) ELSE r END)) FROM g JOIN e ON e.pref_id = g.pref_id AND e.n = g.n + 1),
-l AS (SELECT pref_id, max_by(c, n) AS c, max_by(r, n) AS r FROM g GROUP BY pref_id)
-SELECT pref_id, round(c, 6) AS confidence, round(r, 6) AS relevance, CASE WHEN r <= 0.15 THEN 'archived' ELSE lifecycle END AS lifecycle FROM l JOIN prefs USING (pref_id)""")
+g AS (SELECT pref_id, 0::BIGINT AS n, confidence AS c, relevance AS r, lifecycle AS l FROM prefs UNION ALL
+SELECT pref_id, n, c, r, CASE WHEN r <= 0.15::DOUBLE THEN 'archived' WHEN signal IN ('accept', 'behavioural_accept') THEN 'active' ELSE l END FROM (
+SELECT g.pref_id, e.n, e.signal, g.l, CASE signal WHEN 'accept' THEN least(1, c + 0.1::DOUBLE) WHEN 'behavioural_accept' THEN least(1, c + 0.05::DOUBLE) WHEN 'reject' THEN c * exp(-0.1::DOUBLE) ELSE c END AS c,
+CASE WHEN signal IN ('accept', 'behavioural_accept') THEN 1 WHEN signal = 'reject' THEN r * exp(-0.1::DOUBLE) ELSE r END AS r FROM g JOIN e ON e.pref_id = g.pref_id AND e.n = g.n + 1) AS x)
+SELECT pref_id, round(max_by(c, n), 6) AS confidence, round(max_by(r, n), 6) AS relevance, max_by(l, n) AS lifecycle FROM g GROUP BY pref_id""")
 def p4(v: Views):
     return P.reinforce_preferences(v("prefs"), v("feedback")).select("pref_id", r6("confidence"), r6("relevance"), "lifecycle")
 
 
-@query("p5_decay_preferences", "prefs", """
-WITH d AS (SELECT pref_id, owner < 3 AND lifecycle = 'active' AS f, CASE WHEN owner < 3 AND lifecycle = 'active' THEN relevance * exp(-0.1::DOUBLE) ELSE relevance END AS r, lifecycle FROM prefs)
-SELECT pref_id, round(r, 6) AS relevance, CASE WHEN f AND r <= 0.15::DOUBLE THEN 'archived' ELSE lifecycle END AS lifecycle FROM d""")
+_FADED = "d AS (SELECT pref_id, confidence, lifecycle = 'active' AS f, CASE WHEN lifecycle = 'active' THEN relevance * exp(-0.1::DOUBLE) ELSE relevance END AS r, lifecycle FROM prefs)"
+
+
+@query("p5_decay_preferences", "prefs", f"WITH {_FADED} SELECT pref_id, round(r, 6) AS relevance, CASE WHEN f AND r <= 0.15::DOUBLE THEN 'archived' ELSE lifecycle END AS lifecycle FROM d")
 def p5(v: Views):
-    return P.decay_preferences(v("prefs"), v("prefs").where("owner < 3").select("owner")).select("pref_id", r6("relevance"), "lifecycle")
+    return P.decay_preferences(v("prefs"), v("prefs").select("owner")).select("pref_id", r6("relevance"), "lifecycle")
+
+
+@query("p5_decay_history", "prefs", f"WITH {_FADED} SELECT pref_id, 7 AS recorded_at, round(r, 6) AS relevance, round(confidence, 6) AS confidence, CASE WHEN r <= 0.15::DOUBLE THEN 'archived' ELSE 'active' END AS lifecycle FROM d WHERE f")
+def p5b(v: Views):
+    return P.decay_history(v("prefs"), v("prefs").select("owner"), F.lit(7)).select("pref_id", "recorded_at", r6("relevance"), r6("confidence"), "lifecycle")
 
 
 @query("p6_list_preferences", "prefs", "SELECT owner, pref_id, row_number() OVER (PARTITION BY owner ORDER BY round(relevance * confidence, 9) DESC, created DESC, pref_id) AS place FROM prefs WHERE lifecycle = 'active' QUALIFY place <= 10")

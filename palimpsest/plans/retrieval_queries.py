@@ -79,6 +79,17 @@ def g6(v: Views):
     return G.bounded(nodes, G.ego_edges(nodes, v("edges")), "focal", 20, 30)
 
 
+@query("g6_bounded_rows", "edges ent_parts", f"""WITH {_EGO_EDGES},
+kn AS (SELECT focal, node, hop FROM shown QUALIFY row_number() OVER (PARTITION BY focal ORDER BY hop, node) <= 20),
+ke AS (SELECT e.* FROM e SEMI JOIN kn a ON a.focal = e.focal AND a.node = e.src SEMI JOIN kn b ON b.focal = e.focal AND b.node = e.dst QUALIFY row_number() OVER (PARTITION BY e.focal ORDER BY e.tier, e.src, e.dst, e.rel_type) <= 30)
+SELECT 'node' AS kind, focal, node AS a, NULL::BIGINT AS b FROM kn UNION ALL SELECT 'edge', focal, src, dst FROM ke""")
+def g6b(v: Views):
+    nodes = keep(shown(v))
+    kept, inside, _ = G.bounded_rows(nodes, keep(G.ego_edges(nodes, v("edges"))), "focal", 20, 30)
+    none = F.lit(None).cast("long")
+    return kept.select(F.lit("node").alias("kind"), "focal", F.col("node").alias("a"), none.alias("b")).unionByName(inside.select(F.lit("edge").alias("kind"), "focal", F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 @query("g7_full_graph", "edges ent_parts", f"""WITH {_BOTH}, d AS (SELECT seed, count(*) AS n FROM both_ways GROUP BY seed)
 SELECT entity_id, CASE WHEN entity_id % 20 = 0 THEN 0 ELSE coalesce(n, 0) END AS degree, entity_id % 20 <> 0 AS graph_backed FROM ent_parts LEFT JOIN d ON seed = entity_id""")
 def g7(v: Views):
@@ -167,21 +178,42 @@ def v5(v: Views):
 
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOP)
-_KEYWORD = f"""
-qt AS (SELECT query_id, universe, list_filter([w[1], list_filter(w, lambda x: x <> w[1])[1]], lambda x: x IS NOT NULL AND x NOT IN ({_STOP})) AS terms FROM (SELECT query_id, universe, list_transform({words('item')}, lambda x: lower(x)) AS w FROM rec_queries) AS a),
-kt AS (SELECT query_id, universe, unnest(terms) AS term, len(terms) AS need FROM qt),
-pw AS (SELECT para_id, universe, unnest(list_transform({words('text')}, lambda x: lower(x))) AS term FROM rec_paras),
-pc AS (SELECT para_id, universe, term, count(*) AS c FROM pw GROUP BY ALL),
-ks AS (SELECT query_id, para_id, any_value(need) AS need, count(*) AS got, sum(list_sum(list_transform(range(1, c + 1), lambda i: 1.0::DOUBLE / (i * i)))) AS w FROM kt JOIN pc USING (term, universe) WHERE para_id <> query_id GROUP BY ALL),
-kw AS (SELECT query_id, para_id, w / (pi() * pi() / 6 * need) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(w / (pi() * pi() / 6 * need), 9) DESC, para_id) AS rank FROM ks WHERE got = need QUALIFY rank <= 10)"""
+#: Five kinds of keyword query by query number: two words, three words, a phrase, one of two words, a word without another.
+_KIND = "(query_id // 20) % 5"
+
+
+def _keyword(k: int) -> str:
+    return f"""
+qd AS (SELECT query_id, universe, {_KIND} AS kind, list_transform({words('item')}, lambda x: lower(x)) AS w FROM rec_queries),
+qo AS (SELECT query_id, list(x ORDER BY i) AS d FROM (SELECT query_id, x, min(i) AS i FROM (SELECT query_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM qd) AS y GROUP BY query_id, x) AS z GROUP BY query_id),
+parts AS (
+SELECT query_id, universe, i AS clause, i AS part, false AS banned, [d[i]] AS words FROM qd JOIN qo USING (query_id), unnest([1, 2, 3]) AS u(i) WHERE i <= CASE kind WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 4 THEN 1 ELSE 0 END
+UNION ALL SELECT query_id, universe, 1, 1, false, w[1:2] FROM qd WHERE kind = 2
+UNION ALL SELECT query_id, universe, 1, i, false, [d[i]] FROM qd JOIN qo USING (query_id), unnest([1, 2]) AS u(i) WHERE kind = 3
+UNION ALL SELECT query_id, universe, 2, 2, true, [d[4]] FROM qd JOIN qo USING (query_id) WHERE kind = 4),
+kt AS (SELECT query_id, universe, clause, part, banned, n, words[n] AS term, len(list_filter(words, lambda x: x NOT IN ({_STOP}))) AS size FROM parts, unnest(range(1, len(words) + 1)) AS u(n) WHERE words[n] IS NOT NULL AND words[n] NOT IN ({_STOP})),
+pt AS (SELECT para_id, universe, unnest(list_transform(w, lambda x: lower(x))) AS term, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT para_id, universe, {words('text')} AS w FROM rec_paras) AS t),
+meet AS (SELECT query_id, para_id, clause, part, banned, size, n, pos - n AS start, row_number() OVER (PARTITION BY query_id, para_id, part, n ORDER BY pos) AS i FROM kt JOIN pt USING (term, universe) WHERE para_id <> query_id),
+whole AS (SELECT query_id, para_id, part FROM (SELECT query_id, para_id, part, start, count(DISTINCT n) AS got, any_value(size) AS size FROM meet GROUP BY query_id, para_id, part, start) AS g WHERE got = size GROUP BY ALL
+  UNION SELECT query_id, para_id, part FROM meet WHERE size = 1),
+held AS (SELECT query_id, para_id, clause, banned, sum(1.0::DOUBLE / (i * i)) AS w FROM meet SEMI JOIN whole USING (query_id, para_id, part) GROUP BY ALL),
+need AS (SELECT query_id, count(DISTINCT clause) FILTER (NOT banned) AS clauses, count(*) FILTER (NOT banned) AS n FROM kt GROUP BY query_id),
+ks AS (SELECT query_id, para_id, count(DISTINCT clause) FILTER (NOT banned) AS got, count(*) FILTER (banned) AS bad, sum(w) FILTER (NOT banned) AS w FROM held GROUP BY ALL),
+kw AS (SELECT query_id, para_id, w / (pi() * pi() / 6 * n) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(w / (pi() * pi() / 6 * n), 9) DESC, para_id) AS rank FROM ks JOIN need USING (query_id) WHERE got = clauses AND bad = 0 QUALIFY rank <= {k})"""
 
 
 def rec_queries(v: Views):
-    terms = F.slice(F.array_distinct(F.transform(X.tokens(F.col("item")), F.lower)), 1, 2)
-    return v("rec_queries").select("query_id", "universe", "embedding", F.array_join(terms, " ").alias("text"))
+    words_ = F.transform(X.tokens(F.col("item")), F.lower)
+    one = lambda n: F.coalesce(F.get(F.array_distinct(words_), n - 1), F.lit(""))
+    kind = F.expr("(query_id div 20) % 5")
+    text = (
+        F.when(kind == 0, F.concat_ws(" ", one(1), one(2))).when(kind == 1, F.concat_ws(" ", one(1), one(2), one(3)))
+        .when(kind == 2, F.concat(F.lit('"'), F.array_join(F.slice(words_, 1, 2), " "), F.lit('"'))).when(kind == 3, F.concat_ws(" OR ", one(1), one(2))).otherwise(F.concat(one(1), F.lit(" -"), one(4)))
+    )
+    return v("rec_queries").select("query_id", "universe", "embedding", text.alias("text"))
 
 
-@query("v6_keyword_search", "rec_queries", f"WITH {_KEYWORD} SELECT query_id, para_id, rank, round(score, 6) AS score FROM kw")
+@query("v6_keyword_search", "rec_queries", f"WITH {_keyword(10)} SELECT query_id, para_id, rank, round(score, 6) AS score FROM kw")
 def v6(v: Views):
     return R.keyword_search(rec_queries(v), v("rec_paras").select("para_id", "universe", "text"), 10, own=False).select("query_id", "para_id", "rank", r6("score"))
 
@@ -191,8 +223,9 @@ def v7(v: Views):
     return R.recency(v("rec_entities")).select("universe", "entity_id", "rank")
 
 
-_LIKED = """liked AS (SELECT owner AS universe, pref_id, row_number() OVER (PARTITION BY owner ORDER BY round(relevance * confidence, 9) DESC, pref_id) AS rank FROM prefs
-WHERE lifecycle = 'active' AND (scope = 'universal' OR genre = owner OR genre = (owner + 1) % 5) QUALIFY rank <= 5)"""
+def _liked(k: int) -> str:
+    return f"""liked AS (SELECT owner AS universe, pref_id, row_number() OVER (PARTITION BY owner ORDER BY round(relevance * confidence, 9) DESC, pref_id) AS rank FROM prefs
+WHERE lifecycle = 'active' AND (scope = 'universal' OR genre = owner OR genre = (owner + 1) % 5) QUALIFY rank <= {k})"""
 
 
 def universes(v: Views):
@@ -200,12 +233,16 @@ def universes(v: Views):
     return v.spark.range(5).select(u.alias("universe"), u.alias("owner"), F.array(u, (u + 1) % 5).alias("tags"))
 
 
-@query("v8_preferences_for", "prefs", f"WITH {_LIKED} SELECT universe, pref_id, rank FROM liked")
+@query("v8_preferences_for", "prefs", f"WITH {_liked(5)} SELECT universe, pref_id, rank FROM liked")
 def v8(v: Views):
     return R.preferences_for(v("prefs"), universes(v), 5).select("universe", "pref_id", "rank")
 
 
-_HITS = f"hits AS ({top('rec_queries', 'rec_paras', 'para_id', 10)})"
+def _hits(k: int) -> str:
+    return f"hits AS ({top('rec_queries', 'rec_paras', 'para_id', k)})"
+
+
+_HITS = _hits(10)
 _SEEDS = "seeds AS (SELECT query_id, entity_id AS seed, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), entity_id) AS n FROM hits JOIN rec_mentions USING (para_id) GROUP BY query_id, entity_id QUALIFY n <= 5)"
 
 
@@ -214,10 +251,12 @@ def v9(v: Views):
     return R.graph_seeds(R.vector_topk(rec_queries(v), v("rec_paras"), 10, own=False), v("rec_mentions"))
 
 
-_LISTS = f"""{_HITS}, {_SEEDS}, {_KEYWORD}, {_LIKED},
+def _lists(k: int) -> str:
+    """The ranked lists with k places each, but for all neighbours and all active entities."""
+    return f"""{_hits(k)}, {_SEEDS}, {_keyword(k)}, {_liked(k)},
 rb AS (SELECT src AS seed, dst AS neighbor FROM rec_edges UNION ALL SELECT dst, src FROM rec_edges),
-co AS (SELECT query_id, neighbor, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, neighbor) AS rank FROM rb JOIN seeds USING (seed) GROUP BY query_id, neighbor QUALIFY rank <= 20),
-me AS ({top('rec_queries', 'rec_memories', 'entity_id', 10, True)}),
+co AS (SELECT query_id, neighbor, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, neighbor) AS rank FROM rb JOIN seeds USING (seed) GROUP BY query_id, neighbor),
+me AS ({top('rec_queries', 'rec_memories', 'entity_id', k, True)}),
 lists AS (
 SELECT query_id, 'vector' AS pipeline, 1 AS o, rank, 'p:' || para_id AS item, text AS fact FROM hits
 UNION ALL SELECT query_id, 'graph', 2, rank, 'e:' || neighbor, 'Related entity: ' || name FROM co JOIN rec_entities ON entity_id = neighbor
@@ -225,6 +264,11 @@ UNION ALL SELECT query_id, 'recency', 3, row_number() OVER (PARTITION BY query_i
 UNION ALL SELECT query_id, 'keyword', 4, kw.rank, 'p:' || kw.para_id, text FROM kw JOIN rec_paras p ON p.para_id = kw.para_id
 UNION ALL SELECT query_id, 'consolidated', 5, rank, 'e:' || entity_id, summary FROM me
 UNION ALL SELECT query_id, 'preference', 6, rank, 'f:' || pref_id, 'Preference ' || pref_id FROM rec_queries JOIN liked USING (universe))"""
+
+
+#: Places of a list where lists are looked at, and items that recall returns.
+LISTED, FOUND = 10, 5
+_LISTS, _SHORT = _lists(LISTED), _lists(FOUND)
 _REC = "rec_queries rec_mentions rec_entities rec_edges rec_memories prefs"
 
 
@@ -235,11 +279,11 @@ SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS score, arg_min(fact, o
 
 def context(v: Views):
     """What recall needs, written once."""
-    return R.prepare({"paras": v("rec_paras"), "entities": v("rec_entities"), "mentions": v("rec_mentions"), "edges": v("rec_edges"), "memories": v("rec_memories").select("entity_id", "universe", "summary", "embedding"), "preferences": R.preferences_for(v("prefs"), universes(v), 5).select("universe", "pref_id", "rank")}, keep)
+    return R.prepare({"paras": v("rec_paras"), "entities": v("rec_entities"), "mentions": v("rec_mentions"), "edges": v("rec_edges"), "memories": v("rec_memories").select("entity_id", "universe", "summary", "embedding"), "preferences": R.preferences_for(v("prefs"), universes(v), LISTED).select("universe", "pref_id", "rank")}, keep)
 
 
 def lists(v: Views, most: int | None = None):
-    return R.all_lists(keep(rec_queries(v)), context(v), own=False, most=most)
+    return R.all_lists(keep(rec_queries(v)), context(v), LISTED, own=False, most=most)
 
 
 @query("v10_fuse", _REC, f"WITH {_LISTS}, {fused()} SELECT query_id, item, position, round(score, 6) AS score, fact, n_sources FROM fused")
@@ -304,25 +348,25 @@ def v16(v: Views):
     return R.flag_fit(R.fuse(lists(v)), 2000).select("query_id", "item", "position", "fits")
 
 
-@query("v17_recall", _REC, f"WITH RECURSIVE {_LISTS}, {fused()}, {fitting(2000)} SELECT query_id, item, round(score, 6) AS score, fact, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g JOIN fused USING (query_id, item, position) WHERE fits QUALIFY place <= 5")
+@query("v17_recall", _REC, f"WITH RECURSIVE {_SHORT}, {fused()}, {fitting(2000)} SELECT query_id, item, round(score, 6) AS score, fact, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g JOIN fused USING (query_id, item, position) WHERE fits QUALIFY place <= {FOUND}")
 def v17(v: Views):
-    return R.recall(keep(rec_queries(v)), context(v), 5, own=False, keep=keep).select("query_id", "item", r6("score"), "fact", "place")
+    return R.recall(keep(rec_queries(v)), context(v), FOUND, own=False, keep=keep).select("query_id", "item", r6("score"), "fact", "place")
 
 
 _PLAIN = """seeds AS (SELECT query_id, entity_id AS seed FROM rec_queries JOIN rec_entities USING (universe) WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, entity_id) <= 5)"""
 
 
-@query("v17_recall_degraded", _REC, f"WITH RECURSIVE {_LISTS.replace(_SEEDS, _PLAIN)}, {fused(chr(40) + 'pipeline IN (' + ', '.join(chr(39) + p + chr(39) for p in ('graph', 'recency', 'preference')) + chr(41) + chr(41))}, {fitting(2000)} SELECT query_id, item, round(score, 6) AS score, fact, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g JOIN fused USING (query_id, item, position) WHERE fits QUALIFY place <= 5")
+@query("v17_recall_degraded", _REC, f"WITH RECURSIVE {_SHORT.replace(_SEEDS, _PLAIN)}, {fused(chr(40) + 'pipeline IN (' + ', '.join(chr(39) + p + chr(39) for p in ('graph', 'recency', 'preference')) + chr(41) + chr(41))}, {fitting(2000)} SELECT query_id, item, round(score, 6) AS score, fact, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g JOIN fused USING (query_id, item, position) WHERE fits QUALIFY place <= {FOUND}")
 def v17b(v: Views):
-    """Queries without an embedding."""
-    bare = rec_queries(v).withColumn("embedding", F.lit(None).cast("array<float>"))
-    return R.recall(keep(bare), context(v), 5, own=False, keep=keep).select("query_id", "item", r6("score"), "fact", "place")
+    """Queries without an embedding and without text."""
+    bare = rec_queries(v).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("text", F.lit(""))
+    return R.recall(keep(bare), context(v), FOUND, own=False, keep=keep).select("query_id", "item", r6("score"), "fact", "place")
 
 
-@query("v18_recall_explain", _REC, f"""WITH RECURSIVE {_LISTS}, {fused()}, {fitting(2000)}
-SELECT query_id, item, place, pipeline, rank, round(1.0::DOUBLE / (60 + rank), 6) AS delta FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g WHERE fits QUALIFY place <= 5) AS t JOIN lists USING (query_id, item)""")
+@query("v18_recall_explain", _REC, f"""WITH RECURSIVE {_SHORT}, {fused()}, {fitting(2000)}
+SELECT query_id, item, place, pipeline, rank, round(1.0::DOUBLE / (60 + rank), 6) AS delta FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM g WHERE fits QUALIFY place <= {FOUND}) AS t JOIN lists USING (query_id, item)""")
 def v18(v: Views):
-    best, told = R.explained(keep(rec_queries(v)), context(v), 5, own=False, keep=keep)
+    best, told = R.explained(keep(rec_queries(v)), context(v), FOUND, own=False, keep=keep)
     return R.ledger(told).join(best.select("query_id", "item", "place").hint("merge"), ["query_id", "item"]).select("query_id", "item", "place", "pipeline", "rank", r6("delta"))
 
 
@@ -334,10 +378,16 @@ def v19(v: Views):
     return hits.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("lines"))
 
 
-@query("v19_neighbors_by_name", "edges ent_parts", f"WITH {_BOTH}, n AS (SELECT min(entity_id) AS seed FROM ent_parts WHERE lower(name) = 'small ring') SELECT seed, neighbor, rel_type FROM both_ways JOIN n USING (seed)")
+_CALLED = """n AS (SELECT called, arg_min(entity_id, [pass::DOUBLE, -relevance, o]) AS seed FROM (
+SELECT called, entity_id, relevance, CASE WHEN lower(name) = lower(called) THEN 0 ELSE 1 END AS pass, row_number() OVER (ORDER BY name, entity_id)::DOUBLE AS o
+FROM ent_parts JOIN (SELECT unnest(['small ring', 'LARGE RING', 'Brand#13', 'nobody']) AS called) AS c ON lower(name) = lower(called) OR list_contains(list_transform(aliases, lambda a: lower(a)), lower(called))) AS x GROUP BY called)"""
+
+
+@query("v19_neighbors_by_name", "edges ent_parts", f"WITH {_BOTH}, {_CALLED} SELECT called AS name, seed, neighbor, rel_type FROM both_ways JOIN n USING (seed)")
 def v19b(v: Views):
-    seed = v("ent_parts").where(F.lower("name") == "small ring").agg(F.min("entity_id").alias("seed"))
-    return G.neighbors(v("edges"), seed).select("seed", "neighbor", "rel_type")
+    asked = v("region").limit(1).select(F.explode(F.array(*[F.lit(x) for x in ("small ring", "LARGE RING", "Brand#13", "nobody")])).alias("name"))
+    seeds = keep(G.entities_by_name(asked, v("ent_parts").withColumn("status", F.lit("active"))))
+    return G.neighbors(v("edges"), seeds).join(seeds.hint("merge"), "seed").select("name", "seed", "neighbor", "rel_type")
 
 
 _GOLD = "gold AS (SELECT q.query_id, p.para_id FROM rec_queries q JOIN rec_paras o ON o.para_id = q.query_id JOIN rec_paras p ON p.universe = q.universe AND p.chapter_id = o.chapter_id AND p.para_id <> q.query_id), nrel AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.consistency import fingerprint
+from ..operators.consistency import deceased_fingerprint
 from ..streaming import streams as Q
 from .fixtures import Views, query
 
@@ -32,13 +32,13 @@ def q3(v: Views):
 
 
 @query("q4_relevance_stream", "", """
-WITH RECURSIVE e AS (SELECT user_id AS entity_id, event_type <> 'purchase' AS tick, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view' OR (event_type = 'purchase' AND event_id % 3 = 0)),
+WITH RECURSIVE e AS (SELECT user_id AS entity_id, event_type <> 'purchase' AS tick, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('view', 'purchase')),
 g AS (SELECT DISTINCT entity_id, 0::BIGINT AS n, 0.5::DOUBLE AS r, 'active' AS s, 0::BIGINT AS m FROM e UNION ALL
 SELECT g.entity_id, e.n, CASE WHEN NOT tick THEN CASE WHEN s = 'archived' THEN 0.8::DOUBLE ELSE least(1, r + 0.15::DOUBLE) END WHEN s = 'active' THEN r * exp(-0.1::DOUBLE) ELSE r END,
 CASE WHEN NOT tick THEN 'active' WHEN s = 'active' AND r * exp(-0.1::DOUBLE) <= 0.15::DOUBLE THEN 'archived' ELSE s END, m + (NOT tick)::INT FROM g JOIN e ON e.entity_id = g.entity_id AND e.n = g.n + 1)
 SELECT entity_id, m AS mentions, round(r, 6) AS relevance, s AS status FROM g QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC) = 1""")
 def q4(v: Views):
-    given = events(v).where("event_type = 'view' OR (event_type = 'purchase' AND event_id % 3 = 0)").select(F.col("user_id").alias("entity_id"), "ts", "event_id", (F.col("event_type") != "purchase").alias("tick"))
+    given = events(v).where("event_type IN ('view', 'purchase')").select(F.col("user_id").alias("entity_id"), "ts", "event_id", (F.col("event_type") != "purchase").alias("tick"))
     told = Q.drain(Q.relevance_stream(given), "update")
     last = told.groupBy("entity_id").agg(F.max_by(F.struct("relevance", "status", "mentions"), "_batch").alias("s"))
     return last.select("entity_id", "s.mentions", F.round("s.relevance", 6).alias("relevance"), "s.status")
@@ -81,11 +81,15 @@ def q8(v: Views):
     return Q.progress(v("events"), 200).select("user_id", "done", F.round("seconds", 4).alias("seconds"), F.round("eta", 2).alias("eta"))
 
 
-@query("q9_alerts", "ent_users mentions", """
-SELECT DISTINCT entity_id, CASE WHEN status IS NULL OR entity_id % 5 = 4 THEN 'entity_discovered' ELSE 'character_status' END AS kind, sha256(entity_id || CASE WHEN status IS NULL OR entity_id % 5 = 4 THEN 'entity_discovered' ELSE 'character_statusdeceased' END) AS fingerprint
-FROM mentions LEFT JOIN ent_users USING (entity_id) WHERE status IS NULL OR entity_id % 5 = 4 OR (status = 'deceased' AND entity_id % 2 = 1)""")
+_FOUND = """f AS (SELECT entity_id, name, CASE WHEN entity_id % 5 = 4 THEN NULL ELSE status END AS status, coalesce(snippet, '') AS snippet, chapter_no FROM mentions LEFT JOIN ent_users USING (entity_id)),
+k AS (SELECT entity_id, CASE WHEN status IS NULL THEN 'entity_discovered' ELSE 'deceased_alive' END AS kind, sha256(entity_id || CASE WHEN status IS NULL THEN 'entity_discovered' ELSE 'deceased_alive' || 'Entity ' || name || ' is deceased in DB' || snippet || chapter_no || chapter_no END) AS fingerprint, chapter_no FROM f WHERE status IS NULL OR status = 'deceased')"""
+
+
+@query("q9_alerts", "ent_users mentions", f"WITH {_FOUND} SELECT DISTINCT entity_id, kind, fingerprint FROM k WHERE NOT (kind = 'deceased_alive' AND chapter_no % 2 = 0)")
 def q9(v: Views):
-    mentions = events(v).where("event_type = 'purchase' AND event_id % 3 = 0").select(F.col("user_id").alias("entity_id"))
-    known = v("ent_users").where("entity_id % 5 <> 4")
-    stored = known.where("status = 'deceased' AND entity_id % 2 = 0").select(fingerprint(F.col("entity_id"), F.lit("character_status"), F.col("status")).alias("fingerprint"))
-    return Q.drain(Q.alerts(mentions, known, stored))
+    told = F.dayofmonth("ts").cast("long")
+    mentions = events(v).where("event_type = 'purchase'").select(F.col("user_id").alias("entity_id"), "ts", F.col("props").alias("text"), told.alias("chapter"))
+    known = v("ent_users").where("entity_id % 5 <> 4").select("entity_id", "name", "status")
+    before = v("mentions").where("chapter_no % 2 = 0").join(known.where("status = 'deceased'"), "entity_id")
+    stored = before.select(deceased_fingerprint(F.col("entity_id"), F.col("name"), F.col("snippet"), F.col("chapter_no")).alias("fingerprint"))
+    return Q.drain(Q.alerts(mentions, known, stored, "60 days"))

@@ -157,12 +157,15 @@ def t3(v: Views):
     return S.pack_paragraphs(v("chapters"), "chapter_id", most=2000, between="\n")
 
 
-@query("t4_paragraphs", "chapters", r"""
-WITH p AS (SELECT chapter_id, i - 1 AS paragraph_index, parts[i] AS part FROM (SELECT chapter_id, string_split(text, chr(10)) AS parts FROM chapters) AS c, unnest(range(1, len(parts) + 1)) AS u(i)),
-o AS (SELECT *, coalesce(sum(strlen(part) + 1) OVER (PARTITION BY chapter_id ORDER BY paragraph_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(part) - strlen(ltrim(part)) AS off FROM p)
-SELECT chapter_id, paragraph_index, CAST(off AS BIGINT) AS "offset", trim(part) AS text FROM o WHERE trim(part) <> '' AND strlen(trim(part)) <= 30000""")
+_WHITE = r"[\s\v\x{85}\p{Z}]+"
+
+
+@query("t4_paragraphs", "broken", rf"""
+WITH p AS (SELECT chapter_id, i - 1 AS paragraph_index, parts[i] AS part FROM (SELECT chapter_id, string_split(text, chr(10) || chr(10)) AS parts FROM broken) AS c, unnest(range(1, len(parts) + 1)) AS u(i)),
+o AS (SELECT *, coalesce(sum(strlen(part) + 2) OVER (PARTITION BY chapter_id ORDER BY paragraph_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(part) - strlen(regexp_replace(part, '^{_WHITE}', '')) AS off, regexp_replace(regexp_replace(part, '^{_WHITE}', ''), '{_WHITE}$', '') AS body FROM p)
+SELECT chapter_id, paragraph_index, CAST(off AS BIGINT) AS "offset", body AS text FROM o WHERE body <> '' AND strlen(body) <= 30000""")
 def t4(v: Views):
-    return S.paragraphs(v("chapters"), ["chapter_id"])
+    return S.paragraphs(v("broken"), ["chapter_id"])
 
 
 @query("t5_word_count", "chapters", r"SELECT chapter_id, len(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')) AS n_words FROM chapters")
@@ -211,8 +214,8 @@ def t9(v: Views):
 
 
 @query("t10_cap_corpus", "chapters", """
-WITH c AS (SELECT work, order_index, text, 12000 - coalesce(sum(length(text) + 2) OVER (PARTITION BY work ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM chapters)
-SELECT work, order_index, substr(text, 1, CAST(rest AS BIGINT)) AS text FROM c WHERE rest > 0""")
+WITH c AS (SELECT work, order_index, text, CAST(12000 - coalesce(sum(strlen(text) + 2) OVER (PARTITION BY work ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest FROM chapters)
+SELECT work, order_index, CASE WHEN strlen(text) <= rest THEN text ELSE substr(text, 1, coalesce(list_max(list_filter(range(greatest(rest // 4 - 1, 1), rest + 1), lambda i: strlen(substr(text, 1, i)) <= rest)), 0)) END AS text FROM c WHERE rest > 0""")
 def t10(v: Views):
     return S.cap_corpus(v("chapters").select("work", "order_index", "text"), "work", "order_index")
 
@@ -222,9 +225,11 @@ def t11(v: Views):
     return v("chapters").select("chapter_id", X.count_tokens(F.col("text")).alias("tokens"))
 
 
-@query("t12_conversation_tokens", "turns", f"SELECT conv_id, CAST(2 + sum(4 + {tok('role')} + {tok('text')}) AS BIGINT) AS tokens FROM turns GROUP BY conv_id")
+@query("t12_conversation_tokens", "turns", f"""SELECT conv_id, CAST(2 + sum(4 + {tok('role')} + {tok('text')} + CASE WHEN role = 'assistant' THEN {tok('calls')} ELSE 0 END) AS BIGINT) AS tokens
+FROM (SELECT *, '[{{"name": "' || conv_id || '"}}]' AS calls FROM turns) AS t GROUP BY conv_id""")
 def t12(v: Views):
-    return S.conversation_tokens(v("turns"))
+    calls = F.when(F.col("role") == "assistant", F.concat(F.lit('[{"name": "'), F.col("conv_id").cast("string"), F.lit('"}]')))
+    return S.conversation_tokens(v("turns").withColumn("calls", calls), "calls")
 
 
 @query("t13_compaction_plan", "turns", f"""
@@ -237,7 +242,7 @@ def t13(v: Views):
 @query("t14_short_title", "", """
 WITH b AS (SELECT item_id, text, least(CASE WHEN strpos(text, '. ') > 0 THEN strpos(text, '. ') END, CASE WHEN strpos(text, '; ') > 0 THEN strpos(text, '; ') END,
   CASE WHEN strpos(text, ': ') > 0 THEN strpos(text, ': ') END, CASE WHEN strpos(text, ', ') > 0 THEN strpos(text, ', ') END) AS c FROM benchmark)
-SELECT item_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS cut,
+SELECT item_id, CASE WHEN strlen(text) > 60 THEN substr(text, 1, list_max(list_filter(range(14, 60), lambda i: strlen(substr(text, 1, i)) <= 59))) || '…' ELSE text END AS cut,
        CASE WHEN length(text) <= 80 THEN text WHEN c <= 90 THEN substr(text, 1, c - 1) ELSE regexp_replace(substr(text, 1, 80), '\\s+\\S*$', '') END AS title FROM b""")
 def t14(v: Views):
     return v("benchmark").select("item_id", X.truncate(F.col("text"), 60).alias("cut"), X.short_title(F.col("text")).alias("title"))

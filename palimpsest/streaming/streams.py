@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lifecycle import ARCHIVE_AT, BUMP, DECAY, REACTIVATED
-from ..sources.scratch import scratch_folder
+from ..operators.aggregates import number
+from ..operators.folds import applied, composed, step_of
+from ..sources.scratch import keep, scratch_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EWMA_NEW, FADE = 0.35, math.exp(-DECAY)
@@ -123,56 +124,98 @@ def behavioural_accepts(notes: DataFrame, edits: DataFrame, within: str = "10 mi
 
 
 def progress(events: DataFrame, total: int) -> DataFrame:
-    """Per user: smoothed seconds for each event, and the time left once a tenth is done; one fold in order of time.
+    """Per user: smoothed seconds for each event, and the time left once a tenth is done; in order of time.
 
-    An event without a time counts as done and has no seconds.
+    An event without a time counts as done and has no seconds. Events are numbered and meet their predecessor by number, and
+    the smoothing steps compose, so a user with most of the events is no single task's.
     """
-    from ..operators.aggregates import fold
-
-    def step(state: tuple, row: tuple) -> tuple:
-        n, last, mean = state
-        if row[0] is None or last is None:
-            return n + 1, last if row[0] is None else row[0], mean
-        gap = row[0] - last
-        return n + 1, row[0], gap if mean is None else EWMA_NEW * gap + (1 - EWMA_NEW) * mean
-
-    fields = [T.StructField("_done", T.LongType()), T.StructField("_last", T.DoubleType()), T.StructField("_mean", T.DoubleType())]
-    rows = events.select("user_id", "event_id", F.col("ts").cast("double").alias("_at"))
-    told = fold(rows, ["user_id"], ["_at", "event_id"], ["_at"], lambda key: (0, None, None), step, fields)
-    last = told.groupBy("user_id").agg(F.max("_done").alias("done"), F.max_by("_mean", "_done").alias("_mean"))
+    at = events.select("user_id", "event_id", F.col("ts").cast("double").alias("_at"))
+    placed = keep(number(at.where("_at IS NOT NULL"), ["user_id"], ["_at", "event_id"], "_n"))
+    before = placed.select("user_id", (F.col("_n") + 1).alias("_n"), F.col("_at").alias("_was"))
+    gaps = placed.join(before.hint("merge"), ["user_id", "_n"]).select("user_id", "_n", (F.col("_at") - F.col("_was")).alias("gap"))
+    # the first gap is the first mean
+    steps = gaps.withColumn("step", F.when(F.col("_n") == 2, step_of(0, F.col("gap"))).otherwise(step_of(1 - EWMA_NEW, EWMA_NEW * F.col("gap"))))
+    told = composed(steps, ["user_id"], ["_n"], ["step"]).select("user_id", applied(F.col("step"), F.lit(0.0)).alias("_mean"))
+    last = at.groupBy("user_id").agg(F.count("*").alias("done")).join(told.hint("merge"), "user_id", "left")
     left = F.round(F.col("_mean") * F.greatest(F.lit(total) - F.col("done"), F.lit(0)), 6)
     return last.select("user_id", "done", F.round("_mean", 6).alias("seconds"), F.when(F.col("done") * 10 >= total, left).alias("eta"))
 
 
-def alerts(mentions: DataFrame, entities: DataFrame, stored: DataFrame) -> DataFrame:
+#: How long after its mention an alert is remembered, in event time; the same alert later than that is told again.
+REMEMBERED = "30 days"
+
+
+class _Told(StatefulProcessor):
+    """Lets the first of equal alerts through, and forgets it when the watermark passes its end."""
+
+    def __init__(self, milliseconds: int):
+        self.kept = milliseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.until = handle, handle.getValueState("until", "at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:  # one row at a time of a key is all that is held
+            least = batch.sort_values(["ts", "entity_id"]).iloc[:1]
+            first = least if first is None or least["ts"].iloc[0] < first["ts"].iloc[0] else first
+        if self.until.exists():
+            return
+        end = int(first["ts"].iloc[0].timestamp() * 1000) + self.kept
+        self.until.update((end,))
+        self.handle.registerTimer(end)
+        yield first[["entity_id", "kind", "fingerprint"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.until.clear()
+        yield pd.DataFrame({"entity_id": pd.Series([], dtype="int64"), "kind": pd.Series([], dtype="object"), "fingerprint": pd.Series([], dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def alerts(mentions: DataFrame, entities: DataFrame, stored: DataFrame, remembered: str = REMEMBERED, delay: str = "1 hour") -> DataFrame:
     """(entity_id, kind, fingerprint) as they appear: mentions of deceased entities whose contradiction is not stored, and of entities that are not known.
 
-    Each is told once; the stream keeps the fingerprints that it has told.
+    ``mentions`` have entity_id, ts, text and chapter. A contradiction's fingerprint holds its evidence and chapters, so each new place is
+    told; equal ones are told once within ``remembered`` of event time, kept as state that a timer ends. A discovery's is the entity alone.
     """
-    from ..operators.consistency import fingerprint
+    from ..operators.consistency import DECEASED, deceased_fingerprint, fingerprint
+
+    told = mentions.withWatermark("ts", delay).join(entities.select("entity_id", "name", "status"), "entity_id", "left")
+    kind = F.when(F.col("status").isNull(), "entity_discovered").when(F.col("status") == "deceased", DECEASED)
+    told = told.withColumn("kind", kind).where("kind IS NOT NULL")
+    mark = F.when(F.col("kind") == DECEASED, deceased_fingerprint(F.col("entity_id"), F.col("name"), F.col("text"), F.col("chapter"))).otherwise(fingerprint(F.col("entity_id"), F.col("kind")))
+    found = told.select("ts", F.col("entity_id").cast("long").alias("entity_id"), "kind", mark.alias("fingerprint"))
+    found = found.join(stored.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    milliseconds = int(pd.Timedelta(remembered).total_seconds() * 1000)
+    return found.groupBy("fingerprint").transformWithStateInPandas(_Told(milliseconds), "entity_id bigint, kind string, fingerprint string", "append", "EventTime")
+
+
+def batch_writer(folder: str):
+    """Writes a batch under its number in place of whatever an earlier try left there, so a batch that is run again doubles nothing."""
 
-    seen = mentions.select("entity_id")
-    known = entities.select("entity_id", "status")
-    told = seen.join(known, "entity_id", "left")
-    kind = F.when(F.col("status").isNull(), "entity_discovered").when(F.col("status") == "deceased", "character_status")
-    found = told.withColumn("kind", kind).where("kind IS NOT NULL").select("entity_id", "kind", fingerprint(F.col("entity_id"), F.col("kind"), F.coalesce("status", F.lit(""))).alias("fingerprint"))
-    return found.join(stored.select("fingerprint").distinct(), "fingerprint", "left_anti").select("entity_id", "kind", "fingerprint").dropDuplicates(["fingerprint"])
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/_batch={n}")
 
+    return write
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream emits from what its source holds now, as a table; append output goes through Parquet files."""
+
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """All that a stream emits from what its source holds now, as a table; each batch is a folder of its own, and column _batch has its number but in append mode.
+
+    With ``folder`` a stopped stream goes on where it was.
+    """
     spark = stream.sparkSession
-    folder = scratch_folder(spark)
+    folder = scratch_folder(spark) if folder is None else folder
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-        if mode == "append":
-            query = writer.format("parquet").option("path", f"{folder}/out").outputMode("append").start()
-        else:
-            query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start()
-        query.awaitTermination()
+        writer.outputMode(mode).foreachBatch(batch_writer(f"{folder}/out")).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
-    return spark.read.schema(stream.schema.add("_batch", "integer") if mode != "append" else stream.schema).parquet(f"{folder}/out")
-
+    # a stream without any row has no folder
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/_batch=-1")
+    told = spark.read.schema(stream.schema.add("_batch", "integer")).parquet(f"{folder}/out")
+    return told if mode != "append" else told.drop("_batch")

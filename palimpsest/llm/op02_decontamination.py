@@ -8,7 +8,8 @@ Documents are read once and never shuffled.
 Words are compared by their bytes (120 bits of a digest from 16 bytes on) and numbered as the benchmark has them; a
 document word outside the benchmark ends every match, so suffixes start at benchmark words and end before others.
 The benchmark is read in blocks of bounded size, each broadcast in turn; what earlier blocks have found is
-checkpointed before the next is sent, so neither the plan nor a task ever holds two.
+checkpointed before the next is sent, so neither the plan nor a task ever holds two. Matches are measured by names of runs of
+1, 2, 4, ... words, so long verbatim items cost little more than short ones.
 """
 
 from __future__ import annotations
@@ -38,11 +39,12 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 class Suffixes:
     """The suffix array of numbered words (0 ends a suffix), sorted by their first ``depth`` words at least."""
 
-    def __init__(self, word: np.ndarray, depth: int):
+    def __init__(self, word: np.ndarray, depth: int, known: Suffixes | None = None):
         n = len(word)
         self.word = np.append(word, 0)
         stop = np.where(self.word == 0, np.arange(n + 1), n)
         self.run = (np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n + 1))[:n]
+        self.runs = Runs(self.word, self.run, depth, None if known is None else known.runs)
         at = np.flatnonzero(self.run)
         # a rank is the first place of the group of suffixes that are still equal, and one; each round doubles the words compared
         rank = np.zeros(n + 1, np.int64)
@@ -71,15 +73,45 @@ def _firsts(ascending: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(ascending)), 0))
 
 
-def common(a: Suffixes, i: np.ndarray, b: Suffixes, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Words that the suffixes i of a and j of b have in common, up to ``most``."""
+class Runs:
+    """Names of the runs of 1, 2, 4, ... words from each place of numbered words; equal runs have equal names, 0 is none.
+
+    The names are those of the benchmark's runs, made from pairs of names of half the length; a shard looks its pairs up. So how
+    many words two places have in common takes as many comparisons as that number has binary digits.
+    """
+
+    def __init__(self, word: np.ndarray, run: np.ndarray, longest: int, known: Runs | None = None):
+        self.levels, self.pairs = [np.append(word[: len(run)], 0).astype(np.int32)], []
+        at = np.flatnonzero(run)
+        while 2 << len(self.pairs) <= longest:
+            half = 1 << len(self.pairs)
+            last = self.levels[-1]
+            at = at[run[at] >= 2 * half]
+            pair = last[at].astype(np.int64) << 32 | last[at + half]
+            there = (last[at] > 0) & (last[at + half] > 0)
+            at, pair = at[there], pair[there]
+            if known is None:
+                self.pairs.append(np.unique(pair))
+                place, found = np.searchsorted(self.pairs[-1], pair), np.ones(len(pair), bool)
+            else:
+                named = known.pairs[len(self.pairs)]
+                self.pairs.append(named)
+                place = np.minimum(np.searchsorted(named, pair), max(len(named) - 1, 0))
+                found = named[place] == pair if len(named) else np.zeros(len(pair), bool)
+            at, place = at[found], place[found]
+            level = np.zeros(len(last), np.int32)
+            level[at] = place + 1
+            self.levels.append(level)
+
+
+def common(a: Runs, i: np.ndarray, b: Runs, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Words that the places i of a and j of b have in common, up to ``most``, which neither passes the end with."""
     length = np.zeros(len(i), np.int64)
-    limit = np.minimum(np.minimum(a.run[i], b.run[j]), most)
-    going = np.flatnonzero(limit > 0)
-    while len(going):
-        going = going[a.word[i[going] + length[going]] == b.word[j[going] + length[going]]]
-        length[going] += 1
-        going = going[length[going] < limit[going]]
+    for k in range(len(a.levels) - 1, -1, -1):
+        going = np.flatnonzero(length + (1 << k) <= most)
+        name = a.levels[k][i[going] + length[going]]
+        same = going[(name > 0) & (name == b.levels[k][j[going] + length[going]])]
+        length[same] += 1 << k
     return length
 
 
@@ -89,7 +121,7 @@ def bound(shard: Suffixes, tests: Suffixes, wanted: np.ndarray, size: np.ndarray
     while len(open_ := np.flatnonzero(low < high)):
         middle = (low[open_] + high[open_]) // 2
         test, place, limit = wanted[open_], shard.order[middle], size[open_]
-        same = common(tests, test, shard, place, limit)
+        same = common(tests.runs, test, shard.runs, place, np.minimum(limit, shard.run[place]))
         whole = same == limit
         less = shard.word[place + same] < tests.word[np.minimum(test + same, len(tests.word) - 1)]
         right = np.where(whole, after, less)
@@ -150,7 +182,8 @@ class Benchmark:
         if not len(self.low) or not len(words.low):
             return found
         joined, place = _joined(words, self.number(words))
-        shard, tests = Suffixes(joined, self.depth), self.suffixes
+        tests = self.suffixes
+        shard = Suffixes(joined, max(self.depth, 1), tests)
         if not len(shard.order):
             return found
         text = np.zeros(len(joined), np.int64)
@@ -168,14 +201,14 @@ class Benchmark:
         for near in (at - 1, at):
             there = np.flatnonzero((near >= 0) & (near < len(shard.order)))
             i, j = every[there], shard.order[near[there]]
-            length = common(tests, i, shard, j, tests.run[i])
+            length = common(tests.runs, i, shard.runs, j, np.minimum(tests.run[i], shard.run[j]))
             k = _best(length, self.item[i], found.of_item[:, 0], self.offset[i])
             found.of_item[self.item[i[k]]] = np.stack([length[k], text[j[k]], start[j[k]], self.offset[i[k]]], axis=1)
         before = np.searchsorted(at, np.arange(len(shard.order)), side="right")  # item suffixes up to each suffix of the shard
         for near in (before - 1, before):
             there = np.flatnonzero((near >= 0) & (near < len(every)))
             i, j = every[near[there]], shard.order[there]
-            length = common(tests, i, shard, j, most[j])
+            length = common(tests.runs, i, shard.runs, j, np.minimum(tests.run[i], np.minimum(shard.run[j], most[j])))
             k = _best(length, text[j], found.longest[:, 0], start[j])
             found.longest[text[j[k]]] = np.stack([length[k], start[j[k]], self.item[i[k]], self.offset[i[k]]], axis=1)
 
@@ -235,6 +268,16 @@ class Found:
     of_item: np.ndarray
 
 
+_LAST: list = []
+
+
+def built(items: list[tuple[object, str]]) -> Benchmark:
+    """The benchmark of a broadcast list of items; a worker keeps the last that it has made."""
+    if not _LAST or _LAST[0] is not items:
+        _LAST[:] = [items, Benchmark(items)]
+    return _LAST[1]
+
+
 def blocks(benchmark: DataFrame, key: str, text: str, limit: int) -> Iterator[list[tuple[object, str]]]:
     """Items in lists of about ``limit`` bytes of text, each item whole; the driver holds one list at a time."""
     held, size = [], 0
@@ -262,19 +305,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     wanted = [c for c in out.columns if keep is None or c in keep]
 
     def with_block(given_docs: DataFrame, sent, first: bool) -> DataFrame:
-        made: list[Benchmark] = []
-
         def compute(given: pa.Table) -> list:
-            if not made:
-                made.append(Benchmark(sent.value))
+            bench = built(sent.value)
             texts = utf8(given.column(0))
             n_all, items_all, spans_all, longest_all = [], [], [], []
             for a, b in chunks(texts):
-                found = made[0].search(texts[a:b])
+                found = bench.search(texts[a:b])
                 n_all += found.n_words.tolist()
                 spans_all += [s or [] for s in found.spans]
                 items_all += [sorted(x) for x in found.items]
-                longest_all += [(n, x, made[0].ids[i] if n else None, y) for n, x, i, y in found.longest.tolist()]
+                longest_all += [(n, x, bench.ids[i] if n else None, y) for n, x, i, y in found.longest.tolist()]
             if not first:
                 for i, (old_items, old_spans, old) in enumerate(zip(*(given.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                     items_all[i] = sorted({*items_all[i], *old_items})
@@ -314,7 +354,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
 
     def of_block(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(sent.value)
+            bench = built(sent.value)
             for batch in batches:
                 texts = utf8(batch.column(1))
                 for a, b in chunks(texts):
@@ -327,7 +367,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         return run
 
     for part in blocks(benchmark, item, item_text, block_bytes):
-        one = given.mapInArrow(of_block(spark.sparkContext.broadcast(part)), schema)
+        sent = spark.sparkContext.broadcast(part)
+        one = cut(given.mapInArrow(of_block(sent), schema))  # before the next block is sent
+        sent.destroy()
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], schema)

@@ -27,8 +27,10 @@ from .words import mix
 ORDER = 4
 #: Labelled documents of each language that the models learn from, smallest hashes first; whole texts.
 SAMPLE_DOCS = 400
-#: Bytes of these for a language, and of one text; languages that are learned, those with most documents first.
-SAMPLE_BYTES, EACH, LANGUAGES = 8 << 20, 1 << 20, 200
+#: Bytes of these for a language, and of one text.
+SAMPLE_BYTES, EACH = 8 << 20, 1 << 20
+#: Letters times languages that are scored at once, however long a text is.
+SLICE = 1 << 20
 #: One in so many of the sample is held back for calibration.
 HELD_BACK = 5
 #: How far above the calibration texts a text's cross-entropy may lie before it is rejected.
@@ -196,14 +198,22 @@ class Models:
         """Cross-entropy per character of each text in every language (nats), and its letters."""
         code, text, scored = letters(texts)
         n_letters = np.bincount(text, weights=code > 0, minlength=len(texts))
-        grams = {n: gram_hashes(code, n) for n in range(1, ORDER + 1)}
-        context = {n: np.concatenate([[np.uint64(0)], grams[n - 1][:-1]]) for n in range(2, ORDER + 1)}
-        place = np.flatnonzero(scored)
-        log_p = self.log_p({n: g[place] for n, g in grams.items()}, {n: c[place] for n, c in context.items()})
-        first = np.searchsorted(text[place], np.arange(len(texts)))
-        count = np.diff(first, append=len(place))
-        sums = np.concatenate([np.zeros((1, len(self.names))), np.cumsum(log_p, axis=0, dtype=np.float64)])
-        return -(sums[first + count] - sums[first]) / np.maximum(count, 1)[:, None], n_letters
+        sums, count = np.zeros((len(texts), len(self.names))), np.bincount(text[scored], minlength=len(texts))
+        step = max(1, SLICE // max(1, len(self.names)))
+        for begin in range(0, len(code), step):
+            # as many letters before as the longest n-gram and its context need
+            lead = min(begin, ORDER)
+            part = code[begin - lead : begin + step]
+            grams = {n: gram_hashes(part, n) for n in range(1, ORDER + 1)}
+            context = {n: np.concatenate([[np.uint64(0)], grams[n - 1][:-1]]) for n in range(2, ORDER + 1)}
+            place = np.flatnonzero(scored[begin : begin + step]) + lead
+            if not len(place):
+                continue
+            log_p = self.log_p({n: g[place] for n, g in grams.items()}, {n: c[place] for n, c in context.items()})
+            owner = text[place + begin - lead]
+            new = np.flatnonzero(np.diff(owner, prepend=-1))
+            sums[owner[new]] += np.add.reduceat(log_p, new, axis=0, dtype=np.float64)
+        return -sums / np.maximum(count, 1)[:, None], n_letters
 
     def calibrate(self, texts: list[bytes], truth: list[str]) -> None:
         """The sharpness of the score under which the true languages are likeliest; the entropy of texts that belong."""
@@ -248,14 +258,14 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, n: int) -> DataFrame
     rows = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.octet_length(F.col(f"`{text}`")).cast("long").alias("_bytes"))
     rows = rows.where(F.col("_k").isNotNull() & F.col("lang").isNotNull() & (F.col("_bytes") <= EACH)).withColumn("_h", place)
     # a row for each of so many languages
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_k").alias("_c")).orderBy(F.desc("_c"), "lang").limit(LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_k").alias("_c"))
     # hashes are even, so about 3 n ids of a language lie below this bound, however many it has: only those are ranked
-    low = rows.join(F.broadcast(counts), "lang").where(F.col("_h") / F.lit(float(2**63)) < F.least(F.lit(1.0), 6.0 * n / F.col("_c") - 1))
+    low = rows.join(counts.hint("merge"), "lang").where(F.col("_h") / F.lit(float(2**63)) < F.least(F.lit(1.0), 6.0 * n / F.col("_c") - 1))
     low = low.groupBy("_k", "_h").agg(F.min("lang").alias("lang"), F.max("_bytes").alias("_bytes"))
     order = Window.partitionBy("lang").orderBy("_h", "_k")
     first = low.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).withColumn("_sum", F.sum("_bytes").over(order)).where(F.col("_sum") <= SAMPLE_BYTES)
     chosen = first.select("_k", "lang", (F.col("_n") % HELD_BACK == 0).alias("held"))  # n rows a language at most
-    return rows.join(F.broadcast(chosen), ["_k", "lang"]).groupBy("_k", "lang", "held").agg(F.min("text").alias("text")).select("lang", "text", "held")
+    return rows.join(chosen.hint("merge"), ["_k", "lang"]).groupBy("_k", "lang", "held").agg(F.min("text").alias("text")).select("lang", "text", "held")
 
 
 def _fit(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:

@@ -38,12 +38,13 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 #: Fixed sets of HTML element names: text never shown, inline elements, elements without an end, what ends an open element.
-SILENT = {"script", "style", "noscript", "template", "title", "head", "iframe", "svg", "math", "canvas", "object", "select", "textarea", "button"}
+SILENT = {"script", "style", "noscript", "template", "title", "head", "iframe", "select", "textarea", "button", "annotation", "annotation-xml", "desc", "metadata"}
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas and drawings stand within their sentence, and so does the text in them.
+INLINE |= set("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom mtable mtr mtd svg g text tspan textpath path circle ellipse rect line polyline polygon use defs canvas object".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 IN_HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
-OUT_OF_DRAWINGS = set("blockquote body center dd div dl dt embed h1 h2 h3 h4 h5 h6 head hr img li menu ol p pre table ul".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSABLE = {"p": 1, "li": 2, "dt": 4, "dd": 8, "tr": 16, "td": 32, "th": 64, "option": 128}
 HOLDERS = {"ul", "ol", "dl", "table", "tbody", "thead", "div", "section", "article", "main", "aside", "nav", "footer", "header", "body", "html", "form", "blockquote", "#root"}
@@ -156,8 +157,6 @@ def parse(source: str) -> Page:
         tag = m[1].lower()
         if open_tags["head"] and follows != "/" and tag not in IN_HEAD and tag != "head":
             leave({"head"})
-        if follows != "/" and tag in OUT_OF_DRAWINGS and (open_tags["svg"] or open_tags["math"]):
-            leave({"svg"} if open_tags["svg"] else {"math"})
         if tag == "br":
             say(" ")
         elif tag in INLINE:

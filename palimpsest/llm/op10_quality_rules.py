@@ -21,6 +21,8 @@ STOP_WORDS = (
     "der die das und ist nicht ein eine von zu den mit sich auf für im dem als auch "
     "el los las y un una que por con para no se del lo su al como es"
 ).split()
+#: Letters outside the alphabets of these languages: a text that has any is in another one, and its stop words are not known.
+FOREIGN = r"[^\x00-\x{BF}ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜàáâäçèéêëíîïñóôöùúûüßÿŸœŒæÆ’‘“”„–—…€•]"
 WINDOW = 5
 
 
@@ -39,7 +41,7 @@ RULES = (
     Rule("mean word length", "word_chars / n_words", 1.5, 25.0),
     Rule("symbols per word", "n_symbols / n_words", None, 0.25),
     Rule("repeated lines", "n_dup_lines / n_lines", None, 0.5),
-    Rule("different stop words to 100 words, in texts of 50 words and more", "CASE WHEN n_words >= 50 THEN 100 * n_stop_words / least(n_words, 200) END", 1.0, None),
+    Rule("different stop words to 100 words, in texts of 50 words and more without foreign letters", "CASE WHEN n_words >= 50 AND NOT foreign THEN 100 * n_stop_words / least(n_words, 200) END", 1.0, None),
 )
 
 
@@ -102,11 +104,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     ))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     symbols = F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long")
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "foreign")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     of_word, of_line = fresh(docs, "_words", "_lines")
-    made = docs.select(*kept, counted.alias(of_word), of_lines.alias(of_line), symbols.alias("n_symbols"))
-    parts = {"n_symbols": "n_symbols", "n_lines": f"{of_line}.n_lines", "n_dup_lines": f"{of_line}.n_dup_lines"}
+    made = docs.select(*kept, counted.alias(of_word), of_lines.alias(of_line), symbols.alias("n_symbols"), whole.rlike(FOREIGN).alias("foreign"))
+    parts = {"n_symbols": "n_symbols", "foreign": "foreign", "n_lines": f"{of_line}.n_lines", "n_dup_lines": f"{of_line}.n_dup_lines"}
     return made.select(*kept, *[F.col(parts.get(c, f"{of_word}.{c}")).alias(c) for c in new])
 
 
@@ -152,11 +154,11 @@ m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-         len(list_intersect(w, [{_STOPS}]))::BIGINT AS n_stop_words
+         len(list_intersect(w, [{_STOPS}]))::BIGINT AS n_stop_words, regexp_matches(t, '{FOREIGN}') AS "foreign"
   FROM d LEFT JOIN cov USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 25 AND n_symbols / n_words <= 0.25
-       AND coalesce(n_dup_lines / n_lines <= 0.5, true) AND (n_words < 50 OR 100 * n_stop_words / least(n_words, 200) >= 1) AS kept
+       AND coalesce(n_dup_lines / n_lines <= 0.5, true) AND (n_words < 50 OR "foreign" OR 100 * n_stop_words / least(n_words, 200) >= 1) AS kept
 FROM b
 """

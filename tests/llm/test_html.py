@@ -123,3 +123,13 @@ def test_repeated_ids_very_long_pages_and_clashing_columns(spark):
     assert out[0].text is not None and len(out) == len(rows)
     long = next(r for r in out if r.page_id == 1)
     assert long.n_chars == len(long.text) == 40000 * 50 - 1
+
+
+def test_formulas_and_drawings_stay_in_their_sentence():
+    from palimpsest.llm import op08_html_extraction as op
+
+    def blocks(source):
+        return [t for t in op.parse(source).text if t]
+
+    assert blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p>") == ["Let x=1 be."]
+    assert blocks("<p>A <svg><title>t</title><text>drawn</text></svg> word <object>kept</object>.</p>") == ["A drawn word kept."]

@@ -224,3 +224,77 @@ def test_sharding_of_one_repeated_row_and_clashing_columns(spark, monkeypatch):
         slots = sorted(r.slot for r in got if r.shard == shard)
         assert slots == list(range(len(slots)))
     assert len(got) == 402 and max(r["size"] for r in got) == 4_000_008
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney with dictionaries, from its definition."""
+
+    def __init__(self, texts):
+        self.seen = {}
+        top = []
+        for t in texts:
+            code, _, scored = op4.letters([t])
+            top += [tuple(code[i - op4.ORDER + 1 : i + 1].tolist()) for i in range(len(code)) if scored[i]]
+        counts = {op4.ORDER: {}}
+        for g in top:
+            counts[op4.ORDER][g] = counts[op4.ORDER].get(g, 0) + 1
+        for n in range(op4.ORDER - 1, 0, -1):
+            counts[n] = {}
+            for g in counts[n + 1]:
+                counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+        self.letters = len({g[-1] for g in top})
+        self.counts, self.discount, self.total, self.kinds = counts, {}, {}, {}
+        for n, c in counts.items():
+            ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            self.discount[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+            for g, v in c.items():
+                self.total[n, g[:-1]] = self.total.get((n, g[:-1]), 0) + v
+                self.kinds[n, g[:-1]] = self.kinds.get((n, g[:-1]), 0) + 1
+
+    def p(self, gram):
+        n = len(gram)
+        lower = 1 / (self.letters + 1) if n == 1 else self.p(gram[1:])
+        total = self.total.get((n, gram[:-1]))
+        if total is None:
+            return lower
+        weight = self.discount[n] * self.kinds[n, gram[:-1]] / total
+        return max(self.counts[n].get(gram, 0) - self.discount[n], 0) / total + weight * lower
+
+    def entropy(self, text):
+        code, _, scored = op4.letters([text])
+        logs = [np.log(self.p(tuple(code[i - op4.ORDER + 1 : i + 1].tolist()))) for i in range(len(code)) if scored[i]]
+        return -float(np.mean(logs))
+
+
+def test_entropies_equal_plain_kneser_ney(monkeypatch):
+    learned = {"en": [b"the cat sat on the mat, and the dog sat too", b"a theory of cats"], "de": ["die Katze saß auf der Matte und der Hund saß dort".encode(), b"eine Theorie"]}
+    plain = {k: PlainKneserNey(v) for k, v in learned.items()}
+    models = op4.Models(list(learned), [op4.KneserNey(v).dump() for v in learned.values()])
+    texts = [b"the cat and the hat", "der Hund saß".encode(), b"zzz qqq", "Ünïcode 日本 the".encode(), b"t", b"the the the " * 40]
+    for slice_ in (op4.SLICE, 14):
+        monkeypatch.setattr(op4, "SLICE", slice_)
+        h, _ = models.entropies(texts)
+        for i, t in enumerate(texts):
+            for k, name in enumerate(models.names):
+                assert abs(h[i, k] - plain[name].entropy(t)) < 3e-6, (t, name)
+
+
+def test_probabilities_of_all_letters_sum_to_one():
+    plain = PlainKneserNey([b"the cat sat on the mat and the dog sat too " * 3])
+    letters = {g[-1] for g in plain.counts[op4.ORDER]}
+    some = next(iter(plain.counts[op4.ORDER]))
+    # one share is left for letters never seen
+    assert abs(sum(plain.p((*some[:-1], x)) for x in letters) + plain.p((*some[:-1], -1)) - 1) < 1e-9
+
+
+def test_nothing_learned_and_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    models = op4.train(none)
+    assert [(r.lang_pred, r.score, r.rejected) for r in op4.identify(docs, models).collect()] == [("und", 0.0, True)] * 2
+    assert op4.identify(docs.limit(0), models).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, " ".join(f"{chr(0x4E00 + n)}{chr(0x4E00 + (n * 7 + k) % 900)}" for k in range(12)), f"l{n}") for n in range(230) for i in (2 * n, 2 * n + 1)]
+    assert len(op4.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).names) == 230

@@ -214,3 +214,28 @@ def test_items_without_an_id_and_long_words_count(spark):
     bench = spark.createDataFrame([(None, "short item"), (1, a)], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in op2.matches(docs, bench).collect()}
     assert got == {1: (2, 2, []), 2: (1, 0, []), 3: (1, 1, ["1"]), 4: (2000000, 0, [])}
+
+
+@pytest.mark.parametrize("n", [16_000, 100_000])
+def test_long_verbatim_items(n):
+    import time
+
+    rng = random.Random(n)
+    item = " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    text = ("before " * 30 + item + " after" * 20).encode()
+    bench = op2.Benchmark([(1, item), (2, "another short item")])
+    began = time.time()
+    found = bench.search([text, b"nothing here"])
+    took = time.time() - began
+    assert found.spans[0] == [(30, 30 + n)] and found.spans[1] is None
+    assert found.longest[0].tolist() == [n, 30, 0, 0] and found.of_item[0].tolist() == [n, 0, 30, 0]
+    assert took < n / 4000  # in proportion, on whatever machine
+
+
+def test_stop_words_of_other_languages_are_not_asked_for(spark):
+    polish = "książka leży tutaj gdzieś między półkami obok starych gazet " + " ".join(f"słowo{i} żółć{i}" for i in range(40))
+    chinese = " ".join(chr(0x4E00 + i) * 2 for i in range(80))
+    junk = " ".join(f"qx{i} vz{i}" for i in range(40))
+    good = "the house of the old man is in the street and it was built for him " + " ".join(f"word{i} and more{i}" for i in range(30))
+    got = {r.doc_id: r.kept for r in op10.judge(spark.createDataFrame(list(enumerate([polish, chinese, junk, good])), "doc_id long, text string")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True}

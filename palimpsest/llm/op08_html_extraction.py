@@ -38,8 +38,9 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 #: Fixed sets of HTML element names: text never shown, inline elements, elements without an end, what ends an open element.
-SILENT = {"script", "style", "noscript", "template", "title", "head", "iframe", "select", "textarea", "button", "annotation", "annotation-xml", "desc", "metadata"}
-RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
+SILENT = {"script", "style", "noscript", "template", "title", "head", "iframe", "select", "textarea", "button"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "annotation", "annotation-xml", "desc", "metadata"}
+ASIDE = {"title", "annotation", "annotation-xml", "desc", "metadata"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Formulas and drawings stand within their sentence, and so does the text in them.
 INLINE |= set("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom mtable mtr mtd svg g text tspan textpath path circle ellipse rect line polyline polygon use defs canvas object".split())
@@ -174,7 +175,7 @@ def parse(source: str) -> Page:
             end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             if end:
                 at = end.end()
-            elif tag == "title":  # without an end it is over at the next tag
+            elif tag in ASIDE:  # without an end it is over at the next tag
                 endless.add(tag)
                 at = start if (start := source.find("<", at)) >= 0 else size
             else:

@@ -62,8 +62,9 @@ def grid(queries: DataFrame, items: DataFrame, item: str, query_block: int = QUE
     n, m = blocks_of(queries, query_block), blocks_of(items, item_block)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     # columns of their own, since both sides may come from one table
-    q = queries.withColumn("_u", F.col("universe").alias("_u")).withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).withColumn("_j", every(m))
-    p = items.withColumn("_u", F.col("universe").alias("_u")).withColumn("_j", F.pmod(F.xxhash64(item), F.lit(m)).cast("int")).withColumn("_i", every(n))
+    own = lambda df: df.select(*[F.col(x).alias("_u" if x == "universe" else x) for x in df.columns])
+    q = own(queries).withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).withColumn("_j", every(m))
+    p = own(items).withColumn("_j", F.pmod(F.xxhash64(item), F.lit(m)).cast("int")).withColumn("_i", every(n))
     return q.groupBy("_u", "_i", "_j"), p.groupBy("_u", "_i", "_j")
 
 
@@ -137,5 +138,5 @@ def shortlist(queries: DataFrame, coded: DataFrame, item: str, most: int, keys:
         i, j, near = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table([a.column("query_id").take(pa.array(i, pa.int64())), b.column(item).take(pa.array(j, pa.int64())), pa.array(near)], names=schema.names)
 
-    left, right = (df.withColumns({f"_{k}": F.col(k).alias(f"_{k}") for k in keys}).groupBy(*[f"_{k}" for k in keys]) for df in (queries, coded))
+    left, right = (df.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in df.columns]).groupBy(*[f"_{k}" for k in keys]) for df in (queries, coded))
     return left.cogroup(right).applyInArrow(cell, schema)

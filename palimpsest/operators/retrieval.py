@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.stem import STOP, stems
 from ..sources.scratch import keep as written
 from .aggregates import nth, number
 from .consistency import fit_flags
@@ -24,8 +25,6 @@ PIPELINES = ("vector", "graph", "recency", "keyword", "consolidated", "preferenc
 SEEDS = 5
 #: Items of a query that recall tries first.
 HEAD = 200
-#: Words that a keyword query leaves out (fixed values).
-STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -96,9 +95,14 @@ def ann_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "para_id"
 
 
 def index(paras: DataFrame, key: str = "para_id") -> DataFrame:
-    """Inverted index (term, key, universe, positions)."""
-    words = F.transform(X.tokens(F.col("text")), F.lower)
-    return paras.select(key, "universe", F.posexplode(words).alias("pos", "term")).groupBy("term", "universe", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """Inverted index (term, key, universe, positions) of English stems; stop words have a position and no row.
+
+    Each paragraph's words are counted before they meet their stems, which are made once for each different word.
+    """
+    words = F.filter(F.transform(X.tokens(F.col("text")), lambda w, i: F.struct(i.alias("pos"), F.lower(w).alias("word"))), lambda s: ~s["word"].isin(STOP))
+    said = written(paras.select(key, "universe", F.explode(words).alias("s")).groupBy("universe", key, F.col("s.word").alias("word")).agg(F.collect_list("s.pos").alias("positions")))
+    told = said.join(written(stems(said, "word")).withColumnsRenamed({"term": "word", "stem": "term"}).hint("merge"), "word")
+    return told.groupBy("term", "universe", key).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def parse_web_query(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -117,13 +121,14 @@ def parse_web_query(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, paras: DataFrame, k: int, key: str = "para_id", text: str = "text", own: bool = True, indexed: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score, rank): every clause must match, none that is excluded; without the item of the query's id if not ``own``.
+    """(query_id, key, score, rank): every clause must match by its words' English stems, none that is excluded; without the item of the query's id if not ``own``.
 
     Score: for each term the sum of 1 / i**2 over its occurrences i, over pi**2 / 6 times the number of terms. Query terms
     meet the index (``indexed``, if it is there already) by a join on the term; phrases compare positions.
     """
     parsed = parse_web_query(queries, text)
-    wanted = parsed.select("query_id", "universe", "clause", "n", "kind", F.size("terms").alias("len"), F.explode("terms").alias("t")).select("*", "t.i", "t.term").drop("t")
+    wanted = written(parsed.select("query_id", "universe", "clause", "n", "kind", F.size("terms").alias("len"), F.explode("terms").alias("t")).select("*", "t.i", F.col("t.term").alias("word")).drop("t"))
+    wanted = wanted.join(written(stems(wanted, "word")).withColumnsRenamed({"term": "word", "stem": "term"}).hint("merge"), "word").drop("word")
     found = wanted.join((index(paras, key) if indexed is None else indexed).hint("merge"), ["term", "universe"]).where(F.lit(own) | (F.col(key) != F.col("query_id")))
     shifted = F.transform("positions", lambda p: p - F.col("i"))
     parts = found.groupBy("query_id", key, "clause", "n", "kind", "len").agg(F.count("*").alias("got"), F.collect_list(shifted).alias("starts"), F.sum(F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))).alias("weight"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.stem import stem_sql
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import retrieval as R
@@ -191,8 +192,11 @@ SELECT query_id, universe, i AS clause, i AS part, false AS banned, [d[i]] AS wo
 UNION ALL SELECT query_id, universe, 1, 1, false, w[1:2] FROM qd WHERE kind = 2
 UNION ALL SELECT query_id, universe, 1, i, false, [d[i]] FROM qd JOIN qo USING (query_id), unnest([1, 2]) AS u(i) WHERE kind = 3
 UNION ALL SELECT query_id, universe, 2, 2, true, [d[4]] FROM qd JOIN qo USING (query_id) WHERE kind = 4),
-kt AS (SELECT query_id, universe, clause, part, banned, n, words[n] AS term, len(list_filter(words, lambda x: x NOT IN ({_STOP}))) AS size FROM parts, unnest(range(1, len(words) + 1)) AS u(n) WHERE words[n] IS NOT NULL AND words[n] NOT IN ({_STOP})),
-pt AS (SELECT para_id, universe, unnest(list_transform(w, lambda x: lower(x))) AS term, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT para_id, universe, {words('text')} AS w FROM rec_paras) AS t),
+wt AS (SELECT query_id, universe, clause, part, banned, n, words[n] AS term, len(list_filter(words, lambda x: x NOT IN ({_STOP}))) AS size FROM parts, unnest(range(1, len(words) + 1)) AS u(n) WHERE words[n] IS NOT NULL AND words[n] NOT IN ({_STOP})),
+lt AS (SELECT para_id, universe, unnest(list_transform(w, lambda x: lower(x))) AS term, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT para_id, universe, {words('text')} AS w FROM rec_paras) AS t),
+st AS ({stem_sql('SELECT DISTINCT term FROM lt', False)}),
+kt AS (SELECT wt.* EXCLUDE (term), stem AS term FROM wt JOIN st USING (term)),
+pt AS (SELECT para_id, universe, stem AS term, pos FROM lt JOIN st USING (term) WHERE lt.term NOT IN ({_STOP})),
 meet AS (SELECT query_id, para_id, clause, part, banned, size, n, pos - n AS start, row_number() OVER (PARTITION BY query_id, para_id, part, n ORDER BY pos) AS i FROM kt JOIN pt USING (term, universe) WHERE para_id <> query_id),
 whole AS (SELECT query_id, para_id, part FROM (SELECT query_id, para_id, part, start, count(DISTINCT n) AS got, any_value(size) AS size FROM meet GROUP BY query_id, para_id, part, start) AS g WHERE got = size GROUP BY ALL
   UNION SELECT query_id, para_id, part FROM meet WHERE size = 1),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, chunks, table, utf8
+from .common import append, chunks, cut, table, utf8
 from .words import mix
 
 ORDER = 4
@@ -29,6 +29,8 @@ ORDER = 4
 SAMPLE_DOCS = 400
 #: Bytes of these for a language, and of one text.
 SAMPLE_BYTES, EACH = 8 << 20, 1 << 20
+#: Rows of a table of languages, or of chosen documents, that is broadcast.
+BROADCAST_ROWS = 1 << 17
 #: Letters times languages that are scored at once, however long a text is.
 SLICE = 1 << 20
 #: One in so many of the sample is held back for calibration.
@@ -249,6 +251,12 @@ class Models:
         return langs, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(rejected) if rejected else np.zeros(0, bool)
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """A table to join: broadcast if it has so few rows, a few for each language, else met by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def sample(docs: DataFrame, key: str, text: str, lang: str, n: int) -> DataFrame:
     """(lang, text, held): the n documents of each language with the smallest hashes, whole texts, one row for each id.
 
@@ -260,12 +268,12 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, n: int) -> DataFrame
     # a row for each of so many languages
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("_k").alias("_c"))
     # hashes are even, so about 3 n ids of a language lie below this bound, however many it has: only those are ranked
-    low = rows.join(counts.hint("merge"), "lang").where(F.col("_h") / F.lit(float(2**63)) < F.least(F.lit(1.0), 6.0 * n / F.col("_c") - 1))
+    low = rows.join(_met(counts), "lang").where(F.col("_h") / F.lit(float(2**63)) < F.least(F.lit(1.0), 6.0 * n / F.col("_c") - 1))
     low = low.groupBy("_k", "_h").agg(F.min("lang").alias("lang"), F.max("_bytes").alias("_bytes"))
     order = Window.partitionBy("lang").orderBy("_h", "_k")
     first = low.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).withColumn("_sum", F.sum("_bytes").over(order)).where(F.col("_sum") <= SAMPLE_BYTES)
     chosen = first.select("_k", "lang", (F.col("_n") % HELD_BACK == 0).alias("held"))  # n rows a language at most
-    return rows.join(chosen.hint("merge"), ["_k", "lang"]).groupBy("_k", "lang", "held").agg(F.min("text").alias("text")).select("lang", "text", "held")
+    return rows.join(_met(chosen), ["_k", "lang"]).groupBy("_k", "lang", "held").agg(F.min("text").alias("text")).select("lang", "text", "held")
 
 
 def _fit(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:

@@ -57,8 +57,8 @@ def promote(evidence: DataFrame, needed: int = NEEDED) -> DataFrame:
 def reinforce_preferences(prefs: DataFrame, events: DataFrame, rate: float = DECAY, threshold: float = ARCHIVE_AT) -> DataFrame:
     """Each preference after its events in order; both numbers stay within 0 and 1, a null one counts as 0.
 
-    An accept of either kind raises confidence, sets relevance to 1 and makes the preference active; a reject fades both numbers; whatever
-    the event, a relevance at the threshold archives. Each number's steps compose, and as rejects only lower relevance, the last
+    An accept of either kind raises confidence, sets relevance to 1 and makes the preference active; a reject fades both numbers; a relevance
+    at the threshold archives, whatever the event and without any. Each number's steps compose, and as rejects only lower relevance, the last
     relevance tells whether anything since the last accept archived it.
     """
     fade, signal = math.exp(-rate), F.col("signal")
@@ -72,7 +72,7 @@ def reinforce_preferences(prefs: DataFrame, events: DataFrame, rate: float = DEC
     held = F.col("_accepts").isNotNull()
     after = lambda step, c: F.when(held, applied(F.col(step), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))).otherwise(F.col(c))
     told = told.withColumns({"_c1": after("_c", "confidence"), "_r1": after("_r", "relevance")})
-    life = F.when(held & (F.col("_r1") <= threshold), "archived").when(F.col("_accepts") > 0, "active").otherwise(F.col("lifecycle"))
+    life = F.when(F.col("_r1") <= threshold, "archived").when(F.col("_accepts") > 0, "active").otherwise(F.col("lifecycle"))
     return told.select("pref_id", F.col("_c1").alias("confidence"), F.col("_r1").alias("relevance"), life.alias("lifecycle"))
 
 

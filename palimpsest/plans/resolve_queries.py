@@ -264,7 +264,7 @@ def p3(v: Views):
 
 @query("p4_reinforce_preferences", "feedback prefs", """
 WITH RECURSIVE e AS (SELECT pref_id, signal, row_number() OVER (PARTITION BY pref_id ORDER BY event_id) AS n FROM feedback),
-g AS (SELECT pref_id, 0::BIGINT AS n, confidence AS c, relevance AS r, lifecycle AS l FROM prefs UNION ALL
+g AS (SELECT pref_id, 0::BIGINT AS n, confidence AS c, relevance AS r, CASE WHEN relevance <= 0.15::DOUBLE THEN 'archived' ELSE lifecycle END AS l FROM prefs UNION ALL
 SELECT pref_id, n, c, r, CASE WHEN r <= 0.15::DOUBLE THEN 'archived' WHEN signal IN ('accept', 'behavioural_accept') THEN 'active' ELSE l END FROM (
 SELECT g.pref_id, e.n, e.signal, g.l, CASE signal WHEN 'accept' THEN least(1, c + 0.1::DOUBLE) WHEN 'behavioural_accept' THEN least(1, c + 0.05::DOUBLE) WHEN 'reject' THEN c * exp(-0.1::DOUBLE) ELSE c END AS c,
 CASE WHEN signal IN ('accept', 'behavioural_accept') THEN 1 WHEN signal = 'reject' THEN r * exp(-0.1::DOUBLE) ELSE r END AS r FROM g JOIN e ON e.pref_id = g.pref_id AND e.n = g.n + 1) AS x)

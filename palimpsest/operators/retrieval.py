@@ -260,7 +260,7 @@ def prepare(ctx: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame]) -
     }
 
 
-def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 10, own: bool = True, most: int | None = None) -> DataFrame:
+def all_lists(queries: DataFrame, ctx: dict[str, DataFrame], k: int = 5, own: bool = True, most: int | None = None) -> DataFrame:
     """The ranked lists of every query; a pipeline without what it needs is empty.
 
     Vector, keyword, consolidated and preference lists have ``k`` places, the graph list all neighbours of the seeds. A query without an

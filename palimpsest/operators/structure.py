@@ -37,94 +37,103 @@ LEAST_CAPITALS, MOST_CAPITALS, SHORT_CAPITALS = 3, 60, 10
 PART = 50000
 
 
-def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
 def all_capitals(line: Column) -> Column:
     """A trimmed line of 3 to 60 bytes without lower-case letters, with three capitals at least, and no sentence's end."""
     size = F.octet_length(line)
     return (size >= LEAST_CAPITALS) & (size <= MOST_CAPITALS) & ~line.rlike(r"[.!?\"»,;:]$") & ~line.rlike(r"\p{Ll}") & line.rlike(r"(\p{Lu}[^\p{Lu}]*){3}")
 
 
-def names_in_prose(found: DataFrame, key: str) -> DataFrame:
-    """(key, name): words that stand after another word of a sentence, in documents with short capital lines."""
-    short = found.where(F.col("capital") & (F.char_length("trimmed") < SHORT_CAPITALS)).select(key).distinct()
-    words = lambda s: F.filter(F.filter(F.split(s, r"[^\p{L}]+"), lambda w: w != ""), lambda w, i: i > 0)
-    prose = found.where(~F.col("capital")).join(short.hint("merge"), key, "left_semi")
-    return prose.select(key, F.explode(F.flatten(F.transform(F.split("line", "[.!?]"), words))).alias("name")).where(F.col("name").rlike(r"^\p{Lu}")).distinct()
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def names_in_prose(lines: Column, asked: Column) -> Column:
+    """Those of the ``asked`` names that stand, with a capital, after another word of a sentence in a line that is not in capitals."""
+    words = lambda s: F.filter(F.filter(F.split(s, r"[^\p{L}]+"), lambda w: w != ""), lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}"))
+    prose = F.filter(lines, lambda r: ~r["capital"])
+    said = F.flatten(F.transform(prose, lambda r: F.flatten(F.transform(F.split(r["line"], "[.!?]"), words))))
+    return F.when(F.size(asked) > 0, F.array_intersect(asked, said)).otherwise(asked)
 
 
 def classified(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line, heads, inside): the classes by which a line begins a heading, and those by which it belongs to one.
+    """(key, text, lines, marked): every line of each text, and (n, line, trimmed, heads, inside) of those that some class takes.
 
-    Lines in capitals of fewer than ten characters are headings only if their name stands in the prose, and only between blank lines. A number
-    and the title-case line after it are one heading, and so are title-case lines with nothing between them.
+    ``heads`` are the classes by which line n begins a heading, ``inside`` those by which it belongs to one. Lines in capitals of fewer than
+    ten characters are headings only if their name stands in the prose, and only between blank lines. A number and the title-case line after
+    it are one heading, and so are title-case lines with nothing between them. A text is told in one pass over its row, without a shuffle.
     """
-    up, down = Window.partitionBy(key).orderBy("line_no"), Window.partitionBy(key).orderBy(F.desc("line_no"))
-    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    told = lines(docs, key, text).withColumn("trimmed", trimmed).withColumn("capital", all_capitals(F.col("trimmed")))
-    some = F.when(F.col("trimmed") != "", F.struct("line", "trimmed"))
-    told = told.withColumn("next", F.last(some, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
-    told = told.withColumn("prev", F.last(some, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)))
-    blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    told = told.withColumn("alone", blank(F.lag("trimmed").over(up)) & blank(F.lead("trimmed").over(up)))
-    name = F.concat(F.upper(F.substring("trimmed", 1, 1)), F.lower(F.substring("trimmed", 2, MOST_CAPITALS)))
-    told = told.withColumn("name", F.when(F.col("capital") & (F.char_length("trimmed") < SHORT_CAPITALS) & ~F.contains("trimmed", F.lit(" ")), name))
-    told = told.join(names_in_prose(told, key).withColumn("known", F.lit(True)).hint("merge"), [key, "name"], "left")
-    bare, title = F.col("trimmed").rlike(NUMBER), F.col("line").rlike(TITLE)
-    after_number = F.coalesce(F.col("trimmed").rlike(CAPITALIZED) & F.col("prev.trimmed").rlike(NUMBER), F.lit(False))
-    after_title = F.coalesce(F.col("prev.line").rlike(TITLE), F.lit(False))
-    long = (F.char_length("trimmed") >= SHORT_CAPITALS) | F.coalesce("known", F.lit(False))
-    heads = {
-        "markdown": F.col("line").rlike(MARKDOWN), "chapter": F.col("line").rlike(CHAPTER), "capitulo": F.col("line").rlike(CAPITULO), "roman": F.col("line").rlike(ROMAN),
-        "narrative": F.col("trimmed").rlike(NARRATIVE) | (bare & F.coalesce(F.col("next.trimmed").rlike(CAPITALIZED), F.lit(False))),
-        "title": title & ~after_title, "capitals": F.col("capital") & long & ((F.octet_length("trimmed") >= SHORT_CAPITALS) | F.col("alone")),
-    }
-    inside = {**heads, "narrative": heads["narrative"] | after_number, "title": title}
-    names = lambda flags: F.array_compact(F.array(*[F.when(f, F.lit(c)) for c, f in flags.items()]))
-    return told.select(key, "line_no", "line", names(heads).alias("heads"), names(inside).alias("inside"))
+    told = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.split(text, "\n").alias("_lines"))
+    full = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("n"), x.alias("line"), trimmed(x).alias("trimmed"))), lambda r: r["trimmed"] != "")
+    name = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, MOST_CAPITALS)))
+
+    def facts(r: Column) -> Column:
+        return F.struct(
+            r["n"].alias("n"), r["line"].alias("line"), r["trimmed"].alias("trimmed"), all_capitals(r["trimmed"]).alias("capital"),
+            r["trimmed"].rlike(NUMBER).alias("bare"), r["trimmed"].rlike(CAPITALIZED).alias("cased"), r["line"].rlike(TITLE).alias("title"),
+        )
+
+    told = told.withColumn("_full", F.transform(full, facts))
+    short = F.filter("_full", lambda r: r["capital"] & (F.char_length(r["trimmed"]) < SHORT_CAPITALS) & ~F.contains(r["trimmed"], F.lit(" ")))
+    told = told.withColumn("_asked", F.array_distinct(F.transform(short, lambda r: name(r["trimmed"]))))
+    told = told.withColumn("_known", names_in_prose(F.col("_full"), F.col("_asked")))
+
+    def mark(r: Column, j: Column) -> Column:
+        before, after = F.get("_full", j - 1), F.get("_full", j + 1)
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        alone = F.coalesce(before["n"] < r["n"] - 1, F.lit(True)) & F.coalesce(after["n"] > r["n"] + 1, F.lit(True))
+        known = (F.char_length(r["trimmed"]) >= SHORT_CAPITALS) | F.array_contains("_known", name(r["trimmed"]))
+        heads = {
+            "markdown": r["line"].rlike(MARKDOWN), "chapter": r["line"].rlike(CHAPTER), "capitulo": r["line"].rlike(CAPITULO), "roman": r["line"].rlike(ROMAN),
+            "narrative": r["trimmed"].rlike(NARRATIVE) | (r["bare"] & yes(after["cased"])), "title": r["title"] & ~yes(before["title"]),
+            "capitals": r["capital"] & ((F.octet_length(r["trimmed"]) >= SHORT_CAPITALS) | alone) & known,
+        }
+        follows = {"narrative": r["cased"] & yes(before["bare"]), "title": r["title"]}
+        names = lambda flags: F.array_compact(F.array(*[F.when(f, F.lit(c)) for c, f in flags.items()]))
+        return F.struct(r["n"].alias("n"), r["line"].alias("line"), r["bare"].alias("bare"), names(heads).alias("heads"), names(follows).alias("follows"))
+
+    told = told.withColumn("_marked", F.filter(F.transform("_full", mark), lambda r: (F.size(r["heads"]) > 0) | (F.size(r["follows"]) > 0)))
+    inside = lambda r: r.withField("inside", F.array_union(r["heads"], r["follows"])).dropFields("follows")
+    return told.select(F.col("_key").alias(key), F.col("_text").alias("text"), F.col("_lines").alias("lines"), F.transform("_marked", inside).alias("marked"))
 
 
 def heading_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, line, class): lines that begin a heading, for each class that takes them."""
-    return classified(docs, key, text).select(key, "line_no", "line", F.explode("heads").alias("class"))
+    told = classified(docs, key, text).select(key, F.inline("marked"))
+    return told.select(key, F.col("n").alias("line_no"), "line", F.explode("heads").alias("class"))
 
 
 def split_chapters(docs: DataFrame, key: str, text: str = "text", most: int = PART) -> DataFrame:
     """(key, seq, title, body): the first class with enough headings cuts; what stands before them is Front Matter; empty bodies go.
 
-    A document without such a class is packed into parts of ``most`` bytes.
-    """
-    told = classified(docs, key, text)
-    whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("line_no")
-    count = lambda c: F.count_if(F.array_contains("heads", c)).over(whole)
-    chosen = F.coalesce(*[F.when((count(c) >= n) & (count(c) <= MOST_HEADINGS), F.lit(c)) for c, n in CLASSES.items()])
-    told = told.withColumn("class", chosen)
-    cut = told.where("class IS NOT NULL").withColumn("seq", F.count_if(F.array_contains("heads", F.col("class"))).over(order))
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    label = F.col("class")
-    # of a number and a title only the title counts
-    part = F.when(label == "markdown", F.regexp_extract("line", MARKDOWN, 1)).when((label == "narrative") & trim(F.col("line")).rlike(NUMBER), F.lit(None)).otherwise(F.col("line"))
-    pick = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["t"]), "\n")
-    last = F.max(F.when(F.array_contains("inside", label), F.col("line_no"))).over(Window.partitionBy(key, "seq"))
-    cut = cut.withColumn("_head", (F.col("seq") > 0) & (F.col("line_no") <= last))
-    parts = cut.groupBy(key, "seq").agg(
-        trim(pick(F.when(F.col("_head") & part.isNotNull(), F.struct("line_no", part.alias("t"))))).alias("title"),
-        trim(pick(F.when(~F.col("_head"), F.struct("line_no", F.col("line").alias("t"))))).alias("body"),
-    )
-    split = parts.select(key, "seq", F.when(F.col("seq") == 0, "Front Matter").otherwise(F.col("title")).alias("title"), "body")
-    rest = docs.join(told.where("class IS NOT NULL").select(key).distinct().hint("merge"), key, "left_anti")
-    packed = pack_paragraphs(rest, key, text, most).select(key, F.col("part").cast("long").alias("seq"), "title", "body")
-    return split.where("body <> ''").unionByName(packed)
-
-
-def pack_paragraphs(docs: DataFrame, key: str, text: str = "text", most: int = PART, between: str = "\n\n") -> DataFrame:
-    """(key, part, title, body): a text of ``most`` bytes at most as it is; else its paragraphs, joined until the next would pass them.
-
-    Blank texts have no part. The mark between paragraphs counts once it stands between two.
+    A document without such a class is packed into parts of ``most`` bytes. Every row is a document of its own, cut where it is read.
     """
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    told = classified(docs, key, text).withColumn("_flat", F.flatten(F.transform("marked", lambda r: r["heads"])))
+    count = lambda c: F.size(F.filter("_flat", lambda x: x == c))
+    told = told.withColumn("_class", F.coalesce(*[F.when((count(c) >= n) & (count(c) <= MOST_HEADINGS), F.lit(c)) for c, n in CLASSES.items()]))
+    label = F.col("_class")
+    told = told.withColumn("_mine", F.filter("marked", lambda r: F.array_contains(r["inside"], label)))
+    told = told.withColumn("_starts", F.transform(F.filter("_mine", lambda r: F.array_contains(r["heads"], label)), lambda r: r["n"]))
+    join = lambda x: trimmed(F.array_join(x, "\n"))
+
+    def said(r: Column) -> Column:  # of a number and a title only the title counts
+        return F.when(label == "markdown", F.regexp_extract(r["line"], MARKDOWN, 1)).when((label == "narrative") & r["bare"], F.lit("")).otherwise(r["line"])
+
+    def chapter(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_starts", i + 1), F.size("lines"))
+        heading = F.filter("_mine", lambda r: (r["n"] >= start) & (r["n"] < end))
+        last = F.element_at(heading, -1)["n"]
+        between = F.slice("lines", start + 1, last - start + 1)  # blank lines of a heading stay in its title
+        title = F.when(F.size(heading) == 1, trimmed(said(heading[0]))).when(label == "narrative", join(F.slice(between, 2, F.size(between)))).otherwise(join(between))
+        return F.struct((i + 1).cast("long").alias("seq"), title.alias("title"), join(F.slice("lines", last + 2, end - last - 1)).alias("body"))
+
+    front = F.struct(F.lit(0).cast("long").alias("seq"), F.lit("Front Matter").alias("title"), join(F.slice("lines", 1, F.col("_starts")[0])).alias("body"))
+    cut = F.filter(F.concat(F.array(front), F.transform("_starts", chapter)), lambda r: r["body"] != "")
+    parts = F.transform(_packed(F.col("text"), most, "\n\n"), lambda r: F.struct(r["part"].cast("long").alias("seq"), r["title"].alias("title"), r["body"].alias("body")))
+    return told.select(key, F.inline(F.when(label.isNotNull(), cut).otherwise(parts)))
+
+
+def _packed(text: Column, most: int, between: str) -> Column:
+    """Array of (part, title, body); a blank text has none."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def add(a: Column, p: Column) -> Column:
@@ -132,13 +141,21 @@ def pack_paragraphs(docs: DataFrame, key: str, text: str = "text", most: int = P
         joined = F.when(a["now"] == "", p).otherwise(F.concat(a["now"], F.lit(between), p))
         return F.when(fits | (a["now"] == ""), F.struct(a["done"].alias("done"), joined.alias("now"))).otherwise(F.struct(F.array_append(a["done"], a["now"]).alias("done"), p.alias("now")))
 
-    body = trim(F.col(text))
-    paragraphs = F.filter(F.transform(F.split(body, between), trim), lambda p: p != "")
+    body = trimmed(text)
+    paragraphs = F.filter(F.transform(F.split(body, between), trimmed), lambda p: p != "")
     packs = F.aggregate(paragraphs, start, add, lambda a: F.array_append(a["done"], a["now"]))
-    whole = F.octet_length(body) <= most
-    told = docs.withColumn("_whole", whole).where(body != "")
-    out = told.select(key, "_whole", F.posexplode(F.when(F.col("_whole"), F.array(body)).otherwise(packs)).alias("part", "body"))
-    return out.select(key, "part", F.when(F.col("_whole"), F.lit("Untitled")).otherwise(F.concat(F.lit("Part "), (F.col("part") + 1).cast("string"))).alias("title"), "body")
+    part = lambda p, i, title: F.struct(i.alias("part"), title.alias("title"), p.alias("body"))
+    whole = F.array(part(body, F.lit(0), F.lit("Untitled")))
+    many = F.transform(packs, lambda p, i: part(p, i, F.concat(F.lit("Part "), (i + 1).cast("string"))))
+    return F.when(body == "", F.array().cast("array<struct<part:int,title:string,body:string>>")).when(F.octet_length(body) <= most, whole).otherwise(many)
+
+
+def pack_paragraphs(docs: DataFrame, key: str, text: str = "text", most: int = PART, between: str = "\n\n") -> DataFrame:
+    """(key, part, title, body): a text of ``most`` bytes at most as it is; else its paragraphs, joined until the next would pass them.
+
+    Blank texts have no part. The mark between paragraphs counts once it stands between two.
+    """
+    return docs.select(key, F.inline(_packed(F.col(text), most, between)))
 
 
 def paragraphs(chapters: DataFrame, keys: list[str], between: str = "\n\n", most: int = 30000) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +87,39 @@ def strip_markup(html: Column) -> Column:
     return F.trim(out)
 
 
+#: Character references by name; those that may lack the semicolon, the longest first; and what the numbers 128 to 159 mean.
+NAMED = {name[:-1]: sign for name, sign in html5.items() if name.endswith(";")}
+LOOSE = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+
+
+def decode_references(text: Column) -> Column:
+    """Character references of HTML, by number or name, once and from left to right; what is none stays, a number that is no character becomes U+FFFD."""
+    lookup = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")  # noqa: E731 (a constant, parsed once)
+
+    def character(digits: Column, base: int) -> Column:
+        short = F.regexp_replace(digits, "^0+", "")
+        n = F.when(F.char_length(short) <= 7, F.conv(short, base, 10).cast("int")).otherwise(F.lit(0))
+        valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        coded = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(lookup(WINDOWS), n.cast("string")), coded)
+
+    def read(piece: Column) -> Column:
+        number, digits = F.regexp_extract(piece, "^#([0-9]+);?", 0), F.regexp_extract(piece, "^#([0-9]+)", 1)
+        hexed, hexes = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+);?", 0), F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+)", 1)
+        name, loose = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(piece, f"^({'|'.join(LOOSE)})", 1)
+        after = lambda c, more=0: F.substring(piece, F.char_length(c) + 1 + more, F.char_length(piece))
+        named = F.try_element_at(lookup(NAMED), F.when(name != "", name))
+        return (
+            F.when(number != "", F.concat(character(digits, 10), after(number))).when(hexed != "", F.concat(character(hexes, 16), after(hexed)))
+            .when(named.isNotNull(), F.concat(named, after(name, 1))).when(loose != "", F.concat(F.try_element_at(lookup({n: html5[n] for n in LOOSE}), loose), after(loose)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    parts = F.split(text, "&")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(read(p))), "")
+
+
 def stylometry(text: Column) -> dict[str, Column]:
     """Sums of a text from which every measure follows."""
     words = tokens(text)

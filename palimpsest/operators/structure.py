@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -301,39 +299,39 @@ def compaction_plan(turns: DataFrame, usable: int) -> DataFrame:
     return told.select("conv_id", "turn", label.alias("action"))
 
 
-class _Markdown(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.skip = [], 0
+#: What shows no text: comments, scripts, styles, declarations; and a tag with its attributes, the name in the first or second group.
+SILENT = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<[!?][^>]*>"
+TAG = r"<(/?[A-Za-z][A-Za-z0-9:-]*)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<(/?[A-Za-z][A-Za-z0-9:-]*)[^>]*>"
+#: Marks of tags in Markdown; \u0003 is the mark of a list item, which takes in the white space after it.
+MARKS = {
+    **{f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)}, **{f"/h{n}": "\n\n" for n in range(1, 7)}, **{t: "*" for t in ("em", "/em", "i", "/i")}, **{t: "**" for t in ("strong", "/strong", "b", "/b")},
+    **{t: "\n\n" for t in ("p", "/p", "/ul", "/ol", "blockquote", "/blockquote")}, "br": "\n", "hr": "\n\n---\n\n", "li": "\n\u0003",
+}
 
-    def handle_starttag(self, tag, attrs):
-        self.skip += tag in ("script", "style")
-        mark = {"em": "*", "i": "*", "strong": "**", "b": "**", "br": "\n", "hr": "\n\n---\n\n", "p": "\n\n", "li": "\n- "}.get(tag)
-        self.out.append("\n\n" + "#" * int(tag[1]) + " " if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else mark or "")
 
-    def handle_endtag(self, tag):
-        self.skip -= tag in ("script", "style") and self.skip > 0
-        self.out.append({"em": "*", "i": "*", "strong": "**", "b": "**"}.get(tag, "\n\n" if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol") else ""))
+def markdown_of_html(html: Column) -> Column:
+    """Headings, emphasis, lists, rules and line breaks as Markdown, other tags dropped, references decoded; plain expressions in one pass over the tags.
 
-    def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data)
+    Blocks are trimmed, blank ones go, and a blank line parts those that stay. A text without any tag stays as it is, but for white space at its ends. A tag with an unclosed quotation mark ends at the next bracket.
+    """
+    bare = F.regexp_replace(F.translate(F.regexp_replace(html, r"\r\n?", "\n"), "\u0001\u0002\u0003", ""), SILENT, "")
+    pieces = F.split(F.regexp_replace(bare, TAG, "\u0001$1$2\u0002"), "\u0001")
+    mark = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
 
+    def written(piece: Column, i: Column) -> Column:
+        name, text = F.substring_index(piece, "\u0002", 1), F.substring_index(piece, "\u0002", -1)
+        return F.when(i == 0, piece).otherwise(F.concat(F.coalesce(F.try_element_at(mark, F.lower(name)), F.lit("")), text))
 
-def html_to_markdown(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
-    """(key, markdown) of each page, pages converted where they are read."""
+    told = X.decode_references(F.array_join(F.transform(pieces, written), ""))
+    told = F.regexp_replace(told, "\u0003\\s*", "- ")
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    blocks = F.array_join(F.filter(F.transform(F.split(told, "\n\n"), strip), lambda b: b != ""), "\n\n")
+    return F.when(F.contains(html, F.lit("<")), blocks).otherwise(strip(html))
 
-    def convert(batches):
-        for batch in batches:
-            made = []
-            for page in batch[source].fillna(""):
-                parser = _Markdown()
-                parser.feed(page)
-                parser.close()
-                made.append("\n\n".join(x for x in (p.strip() for p in "".join(parser.out).split("\n\n")) if x))
-            yield pd.DataFrame({key: batch[key], "markdown": made})
-
-    return pages.select(key, source).mapInPandas(convert, f"{key} long, markdown string")
+
+def html_to_markdown(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
+    """(key, markdown) of each page; a page without text has an empty one."""
+    return pages.select(key, markdown_of_html(F.coalesce(source, F.lit(""))).alias("markdown"))
 
 
 def markdown_to_html(text: Column) -> Column:

@@ -73,7 +73,32 @@ def s5(v: Views):
     return T.infer_title(v("titled"), ext="ext").select("doc_id", "title")
 
 
-@query("s6_html_to_markdown")
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def duck_map(d: dict[str, str]) -> str:
+    return f"map([{', '.join(map(quoted, d))}], [{', '.join(map(quoted, d.values()))}])"
+
+
+_MARKS = duck_map({name: mark.replace("\n", "\\n") for name, mark in S.MARKS.items()})  # line ends put in afterwards
+_ENDS = r"[\s\v\x{85}\p{Z}]+"
+#: One reference per piece after an ampersand: number, name, or a name that lacks its semicolon.
+_REFERENCE = rf"""CASE WHEN i = 1 THEN p
+  WHEN regexp_matches(p, '^#[0-9]+') THEN chr(CAST(regexp_extract(p, '^#([0-9]+)', 1) AS INT)) || regexp_replace(p, '^#[0-9]+;?', '')
+  WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]+') THEN chr(CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1) AS INT)) || regexp_replace(p, '^#[xX][0-9a-fA-F]+;?', '')
+  WHEN named[regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)] IS NOT NULL THEN named[regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)] || regexp_replace(p, '^[A-Za-z0-9]+;', '')
+  WHEN regexp_matches(p, '^({"|".join(X.LOOSE)})') THEN loose[regexp_extract(p, '^({"|".join(X.LOOSE)})', 1)] || regexp_replace(p, '^({"|".join(X.LOOSE)})', '')
+  ELSE '&' || p END"""
+
+
+@query("s6_html_to_markdown", "", rf"""
+WITH k AS (SELECT {_MARKS} AS marks, {duck_map(X.NAMED)} AS named, {duck_map({n: X.html5[n] for n in X.LOOSE})} AS loose),
+a AS (SELECT page_id, html, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '\r\n?', chr(10), 'g'), {quoted(S.SILENT)}, '', 'g'), {quoted(S.TAG.replace("++", "+").replace("*+", "*"))}, chr(1) || '\1\2' || chr(2), 'g'), chr(1)) AS x FROM pages),
+b AS (SELECT page_id, html, array_to_string(list_transform(x, lambda p, i: CASE WHEN i = 1 THEN p ELSE replace(coalesce(marks[lower(split_part(p, chr(2), 1))], ''), '\n', chr(10)) || split_part(p, chr(2), 2) END), '') AS t FROM a, k),
+c AS (SELECT page_id, html, array_to_string(list_transform(string_split(t, '&'), lambda p, i: {_REFERENCE}), '') AS t FROM b, k),
+d AS (SELECT page_id, html, list_transform(string_split(regexp_replace(t, '\x03\s*', '- ', 'g'), chr(10) || chr(10)), lambda u: regexp_replace(regexp_replace(u, '^{_ENDS}', ''), '{_ENDS}$', '')) AS u FROM c)
+SELECT page_id, CASE WHEN contains(html, '<') THEN array_to_string(list_filter(u, lambda y: y <> ''), chr(10) || chr(10)) ELSE coalesce(regexp_replace(regexp_replace(html, '^{_ENDS}', ''), '{_ENDS}$', ''), '') END AS markdown FROM d""")
 def s6(v: Views):
     return S.html_to_markdown(v("pages"))
 

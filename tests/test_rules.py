@@ -1,5 +1,8 @@
 """Cases that tell rules apart: headings, names in texts, phrases, containment, prefixes, merged fields, clones, injected models."""
 
+import html
+import html.entities
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +115,33 @@ def test_markdown_and_html(spark):
     assert spark.range(1).select(S.markdown_to_html(F.lit(text)).alias("h")).first().h == "<h1>T</h1>\n<p>a <strong>b</strong> &amp; <em>c</em><br>d &lt; e</p>\n<hr>\n<h3>S</h3>"
 
 
+def test_character_references_as_the_standard_library_reads_them(spark):
+    texts = ["a &amp; b", "&lt;&gt;", "&#8212;&#x2014;&#X41;", "&#128;&#150;", "&nbsp;x", "&ampx &copy 2", "&notit; &unknown; & x", "&#0;&#xD800;&#99999999999;", "&", "&&amp;amp;", "", "&NotEqualTilde;", "&#x1F600;", "é&eacute"]
+    texts += [f"&{name}" for name in sorted(html.entities.html5)[::40]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)  # not a local table: the expressions run as on any other
+    assert {r.t: r.d for r in rows.select("t", X.decode_references(F.col("t")).alias("d")).collect()} == {t: html.unescape(t) for t in texts}
+
+
+def test_markdown_of_odd_pages(spark):
+    given = {
+        "<ul><li><p>x</p></li><li><p>y</p></li></ul>z": "- x\n\n- y\n\nz", "a<a href='x>y'>b</a><!-- <p> --><img alt=\"unclosed><p>c": "ab\n\nc", " plain &lt;\n": "plain &lt;",
+        "<P CLASS='q'>up</P><STYLE>p{}</STYLE><blockquote>t</blockquote>u": "up\n\nt\n\nu", "<script>never closed <p>x": "", "<p>" + "w " * 200000 + "</p>": ("w " * 200000).strip(), "<b></b>": "****", "": "",
+        "<p " + "a='1' " * 3000 + ">x": "x",
+    }
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, html string").repartition(2)
+    got = {r.page_id: r.markdown for r in S.html_to_markdown(pages).collect()}
+    assert got == dict(enumerate(given.values()))
+    assert S.html_to_markdown(pages.limit(0)).count() == 0
+
+
+def test_chapters_of_odd_texts(spark):
+    got = split(spark, [None, "", "\n\n", "## A\n## B", "## A\nx\n## B\n\n", "w " * 100000 + "\n## A\nx\n## B\ny"])
+    assert [got[i] for i in range(5)] == [[], [], [], [], [("A", "x")]]
+    assert [t for t, _ in got[5]] == ["Front Matter", "A", "B"]
+    same = spark.createDataFrame([(1, "## A\nx\n## B\ny", 0)] * 2, "id int, text string, lines int")  # repeated rows, and a column called as one of ours
+    assert sorted((r.seq, r.title, r.body) for r in S.split_chapters(same, "id").collect()) == [(1, "A", "x")] * 2 + [(2, "B", "y")] * 2
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_approximate_search_recall_at_two_scales(spark, sf):
     v = Views(spark, f"/root/testdata/sf{sf}")

@@ -70,7 +70,7 @@ def fidelity(memories: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
     mean = vectors.select(key, F.posexplode("embedding").alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     center = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center"))
-    told = memories.join(center, key)
+    told = memories.join(center.hint("merge"), key)
     n = norm(F.col("embedding")) * norm(F.col("center"))
     return told.select(key, F.when(n > 0, dot(F.col("embedding"), F.col("center")) / n).otherwise(0.0).alias("fidelity"))
 

@@ -99,14 +99,24 @@ def list_preferences(prefs: DataFrame, active_only: bool, n: int) -> DataFrame:
 SHOWN = 1000
 
 
+def evidence_page(rows: DataFrame, order: str, before: DataFrame | None = None, n: int = SHOWN) -> DataFrame:
+    """The newest n rows of each preference by ``order``; with ``before`` (pref_id, place), those older than the place, of its preferences only.
+
+    With the least ``order`` of a page as the next page's place, pages show every row once; rows of one place must then differ in ``order``.
+    """
+    if before is not None:
+        rows = rows.join(before.select("pref_id", F.col("place").alias("_place")).hint("merge"), "pref_id").where(F.col(order) < F.col("_place")).drop("_place")
+    return rows.withColumn("_n", nth(["pref_id"], F.desc(order))).where(F.col("_n") <= n).drop("_n")
+
+
 def evidence_bundle(prefs: DataFrame, events: DataFrame, observations: DataFrame | None = None, history: DataFrame | None = None, n: int = SHOWN) -> DataFrame:
     """Preferences with their observations, and their newest n events and history records, as nested arrays in order.
 
-    ``observations`` and ``history`` have a pref_id; history has recorded_at, relevance, confidence and lifecycle.
+    Older ones follow page by page (``evidence_page``). ``observations`` and ``history`` have a pref_id; history has recorded_at, relevance, confidence and lifecycle.
     """
 
     def nested(df: DataFrame, order: str, columns: list[str], name: str, most: int | None) -> DataFrame:
-        some = df if most is None else df.withColumn("_n", nth(["pref_id"], F.desc(order))).where(F.col("_n") <= most)
+        some = df if most is None else evidence_page(df, order, n=most)
         return some.groupBy("pref_id").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name)).hint("merge")
 
     out = prefs.join(nested(events, "event_id", ["signal"], "events", n), "pref_id", "left")

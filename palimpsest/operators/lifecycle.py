@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import keep
 from .aggregates import nth
 
 #: Decay rate, archive threshold, bump of a mention, score after archive, least change that counts (fixed values).
@@ -68,7 +69,7 @@ def lifecycle(entities: DataFrame, history: DataFrame, memories: DataFrame, epsi
         F.max_by(F.concat("was", F.lit(">"), "status"), F.when(F.col("was") != F.col("status"), F.col("recorded_at"))).alias("change"),
         F.max_by("fell", "recorded_at").alias("fell"),
     )
-    told = entities.join(change, "entity_id", "left").join(memories.select("entity_id").distinct().withColumn("_memory", F.lit(True)), "entity_id", "left")
+    told = entities.join(change.hint("merge"), "entity_id", "left").join(memories.select("entity_id").distinct().withColumn("_memory", F.lit(True)).hint("merge"), "entity_id", "left")
     label = F.when((F.col("status") == "archived") & F.col("_memory"), "consolidated").when(F.col("status") == "archived", "archived").when(F.col("change") == "archived>active", "reactivated").when(F.col("fell") > epsilon, "decaying").otherwise("active")
     return told.select("entity_id", "universe", "status", "relevance", label.alias("label"))
 
@@ -77,7 +78,7 @@ def memory_report(labels: DataFrame, history: DataFrame) -> DataFrame:
     """Labels with the recent history of each entity, oldest first, and the consolidated entities of its universe."""
     h = recent_history(history).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("recorded_at", "relevance", "status"))).alias("history"))
     n = labels.groupBy("universe").agg(F.count_if(F.col("label") == "consolidated").alias("consolidated"))
-    return labels.join(h, "entity_id", "left").join(n, "universe")
+    return labels.join(h.hint("merge"), "entity_id", "left").join(keep(n), "universe")  # a row for each universe
 
 
 def crossings(history: DataFrame, threshold: float = ARCHIVE_AT) -> DataFrame:

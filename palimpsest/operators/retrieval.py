@@ -109,7 +109,7 @@ def parse_web_query(queries: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, universe, clause, terms, kind): alternatives of OR share a clause, "phrases" keep order, a leading minus excludes."""
     part = F.regexp_extract_all(F.col(text), F.lit(r'-?"[^"]+"|-?[^\s"]+'), F.lit(0))
     told = queries.select("query_id", "universe", F.posexplode(part).alias("n", "part"))
-    either = told.where("part <> 'OR'").join(told.where("part = 'OR'").select("query_id", (F.col("n") + 1).alias("n"), F.lit(True).alias("joins")), ["query_id", "n"], "left")
+    either = told.where("part <> 'OR'").join(told.where("part = 'OR'").select("query_id", (F.col("n") + 1).alias("n"), F.lit(True).alias("joins")).hint("merge"), ["query_id", "n"], "left")
     from pyspark.sql import Window
 
     clause = F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(Window.partitionBy("query_id").orderBy("n"))

@@ -174,7 +174,7 @@ def locate_mentions(names: DataFrame, paras: DataFrame, keys: list[str]) -> Data
 
     Names are a short list asked of every paragraph; each meets the paragraphs of its own chapters only.
     """
-    pairs = paras.join(names, keys)
+    pairs = paras.join(names.hint("merge"), keys)
     at = F.instr(F.lower("text"), F.lower("name"))
     best = pairs.groupBy(*keys, "name").agg(F.min(F.when(at > 0, F.struct("paragraph_index", "text"))).alias("hit"), F.min(F.struct("paragraph_index", "text")).alias("first"))
     row = F.coalesce("hit", "first")

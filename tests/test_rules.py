@@ -179,3 +179,19 @@ def test_recall_beyond_the_first_items(spark, monkeypatch):
     for head in (2, 6, 100):
         monkeypatch.setattr(V, "HEAD", head)
         assert sorted(map(tuple, V.recall(None, {}, 5, lists=lists, keep=scratch.keep).select("query_id", "item", "place").collect())) == want
+
+
+def test_pages_of_evidence_show_every_event_once(spark):
+    events = spark.createDataFrame([(i, i % 3, "accept") for i in range(50)], "event_id long, pref_id long, signal string")
+    seen, before = [], None
+    while True:
+        page = P.evidence_page(events, "event_id", before, 7).collect()
+        if not page:
+            break
+        seen += page
+        places = {}
+        for r in page:
+            places[r.pref_id] = min(r.event_id, places.get(r.pref_id, r.event_id))
+        before = spark.createDataFrame(list(places.items()), "pref_id long, place long")
+    assert sorted(r.event_id for r in seen) == list(range(50)) and page == []
+    assert [r.event_id for r in P.evidence_page(events.where("pref_id = 1"), "event_id", n=3).orderBy("event_id").collect()] == [43, 46, 49]

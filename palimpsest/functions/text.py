@@ -58,7 +58,8 @@ def short_title(text: Column) -> Column:
     ends = [F.when(F.instr(text, e) > 0, F.instr(text, e)) for e in (". ", "; ", ": ", ", ")]
     clause = F.least(*ends)
     head = F.substring(text, 1, 80)
-    cut = F.regexp_replace(head, r"\s+\S*$", "")
+    # the end itself, since $ also lies before a line feed that ends the text
+    cut = F.regexp_replace(head, r"[ \t\n\f\r]+[^ \t\n\f\r]*\z", "")
     return F.when(F.char_length(text) <= 80, text).when(clause <= 90, F.substring(text, F.lit(1), clause - 1)).otherwise(cut)
 
 

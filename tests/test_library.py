@@ -62,6 +62,11 @@ def test_titles(spark):
     assert got == [r[3] for r in rows]
 
 
+def test_short_title_whose_cut_ends_with_a_line_feed(spark):
+    text = "word " * 15 + "last\n" + "more words after the cut"
+    assert spark.createDataFrame([(text,)], "text string").select(X.short_title(F.col("text"))).first()[0] == ("word " * 15 + "last")
+
+
 def test_style_of_one_sentence(spark):
     text = 'She quickly ran. “Go now,” he said! It rained?'
     row = spark.range(1).select(*[c.alias(n) for n, c in X.stylometry(F.lit(text)).items()]).first()

@@ -69,3 +69,23 @@ def test_progress_of_events_without_time(spark):
     got = {r.user_id: (r.done, r.seconds, r.eta) for r in Q.progress(events, 20).collect()}
     mean = Q.EWMA_NEW * 20 + (1 - Q.EWMA_NEW) * 10
     assert got[1] == (4, pytest.approx(mean), pytest.approx(16 * mean)) and got[2] == (1, None, None) and got[None] == (1, None, None)
+
+
+def test_whole_fused_lists_share_the_recency_order(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "EARLY", 24)
+    latest = spark.range(100).select((F.col("id") % 2).alias("universe"), F.col("id").alias("entity_id"), F.rpad(F.lit("n"), F.pmod(F.col("id") * 37, F.lit(60)).cast("int") + 1, "x").alias("name"), (F.floor(F.col("id") / 2) + 1).alias("rank"))
+    queries = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 7)], "query_id long, universe long")
+    rows = [(q, "graph", r, f"e:{2 * ((r * 7 + q) % 50) + q % 2}", "Related entity: x" * 2) for q in (0, 1) for r in range(1, 6)]
+    rows += [(q, "vector", r, f"p:{r * q}", "text " * (r + 40)) for q in (0, 1, 3) for r in range(1, 4)] + [(0, "preference", 60, "f:1", "Preference 1")]
+    short = spark.createDataFrame(rows, "query_id long, pipeline string, rank long, item string, fact string")
+    whole = V.fuse_whole(short, queries, latest)
+    plain = V.fuse(short.unionByName(V.recency_lists(queries, latest)))
+    told = lambda df: sorted((r.query_id, r.position, r.item, r.fact, r.sources, round(r.score, 9)) for r in df.collect())
+    assert told(whole.items()) == told(plain) and plain.count() == 3 * 50 + 8
+    for budget in (0, 3, 150, 700):
+        flags, fits = V.flag_fit(plain, budget), V.fit_whole(whole, budget)
+        row = lambda df: sorted((r.query_id, r.position, r.item, r.fits) for r in df.collect())
+        assert row(fits.flags()) == row(flags)
+        sums = flags.groupBy("query_id").agg(F.count_if("fits").alias("fitted"), F.count_if(~F.col("fits")).alias("dropped"), F.max("used").alias("used"))
+        assert sorted(map(tuple, fits.totals().select(*sums.columns).collect())) == sorted(map(tuple, sums.collect()))

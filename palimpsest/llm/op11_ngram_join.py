@@ -167,10 +167,12 @@ def entries(token: np.ndarray, first: np.ndarray, bands: Bands, sketch: np.ndarr
     n = np.diff(first)
     band = bands.of(np.maximum(n, 1))
     out = []
-    # sets too small to differ have equal ones only
-    own = np.flatnonzero((n > 0) & (bands.differences(n, n) > 0))
+    # sets that are too small to differ even from the largest that may be similar have equal ones only
+    own = np.flatnonzero((n > 0) & (bands.differences(n * 100 // bands.percent, n) > 0))
     seg = Segments(token, first, own, band[own], bands)
-    v = seg.asked(bands.differences(n[own], n[own]) + 1, sketch)
+    # the larger of two sets asks; one that can differ from larger ones only is asked for
+    most = bands.differences(n[own], n[own])
+    v = seg.asked(np.where(most > 0, most + 1, 0), sketch)
     out.append((own[seg.view], seg.key, INDEX | ASK * (v > 0) | ASK_MORE * (v > 1)))
     at, key = seg.less(seg.spare)
     out.append((own[seg.view[at]], key, INDEX_LESS | ASK_LESS * (v[at] > 1)))

@@ -108,3 +108,9 @@ def test_nulls_empties_ties_and_repeated_rows(spark):
     assert got == brute(rows)
     assert (None, 1, None) in got and (9, 30002, 7) in got
     assert op.near_classes(docs.limit(0)).count() == 0
+
+
+def test_four_and_five_shingles_link(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "q a b c d e f g h x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op.near_classes(docs).collect()} == {1: (4, 1), 2: (5, 1), 3: (6, 3)}

@@ -16,9 +16,26 @@ def judged(retrieved: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFra
     return queries.select("query_id").distinct().join(hits, "query_id", "left")
 
 
-def recall_precision(retrieved: DataFrame, gold: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def relevant(gold: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """(query_id, n): relevant items of each query, counted in ``gold`` or, where that has only those that were retrieved, given."""
+    return gold.select("query_id", "item").distinct().groupBy("query_id").agg(F.count("*").alias("n")) if sizes is None else sizes.select("query_id", "n")
+
+
+def alike(retrieved: DataFrame, queries: DataFrame, items: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(query_id, item) of what was retrieved and is relevant, and (query_id, n): an item is relevant if it has the query's ``keys`` and is not the query itself.
+
+    Items (item, keys) hold the queries under their own ids. No query ever meets all its relevant items.
+    """
+    own = queries.select("query_id").distinct().join(items.select(F.col("item").alias("query_id"), *keys).hint("merge"), "query_id")
+    some = retrieved.select("query_id", "item").where("item <> query_id").distinct()
+    gold = some.join(own.hint("merge"), "query_id").join(items.select("item", *keys).hint("merge"), ["item", *keys]).select("query_id", "item")
+    n = own.join(items.groupBy(*keys).agg((F.count_distinct("item") - 1).alias("n")).hint("merge"), keys)
+    return gold, n.select("query_id", "n")
+
+
+def recall_precision(retrieved: DataFrame, gold: DataFrame, queries: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
     """Recall and precision in the first k; 0 without relevant items."""
-    n = gold.select("query_id", "item").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    n = relevant(gold, sizes)
     got = judged(retrieved, gold, queries).groupBy("query_id").agg(F.sum(F.when(F.col("rank") <= k, F.col("relevant")).otherwise(0)).alias("hits"))
     told = got.join(n, "query_id", "left").fillna(0, ["n"])
     return told.select("query_id", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0).alias("recall"), (F.col("hits") / F.lit(float(k))).alias("precision"))
@@ -29,9 +46,9 @@ def mrr(retrieved: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
     return first.select("query_id", F.coalesce(1.0 / F.col("r"), F.lit(0.0)).alias("mrr"))
 
 
-def ndcg(retrieved: DataFrame, gold: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def ndcg(retrieved: DataFrame, gold: DataFrame, queries: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
     """Binary gains; the ideal list has as many relevant items as there are, k at most."""
-    n = gold.select("query_id", "item").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    n = relevant(gold, sizes)
     gain = judged(retrieved, gold, queries).groupBy("query_id").agg(F.sum(F.when((F.col("rank") <= k) & (F.col("relevant") == 1), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     told = gain.join(n, "query_id", "left").fillna(0, ["n"])
@@ -44,7 +61,7 @@ def expand_hits(hits: DataFrame, mentions: DataFrame) -> DataFrame:
     return best.withColumn("rank", nth(["query_id"], "best", "entity_id")).select("query_id", "entity_id", "rank")
 
 
-def ablation(lists: DataFrame, gold: DataFrame, queries: DataFrame, subsets: dict[str, list[str]], k: int = 5) -> DataFrame:
+def ablation(lists: DataFrame, gold: DataFrame, queries: DataFrame, subsets: dict[str, list[str]], k: int = 5, sizes: DataFrame | None = None) -> DataFrame:
     """Mean recall of each subset of pipelines; all subsets are fused in one plan."""
     rows = [(s, p) for s, names in subsets.items() for p in names]
     grid = lists.sparkSession.createDataFrame(rows, "subset string, pipeline string")
@@ -53,7 +70,8 @@ def ablation(lists: DataFrame, gold: DataFrame, queries: DataFrame, subsets: dic
     subset = F.broadcast(grid.select("subset").distinct())
     key = F.concat_ws("|", "subset", F.col("query_id").cast("string")).alias("query_id")
     g, q = gold.crossJoin(subset).select(key, "item"), queries.select("query_id").distinct().crossJoin(subset).select(key)
-    got = recall_precision(fuse(keyed).withColumnRenamed("position", "rank"), g, q, k)
+    n = None if sizes is None else sizes.crossJoin(subset).select(key, "n")
+    got = recall_precision(fuse(keyed).withColumnRenamed("position", "rank"), g, q, k, n)
     return got.groupBy(F.substring_index("query_id", "|", 1).alias("subset")).agg(F.round(F.avg("recall"), 6).alias("recall"))
 
 

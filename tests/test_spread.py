@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import aggregates as A
+from palimpsest.operators import evaluation as E
 from palimpsest.operators import retrieval as V
 from palimpsest.plans import retrieval_queries as RQ
 from palimpsest.plans.fixtures import Views
@@ -89,3 +90,16 @@ def test_whole_fused_lists_share_the_recency_order(spark, monkeypatch):
         assert row(fits.flags()) == row(flags)
         sums = flags.groupBy("query_id").agg(F.count_if("fits").alias("fitted"), F.count_if(~F.col("fits")).alias("dropped"), F.max("used").alias("used"))
         assert sorted(map(tuple, fits.totals().select(*sums.columns).collect())) == sorted(map(tuple, sums.collect()))
+
+
+def test_relevant_items_are_counted_without_meeting_them(spark):
+    items = spark.range(40).select(F.col("id").alias("item"), (F.col("id") % 2).alias("u"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("c"))
+    queries = spark.range(0, 60, 5).select(F.col("id").alias("query_id"))
+    hits = queries.crossJoin(spark.range(1, 9).select(F.col("id").alias("rank"))).select("query_id", (F.pmod(F.col("query_id") * 3 + F.col("rank") * 2, F.lit(40))).alias("item"), "rank")
+    own = items.select(F.col("item").alias("query_id"), "u", "c").join(queries, "query_id")
+    gold = own.join(items, ["u", "c"]).where("item <> query_id").select("query_id", "item")
+    some, n = E.alike(hits, queries, items, ["u", "c"])
+    assert some.count() < gold.count()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(E.recall_precision(hits, some, queries, 5, n)) == rows(E.recall_precision(hits, gold, queries, 5))
+    assert rows(E.ndcg(hits, some, queries, 5, n)) == rows(E.ndcg(hits, gold, queries, 5)) and rows(E.mrr(hits, some, queries)) == rows(E.mrr(hits, gold, queries))

@@ -103,3 +103,10 @@ def test_relevant_items_are_counted_without_meeting_them(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(E.recall_precision(hits, some, queries, 5, n)) == rows(E.recall_precision(hits, gold, queries, 5))
     assert rows(E.ndcg(hits, some, queries, 5, n)) == rows(E.ndcg(hits, gold, queries, 5)) and rows(E.mrr(hits, some, queries)) == rows(E.mrr(hits, gold, queries))
+
+
+def test_edges_are_paired_by_more_tasks_as_lines_grow(spark, monkeypatch):
+    from palimpsest.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "LINES", 500)
+    assert Views(spark, SF)("edges").rdd.getNumPartitions() == spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500

@@ -1,11 +1,11 @@
 """Language ID by interpolated Kneser-Ney character models.
 
-Letters are lower-cased, and every run of other characters is one blank. Each language's n-gram counts are
-taken in one Spark task from a bounded sample of its labelled documents, smoothed with one discount
+Letters are lower-cased, and every run of other characters is one blank. The n-grams of all labelled documents are
+counted where the texts are read and added up by a shuffle; a language's different n-grams are then smoothed with one discount
 for each order, and stored in sorted arrays of n-gram hashes. Arrays of all languages are then joined, with every
 language's probability beside each n-gram, so that one lookup serves them all. A document gets
-the language of lowest cross-entropy per character over its whole text. A held-back part of the sample calibrates
-the score and the entropy above which a document is rejected as no learned language.
+the language of lowest cross-entropy per character over its whole text. One labelled document in HELD_BACK, scored by models
+that have not seen it, calibrates the score and the entropy above which a document is rejected as no learned language.
 """
 
 from __future__ import annotations
@@ -21,20 +21,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, chunks, cut, table, utf8
+from .common import append, chunks, cut, small_batches, stored, table, utf8
 from .words import mix
 
 ORDER = 4
-#: Labelled documents of each language that the models learn from, smallest hashes first; whole texts.
-SAMPLE_DOCS = 400
-#: Bytes of these for a language, and of one text.
+#: Bytes of a language, and of one text, in a sample that is asked for.
 SAMPLE_BYTES, EACH = 8 << 20, 1 << 20
 #: Rows of a table of languages, or of chosen documents, that is broadcast.
 BROADCAST_ROWS = 1 << 17
 #: Letters times languages that are scored at once, however long a text is.
 SLICE = 1 << 20
-#: One in so many of the sample is held back for calibration.
+#: One in so many labelled documents calibrates.
 HELD_BACK = 5
+#: Scales of the score that are tried, and cells of a nat in which entropies are counted.
+SCALES, CELLS = (1, 2, 5, 10, 20, 50, 100, 200), 1000
+#: Counts that a task holds before it adds up equal n-grams, and different n-grams that it holds before it hands them on.
+PENDING, HELD = 1 << 20, 1 << 19
 #: How far above the calibration texts a text's cross-entropy may lie before it is rejected.
 MARGIN = 1.5
 UNKNOWN = "und"
@@ -83,6 +85,32 @@ def gram_hashes(code: np.ndarray, n: int) -> np.ndarray:
     return mix(out, n)
 
 
+def hashed(code: np.ndarray) -> np.ndarray:
+    """Hash of each column of letters, as ``gram_hashes`` has it."""
+    out = np.zeros(code.shape[1], np.uint64)
+    for row in code:
+        out = out * np.uint64(0x100000001B3) + row.astype(np.uint64) + np.uint64(1)
+    return mix(out, len(code))
+
+
+def ngrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns of ORDER letters and their counts in all texts; columns may come again. Texts without letters have none."""
+    code, text, scored = letters([t for t in texts if any(c.isalpha() for c in t.decode())])
+    for begin in range(0, len(code), SLICE):
+        place = np.flatnonzero(scored[begin : begin + SLICE]) + begin
+        columns = np.stack([code[place - k] for k in range(ORDER - 1, -1, -1)])
+        wide = (columns > 0xFFFF).any(axis=0)
+        key = np.zeros(int((~wide).sum()), np.uint64)
+        for row in columns[:, ~wide]:
+            key = key << np.uint64(16) | row.astype(np.uint64)
+        key.sort()
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        one = key[new]
+        yield np.stack([(one >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.uint32) for k in range(ORDER - 1, -1, -1)]), np.diff(new, append=len(key))
+        if wide.any():
+            yield np.unique(columns[:, wide], axis=1, return_counts=True)
+
+
 @dataclass
 class SortedHashes:
     """Ascending hashes, and where each value of their top bits begins."""
@@ -110,14 +138,24 @@ class KneserNey:
     """One language: log probabilities of seen n-grams and log weights of their contexts, by order."""
 
     def __init__(self, texts: list[bytes]):
-        code, _, scored = letters(texts)
+        parts = list(ngrams(texts))
+        self.fit(np.concatenate([c for c, _ in parts], axis=1), np.concatenate([n for _, n in parts]))
+
+    @classmethod
+    def of(cls, code: np.ndarray, counts: np.ndarray) -> KneserNey:
+        """The language with these n-grams, columns of ORDER letters, and their counts."""
+        made = cls.__new__(cls)
+        made.fit(code, counts)
+        return made
+
+    def fit(self, code: np.ndarray, times: np.ndarray) -> None:
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        grams = {n: gram_hashes(code, n) for n in range(1, ORDER + 1)}
-        context = {n: np.concatenate([[np.uint64(0)], grams[n - 1][:-1]]) if n > 1 else np.zeros(len(code), np.uint64) for n in grams}
-        place = np.flatnonzero(scored)
-        self.letters = np.unique(grams[1][place])
+        grams = {n: hashed(code[ORDER - n :]) for n in range(1, ORDER + 1)}
+        context = {n: hashed(code[ORDER - n : -1]) if n > 1 else np.zeros(code.shape[1], np.uint64) for n in grams}
+        place = np.arange(code.shape[1])
+        self.letters = np.unique(grams[1])
         lower_p = None
-        counts = {ORDER: np.ones(len(place), np.int64)}
+        counts = {ORDER: times}
         rows = {ORDER: place}
         for n in range(ORDER - 1, 0, -1):  # a lower order counts the different n-grams one longer that end in it
             _, one = np.unique(grams[n + 1][rows[n + 1]], return_index=True)
@@ -217,19 +255,31 @@ class Models:
             sums[owner[new]] += np.add.reduceat(log_p, new, axis=0, dtype=np.float64)
         return -sums / np.maximum(count, 1)[:, None], n_letters
 
-    def calibrate(self, texts: list[bytes], truth: list[str]) -> None:
+    def judged(self, texts: list[bytes], truth: list[str]) -> dict[tuple[str, int], float]:
+        """Sums over the texts: log likelihood of the true languages under each scale, and how many have their lowest entropy in each cell."""
+        out: dict[tuple[str, int], float] = {}
+        known = {name: i for i, name in enumerate(self.names)}
+        rows = [(x, known[lang]) for x, lang in zip(texts, truth, strict=True) if lang in known and any(c.isalpha() for c in x.decode())]
+        for a, b in chunks([x for x, _ in rows], 1 << 19):
+            h, _ = self.entropies([x for x, _ in rows[a:b]])
+            right = np.array([i for _, i in rows[a:b]])
+            best = h.min(axis=1)
+            for scale in SCALES:
+                z = -scale * (h - best[:, None])
+                told = z[np.arange(len(h)), right] - np.log(np.exp(z).sum(axis=1))
+                out["scale", scale] = out.get(("scale", scale), 0.0) + float(told.sum())
+            for cell, n in zip(*np.unique((best * CELLS).astype(np.int64), return_counts=True), strict=True):
+                out["cell", int(cell)] = out.get(("cell", int(cell)), 0.0) + float(n)
+        return out
+
+    def calibrate(self, judged: dict[tuple[str, int], float]) -> None:
         """The sharpness of the score under which the true languages are likeliest; the entropy of texts that belong."""
-        if not texts:
+        cells = sorted((at, n) for (what, at), n in judged.items() if what == "cell")
+        if not cells:
             return
-        h, n = self.entropies(texts)
-        right = np.array([self.names.index(t) for t in truth])
-        fits = []
-        for scale in (1, 2, 5, 10, 20, 50, 100, 200):
-            z = -scale * (h - h.min(axis=1, keepdims=True))
-            fits.append((-(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(h)), right].mean(), scale))
-        self.scale = float(min(fits)[1])
-        best = h.min(axis=1)
-        self.limit = float(np.quantile(best, 0.999) * MARGIN)
+        self.scale = float(min((-total, at) for (what, at), total in judged.items() if what == "scale")[1])
+        upto = np.cumsum([n for _, n in cells])
+        self.limit = (cells[int(np.searchsorted(upto, 0.999 * upto[-1]))][0] + 1) / CELLS * MARGIN
         self.slack = 4.0
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -276,28 +326,92 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, n: int) -> DataFrame
     return rows.join(_met(chosen), ["_k", "lang"]).groupBy("_k", "lang", "held").agg(F.min("text").alias("text")).select("lang", "text", "held")
 
 
-def _fit(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-    known = [t.encode() for t in rows[~rows.held].text if any(c.isalpha() for c in t)]
-    return pd.DataFrame({"lang": rows.lang[:1], "model": [KneserNey(known).dump() if known else None]})
-
-
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Models:
-    """Models of every language of the labelled rows; rows without text or language teach nothing."""
-    chosen = sample(labelled, key, text, lang, sample_docs)
-    fitted = [r for r in chosen.groupBy("lang").applyInPandas(_fit, "lang string, model binary").collect() if r.model is not None]
+_LOW = np.int64((1 << 21) - 1)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, a, b, n, held) of batches of (lang, held, text): the letters of each n-gram two by two, and its counts in the two parts."""
+    pending: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def whole(lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, n = (np.concatenate(x, axis=-1) for x in zip(*pending[lang], strict=True))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[:, order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return a[new], b[new], np.add.reduceat(n, new, axis=1)
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang in pending:
+            a, b, n = whole(lang)
+            for i in range(0, len(a), 1 << 16):
+                j = min(len(a), i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), j - i), pa.array(a[i:j]), pa.array(b[i:j]), pa.array(n[0, i:j]), pa.array(n[1, i:j])], names=["lang", "a", "b", "n", "held"])
+
+    for batch in batches:
+        texts, groups = utf8(batch.column(2)), {}
+        for i, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            groups.setdefault(at, []).append(texts[i])
+        for (lang, held), some in groups.items():
+            for begin, end in chunks(some):
+                for code, n in ngrams(some[begin:end]):
+                    wide = code.astype(np.int64)
+                    pending.setdefault(lang, []).append((wide[0] << 21 | wide[1], wide[2] << 21 | wide[3], np.stack([n * (not held), n * held]).astype(np.int64)))
+                    size += len(n)
+            if size > PENDING:
+                pending = {lang: [whole(lang)] for lang in pending}
+                size = sum(len(x[0][0]) for x in pending.values())
+                if size > HELD:
+                    yield from told()
+                    pending, size = {}, 0
+    yield from told()
+
+
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """The language's models of all its n-grams and of those not held back."""
+    a, b = rows.a.to_numpy(), rows.b.to_numpy()
+    code = np.stack([a >> 21, a & _LOW, b >> 21, b & _LOW]).astype(np.uint32)
+    n, held = rows.n.to_numpy(), rows.held.to_numpy()
+    seen = n > 0
+    return pd.DataFrame({"lang": rows.lang[:1].tolist(), "model": [KneserNey.of(code, n + held).dump()], "tried": [KneserNey.of(code[:, seen], n[seen]).dump() if seen.any() else None]})
+
+
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int | None = None) -> Models:
+    """Models of every language of the labelled rows, all of which teach; rows without id, text or language teach nothing.
+
+    With ``sample_docs`` only so many documents of each language do. What one task and the driver hold are the different n-grams of a
+    language and of all languages, which grow with what is written in them, not with how often.
+    """
+    small_batches(labelled.sparkSession)
+    if sample_docs is None:
+        rows = labelled.select(F.col(f"`{lang}`").alias("lang"), (F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("held")), F.lit(HELD_BACK)) == 0).alias("held"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("_k"))
+        rows = rows.where("_k IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").drop("_k")
+    else:
+        rows = stored(sample(labelled, key, text, lang, sample_docs).select("lang", "held", "text"))
+    counts = rows.mapInArrow(_counted, "lang string, a long, b long, n long, held long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    fitted = counts.groupBy("lang").applyInPandas(_fit, "lang string, model binary, tried binary").collect()
     fitted.sort(key=lambda r: r.lang)
-    models = Models([r.lang for r in fitted], [bytes(r.model) for r in fitted]) if fitted else Models.__new__(Models)
     if not fitted:
+        models = Models.__new__(Models)
         models.names = []
         return models
-    held = [r for r in chosen.where("held").select("lang", "text").collect() if r.lang in models.names and any(c.isalpha() for c in r.text)]
-    models.calibrate([r.text.encode() for r in held], [r.lang for r in held])
+    models, tried = Models([r.lang for r in fitted], [bytes(r.model) for r in fitted]), [r for r in fitted if r.tried is not None]
+    if tried:
+        sent = labelled.sparkSession.sparkContext.broadcast(Models([r.lang for r in tried], [bytes(r.tried) for r in tried]))
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                told = sent.value.judged(utf8(batch.column(1)), batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in told], pa.string()), pa.array([k for _, k in told], pa.int64()), pa.array(list(told.values()), pa.float64())], names=["what", "at", "total"])
+
+        judged = rows.where("held").select("lang", "text").mapInArrow(judge, "what string, at long, total double").groupBy("what", "at").agg(F.sum("total").alias("total"))
+        models.calibrate({(r.what, r["at"]): r.total for r in judged.collect()})  # a row for each scale and cell
     return models
 
 
 def identify(docs: DataFrame, models: Models, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row with lang_pred, score (0 to 1) and rejected; null text, or text without letters, is `und` with score 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # as large as the different n-grams
 
     def compute(given: pa.Table) -> list:
         langs, scores, rejected = sent.value.predict(utf8(given.column(0)))

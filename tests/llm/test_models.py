@@ -298,3 +298,21 @@ def test_nothing_learned_and_empty_tables(spark):
 def test_every_language_is_learned(spark):
     rows = [(i, " ".join(f"{chr(0x4E00 + n)}{chr(0x4E00 + (n * 7 + k) % 900)}" for k in range(12)), f"l{n}") for n in range(230) for i in (2 * n, 2 * n + 1)]
     assert len(op4.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).names) == 230
+
+
+def test_all_labelled_texts_teach_and_calibrate(spark, monkeypatch):
+    texts = {"de": [f"der garten {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} könig 𐐨𐐩{i}" for i in range(900)] + ["langes haus " * 100_000], "en": [f"the king {chr(97 + i % 26)} of {chr(97 + i // 26 % 26)}" for i in range(900)]}
+    rows = [(n, x, lang) for n, (lang, x) in enumerate((lang, x) for lang, some in texts.items() for x in some)]
+    models = op4.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    whole = op4.Models(["de", "en"], [op4.KneserNey([x.encode() for x in texts[lang]]).dump() for lang in ("de", "en")])
+    for n in range(1, op4.ORDER + 1):
+        assert (models.grams[n].keys == whole.grams[n].keys).all() and np.allclose(models.p[n], whole.p[n])
+        assert (models.contexts[n].keys == whole.contexts[n].keys).all() and np.allclose(models.w[n], whole.w[n])
+    judged = []
+    monkeypatch.setattr(op4.Models, "calibrate", lambda self, told: judged.append(told))
+    monkeypatch.setattr(op4, "PENDING", 50)
+    monkeypatch.setattr(op4, "HELD", 20)
+    again = op4.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.allclose(again.p[op4.ORDER], whole.p[op4.ORDER])
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(f"pmod(xxhash64(doc_id, 'held'), {op4.HELD_BACK}) = 0").count()
+    assert sum(n for (what, _), n in judged[0].items() if what == "cell") == held > 300

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import keep
 from .aggregates import nth
 from .resolve import repoint
 
@@ -47,22 +48,38 @@ def cocitation(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def ego_graph(nodes: DataFrame, edges: DataFrame, focal: DataFrame, first: int = 8, second: int = 2) -> DataFrame:
-    """(focal, node, hop): each focal node, its best neighbours by relevance, and the best new neighbours of those."""
-    pairs = both_ways(edges).where("seed <> neighbor").select("seed", "neighbor").distinct()
-    scored = pairs.join(nodes.select(F.col("entity_id").alias("neighbor"), "relevance"), "neighbor")
+    """(focal, node, hop): each focal node, its best neighbours by relevance, and the best new neighbours of those.
+
+    Edges are looked at once: a graph has shown 1 + first nodes before its second hop, so that many of a node's best neighbours, and
+    second more, hold all that either hop can take.
+    """
+    pairs = both_ways(edges).where("seed <> neighbor").select("seed", "neighbor")
+    n = _tasks(edges, 2 * edges.count())
+    known = nodes.select(F.col("entity_id").alias("neighbor"), "relevance").repartition(n, "neighbor")
+    scored = pairs.repartition(n, "neighbor").join(known.hint("merge"), "neighbor").repartition(n, "seed")
+    place = F.dense_rank().over(Window.partitionBy("seed").orderBy(F.desc("relevance"), "neighbor"))  # parallel edges share a place
+    best = keep(scored.withColumn("n", place).where(F.col("n") <= max(first, 1 + first + second)).distinct())
     start = focal.select(F.col("entity_id").alias("focal")).distinct()
-    one = scored.join(start, F.col("seed") == F.col("focal")).withColumn("n", nth(["focal"], F.desc("relevance"), "neighbor")).where(F.col("n") <= first).select("focal", F.col("neighbor").alias("node"))
+    one = best.where(F.col("n") <= first).join(start.hint("merge"), F.col("seed") == F.col("focal")).select("focal", F.col("neighbor").alias("node"))
     shown = start.select("focal", F.col("focal").alias("node"), F.lit(0).alias("hop")).unionByName(one.withColumn("hop", F.lit(1)))
-    reach = one.withColumnRenamed("node", "seed").join(scored, "seed").join(shown.select("focal", F.col("node").alias("neighbor")), ["focal", "neighbor"], "left_anti")
+    n = _tasks(best, best.count())
+    reach = one.withColumnRenamed("node", "seed").repartition(n, "seed").join(best.drop("n").repartition(n, "seed").hint("merge"), "seed").join(shown.select("focal", F.col("node").alias("neighbor")).hint("merge"), ["focal", "neighbor"], "left_anti")
     two = reach.withColumn("n", nth(["focal", "seed"], F.desc("relevance"), "neighbor")).where(F.col("n") <= second)
     return shown.unionByName(two.select("focal", F.col("neighbor").alias("node"), F.lit(2).alias("hop")).distinct())
 
 
 def ego_edges(shown: DataFrame, edges: DataFrame) -> DataFrame:
-    """All edges between the shown nodes of each focal node, with the larger hop of their ends."""
+    """All edges between the shown nodes of each focal node, with the larger hop of their ends.
+
+    The few shown nodes of a focal node meet each other, and these pairs meet the edges, so no edge is copied for each graph that shows an end.
+    """
     a = shown.select("focal", F.col("node").alias("src"), F.col("hop").alias("ha"))
     b = shown.select("focal", F.col("node").alias("dst"), F.col("hop").alias("hb"))
-    return edges.join(a, "src").join(b, ["focal", "dst"]).select("focal", "src", "dst", "rel_type", F.greatest("ha", "hb").alias("hop"), F.when((F.col("src") == F.col("focal")) | (F.col("dst") == F.col("focal")), 0).otherwise(F.greatest("ha", "hb")).alias("tier"))
+    hop = F.greatest("ha", "hb").alias("hop")
+    met = a.join(b.hint("merge"), "focal").select("focal", "src", "dst", hop, F.when((F.col("src") == F.col("focal")) | (F.col("dst") == F.col("focal")), 0).otherwise(hop).alias("tier"))
+    sizes = shown.groupBy("focal").agg(F.count("*").alias("n"))
+    n = _tasks(edges, max(edges.count(), sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0))
+    return edges.repartition(n, "src", "dst").join(met.repartition(n, "src", "dst").hint("merge"), ["src", "dst"]).select("focal", "src", "dst", "rel_type", "hop", "tier")
 
 
 def bounded(nodes: DataFrame, edges: DataFrame, key: str, most_nodes: int = 96, most_edges: int = 160) -> DataFrame:
@@ -95,30 +112,40 @@ def full_graph(graph_nodes: DataFrame, edges: DataFrame, registry: DataFrame) ->
 
 def cooccurrence(mentions: DataFrame, chunk: str, cap: int | None = None, run: str | None = None) -> DataFrame:
     """Different unordered pairs of one chunk, smaller id first; with a cap, the first of each run in chunk order."""
-    pairs = chunk_pairs(mentions.select(chunk, "entity_id", *([run] if run else [])).distinct(), chunk)
+    pairs, n = chunk_pairs(mentions.select(chunk, "entity_id", *([run] if run else [])), chunk)
     if cap is None:
-        return pairs.select("src", "dst").distinct()
+        return pairs.select("src", "dst").repartition(n, "src", "dst").distinct()
     # of a chunk, only the first pairs can be among the first of its run
-    few = pairs.withColumn("_m", F.row_number().over(Window.partitionBy(chunk).orderBy("src", "dst"))).where(F.col("_m") <= cap)
-    first = few.groupBy(run, "src", "dst").agg(F.min(chunk).alias("_chunk"))
+    few = pairs.repartition(n, chunk).withColumn("_m", F.row_number().over(Window.partitionBy(chunk).orderBy("src", "dst"))).where(F.col("_m") <= cap)
+    first = few.select(run, "src", "dst", chunk).repartition(n, run, "src", "dst").groupBy(run, "src", "dst").agg(F.min(chunk).alias("_chunk"))
     return first.withColumn("_n", F.row_number().over(Window.partitionBy(run).orderBy("_chunk", "src", "dst"))).where(F.col("_n") <= cap).select(run, "src", "dst")
 
 
 #: Members of a chunk that meet in one task.
 BLOCK = 512
+#: Mentions, pairs or edges that one task takes, however many there are.
+ROWS = 250000
+
+
+def _tasks(rows: DataFrame, n: int) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS)
 
 
-def chunk_pairs(members: DataFrame, chunk: str, block: int = BLOCK) -> DataFrame:
-    """Pairs src < dst of the members (chunk, entity_id, more) of each chunk, with the columns of src.
+def chunk_pairs(mentions: DataFrame, chunk: str, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """Pairs src < dst of the different members (chunk, entity_id, more) of each chunk, with the columns of src; and tasks in proportion to their number.
 
     Members of a large chunk lie in blocks, and every pair of blocks meets under a key of its own, so a chunk with many members spreads.
     """
-    sizes = members.groupBy(chunk).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = members.join(sizes.hint("merge"), chunk).withColumn("_own", F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int"))
+    members = mentions.repartition(_tasks(mentions, mentions.count()), chunk).distinct()
+    sizes = members.groupBy(chunk).agg(F.count("*").alias("_size"))
+    blocks = F.ceil(F.col("_size") / block).cast("int")
+    dealt = keep(members.join(sizes.hint("merge"), chunk).withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int")))
+    n = _tasks(dealt, (dealt.agg(F.sum(F.col("_size") - 1)).first()[0] or 0) // 2)
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    a = dealt.withColumnRenamed("entity_id", "src").withColumn("_other", others).withColumnRenamed("_own", "_a").withColumnRenamed("_other", "_b")
+    a = dealt.drop("_size").withColumnRenamed("entity_id", "src").withColumn("_other", others).withColumnRenamed("_own", "_a").withColumnRenamed("_other", "_b").drop("_blocks")
     b = dealt.select(chunk, F.col("entity_id").alias("dst"), F.col("_own").alias("_b"), "_blocks").withColumn("_a", others).drop("_blocks")
-    return a.join(b.hint("merge"), [chunk, "_a", "_b"]).where("src < dst").drop("_a", "_b", "_blocks")
+    met = a.repartition(n, chunk, "_a", "_b").join(b.repartition(n, chunk, "_a", "_b").hint("merge"), [chunk, "_a", "_b"])
+    return met.where("src < dst").drop("_a", "_b"), n
 
 
 def edge_sentences(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ def clone_id(column: Column, target: str) -> Column:
 class Cloned:
     """A table of a universe: its own id, columns and arrays that hold ids of other tables (by name), and a fingerprint to be told apart.
 
-    A row of a ``linked`` table is left out if an end is no row of the table that it refers to.
+    A row of a ``linked`` table is left out if an end is no row of the table that it refers to. A large table names the ``tasks`` that its ids meet in.
     """
 
     rows: DataFrame
@@ -231,6 +231,7 @@ class Cloned:
     arrays: dict[str, str] = field(default_factory=dict)
     fingerprint: str | None = None
     linked: bool = False
+    tasks: int | None = None
 
 
 def clone_universe(tables: dict[str, Cloned], target: str) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -244,7 +245,10 @@ def clone_universe(tables: dict[str, Cloned], target: str) -> tuple[dict[str, Da
     for name, t in tables.items():
         df = t.rows
         for column, other in t.refs.items():
-            df = df.join(ids[other].withColumnsRenamed({"_id": column}).withColumn("_in", F.lit(True)).hint("merge"), column, "left")
+            known = ids[other].withColumnsRenamed({"_id": column}).withColumn("_in", F.lit(True))
+            if t.tasks:
+                df, known = df.repartition(t.tasks, column), known.repartition(t.tasks, column)
+            df = df.join(known.hint("merge"), column, "left")
             df = df.withColumn(column, F.when(F.col("_in"), clone_id(F.col(column), target))).drop("_in")
         for column, other in t.arrays.items():
             one = t.rows.select(F.col(t.own).alias("_key"), F.posexplode(column).alias("_i", "_id")).join(ids[other].hint("merge"), "_id")

@@ -82,3 +82,11 @@ def test_recall_pairs_no_order_without_a_seed(spark, monkeypatch):
     assert RQ.v17(views).count() > 0
     monkeypatch.setattr(fixtures, "_edges_at", lambda lines, ends: pytest.fail("edges are not fused here"))
     assert RQ.v12(views).count() > 0
+
+
+def test_cloned_edges_meet_in_more_tasks_as_lines_grow(spark, monkeypatch):
+    from palimpsest.plans import fixtures, resolve_queries
+
+    monkeypatch.setattr(fixtures, "LINES", 500)
+    n = 2 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500
+    assert tasks_before_shuffles(resolve_queries.r16(fixtures.Views(spark, "/root/testdata/sf0.001"))).count(n) >= 4

@@ -27,17 +27,23 @@ def neighbors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return both_ways(edges).join(seeds.select("seed").distinct(), "seed")
 
 
+#: Asked names that are broadcast after a look at how many there are.
+NAMES = 1 << 17
+
+
 def entities_by_name(asked: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, seed): of each asked name, in any case, the active entity that bears it, else one that has it as an alias.
 
-    Of several the most relevant, then by name and id.
+    Of several the most relevant, then by name and id. As many names as ``NAMES`` are sent to the entities, so that entities of few
+    names, all in a few tasks if dealt by name, are neither shuffled nor sorted unless they bear an asked one.
     """
-    wanted = asked.select(F.col("name"), F.lower("name").alias("_low")).distinct()
+    wanted = keep(asked.select(F.col("name"), F.lower("name").alias("_low")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= NAMES else wanted.hint("merge")
     live = entities.where("status = 'active'").select("entity_id", "relevance", F.col("name").alias("_own"), "aliases")
     called = live.select("entity_id", "relevance", "_own", F.lit(0).alias("_pass"), F.lower("_own").alias("_low"))
     known = called.unionByName(live.select("entity_id", "relevance", "_own", F.lit(1).alias("_pass"), F.explode("aliases").alias("_low")).withColumn("_low", F.lower("_low")))
     best = F.min(F.struct("_pass", (-F.col("relevance")).alias("r"), "_own", "entity_id"))
-    return wanted.join(known.hint("merge"), "_low").groupBy("name").agg(best.alias("b")).select("name", F.col("b.entity_id").alias("seed"))
+    return known.join(wanted, "_low").groupBy("name").agg(best.alias("b")).select("name", F.col("b.entity_id").alias("seed"))
 
 
 def cocitation(edges: DataFrame, seeds: DataFrame) -> DataFrame:

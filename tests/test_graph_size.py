@@ -90,3 +90,33 @@ def test_cloned_edges_meet_in_more_tasks_as_lines_grow(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "LINES", 500)
     n = 2 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500
     assert tasks_before_shuffles(resolve_queries.r16(fixtures.Views(spark, "/root/testdata/sf0.001"))).count(n) >= 4
+
+
+def test_neighbors_by_name_pair_no_order_without_a_seed(spark, monkeypatch):
+    from palimpsest.plans import fixtures
+    from palimpsest.plans import retrieval_queries as RQ
+
+    views = fixtures.Views(spark, "/root/testdata/sf0.001")
+    edges = [tuple(r) for r in views("edges").collect()]
+    monkeypatch.setattr(fixtures, "_edges", lambda lines: pytest.fail("the whole view is paired"))
+    got = sorted(map(tuple, RQ.v19b(fixtures.Views(spark, "/root/testdata/sf0.001")).collect()))
+    seeds = {(name, seed) for name, seed, _, _ in got}
+    assert len(seeds) > 1
+    assert got == sorted((name, seed, b if a == seed else a, kind) for name, seed in seeds for a, b, kind in edges if seed in (a, b))
+
+
+@pytest.mark.parametrize("names", [1 << 17, 0])
+def test_entities_of_few_names_are_not_dealt_by_name(spark, monkeypatch, names):
+    monkeypatch.setattr(G, "NAMES", names, raising=False)
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["Ann", "ANN", "Bo", "Cy"]), rng.sample(["ann", "Bo", "Dee", "dee"], 2), rng.randrange(3) / 3, rng.choice(["active", "archived"])) for i in range(400)]
+    ents = spark.createDataFrame(rows, "entity_id long, name string, aliases array<string>, relevance double, status string")
+    asked = ["ann", "BO", "dee", "DEE", "dee", "eve", None]
+    got = G.entities_by_name(spark.createDataFrame([(x,) for x in asked], "name string"), ents)
+    assert ("hashpartitioning(_low" in got._jdf.queryExecution().executedPlan().toString()) == (not names)
+    want = {}
+    for low in {x for x in asked if x}:
+        found = [(own.lower() != low.lower(), -r, own, i) for i, own, also, r, s in rows if s == "active" and low.lower() in (own.lower(), *map(str.lower, also))]
+        if found:
+            want[low] = min(found)[3]
+    assert {r.name: r.seed for r in got.collect()} == want and len(want) == 4 and got.count() == 4

@@ -7,6 +7,7 @@ import pytest
 
 from palimpsest.operators import postings as B
 from palimpsest.operators import retrieval as V
+from palimpsest.plans import retrieval_queries as RQ
 from palimpsest.plans.fixtures import Views
 
 WORDS = "zab zeb zib zob zub".split()
@@ -82,3 +83,25 @@ def test_texts_that_no_vector_can_have_are_left_out_before_they_meet(spark):
     want = views("embeddings").join(views("documents"), views("embeddings").vec_id == views("documents").doc_id)
     assert paras.columns == ["para_id", "universe", "chapter_id", "text", "embedding"]
     assert sorted((r.para_id, r.universe, r.text) for r in paras.collect()) == sorted((r.vec_id, r.vec_id % 5, r.text) for r in want.collect())
+
+
+def test_lists_carry_costs_and_only_what_is_returned_meets_its_text(spark):
+    views = Views(spark, "/root/testdata/sf0.001")
+    texts = {f"p:{r.para_id}": r.text for r in views("rec_paras").select("para_id", "text").collect()}
+    cost = lambda x: len(x.encode()) // 4 + 1
+    lists = RQ.lists(views, 3)
+    said = lists.collect()
+    found = [r for r in said if r.item in texts]
+    assert found and all(r.fact is None and r.tokens == cost(texts[r.item]) for r in found)
+    assert all(r.tokens == cost(r.fact) for r in said if r.item not in texts)
+    told = V.with_texts(V.fuse(lists), views("rec_paras")).collect()
+    assert len(told) == len({(r.query_id, r.item) for r in said}) and all(r.fact == texts[r.item] for r in told if r.item.startswith("p:")) and all(r.fact for r in told)
+
+
+def test_lines_of_orders_that_hold_no_seed_are_left_out_before_they_meet(spark):
+    views = Views(spark, "/root/testdata/sf0.001")
+    lines = views("lineitem")
+    low, high = lines.where("l_partkey = 1").selectExpr("min(l_orderkey)", "max(l_orderkey)").first()
+    plan = views.edges_at(spark.createDataFrame([(1,)], "end long"))._jdf.queryExecution().optimizedPlan().toString()
+    assert f">= {low})" in plan and f"<= {high})" in plan
+    assert views.edges_at(spark.createDataFrame([(10**9,)], "end long")).count() == 0
